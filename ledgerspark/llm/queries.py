@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .mixing import op2_pivotal_mix
+from .near_dup import op5_near_duplicates
 from .sharding import op10_rendezvous
 
 QUERIES = {
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op5_near_duplicates": op5_near_duplicates,
     "op10_rendezvous": op10_rendezvous,
 }
 ORACLE_SQL: dict[str, str] = {}
