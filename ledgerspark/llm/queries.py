@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe_lexicon
 from .mixing import op2_pivotal_mix
 from .near_dup import op5_near_duplicates
 from .sharding import op10_rendezvous
+from .token_files import op8_token_files
 
 QUERIES = {
+    "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_pivotal_mix": op2_pivotal_mix,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_token_files": op8_token_files,
     "op10_rendezvous": op10_rendezvous,
 }
 ORACLE_SQL: dict[str, str] = {}
