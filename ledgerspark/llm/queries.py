@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_lexicon
+from .langid import op9_language_id
 from .mixing import op2_pivotal_mix
 from .near_dup import op5_near_duplicates
+from .pii import op4_personal_data
 from .sharding import op10_rendezvous
 from .token_files import op8_token_files
 
 QUERIES = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op4_personal_data": op4_personal_data,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_token_files": op8_token_files,
+    "op9_language_id": op9_language_id,
     "op10_rendezvous": op10_rendezvous,
 }
 ORACLE_SQL: dict[str, str] = {}
