@@ -7,14 +7,18 @@ from .langid import op9_language_id
 from .mixing import op2_pivotal_mix
 from .near_dup import op5_near_duplicates
 from .pii import op4_personal_data
+from .quality import op3_quality_rules
 from .sharding import op10_rendezvous
 from .token_files import op8_token_files
+from .topk import op7_bit_sliced_top_k
 
 QUERIES = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op3_quality_rules": op3_quality_rules,
     "op4_personal_data": op4_personal_data,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_rendezvous": op10_rendezvous,
