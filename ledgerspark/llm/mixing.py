@@ -60,7 +60,7 @@ def _paired(items: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, cycle: int = 3, group: int = GROUP, seed: int = 2) -> DataFrame:
-    """Every row with the words that a mix takes of it: doc_id, size, source_size, target, copies, taken.
+    """Every row with the words that a mix takes of it: doc_id, again, size, source_size, target, copies, taken.
 
     A source whose target is f times its size takes floor(f) copies of each document; what is left is a fraction of a
     copy, as mass in words, and is rounded. Groups of about `group` documents of a source, dealt by a hash of the key,
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     differ from the target by half a document at most.
 
     Decided: a null text has size 0 and takes nothing, as does a text without words. A null source is a source. Rows
-    repeated with one doc_id are numbered and decided each by itself. Reruns agree: the hashes see keys and the seed
+    repeated with one doc_id are numbered from 1 in `again` and decided each by itself. Reruns agree: the hashes see keys and the seed
     only. More columns aren't read. An empty table gives an empty one.
     """
     same = Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", "again", "size", "source_size", "target", "source_no", "n", F.floor(share).alias("whole"), (share - F.floor(share)).alias("part"))
-    out = ["doc_id", "size", "source_size", "target"]
+    out = ["doc_id", "again", "size", "source_size", "target"]
     of = lambda copies: [F.col(c) for c in out] + [F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int").alias("copies")]
     sound = joined.filter((F.col("part") <= 0) | (F.col("size") <= 0)).select(*of(F.col("whole")))
 

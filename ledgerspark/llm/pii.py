@@ -118,9 +118,9 @@ def votes_and_features(text: str, kind: int, start: int, end: int, strict: bool)
 SPAN = "struct<kind:int,start:long,end:long,base:boolean,votes:int,features:int>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, spans: base ones, and loose ones that overlap no base one and none before them."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def candidates(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
+    """docs (text and any others but spans), with spans: base ones, and loose ones that overlap no base one and none before them. The text stays only if asked for."""
+    kept = [c for c in docs.columns if with_text or c != "text"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "start", "end", "base", "votes", "features"]
@@ -142,9 +142,10 @@ def candidates(docs: DataFrame) -> DataFrame:
                     for strict, spans in ((True, base), (False, loose)):
                         row += [dict(zip(names, (k, s, e, strict, *votes_and_features(text, k, s, e, strict)), strict=True)) for k, s, e in spans]
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(span))], ["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, pa.list_(span))], [*kept, "spans"])
 
-    return docs.mapInArrow(found, f"doc_id {kind}, spans array<{SPAN}>")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
+    return docs.mapInArrow(found, ", ".join([*fields, f"spans array<{SPAN}>"]))
 
 
 @dataclass
@@ -198,27 +199,30 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lea
     driver fits the model. Null and empty texts have no spans. Rows may repeat, ids be null. More columns aren't read.
     An empty table gives an empty one.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(candidates(docs), "pii-candidates")
+    return annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), least=least).select("doc_id", "spans")
+
+
+def annotate(docs: DataFrame, *, least: float = 0.9, with_text: bool = False) -> DataFrame:
+    """docs (text and any others but spans) with their spans, as find() has them."""
+    found = written(candidates(docs, with_text=with_text), "pii-candidates")
     counts = found.select(F.explode("spans").alias("s")).groupBy("s.votes", "s.features").count()
     model = fit([tuple(r) for r in counts.collect()])
     scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), model.probability(s["features"]).alias("p")))
-    return found.select("doc_id", F.array_sort(F.filter(scored, lambda s: s["base"] | (s["p"] >= least))).alias("spans"))
+    return found.withColumn("spans", F.array_sort(F.filter(scored, lambda s: s["base"] | (s["p"] >= least))))
 
 
-def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span of their text replaced by its kind in angle brackets; of overlapping spans, the first and then the longest. found: doc_id, spans, one row an id."""
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+def redacted(text: Column, spans: Column) -> Column:
+    """A text with each of its spans replaced by its kind in angle brackets; of overlapping spans, the first and then the longest."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    text = F.col(text_col)
+    after = lambda at: F.substring(text, (at + 1).cast("int"), F.length(text))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
         return F.when(s["start"] >= acc["at"], F.struct(piece.alias("out"), (-s["end"]).alias("at"))).otherwise(acc)
 
-    marked = F.aggregate("order", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    some = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_col), order.alias("order"))
-    return docs.join(some, id_col, "left").withColumn(text_col, F.when(F.col("order").isNull(), text).otherwise(marked)).drop("order")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.when(F.size(spans) > 0, F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], after(acc["at"])))).otherwise(text)
 
 
 def _joined(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_lexicon
+from .chat import OP6_SQL, op6_preference_format
 from .langid import op9_language_id
 from .mixing import op2_pivotal_mix
 from .near_dup import op5_near_duplicates
@@ -18,9 +19,10 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_personal_data": op4_personal_data,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_preference_format": op6_preference_format,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_rendezvous": op10_rendezvous,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_preference_format": OP6_SQL}
