@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -20,13 +21,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .lexicon import LONGEST, Lexicon, compile_lexicon
 
 #: Words in the lexicon at most: what the driver compiles and every executor gets is bounded by it.
 LEXICON_WORDS = 131_072
 #: Bytes of text in one go, and pieces that a worker remembers or counts before it passes them on.
-CHUNK, MEMORY = 4_000_000, 400_000
+CHUNK, MEMORY = 4_000_000, 200_000
 #: Below this code point, and but for these characters, our own rules are those of the library, as the tests show; other pieces go through its normaliser and splitter.
 OWN = 0x180
 _ODD = re.compile(f"[\x1c-\x1f\x85\xa0{chr(OWN)}-\U0010ffff]")
@@ -147,13 +148,19 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
 
 
 def ship_lexicon(docs: DataFrame, path: str, *, most: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words of all texts, ties by their bytes, and gives the file to the executors; its name.
+    """Compiles the most frequent words of all texts, at most `most` (words of one count all or none), and gives the file to the executors; its name.
 
     Which words are in it bears on speed alone: other words are merged, with the same ids.
     """
     spark, vocab = docs.sparkSession, vocabulary(path)
-    top = count_words(docs, path).filter(F.length("word").between(1, LONGEST)).orderBy(F.desc("n"), "word").limit(most)
-    words = [bytes(r["word"]) for r in top.select("word").collect()]
+    counts = written(count_words(docs, path).filter(F.length("word").between(1, LONGEST)), "word-counts")
+    # How many words occur n times, from the most frequent down: as many whole steps as fit, so no task sorts or sends words that stay out.
+    least, room = None, most
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        if (room := room - r["words"]) < 0:
+            break
+        least = r["n"]
+    words = [bytes(r["word"]) for r in counts.filter(F.col("n") >= least).select("word").collect()] if least else []
     file = Path(tempfile.mkdtemp(prefix="lexicon-")).resolve() / f"lexicon-{uuid.uuid4().hex}.bin"
     compile_lexicon(words, [vocab.merge(w) for w in words], file)
     spark.sparkContext.addFile(str(file))
@@ -224,20 +231,37 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     return docs.mapInArrow(encoded, f"doc_id {kind}, ids binary, n_tokens long")
 
 
+def decode_ids(ids: bytes | None, vocab: WordBpe) -> bytes:
+    return b" ".join(map(vocab.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """Rows with ids, and their decoded text: the tokens with a space between, as the library gives it for a file without a decoder. Null ids give an empty text."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).tokens.__getitem__
+        vocab = vocabulary(path)
         for batch in chunks(batches, "ids"):
-            texts = [b" ".join(map(token, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in batch.column("ids").to_pylist()]
+            texts = [decode_ids(x, vocab) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(decoded, rows.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",decoded:string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    return decode(encode(docs, path), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, *, with_ids: bool = False, most: int = LEXICON_WORDS) -> DataFrame:
+    """Every row's doc_id, n_tokens, ids_sha256 and decoded_sha256, and its ids if asked for: encoded and decoded again in one pass, so that no decoded text leaves its task. Cases as in encode()."""
+    docs = docs.select("doc_id", "text")
+    name = ship_lexicon(docs, path, most=most)
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, name)
+        for batch in chunks(batches):
+            ids = encoder.encode(batch.column("text").to_pylist())
+            sha = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, (decode_ids(x, encoder.vocab) for x in ids))]
+            out = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *sha, *([pa.array(ids, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(digested, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def op1_bpe_lexicon(spark, sf_dir: str) -> DataFrame:
