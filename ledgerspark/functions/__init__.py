@@ -1 +1 @@
-"""Part of the loan-portfolio engine; see README."""
+"""Column expressions: cleaning, features, scores."""

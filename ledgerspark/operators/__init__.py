@@ -1 +1 @@
-"""Part of the loan-portfolio engine; see README."""
+"""Operators that take and return DataFrames."""

@@ -1 +1 @@
-"""Part of the loan-portfolio engine; see README."""
+"""Registered queries, each beside its SQL."""

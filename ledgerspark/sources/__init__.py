@@ -1 +1 @@
-"""Part of the loan-portfolio engine; see README."""
+"""Reading, publishing, and the loan book over the driver's tables."""
