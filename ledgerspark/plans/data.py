@@ -68,19 +68,19 @@ ID = "regexp_replace(id, '\\.0$', '')"
 def _scalar(name, sql, column):
     @query(name, f"SELECT id, {sql} AS value FROM raw_accepted", *RAW)
     def _(s, d):
-        return raw_accepted(s, d).select("id", column.alias("value"))
-
-
-_scalar("parse_percent", PERCENT, C.parse_percent(F.col("int_rate")))
-_scalar("parse_term_months", TERM, C.parse_term_months(F.col("term")))
-_scalar("parse_employment_years", EMP.format("emp_length"), C.parse_employment_years(F.col("emp_length")))
-_scalar("normalize_state", STATE.format("addr_state"), C.normalize_state(F.col("addr_state")))
-_scalar("normalize_zip", ZIP.format("zip_code"), C.normalize_zip(F.col("zip_code")))
-_scalar("normalize_id", ID, C.normalize_id(F.col("id")))
-_scalar("to_number", NUM.format("dti"), C.to_number(F.col("dti")))
-_scalar("parse_month", MONTH.format("issue_d"), C.parse_month(F.col("issue_d")))
-_scalar("inf_to_null", "CASE WHEN isfinite(try_cast(replace(dti, 'd', '') AS DOUBLE)) THEN try_cast(replace(dti, 'd', '') AS DOUBLE) END", C.inf_to_null(F.replace(F.col("dti"), F.lit("d"), F.lit("")).try_cast("double")))
-_scalar("derive_target", TARGET, C.derive_target(F.trim("loan_status")))
+        return raw_accepted(s, d).select("id", column().alias("value"))
+
+
+_scalar("parse_percent", PERCENT, lambda: C.parse_percent(F.col("int_rate")))
+_scalar("parse_term_months", TERM, lambda: C.parse_term_months(F.col("term")))
+_scalar("parse_employment_years", EMP.format("emp_length"), lambda: C.parse_employment_years(F.col("emp_length")))
+_scalar("normalize_state", STATE.format("addr_state"), lambda: C.normalize_state(F.col("addr_state")))
+_scalar("normalize_zip", ZIP.format("zip_code"), lambda: C.normalize_zip(F.col("zip_code")))
+_scalar("normalize_id", ID, lambda: C.normalize_id(F.col("id")))
+_scalar("to_number", NUM.format("dti"), lambda: C.to_number(F.col("dti")))
+_scalar("parse_month", MONTH.format("issue_d"), lambda: C.parse_month(F.col("issue_d")))
+_scalar("inf_to_null", "CASE WHEN isfinite(try_cast(replace(dti, 'd', '') AS DOUBLE)) THEN try_cast(replace(dti, 'd', '') AS DOUBLE) END", lambda: C.inf_to_null(F.replace(F.col("dti"), F.lit("d"), F.lit("")).try_cast("double")))
+_scalar("derive_target", TARGET, lambda: C.derive_target(F.trim("loan_status")))
 
 ACCEPTED_SQL = f"""SELECT {ID} AS loan_id, trim(loan_status) AS loan_status, {TARGET} AS target, {NUM.format('loan_amnt')} AS loan_amnt, {NUM.format('annual_inc')} AS annual_inc, {NUM.format('dti')} AS dti,
  {TERM} AS term_months, {PERCENT} AS int_rate, {EMP.format('emp_length')} AS emp_length_years, {STATE.format('addr_state')} AS state_code, {ZIP.format('zip_code')} AS zip_code, {MONTH.format('issue_d')} AS issue_d,

@@ -131,28 +131,27 @@ def _(s, d):
 
 
 # Scores and losses
-def _score(name, sql, *columns):
+def _score(name, sql, columns):
     @query(name, f"SELECT loan_id, {sql} FROM loans", "loans")
     def _(s, d):
-        return M.rounded(loans(s, d).select("loan_id", *columns))
+        return M.rounded(loans(s, d).select("loan_id", *columns(F.col("predicted_pd"))))
 
 
-p = F.col("predicted_pd")
 CLIP = "greatest(least(predicted_pd, 1 - 1e-6), 1e-6)"
 LOGODDS = f"ln({CLIP} / (1 - {CLIP}))"
-_score("pd_to_log_odds", f"round({LOGODDS}, 6) AS z", K.pd_to_log_odds(p).alias("z"))
-_score("log_odds_to_pd", f"round(1 / (1 + exp(-({LOGODDS}))), 6) AS p", K.log_odds_to_pd(K.pd_to_log_odds(p)).alias("p"))
+_score("pd_to_log_odds", f"round({LOGODDS}, 6) AS z", lambda p: [K.pd_to_log_odds(p).alias("z")])
+_score("log_odds_to_pd", f"round(1 / (1 + exp(-({LOGODDS}))), 6) AS p", lambda p: [K.log_odds_to_pd(K.pd_to_log_odds(p)).alias("p")])
 PDO = f"greatest(least(600 - 50 / ln(2e0) * ({LOGODDS} - ln(0.05e0)), 850e0), 300e0)"
-_score("pdo_score", f"round({PDO}, 6) AS score", K.pdo_score(p, least=300, most=850).alias("score"))
-_score("score_tier", f"CASE WHEN {PDO} <= 450 THEN 'low' WHEN {PDO} <= 550 THEN 'middle' ELSE 'high' END AS tier", K.score_tier(K.pdo_score(p, least=300, most=850), [450, 550], ["low", "middle", "high"]).alias("tier"))
-_score("risk_score", "round(100 * predicted_pd, 6) AS risk_score", K.risk_score(p).alias("risk_score"))
-_score("credit_score", "CAST(round_even(1000 * (1 - predicted_pd), 0) AS INTEGER) AS credit_score", K.credit_score(p).alias("credit_score"))
-_score("pd_tier", f"{TIER} AS tier", K.pd_tier(p, T).alias("tier"))
-_score("flag_default", f"CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS flag, CASE WHEN target IS NULL THEN NULL WHEN predicted_pd >= {T} THEN CASE target WHEN 1 THEN 'TP' ELSE 'FP' END ELSE CASE target WHEN 1 THEN 'FN' ELSE 'TN' END END AS code", K.flag_default(p, T).alias("flag"), K.outcome_code(p, F.col("target"), T).alias("code"))
-_score("pd_bin", f"{PD_BIN} AS pd_bin", K.pd_bin(p).alias("pd_bin"))
-_score("expected_loss", "round(predicted_pd * 0.45e0 * loan_amnt, 6) AS expected_loss", K.expected_loss(p, 0.45, F.col("loan_amnt")).alias("expected_loss"))
+_score("pdo_score", f"round({PDO}, 6) AS score", lambda p: [K.pdo_score(p, least=300, most=850).alias("score")])
+_score("score_tier", f"CASE WHEN {PDO} <= 450 THEN 'low' WHEN {PDO} <= 550 THEN 'middle' ELSE 'high' END AS tier", lambda p: [K.score_tier(K.pdo_score(p, least=300, most=850), [450, 550], ["low", "middle", "high"]).alias("tier")])
+_score("risk_score", "round(100 * predicted_pd, 6) AS risk_score", lambda p: [K.risk_score(p).alias("risk_score")])
+_score("credit_score", "CAST(round_even(1000 * (1 - predicted_pd), 0) AS INTEGER) AS credit_score", lambda p: [K.credit_score(p).alias("credit_score")])
+_score("pd_tier", f"{TIER} AS tier", lambda p: [K.pd_tier(p, T).alias("tier")])
+_score("flag_default", f"CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS flag, CASE WHEN target IS NULL THEN NULL WHEN predicted_pd >= {T} THEN CASE target WHEN 1 THEN 'TP' ELSE 'FP' END ELSE CASE target WHEN 1 THEN 'FN' ELSE 'TN' END END AS code", lambda p: [K.flag_default(p, T).alias("flag"), K.outcome_code(p, F.col("target"), T).alias("code")])
+_score("pd_bin", f"{PD_BIN} AS pd_bin", lambda p: [K.pd_bin(p).alias("pd_bin")])
+_score("expected_loss", "round(predicted_pd * 0.45e0 * loan_amnt, 6) AS expected_loss", lambda p: [K.expected_loss(p, 0.45, F.col("loan_amnt")).alias("expected_loss")])
 LTI = "CASE WHEN {0} IS NULL OR {0} < 0 THEN NULL " + " ".join(f"WHEN {{0}} < {e} THEN {i}" for i, e in enumerate(K.LTI_EDGES, 1)) + " ELSE 9 END"
-_score("loan_to_income_bin", f"{LTI.format('(' + RATIO + ')')} AS lti_bin", K.lti_bin(X.safe_ratio(F.col("loan_amnt"), F.col("annual_inc"))).alias("lti_bin"))
+_score("loan_to_income_bin", f"{LTI.format('(' + RATIO + ')')} AS lti_bin", lambda p: [K.lti_bin(X.safe_ratio(F.col("loan_amnt"), F.col("annual_inc"))).alias("lti_bin")])
 
 
 @query("expected_loss_dataset", "SELECT loan_id, round(predicted_pd * 0.45e0 * loan_amnt, 6) AS expected_loss, round(CASE WHEN loan_amnt <> 0 THEN predicted_pd * 0.45e0 * loan_amnt / loan_amnt END, 6) AS el_rate, round(predicted_pd * 0.3e0 * loan_amnt, 6) AS el_lgd_30, round(predicted_pd * 0.45e0 * loan_amnt, 6) AS el_lgd_45, round(predicted_pd * 0.6e0 * loan_amnt, 6) AS el_lgd_60 FROM loans", "loans")
@@ -174,7 +173,7 @@ def _(s, d):
 def _(s, d):
     df = labeled(s, d)
     context = df.select("loan_id", "purpose", "fico_avg")
-    return df.select("loan_id", "predicted_pd").join(context, "loan_id", "left").withColumn("predicted_class", K.flag_default(p, T))
+    return df.select("loan_id", "predicted_pd").join(context, "loan_id", "left").withColumn("predicted_class", K.flag_default(F.col("predicted_pd"), T))
 
 
 @query("evaluated_fact", f"SELECT loan_id, tier, pd_bin, (pd_bin - 1) / 20e0 AS pd_bin_lower, CAST(round_even(1000 * (1 - predicted_pd), 0) AS INTEGER) AS credit_score, round(expected_loss, 6) AS expected_loss, coalesce(fico_band, 'Missing') AS fico_label, fico_order, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class FROM fact", "loans", more=FACT)
@@ -233,20 +232,20 @@ def _(s, d):
 
 @query("pd_quartiles_by_fico", "SELECT fico_order, count(*) AS n, round(quantile_cont(predicted_pd, 0.25), 6) AS q1, round(quantile_cont(predicted_pd, 0.5), 6) AS median, round(quantile_cont(predicted_pd, 0.75), 6) AS q3, round(avg(predicted_pd), 6) AS mean FROM fact GROUP BY 1", "loans", more=FACT)
 def _(s, d):
-    q = F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return M.rounded(fact(s, d).groupBy("fico_order").agg(F.count("*").alias("n"), q.alias("q"), F.avg(p).alias("mean")).select("fico_order", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean"))
+    q = F.percentile(F.col("predicted_pd"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return M.rounded(fact(s, d).groupBy("fico_order").agg(F.count("*").alias("n"), q.alias("q"), F.avg(F.col("predicted_pd")).alias("mean")).select("fico_order", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean"))
 
 
 @query("lti_risk_line", f"SELECT {LTI.format('lti')} AS lti_bin, count(*) AS n, round(avg(predicted_pd), 6) AS mean_pd, round(avg(target), 6) AS observed_rate, round(avg(target) - avg(predicted_pd), 6) AS gap, count(*) < 100 AS sparse FROM fact WHERE lti IS NOT NULL GROUP BY 1", "loans", more=FACT)
 def _(s, d):
     got = fact(s, d).withColumn("lti_bin", K.lti_bin(F.col("loan_to_income_ratio"))).filter("lti_bin is not null").groupBy("lti_bin")
-    return M.rounded(got.agg(F.count("*").alias("n"), F.avg(p).alias("mean_pd"), F.avg("target").alias("observed_rate"), (F.avg("target") - F.avg(p)).alias("gap"), (F.count("*") < M.SPARSE).alias("sparse")))
+    return M.rounded(got.agg(F.count("*").alias("n"), F.avg(F.col("predicted_pd")).alias("mean_pd"), F.avg("target").alias("observed_rate"), (F.avg("target") - F.avg(F.col("predicted_pd"))).alias("gap"), (F.count("*") < M.SPARSE).alias("sparse")))
 
 
 @query("state_risk_map", "SELECT s.state_code, coalesce(n, 0) AS loans, coalesce(defaults, 0) AS defaults, round(rate, 6) AS default_rate, round(mean_pd, 6) AS mean_pd FROM (SELECT state_code FROM loans UNION SELECT state_code FROM rejected) s LEFT JOIN (SELECT state_code, count(*) n, CAST(sum(target) AS BIGINT) defaults, avg(target) rate, avg(predicted_pd) mean_pd FROM fact GROUP BY 1) f ON s.state_code = f.state_code", "loans", "rejected", more=FACT)
 def _(s, d):
     states = P.dim_state((loans(s, d), "state_code"), (rejected(s, d), "state_code")).select("state_code")
-    got = fact(s, d).groupBy("state_code").agg(F.count("*").alias("n"), F.sum("target").alias("d"), F.avg("target").alias("default_rate"), F.avg(p).alias("mean_pd"))
+    got = fact(s, d).groupBy("state_code").agg(F.count("*").alias("n"), F.sum("target").alias("d"), F.avg("target").alias("default_rate"), F.avg(F.col("predicted_pd")).alias("mean_pd"))
     return M.rounded(states.join(got, "state_code", "left").select("state_code", F.coalesce("n", F.lit(0)).alias("loans"), F.coalesce("d", F.lit(0)).alias("defaults"), "default_rate", "mean_pd"))
 
 

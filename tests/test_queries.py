@@ -28,3 +28,12 @@ def test_entry(spark):
 def test_llm_queries_are_there_only_with_their_folder():
     there = importlib.util.find_spec("ledgerspark.llm") is not None
     assert any(n.startswith("op1_") for n in entry.queries()) == there
+
+
+def test_names_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True).returncode == 0
