@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .components import components
 
-#: Words of a shingle, least similarity in hundredths, registers of a sketch and registers of a band.
+#: Words of a shingle and least similarity in hundredths.
 WIDTH, SIMILAR = 5, 75
-REGISTERS, ROWS = 160, 4
+#: A band has one register from each of ROWS hash functions: its bucket of that number, of BANDS buckets.
+BANDS, ROWS = 70, 6
+REGISTERS = BANDS * ROWS
 #: Of a register's 16 bits, these hold the mantissa; the others count leading zeros.
 MANTISSA = 10
 #: Rows of a bucket that one group compares at once; a larger bucket is compared in pairs of such blocks.
@@ -69,35 +71,40 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def _donors() -> np.ndarray:
-    return np.random.default_rng(5).integers(0, REGISTERS, (16, REGISTERS))
+_DONORS = np.random.default_rng(5).integers(0, BANDS, (16, BANDS))
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """HyperMinHash: a shingle's upper bits choose its bucket; the least of a bucket's second hashes is kept as its count of leading zeros and MANTISSA bits after its first one.
+    """HyperMinHash, once for each of ROWS hash functions: a hash's upper bits choose one of BANDS buckets; the least of a bucket's second hashes is kept as its count of leading zeros and MANTISSA bits after its first one. Registers stand band by band.
 
-    An empty bucket takes the register of another, tried in an order that is the same for all sets and then of the next
-    full one, so that also a set of few shingles agrees with another in about the share that both have in common.
+    An empty bucket takes the register of another of its function, tried in an order that is the same for all sets and
+    then of the next full one, so that also a set of few shingles agrees with another in about the share that both have
+    in common.
     """
-    out = np.zeros((len(sets), REGISTERS), dtype=np.uint16)
-    full = np.zeros((len(sets), REGISTERS), dtype=bool)
-    for i, s in enumerate(sets):
-        if len(s):
-            bucket = ((s >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            least = np.minimum.reduceat(_mix(s, 0x5851F42D4C957F2D), first) >> np.uint64(11)
-            part, bits = np.frexp(least.astype(np.float64))
-            full[i, bucket[first]] = True
-            out[i, bucket[first]] = (np.minimum(53 - bits, 63) << MANTISSA) | np.floor((part * 2 - 1) * (1 << MANTISSA)).clip(0).astype(np.int64)
-    have = full.copy()
-    for donor in _donors():
-        take = ~have & full[:, donor]
-        out = np.where(take, out[:, donor], out)
-        have |= take
-    for i in np.flatnonzero(~have.all(axis=1) & full.any(axis=1)):
-        at = np.flatnonzero(have[i])
-        out[i] = out[i, at[np.searchsorted(at, np.arange(REGISTERS)) % len(at)]]
-    return out
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, doc = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+    out = np.zeros((len(sets), BANDS, ROWS), dtype=np.uint16)
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for r in range(ROWS):
+        h = _mix(flat, 0x5851F42D4C957F2D + 2 * r)
+        bucket = ((h >> np.uint64(32)) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64)
+        least = np.full(len(sets) * BANDS, empty)
+        np.minimum.at(least, doc * BANDS + bucket, _mix(h, 0x2545F4914F6CDD1D))
+        part, bits = np.frexp((least >> np.uint64(11)).astype(np.float64))
+        own = ((np.minimum(53 - bits, 63) << MANTISSA) | np.floor((part * 2 - 1) * (1 << MANTISSA)).clip(0).astype(np.int64)).astype(np.uint16).reshape(-1, BANDS)
+        full = (least != empty).reshape(-1, BANDS)
+        have = full.copy()
+        for donor in _DONORS:
+            if have.all():
+                break
+            take = ~have & full[:, donor]
+            own = np.where(take, own[:, donor], own)
+            have |= take
+        for i in np.flatnonzero(~have.all(axis=1) & full.any(axis=1)):
+            at = np.flatnonzero(have[i])
+            own[i] = own[i, at[np.searchsorted(at, np.arange(BANDS)) % len(at)]]
+        out[:, :, r] = own
+    return out.reshape(len(sets), REGISTERS)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -109,8 +116,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _least_estimate(n: np.ndarray) -> np.ndarray:
-    """Pairs of a similarity of 0.75 or more stay above it but for one in some 10^7: 5.5 standard deviations below, of as many registers as there are shingles."""
-    return SIMILAR / 100 - 5.5 * np.sqrt(SIMILAR / 100 * (1 - SIMILAR / 100) / np.clip(n, 1, REGISTERS))
+    """Pairs of a similarity of 0.75 or more stay above it but for one in some 10^7: 5.5 standard deviations below, of as many registers as differ from each other."""
+    return SIMILAR / 100 - 5.5 * np.sqrt(SIMILAR / 100 * (1 - SIMILAR / 100) / np.clip(n * ROWS, 1, REGISTERS))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,23 +155,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per band of a sketch: the key is a hash of the band's number and its registers."""
-    bands = REGISTERS // ROWS
     for batch in batches:
-        packed = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(batch), bands)
-        key = _mix(packed + (np.arange(bands, dtype=np.uint64) << np.uint64(57)) * np.uint64(0x9E3779B97F4A7C15), 77).view(np.int64)
-        ids, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), bands) for c in ("id", "n"))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids), pa.array(n)], ["key", "id", "n"])
+        regs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(batch), BANDS))
+        for r in range(ROWS):
+            key = _mix(key + regs[:, :, r] * np.uint64(0x9E3779B97F4A7C15), r)
+        key = key.view(np.int64)
+        ids, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("id", "n"))
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(band), pa.array(ids), pa.array(n)], ["key", "band", "id", "n"])
+
+
+def _similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets are similar enough to x, exactly."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    hit = np.concatenate([[0], np.cumsum(x[np.searchsorted(x, flat).clip(0, len(x) - 1)] == flat)])
+    ends = np.cumsum(sizes)
+    both = hit[ends] - hit[ends - sizes]
+    return 100 * both >= SIMILAR * (len(x) + sizes - both)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows dealt and sorted by (key, i, j): pairs of a bucket of different components whose estimate is high enough."""
+    """Rows dealt and sorted by (key, i, j): links of a bucket between different components.
+
+    A pair is looked at in the first of the buckets that both are in, if its sizes and its estimate allow the
+    similarity, and there held against each other on full sets.
+    """
     rest: pa.Table | None = None
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        ids, n, comp, block = (t.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+        ids, n, comp, block, band = (t.column(c).to_numpy() for c in ("id", "n", "component", "block", "band"))
         regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(ids), REGISTERS)
+        bands = regs.reshape(len(ids), BANDS, ROWS)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("set").to_pylist()]
         found: list[np.ndarray] = []
         for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
             left = np.arange(lo, hi)[block[lo:hi] == i[lo]]
@@ -172,8 +198,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in left:
                 y = right[right > x] if i[lo] == j[lo] else right
                 y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= SIMILAR * np.maximum(n[y], n[x]))]
+                y = y[estimate(regs[x], regs[y], n[x], n[y]) >= _least_estimate(np.minimum(n[x], n[y]))]
+                y = y[(bands[y] == bands[x]).all(axis=2).argmax(axis=1) == band[lo]]
                 if len(y):
-                    y = y[estimate(regs[x], regs[y], n[x], n[y]) >= _least_estimate(np.minimum(n[x], n[y]))]
+                    y = y[_similar(sets[x], [sets[k] for k in y])]
                     found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
         if found:
             a, b = np.concatenate(found, axis=1)
@@ -185,11 +213,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
         if len(cuts):
-            yield from pairs(t.slice(0, cuts[-1] + 1))
+            yield from links(t.slice(0, cuts[-1] + 1))
             t = t.slice(cuts[-1] + 1)
         rest = t
     if rest is not None and len(rest):
-        yield from pairs(rest)
+        yield from links(rest)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,11 +238,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the documents with these ids (doc_id); no other text is read into a set."""
+    return written(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, set binary"), "near-sets", "none")
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. Only texts that are in a pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, set binary"), "near-sets", "none")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xset")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("yset")), "b")
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xset")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("yset")).hint("merge"), "b")
     return written(both.mapInArrow(_confirmed, "a long, b long"), "near-links")
 
 
@@ -223,10 +255,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts with one shingle set are one class, found by a hash of the set that combines before the shuffle; its smallest
     id stands for it from here on, so any number of copies costs one sketch. Two classes meet in a bucket if a band of
-    their sketches agrees (for a similarity of 0.75 but for one pair in 4 * 10^6). First each class is held against the
-    smallest id of each of its buckets; that links large groups of copies with a link a class. Then buckets that still
-    hold several components are compared in blocks, pairs of different components only: any link that is left would
-    join two of those. Both rounds estimate on sketches, then confirm on full sets. No bucket is capped or sampled.
+    their sketches agrees (for a similarity of 0.75 but for about one pair in 10^6). First each class is held against the
+    smallest id of each of its buckets, then in buckets that still hold several components against one drawn by lot in
+    each; so large groups of copies link up with a few pairs a class. Buckets that hold several components even then are
+    compared in blocks, in memory, pairs of different components only: any link that is left would join two of those.
+    All three rounds estimate on sketches, then confirm on full sets. No bucket is capped or sampled.
 
     Decided: a text that is null, empty or blank has no shingles and no links. Rows of one doc_id are one document; if
     their texts differ, one of them is confirmed. A row without doc_id can't be named: n_shingles is given, its
@@ -239,25 +272,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     firsts = written(linked.join(classes.select(F.col("id").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch"), "near-classes")
 
     by_key = Window.partitionBy("key")
-    bands = firsts.mapInArrow(_banded, "key long, id long, n long")
+    bands = firsts.mapInArrow(_banded, "key long, band int, id long, n long")
     met = bands.withColumn("first", F.min(F.struct("id", "n")).over(by_key)).withColumn("last", F.max("id").over(by_key)).filter("first.id <> last")
-    met = written(met.select("key", "id", "n", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "near-buckets")
-    stars = met.filter(f"id <> first and 100 * least(n, first_n) >= {SIMILAR} * greatest(n, first_n)").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    met = written(met.select("key", "band", "id", "n", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "near-buckets")
     x, y = (firsts.select(F.col("id").alias(i), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for i, v in (("a", "x"), ("b", "y")))
-    stars = written(stars.join(x, "a").join(y, "b").mapInArrow(_near, "a long, b long"), "near-stars")
-    linked_first = _links(stars, docs)
-    of = written(components(linked_first), "near-components")
+    close = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(SIMILAR) * F.greatest(n, m)
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        return written(pairs.distinct().join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_near, "a long, b long"), name)
+
+    def mixed(of: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with their count of rows; of buckets with the same rows, the one of the first band."""
+        placed = met.join(of, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
+        several = placed.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("lo <> hi")
+        first = several.groupBy("who", "rows").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "rows")
+        return placed.join(first, "key")
+
+    stars = likely(met.filter((F.col("id") != F.col("first")) & close(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("id").alias("b")), "near-stars")
+    of = written(components(_links(stars, docs)), "near-components")
+
+    drawn_by_lot = F.min(F.struct(F.xxhash64("key", "id").alias("lot"), "id", "n", "component")).over(by_key)
+    others = mixed(of).withColumn("lead", drawn_by_lot).filter((F.col("component") != F.col("lead.component")) & close(F.col("n"), F.col("lead.n")))
+    leads = others.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+    leads = likely(leads.join(stars, ["a", "b"], "left_anti"), "near-leads")
+    as_links = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    of = written(components(as_links(of).unionByName(_links(leads, docs))), "near-components")
 
-    placed = met.join(of, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
+    left = written(mixed(of), "near-left")
     blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = placed.join(mixed.select("key", "rows"), "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.join(firsts.select("id", "sketch"), "id").select("key", "id", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sketch")
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared, "a long, b long").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    links = of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_links(more, docs))
-    final = components(links)
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.join(firsts.select("id", "sketch").hint("merge"), "id").join(_sets_of(left.select(F.col("id").alias("doc_id")).distinct(), docs).hint("merge"), "id")
+    dealt = dealt.select("key", "band", "id", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sketch", "set")
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared, "a long, b long")
+    final = components(as_links(of).unionByName(more))
 
     of_class = classes.join(final.withColumnRenamed("component", "of"), "id", "left").select("print", F.coalesce("of", "id").alias("component_id"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
