@@ -20,7 +20,7 @@ CHUNK_BITS, RANK_EVERY = 8, 512
 #: Ids of a segment, about; a longer document is a segment of its own.
 SEGMENT = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 700_000
 MAGIC = b"DAC1"
 
 
@@ -105,27 +105,48 @@ class ByteBpe:
 
     A text is cut before each space that has something else than white space on one side at least. The file's splitter
     puts a border there whatever stands around, so the pieces' ids in a row are the text's. A text with another kind of
-    space isn't cut, but goes to the library whole.
+    space isn't cut, but goes to the library whole. New pieces go to the library joined into longer texts, from which
+    each one's ids are told by the length of their tokens. Ids are kept in 16 bits if the vocabulary allows.
     """
 
     def __init__(self, path: str):
-        self.library, self.known = _library(path), {}
+        self.library = _library(path)
+        #: Pieces without the space before them; and texts' beginnings, which have none.
+        self.known: dict[str, bytes] = {}
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.length[i] = len(token)  # byte-level: a character of a token is a byte of text
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, found: set[str]) -> None:
+        """Makes all these pieces known; others are forgotten when they are too many."""
         if len(self.known) > MEMORY:
             self.known = {p: self.known[p] for p in found if p in self.known}
-        new = [p for p in found if p not in self.known]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        new = found.difference(self.known)
+        alone = [p for p in new if not p or p[0].isspace() or "<|" in p]
+        self.known.update(zip(alone, self._alone([" " + p for p in alone]), strict=True))
+        joined = list(new.difference(alone))
+        groups = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(p.encode()) + 1 for p in group]), "left") + 1
+            if ends[-1] != len(ids):
+                raise AssertionError("tokens don't end where pieces do")
+            raw, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+            self.known.update((p, raw[i:j]) for p, i, j in zip(group, [0, *ends], ends, strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        firsts, split = [], []
         for t in texts:
             first, *rest = [t or ""] if _uncut(t) else t.split(" ")
-            split.append([first, *[" " + x for x in rest]])
+            firsts.append(first)
+            split.append(rest)
         self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        return [first + b"".join(map(self.known.__getitem__, rest)) for first, rest in zip(self._alone(firsts), split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -148,22 +169,21 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, id_col: str = "
     the order of their texts. More columns aren't read. An empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    end = np.uint32(end_id).tobytes()
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, bpe = TaskContext.get().partitionId(), _bytes(path)
+        end = np.array(end_id, bpe.kind).tobytes()
         segment, ids, counts, parts, total = 0, [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            codes = pack(np.frombuffer(b"".join(parts), np.uint32))
+            codes = pack(np.frombuffer(b"".join(parts), bpe.kind))
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([segment]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes], pa.binary())], ["part", "segment", "doc_ids", "counts", "codes"])
 
         for batch in chunks(batches):
             for doc, x in zip(batch.column("doc_id").to_pylist(), bpe.encode(batch.column("text").to_pylist()), strict=True):
                 ids.append(doc)
-                counts.append(len(x) // 4 + 1)
+                counts.append(len(x) // bpe.kind.itemsize + 1)
                 parts += [x, end]
                 total += counts[-1]
                 if total >= SEGMENT:
@@ -179,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, id_col: str = "
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), read back from written segments by each document's address."""
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), read back from written segments by the documents' addresses, some documents in a row at a time."""
     counts = files.select("part", "segment", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     # One row a range is ordered whole; a range's segments only among themselves.
     parts = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -193,7 +213,9 @@ def read_documents(files: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts)
                 for lo in range(0, len(counts), 200):
                     at = range(lo, min(lo + 200, len(counts)))
-                    ids = [codes.range(int(ends[k] - counts[k]), int(ends[k])).astype("<u4").tobytes() for k in at]
+                    first = int(ends[lo] - counts[lo])
+                    raw = codes.range(first, int(ends[at[-1]])).astype("<u4").tobytes()
+                    ids = [raw[4 * (int(ends[k] - counts[k]) - first) : 4 * (int(ends[k]) - first)] for k in at]
                     yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in at], pa.int64()), pa.array([row["first"] + int(ends[k] - counts[k]) for k in at], pa.int64()), pa.array([int(counts[k]) for k in at], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return files.join(firsts, ["part", "segment"]).mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids binary")
