@@ -1,0 +1,55 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import pii
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def base(text):
+    out = []
+    for k, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = [c for c in m[0] if c in "0123456789"]
+            if k == 1 and any(int(p) > 255 for p in m[0].split(".")) or k == 2 and not (16 <= len(digits) <= 19 and pii.luhn("".join(digits))) or k == 3 and not 8 <= len(digits) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return out
+
+
+def test_base_spans_equal_patterns(docs):
+    rng = random.Random(0)
+    texts = [r.text for r in docs.collect()] + ["".join(rng.choice("a1@.+- ()25%é9") for _ in range(40)) for _ in range(20_000)]
+    assert all(pii.base_spans(t) == base(t) for t in texts)
+
+
+def test_query(docs, sf, spark):
+    got = {r.doc_id: r for r in pii.op4_personal_data(spark, sf).collect()}
+    for r in docs.collect():
+        want = base(r.text)
+        digest = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in want)
+        g = got[r.doc_id]
+        assert g.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(k == i for k, _, _ in want) for i in range(4)]
+        assert set(filter(None, digest.split(","))) <= set(g.spans.split(","))
+
+
+def test_model_tells_labelled_forms_apart():
+    """Strict forms with words near are personal; loose ones with another meaning before aren't."""
+    counts = []
+    for text, n in (("call me: +1 415 555 0100 now", 50), ("mail bob@mail.example.com today", 50), ("order id 555-123-4567 shipped", 60), ("phone (415) 555-0100 please", 20)):
+        for strict, spans in ((True, pii.base_spans(text)), (False, [] if pii.base_spans(text) else pii.loose_spans(text))):
+            counts += [(*pii.votes_and_features(text, *s, strict), n) for s in spans]
+    m = pii.fit(counts)
+    z = lambda f: m.weights[-1] + sum(w for i, w in enumerate(m.weights[:-1]) if f >> i & 1)
+    assert [z(f) > 0 for _, f, _ in counts] == [True, True, False, True]
+
+
+def test_odd_rows_and_redaction(spark, odd, none):
+    assert pii.find(odd).count() == odd.count() and pii.find(none).count() == 0
+    df = spark.createDataFrame([(1, "Ünï a@b.co.uk, +1 (415) 555-0100 x"), (2, None), (3, "plain")], "doc_id long, text string")
+    rows = pii.annotate(df, with_text=True).withColumn("out", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert [r.out for r in rows] == ["Ünï <email>, <phone> x", None, "plain"]
