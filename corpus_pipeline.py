@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id stays, once if it is there repeatedly. Documents without doc_id stay."""
     gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
@@ -52,15 +52,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
         rows = rows.withColumn("no", F.row_number().over(Window.partitionBy("id", "row.source", size).orderBy("id")))
         on = on & (rows["no"] == taken["again"])
-    rows = rows.join(taken, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = rows.join(taken.hint("merge"), on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return _back(docs, rows)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of the ids and of what they decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "ids")
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mix", mix), ("tokens", tokens)]
