@@ -43,8 +43,8 @@ def test_mix_meets_targets(docs, odd):
         for r in rows:
             of[r.source_size, round(r.target, 6)].append(r)
             assert r.taken == r.copies * r.size <= 3 * r.size
-        for (_, target), got in of.items():
-            same = sum(1 for s in want if round(want[s], 6) == target)
+        for (size, target), got in of.items():
+            same = sum(1 for s in want if round(want[s], 6) == target and sizes[s] == size)
             assert abs(sum(r.taken for r in got) - same * target) <= same * max(r.size for r in got) / 2 + 1
 
 
