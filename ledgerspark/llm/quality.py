@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,9 @@ class Rules:
     guard_chars: int = 200
     guard_words: int = 50
     most_char_distance: float = 0.25
+    #: Quartile distances above the median that a language's texts of like length may lie, and the texts needed to tell; with fewer, most_word_distance holds.
+    word_spread: float = 5.0
+    least_texts: int = 30
     most_word_distance: float = 0.80
     classes: dict[str, str] = field(default_factory=lambda: dict(CLASSES))
 
@@ -108,11 +112,38 @@ def common_words(docs: DataFrame, rules: Rules) -> DataFrame:
     return out.select(F.col("lang").alias("ref_lang"), F.transform("top", lambda t: t["word"]).alias("common"), F.array_append(counts, rest).alias("ref_words"))
 
 
+def word_limits(measured: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(limit_lang, limit_band, own_limit) and (all_band, all_limit): the median word distance of a language's texts of like length, and of all texts of that length, plus word_spread times what lies between it and the lower quartile.
+
+    The lower half tells the spread, because junk is far off and only lengthens the upper one. Copies, which have the same length and distance, count once. Counts of distances in
+    thousandths give the quartiles, the same on every run; a group has 1000 of them at most.
+    """
+    cells = measured.filter((F.col("n_words") >= rules.guard_words) & F.col("word_distance").isNotNull())
+    cells = cells.select("lang", "band", "n_words", "word_distance").distinct().groupBy("lang", "band", F.floor(F.col("word_distance") * 1000).alias("cell")).agg(F.count("*").alias("n"))
+
+    def limits(counts: DataFrame, *keys: str) -> DataFrame:
+        group = Window.partitionBy(*keys)
+        upto, total = F.sum("n").over(group.orderBy("cell")), F.sum("n").over(group)
+        at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("cell"))) / 1000
+        got = counts.withColumns({"upto": upto, "total": total}).filter(F.col("total") >= rules.least_texts)
+        return got.groupBy(*keys).agg((at(0.5) + rules.word_spread * (at(0.5) - at(0.25))).alias("limit"))
+
+    own = limits(cells, "lang", "band").select(F.col("lang").alias("limit_lang"), F.col("band").alias("limit_band"), F.col("limit").alias("own_limit"))
+    every = limits(cells.groupBy("band", "cell").agg(F.sum("n").alias("n")), "band")
+    return own, every.select(F.col("band").alias("all_band"), F.col("limit").alias("all_limit"))
+
+
+def chance_distance(n: Column, bins: int) -> Column:
+    """What a text of n words drawn from the reference itself may be away from it by chance: the mean of the chi-square law and two deviations. No limit is lower, so that many near copies of one text don't narrow a language to it."""
+    return F.sqrt(bins / (8 * math.log(2) * n)) + 2 / F.sqrt(16 * math.log(2) * n)
+
+
 def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Every row's doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
     kept: not base_failed, and neither histogram is farther from the reference of the row's language than the limits; a
-    histogram of a text shorter than its guard doesn't count. The reference of a language is made from all its texts. A
+    histogram of a text shorter than its guard doesn't count. The words' limit follows the spread of distances among all
+    texts of the language and of like length (word_limits); where these are few, among those of all languages. The reference of a language is made from all its texts. A
     null language is one of its own. Null and empty texts have no words and fail. Rows may repeat, ids be null. More
     columns aren't read. An empty table gives an empty one.
 
@@ -140,8 +171,12 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
         "word_distance": F.when(F.col("n_words") > 0, distance(F.col("hist"), F.col("ref_words"))),
         "base_failed": (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")),
     })
+    got = got.withColumn("band", F.floor(2 * F.log2(F.nullif(F.col("n_words"), F.lit(0)))))
+    own, every = word_limits(got, rules)
+    got = got.join(written(own, "quality-limits"), F.col("lang").eqNullSafe(F.col("limit_lang")) & (F.col("band") == F.col("limit_band")), "left").join(F.broadcast(every), F.col("band") == F.col("all_band"), "left")
+    limit = F.greatest(F.coalesce("own_limit", "all_limit", F.lit(rules.most_word_distance)), chance_distance(F.col("n_words"), rules.common_words))
     odd_chars = (F.col("word_chars") >= rules.guard_chars) & (F.col("char_distance") > rules.most_char_distance)
-    odd_words = (F.col("n_words") >= rules.guard_words) & (F.col("word_distance") > rules.most_word_distance)
+    odd_words = (F.col("n_words") >= rules.guard_words) & (F.col("word_distance") > limit)
     kept = ~F.col("base_failed") & ~F.coalesce(odd_chars, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
 

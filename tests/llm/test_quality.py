@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -45,3 +46,23 @@ def test_prose_stays_and_symbols_go(docs):
     rows = {r.doc_id: r for r in Q.judge(docs).collect()}
     assert sum(r.kept for r in rows.values()) > 0.8 * sum(not r.base_failed for r in rows.values())
     assert not any(r.kept for r in rows.values() if r.word_chars >= 200 and r.n_symbols > 0.3 * r.word_chars)
+
+
+def prose(rng, vocabulary, n):
+    return " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=n))
+
+
+def invented(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(n)]
+
+
+def test_word_distance_alone_rejects_other_languages_and_gibberish(spark):
+    rng = random.Random(6)
+    words = {lang: invented(rng, 2000) for lang in ("aa", "bb")}
+    rows = [(i, prose(rng, words[lang], rng.randint(70, 400)), lang) for i, lang in enumerate(["aa"] * 400 + ["bb"] * 200)]
+    rows += [(1000 + i, prose(rng, words["bb"], 150), "aa") for i in range(10)] + [(2000 + i, " ".join(invented(rng, 150)), "aa") for i in range(10)]
+    rows += [(3000 + i, rows[0][1], "aa") for i in range(600)]  # copies must not narrow the limit to themselves
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(not r.base_failed and r.char_distance <= 0.25 for r in got.values())
+    assert not any(got[i].kept for i in (*range(1000, 1010), *range(2000, 2010)))
+    assert sum(got[i].kept for i in range(600)) >= 0.98 * 600
