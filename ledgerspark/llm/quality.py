@@ -23,7 +23,6 @@ class Rules:
     least_words: int = 20
     most_repeated: int = 30
     common_words: int = 24
-    languages: int = 200
     guard_chars: int = 200
     guard_words: int = 50
     most_char_distance: float = 0.25
@@ -100,9 +99,9 @@ def measured(docs: DataFrame, rules: Rules) -> DataFrame:
 
 
 def common_words(docs: DataFrame, rules: Rules) -> DataFrame:
-    """lang, common, ref_words: per language, from all its whole texts, its most common words, and how often each and how often others occur. Null is a language too. One row a language, of a fixed size."""
+    """lang, common, ref_words: per language, from all its whole texts, its most common words, and how often each and how often others occur. Null is a language too. One row a language, each of a fixed size."""
     words = written(docs.select("lang", F.explode(counted_words(F.col("text"))).alias("word")).groupBy("lang", "word").count(), "quality-words")
-    totals = words.groupBy("lang").agg(F.sum("count").alias("all")).orderBy(F.desc("all"), "lang").limit(rules.languages)
+    totals = words.groupBy("lang").agg(F.sum("count").alias("all"))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = words.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rules.common_words)
     top = top.groupBy(F.col("lang").alias("of")).agg(F.sort_array(F.collect_list(F.struct("k", "word", "count"))).alias("top"))
@@ -148,24 +147,22 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
     columns aren't read. An empty table gives an empty one.
 
     Texts are read twice: once for the words of each language, once to be measured; the characters' reference is the mean
-    of what was measured, each text's shares counting alike. References are tables with a row a language, of the `languages` with the most words and
-    texts; rows of others meet no reference and are judged by the base rules.
+    of what was measured, each text's shares counting alike. References are tables with a row a language, of every language
+    there is; they are joined by language, as broadcasts only where Spark finds their files small.
     """
     rules = rules or Rules()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     refs = written(common_words(rows, rules), "quality-references")
-    known = sorted({w for r in refs.select("common").collect() for w in r["common"]})
+    got = measured(rows, rules).join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
     # The text's common words, each between spaces of its own; taking one out shortens the string by its count.
-    common = F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
-    got = measured(rows, rules).withColumn("common_text", F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))).drop("words")
-    got = got.join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
+    common = F.filter("words", lambda w: F.array_contains("common", w))
+    got = got.withColumn("common_text", F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))).drop("words")
     hist = F.transform("common", lambda w: (F.length("common_text") - F.length(F.replace(F.col("common_text"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0))
     got = written(got.withColumn("hist", hist).drop("common_text", "common"), "quality-measured")
     got = got.withColumn("hist", F.array_append("hist", F.col("n_words") - F.aggregate("hist", F.lit(0.0), lambda s, v: s + v)))
     chars = F.aggregate("classes", F.lit(0.0), lambda s, v: s + v)
-    classes = got.groupBy(F.col("lang").alias("class_lang")).agg(F.count("*").alias("texts"), F.array(*[F.avg(F.get("classes", i) / F.nullif(chars, F.lit(0.0))) for i in range(len(rules.classes) + 1)]).alias("ref_classes"))
-    classes = classes.orderBy(F.desc("texts"), "class_lang").limit(rules.languages)
-    got = got.join(F.broadcast(classes), F.col("lang").eqNullSafe(F.col("class_lang")), "left")
+    classes = got.groupBy(F.col("lang").alias("class_lang")).agg(F.array(*[F.avg(F.get("classes", i) / F.nullif(chars, F.lit(0.0))) for i in range(len(rules.classes) + 1)]).alias("ref_classes"))
+    got = got.join(written(classes, "quality-classes"), F.col("lang").eqNullSafe(F.col("class_lang")), "left")
     got = got.withColumns({
         "char_distance": F.when(F.col("n_words") > 0, distance(F.col("classes"), F.col("ref_classes"))),
         "word_distance": F.when(F.col("n_words") > 0, distance(F.col("hist"), F.col("ref_words"))),

@@ -66,3 +66,11 @@ def test_word_distance_alone_rejects_other_languages_and_gibberish(spark):
     assert all(not r.base_failed and r.char_distance <= 0.25 for r in got.values())
     assert not any(got[i].kept for i in (*range(1000, 1010), *range(2000, 2010)))
     assert sum(got[i].kept for i in range(600)) >= 0.98 * 600
+
+
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(invented(rng, 60)), f"x-{i % 260}") for i in range(780)] + [(-1, " ".join(invented(rng, 60)), None)]
+    got = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 781 and all(r.char_distance is not None and r.word_distance is not None for r in got)
+    assert any(r.word_distance > 0 for r in got)
