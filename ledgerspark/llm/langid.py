@@ -15,8 +15,8 @@ from .common import table
 
 #: Bytes of a language's dictionary, bytes of a text that goes into one and texts tried for one: the bounds of the fit.
 DICTIONARY, LONGEST_SAMPLE, SAMPLES = 32_000, 2_000, 120
-#: Languages at most; of more, those with the most labelled texts.
-LANGUAGES = 500
+#: Slices of a longer text, where a language has too few short ones.
+SLICES = 16
 #: A text is compressed in blocks, so that its own earlier words don't stand in for the dictionary's.
 BLOCK, LEVEL = 2_000, 5
 #: The best language must save this share of the second's size, or the text is rejected.
@@ -36,20 +36,38 @@ def held_out(doc_id: Column) -> Column:
 
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
-    """Per language, whole sample texts in a row, up to about DICTIONARY bytes. labelled: key, text, lang; the sample is the texts whose keys hash lowest, of those not too long."""
+    """Per language, for every label there is, sample texts in a row, up to about DICTIONARY bytes. labelled: key, text, lang; the sample is the texts whose keys hash lowest, of those not too long; what these leave open is filled from the others."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     h = F.xxhash64(F.lit(9), "key")
     by_hash = Window.partitionBy("lang").orderBy("h", "text")
     small = rows.filter(F.octet_length("text").between(40, LONGEST_SAMPLE)).select("lang", "text", h.alias("h")).withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= SAMPLES)
     before = F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)) - F.octet_length("text")
-    picked = small.withColumn("before", before).filter(F.col("before") < DICTIONARY).join(top, "lang", "left_semi").orderBy("lang", "k").select("lang", "text")
-    out: dict[str, list[bytes]] = {r["lang"]: [] for r in top.select("lang").collect()}
-    for r in picked.collect():  # at most LANGUAGES * (DICTIONARY + LONGEST_SAMPLE) bytes
+    picked = small.withColumn("before", before).filter(F.col("before") < DICTIONARY).orderBy("lang", "k").select("lang", "text")
+    out: dict[str, list[bytes]] = {r["lang"]: [] for r in rows.select("lang").distinct().collect()}
+    for r in picked.collect():  # at most DICTIONARY + LONGEST_SAMPLE bytes a language
         out[r["lang"]].append(normal(r["text"]))
+    if open_ := sorted(lang for lang, x in out.items() if sum(map(len, x)) < DICTIONARY // 2):
+        few = rows.sparkSession.createDataFrame([(lang,) for lang in open_], "lang string")
+        for r in others(rows.join(few, "lang", "left_semi")).collect():
+            if sum(map(len, out[r["lang"]])) < DICTIONARY:
+                out[r["lang"]].append(normal(r["text"]))
     return {lang: b" ".join(x) for lang, x in sorted(out.items())}
 
 
+def others(rows: DataFrame) -> DataFrame:
+    """lang, text: from texts too long for the sample, slices spread over each whole text, together about DICTIONARY characters a language; then texts too short for it, up to DICTIONARY bytes."""
+    n, long = F.length("text"), F.octet_length("text") > LONGEST_SAMPLE
+    width = DICTIONARY // SLICES
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(F.col("text"), F.floor(i * n / SLICES).cast("int") + 1, F.least(F.lit(width), F.ceil(n / SLICES).cast("int"))))
+    pieces = F.when(long, slices).otherwise(F.array("text"))
+    got = rows.filter(long | (F.octet_length("text") < 40)).select("lang", (~long).alias("short"), F.xxhash64(F.lit(9), "key").alias("h"), pieces.alias("pieces"))
+    got = got.withColumn("k", F.row_number().over(Window.partitionBy("lang", "short").orderBy("h", "pieces"))).filter(F.col("k") <= F.when(F.col("short"), DICTIONARY).otherwise(SAMPLES))
+    share = F.ceil(F.lit(width) / F.max("k").over(Window.partitionBy("lang", "short"))).cast("int")
+    got = got.withColumn("share", share).withColumn("text", F.array_join(F.when(F.col("short"), F.col("pieces")).otherwise(F.transform("pieces", lambda p: F.substring(p, F.lit(1), F.col("share")))), " "))
+    order = Window.partitionBy("lang").orderBy("short", "k").rowsBetween(Window.unboundedPreceding, 0)
+    return got.withColumn("before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text")).filter(F.col("before") < 2 * DICTIONARY).orderBy("lang", "short", "k").select("lang", "text")
+
+
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes]):
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}

@@ -1,5 +1,6 @@
 """Mixing, sharding, top-k, language, chat: against brute force, and odd rows."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -124,6 +125,22 @@ def test_language_of_odd_rows(odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_languages_of_long_or_short_texts_only_are_learned(spark):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choices(abc, k=rng.randint(2, 8))) for _ in range(300)] for lang, abc in (("aa", "abcdefgh"), ("bb", "hgfedcba"), ("cc", "aceghbdf"))}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(i, text(lang, n), lang) for lang, n, many in (("aa", 30, 40), ("bb", 2_000, 6), ("cc", 4, 900)) for i in range(many)]
+    rows += [(1000 + i, "some words in a label of its own", f"x-{i}") for i in range(510)]
+    learned = langid.dictionaries(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert len(learned) == 513 and all(learned.values())
+    assert all(4_000 < len(learned[lang]) <= 2 * langid.DICTIONARY for lang in words)
+    whole = spark.createDataFrame([(1, "start " * 9_000 + "middle " * 9_000 + "end " * 9_000, "aa")], "key long, text string, lang string")
+    assert all(w in langid.others(whole).first().text for w in ("start", "middle", "end"))
+    three = {lang: learned[lang] for lang in words}
+    tests = spark.createDataFrame([(lang, text(lang, 200)) for lang in words for _ in range(5)], "lang string, text string")
+    assert langid.predict(tests, three).filter("lang <> lang_pred or rejected").isEmpty()
+
+
 def test_preferences(spark):
     turn = lambda *x: [{"role": r, "text": t} for r, t in x]
     a = turn(("user", "hi"), ("assistant", "hey"), ("user", "é?"), ("assistant", "yes"))
