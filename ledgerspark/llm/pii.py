@@ -212,14 +212,14 @@ def annotate(docs: DataFrame, *, least: float = 0.9, with_text: bool = False) ->
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """A text with each of its spans replaced by its kind in angle brackets; of overlapping spans, the first and then the longest."""
+    """A text with each of its spans replaced by its kind in angle brackets; overlapping spans are replaced as one, by the kind of the first and then the longest."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     after = lambda at: F.substring(text, (at + 1).cast("int"), F.length(text))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
-        return F.when(s["start"] >= acc["at"], F.struct(piece.alias("out"), (-s["end"]).alias("at"))).otherwise(acc)
+        return F.when(s["start"] >= acc["at"], F.struct(piece.alias("out"), (-s["end"]).alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], -s["end"]).alias("at")))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     return F.when(F.size(spans) > 0, F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], after(acc["at"])))).otherwise(text)

@@ -53,3 +53,12 @@ def test_odd_rows_and_redaction(spark, odd, none):
     df = spark.createDataFrame([(1, "Ünï a@b.co.uk, +1 (415) 555-0100 x"), (2, None), (3, "plain")], "doc_id long, text string")
     rows = pii.annotate(df, with_text=True).withColumn("out", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
     assert [r.out for r in rows] == ["Ünï <email>, <phone> x", None, "plain"]
+
+
+def test_overlapping_spans_are_redacted_as_one(spark):
+    texts = [(1, "call +1 415-555-0100-bob@example.com now"), (2, "a@b.4111 1111 1111 1111 x"), (3, "0123456789")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = pii.annotate(df, with_text=True).withColumn("out", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert [r.out for r in rows[:2]] == ["call <phone> now", "<email> x"]
+    spans = F.expr("array(named_struct('kind', 0, 'start', 1L, 'end', 6L), named_struct('kind', 3, 'start', 2L, 'end', 4L), named_struct('kind', 2, 'start', 5L, 'end', 8L), named_struct('kind', 1, 'start', 8L, 'end', 9L))")
+    assert df.filter("doc_id = 3").select(pii.redacted(F.col("text"), spans)).first()[0] == "0<email><ip>9"
