@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -133,59 +134,56 @@ def tree_table(model: Model) -> list[dict]:
     return out
 
 
-def path_contributions(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """TreeSHAP by its published recursion: for each row, a value per feature whose sum with the expected value is the margin."""
-
-    def extend(path, zero, one, feature):
-        path = [[*p] for p in path] + [[feature, zero, one, 1.0 if not path else 0.0]]
-        n = len(path) - 1
-        for i in range(n - 1, -1, -1):
-            path[i + 1][3] += one * path[i][3] * (i + 1) / (n + 1)
-            path[i][3] = zero * path[i][3] * (n - i) / (n + 1)
-        return path
-
-    def unwind(path, k):
-        n, path = len(path) - 1, [[*p] for p in path]
-        one, zero = path[k][2], path[k][1]
-        after = path[n][3]
-        for i in range(n - 1, -1, -1):
-            if one:
-                kept = path[i][3]
-                path[i][3] = after * (n + 1) / ((i + 1) * one)
-                after = kept - path[i][3] * zero * (n - i) / (n + 1)
-            else:
-                path[i][3] = path[i][3] * (n + 1) / (zero * (n - i))
-        for i in range(k, n):
-            path[i][:3] = path[i + 1][:3]
-        return path[:n]
-
-    phi, expected = np.zeros_like(x, dtype=float), 0.0
+def leaf_paths(nodes: list) -> Iterator[tuple[float, dict[int, tuple[float, float, float]]]]:
+    """Of each leaf its value, and per feature on the way to it: the share of the rows that stay if the feature is unknown, and the interval (low, high] of its values that lead there."""
+    todo: list[tuple[int, dict]] = [(0, {})]
+    while todo:
+        at, path = todo.pop()
+        f, threshold, left, right, cover, value = nodes[at]
+        if f < 0:
+            yield value, path
+            continue
+        zero, low, high = path.get(f, (1.0, -np.inf, np.inf))
+        todo.append((right, path | {f: (zero * nodes[right][4] / cover, max(low, threshold), high)}))
+        todo.append((left, path | {f: (zero * nodes[left][4] / cover, low, min(high, threshold))}))
+
+
+def pattern_values(zeros: Sequence[float]) -> np.ndarray:
+    """Row p: the Shapley value of each feature of a leaf of value 1, if the features of the bits of p lead to it and the others don't. A known feature counts as 1 or 0, an unknown one as its zero."""
+    m = len(zeros)
+    out = np.zeros((1 << m, m))
+    size = [bin(known).count("1") for known in range(1 << m)]
+    for p in range(1 << m):
+        at = [np.prod([float(p >> i & 1) if known >> i & 1 else zeros[i] for i in range(m)]) for known in range(1 << m)]
+        for i in range(m):
+            out[p, i] = sum((at[known | 1 << i] - at[known]) / (m * math.comb(m - 1, size[known])) for known in range(1 << m) if not known >> i & 1)
+    return out
+
+
+def explainer(trees: list[dict]) -> tuple[list[tuple], float]:
+    """What path_contributions needs of the trees, once a task: the leaves' features with their intervals and the values of each pattern."""
+    leaves, expected = [], 0.0
     for tree in trees:
-        nodes, w = tree["nodes"], tree["weight"]
-        expected += w * _mean(nodes, 0)
-        for r in range(len(x)):
-            row = x[r]
-
-            def recurse(at, path, zero, one, feature, row=row, r=r, nodes=nodes, w=w):
-                path = extend(path, zero, one, feature)
-                f, threshold, left, right, cover, value = nodes[at]
-                if f < 0:
-                    for i in range(1, len(path)):
-                        weight = sum(p[3] for p in unwind(path, i))
-                        phi[r, path[i][0]] += w * weight * (path[i][2] - path[i][1]) * value
-                    return
-                hot, cold = (left, right) if row[f] <= threshold else (right, left)
-                z, o = 1.0, 1.0
-                for i in range(1, len(path)):
-                    if path[i][0] == f:
-                        z, o = path[i][1], path[i][2]
-                        path = unwind(path, i)
-                        break
-                recurse(hot, path, z * nodes[hot][4] / cover, o, f)
-                recurse(cold, path, z * nodes[cold][4] / cover, 0.0, f)
-
-            recurse(0, [], 1.0, 1.0, -1)
-    return phi, expected
+        expected += tree["weight"] * _mean(tree["nodes"], 0)
+        for value, path in leaf_paths(tree["nodes"]):
+            if path:
+                zeros, lows, highs = (list(x) for x in zip(*path.values(), strict=True))
+                leaves.append((list(path), lows, highs, tree["weight"] * value * pattern_values(zeros)))
+    return leaves, expected
+
+
+def path_contributions(trees: list[dict], x: np.ndarray, ready: tuple[list[tuple], float] | None = None) -> tuple[np.ndarray, float]:
+    """TreeSHAP, leaf by leaf for all rows at once: for each row, a value per feature whose sum with the expected value is the margin. A leaf's features are few (the depth), so the value of each pattern of met splits is worked out once."""
+    leaves, expected = ready or explainer(trees)
+    columns = np.ascontiguousarray(x.T, dtype=float)
+    phi = np.zeros_like(columns)
+    for features, lows, highs, values in leaves:
+        pattern = np.zeros(columns.shape[1], dtype=np.int64)
+        for i, (f, low, high) in enumerate(zip(features, lows, highs, strict=True)):
+            pattern |= (~(columns[f] <= low) & ((columns[f] <= high) | (high == np.inf))).astype(np.int64) << i
+        for i, f in enumerate(features):
+            phi[f] += values[pattern, i]
+    return phi.T, expected
 
 
 def _mean(nodes: list, at: int) -> float:
@@ -199,8 +197,9 @@ def tree_contributions(model: Model, df: DataFrame) -> DataFrame:
 
     def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = json.loads(sent.value)
+        ready = explainer(trees)
         for batch in batches:
-            phi, expected = path_contributions(trees, np.array(batch.column("x").to_pylist(), dtype=float).reshape(len(batch), -1))
+            phi, expected = path_contributions(trees, np.array(batch.column("x").to_pylist(), dtype=float).reshape(len(batch), -1), ready)
             yield pa.RecordBatch.from_arrays([batch.column("loan_id"), pa.array([expected] * len(batch)), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["loan_id", "expected", "phi"])
 
     return model.transform(df).select("loan_id", vector_to_array("features").alias("x")).mapInArrow(explained, "loan_id string, expected double, phi array<double>")

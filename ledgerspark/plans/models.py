@@ -10,9 +10,6 @@ from ..operators import sampling as S
 from ..sources.adapter import loans
 from .registry import T, query
 
-#: Trees of the queries' models; operators default to 200.
-TREES = 10
-
 
 def labeled(s, d):
     return loans(s, d).filter("target is not null").drop("predicted_pd")
@@ -39,7 +36,7 @@ def _(s, d):
 
 @query("fit_gbt")
 def _(s, d):
-    return D.score_batch(D.fit(labeled(s, d), "trees", trees=TREES), labeled(s, d), T)
+    return D.score_batch(D.fit(labeled(s, d), "trees"), labeled(s, d), T)
 
 
 @query("score_batch")
@@ -73,20 +70,20 @@ def _(s, d):
 @query("tree_contributions")
 def _(s, d):
     df = labeled(s, d)
-    return D.tree_contributions(D.fit(df, "trees", trees=3), S.stratified_sample(df, 500))
+    return D.tree_contributions(D.fit(df, "trees"), df)
 
 
 @query("importance_join")
 def _(s, d):
     df = labeled(s, d)
-    m = D.fit(df, "trees", trees=3)
+    m = D.fit(df, "trees")
     gain = D.gain_importance(m).groupBy("feature").agg(F.sum("gain").alias("gain"), F.count("*").alias("encoded"))
-    return D.global_importance(D.group_contributions(D.tree_contributions(m, S.stratified_sample(df, 200)), m.feature_names())).join(gain, "feature")
+    return D.global_importance(D.group_contributions(D.tree_contributions(m, df), m.feature_names())).join(gain, "feature")
 
 
 @query("gain_importance")
 def _(s, d):
-    return D.gain_importance(D.fit(labeled(s, d), "trees", trees=3))
+    return D.gain_importance(D.fit(labeled(s, d), "trees"))
 
 
 def linear_parts(s, d):

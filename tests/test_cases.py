@@ -164,6 +164,52 @@ def test_tree_contributions_add_up(spark, sf):
     assert len(got) > 50 and max(abs(got[k] - want[k]) for k in want) < 1e-3
 
 
+def test_tree_queries_do_the_whole_job(spark, sf, monkeypatch):
+    """Every labelled loan is explained, by a model of as many trees as the operator's default; 3 are fitted here to be quick."""
+    import ledgerspark.plans.models  # noqa: F401  registers the queries
+    from ledgerspark.plans.registry import QUERIES
+    from ledgerspark.sources.adapter import loans
+
+    real, asked = D.fit, []
+
+    def fit(df, kind="logistic", **how):
+        asked.append(how.pop("trees", 200))
+        return real(df, kind, trees=3, **how)
+
+    explained, real_contributions = [], D.tree_contributions
+    monkeypatch.setattr(D, "fit", fit)
+    monkeypatch.setattr(D, "tree_contributions", lambda m, df: explained.append(df.count()) or real_contributions(m, df))
+    labelled = loans(spark, sf).filter("target is not null").count()
+    assert QUERIES["tree_contributions"](spark, sf).count() == labelled
+    for name in ("importance_join", "gain_importance", "fit_gbt"):
+        assert not QUERIES[name](spark, sf).isEmpty()
+    assert asked == [200] * 4 and explained == [labelled] * 2
+
+
+def test_tree_contributions_equal_the_definition():
+    """Against Shapley values over all subsets, with a feature that splits twice on a path."""
+    from itertools import combinations
+
+    tree = [[0, 1.0, 1, 4, 100.0, 0.0], [1, 0.5, 2, 3, 60.0, 0.0], [-1, 0, -1, -1, 25.0, 2.0], [-1, 0, -1, -1, 35.0, -1.0], [0, 2.0, 5, 6, 40.0, 0.0], [2, 0.0, 7, 8, 30.0, 0.0], [-1, 0, -1, -1, 10.0, 4.0], [-1, 0, -1, -1, 12.0, 1.0], [-1, 0, -1, -1, 18.0, -3.0]]
+
+    def mean(at, row, known):
+        f, threshold, left, right, cover, value = tree[at]
+        if f < 0:
+            return value
+        if f in known:
+            return mean(left if row[f] <= threshold else right, row, known)
+        return sum(tree[k][4] / cover * mean(k, row, known) for k in (left, right))
+
+    rows = [[a, b, c] for a in (0.0, 1.0, 1.5, 2.0, 3.0) for b in (0.0, 1.0) for c in (-1.0, 1.0)]
+    phi, expected = D.path_contributions([{"weight": 0.5, "nodes": tree}], D.np.array(rows))
+    assert abs(expected - 0.5 * mean(0, rows[0], ())) < 1e-12
+    for row, got in zip(rows, phi, strict=True):
+        for f in range(3):
+            rest = [g for g in range(3) if g != f]
+            want = sum((mean(0, row, (*s, f)) - mean(0, row, s)) / (3 * math.comb(2, len(s))) for k in range(3) for s in combinations(rest, k))
+            assert abs(got[f] - 0.5 * want) < 1e-12
+
+
 def test_linear_contributions_add_up(spark, sf):
     from ledgerspark.sources.adapter import loans
 
