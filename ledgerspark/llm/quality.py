@@ -15,6 +15,10 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{N}", "blank": r"[\x20\x09-\x0D]", "mark": r"[.,;:!?'\"()\-]"}
 
 
+#: Words of all languages' lists up to which a driver list of them is small.
+KNOWN = 4096
+
+
 @dataclass(frozen=True)
 class Rules:
     """Limits of the verdict. Histograms of texts shorter than the guards say nothing and are not held against them."""
@@ -153,9 +157,15 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
     rules = rules or Rules()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     refs = written(common_words(rows, rules), "quality-references")
-    got = measured(rows, rules).join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
+    got = measured(rows, rules)
+    # Few known words in all: a hash set of them leaves the common words of a text, before the join. Many: the text's own language's list does, after it. The counts are the same.
+    known: list[str] = []
+    if (refs.agg(F.sum(F.size("common"))).first()[0] or 0) <= KNOWN:
+        known = sorted({w for r in refs.select("common").collect() for w in r["common"]})
+        got = got.withColumn("words", F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>"))
+    got = got.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
     # The text's common words, each between spaces of its own; taking one out shortens the string by its count.
-    common = F.filter("words", lambda w: F.array_contains("common", w))
+    common = F.col("words") if known else F.filter("words", lambda w: F.array_contains("common", w))
     got = got.withColumn("common_text", F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))).drop("words")
     hist = F.transform("common", lambda w: (F.length("common_text") - F.length(F.replace(F.col("common_text"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0))
     got = written(got.withColumn("hist", hist).drop("common_text", "common"), "quality-measured")
