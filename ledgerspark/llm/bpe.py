@@ -6,9 +6,7 @@ import hashlib
 import heapq
 import json
 import re
-import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,8 +19,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .lexicon import LONGEST, Lexicon, compile_lexicon
+from .common import shared_file, table, written
+from .lexicon import LONGEST, Lexicon, automaton
 
 #: Words in the lexicon at most: what the driver compiles and every executor gets is bounded by it.
 LEXICON_WORDS = 131_072
@@ -148,7 +146,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
 
 
 def ship_lexicon(docs: DataFrame, path: str, *, most: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words of all texts, at most `most` (words of one count all or none), and gives the file to the executors; its name.
+    """Compiles the most frequent words of all texts, at most `most` (words of one count all or none), into a file of the shared folder, from where executors map it (or fetch it first, where they don't see that folder as one of theirs); its address.
 
     Which words are in it bears on speed alone: other words are merged, with the same ids.
     """
@@ -161,15 +159,15 @@ def ship_lexicon(docs: DataFrame, path: str, *, most: int = LEXICON_WORDS) -> st
             break
         least = r["n"]
     words = [bytes(r["word"]) for r in counts.filter(F.col("n") >= least).select("word").collect()] if least else []
-    file = Path(tempfile.mkdtemp(prefix="lexicon-")).resolve() / f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon(words, [vocab.merge(w) for w in words], file)
-    spark.sparkContext.addFile(str(file))
-    return file.name
+    address = shared_file(spark, "lexicon.bin", automaton(words, [vocab.merge(w) for w in words]))
+    if not address.startswith("file:"):
+        spark.sparkContext.addFile(address)
+    return address
 
 
 @lru_cache(maxsize=2)
-def _shipped(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
+def _shipped(address: str) -> Lexicon:
+    return Lexicon(address.removeprefix("file:") if address.startswith("file:") else SparkFiles.get(address.rsplit("/", 1)[1]))
 
 
 class Encoder:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
         small = _least_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v"))).filter("u <> v").distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        forget(before)
         now = mark(edges)
         if now == seen:
             break

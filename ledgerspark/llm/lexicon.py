@@ -12,8 +12,8 @@ import numpy as np
 LONGEST = 32
 
 
-def compile_lexicon(words: Sequence[bytes], outputs: Sequence[Sequence[int]], path: str | Path) -> None:
-    """Writes the automaton of distinct words and each one's output, a list of ids.
+def automaton(words: Sequence[bytes], outputs: Sequence[Sequence[int]]) -> bytes:
+    """The file of distinct words and each one's output, a list of ids.
 
     States are shared between all words with equal sets of endings, as words come in order: a state that no later word
     can change is looked up among those kept. An arc's number is how many words the state before it accepts by way of
@@ -67,10 +67,14 @@ def compile_lexicon(words: Sequence[bytes], outputs: Sequence[Sequence[int]], pa
         "starts": np.cumsum([0, *map(len, ids)], dtype=np.int32), "ids": np.array([i for x in ids for i in x], np.uint32),
     }
     head = json.dumps({"root": root, "parts": [[k, str(v.dtype), len(v)] for k, v in parts.items()]}).encode()
-    with Path(path).open("wb") as f:
-        f.write(len(head).to_bytes(8, "little") + head)
-        for v in parts.values():
-            f.write(b"\0" * (-f.tell() % 8) + v.tobytes())
+    out = len(head).to_bytes(8, "little") + head
+    for v in parts.values():
+        out += b"\0" * (-len(out) % 8) + v.tobytes()
+    return out
+
+
+def compile_lexicon(words: Sequence[bytes], outputs: Sequence[Sequence[int]], path: str | Path) -> None:
+    Path(path).write_bytes(automaton(words, outputs))
 
 
 class Lexicon:
