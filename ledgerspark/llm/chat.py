@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -12,15 +16,20 @@ BEFORE_ROLE, BEFORE_TEXT, AFTER_TEXT = "<|", "|>\n", "<|end|>\n"
 
 
 def conversations_as_turns(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turns: array of (role, text) in the order of turn, then role, then text. A conversation is one training example and so one row. Rows without a conversation are left out; null roles and texts count as empty."""
+    """conv_id, turns: array of (role, text) in the order of turn, then role, then text. A conversation is one training example and so one row. Rows without a conversation are left out; null roles and texts count as empty; repeated rows are turns like others, texts of any length are taken whole. More columns, of whatever name, aren't read. An empty table gives an empty one."""
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = turns.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("conv_id"), one.alias("t"))
     got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     return got.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def escaped(text: Column) -> Column:
+    """A role or text in which nothing reads as a mark of the template: a backslash goes between `<` and a `|` or backslash after it. Taking these out again, `<|` first, gives the text back."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def rendered(turns: Column) -> Column:
-    one = lambda t: F.concat(F.lit(BEFORE_ROLE), t["role"], F.lit(BEFORE_TEXT), t["text"], F.lit(AFTER_TEXT))
+    one = lambda t: F.concat(F.lit(BEFORE_ROLE), escaped(t["role"]), F.lit(BEFORE_TEXT), escaped(t["text"]), F.lit(AFTER_TEXT))
     return F.array_join(F.transform(turns, one), "")
 
 
@@ -29,8 +38,8 @@ def answer_spans(turns: Column, role: str) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, t: Column) -> Column:
-        first = acc["at"] + F.length(t["role"]) + len(BEFORE_ROLE + BEFORE_TEXT)
-        end = first + F.length(t["text"]) + len(AFTER_TEXT)
+        first = acc["at"] + F.length(escaped(t["role"])) + len(BEFORE_ROLE + BEFORE_TEXT)
+        end = first + F.length(escaped(t["text"])) + len(AFTER_TEXT)
         span = F.struct(first.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(t["role"] == role, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
@@ -63,15 +72,67 @@ def format_preferences(pairs: DataFrame, *, answers: str = "assistant") -> DataF
     )
 
 
-def swapped_endings(conversations: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: each is chosen, and rejected is the same with the last turn of the conversation with the next higher id in steps of one. A conversation without such a next one makes no pair."""
-    nxt = conversations.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", -1).alias("ending"))
-    other = F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array("ending"))
-    return conversations.join(nxt, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), other.alias("rejected"))
+def next_ids(ids: DataFrame, parts: int = 64) -> DataFrame:
+    """conv_id, next_id: the next higher id there is; the highest one's is the lowest. ids: conv_id, each once. Ranges of ids have their own lead; where a range ends, the first id of the next one follows, of at most `parts` that are ordered together."""
+    edges = sorted(set(ids.approxQuantile("conv_id", [i / parts for i in range(1, parts)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("conv_id"))) if edges else F.lit(0)
+    cut = ids.select("conv_id", part.alias("part"))
+    heads = cut.groupBy("part").agg(F.min("conv_id").alias("head"))
+    after = F.coalesce(F.lead("head").over(Window.orderBy("part")), F.min("head").over(Window.partitionBy()))
+    heads = F.broadcast(heads.select(F.col("part").alias("of"), after.alias("after")))
+    own = F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id"))
+    return cut.withColumn("own", own).join(heads, F.col("part") == F.col("of")).select("conv_id", F.coalesce("own", "after").alias("next_id"))
+
+
+def crossed(conversations: DataFrame) -> DataFrame:
+    """Pairs from plain conversations, one for each: it is chosen; rejected is its own beginning and then what the conversation of the next id says from there on (next_ids()).
+
+    The beginning is a share of 0 to 3 quarters of the turns, by the id, so prompts of all lengths occur, and sides of
+    different lengths. Of a single conversation both sides are the same.
+    """
+    nxt = conversations.select(F.col("conv_id").alias("next_id"), F.col("turns").alias("others"))
+    pairs = conversations.join(next_ids(conversations.select("conv_id")), "conv_id").join(nxt, "next_id")
+    own = F.floor(F.size("turns") * F.pmod("conv_id", F.lit(4)) / 4).cast("int")
+    rest = F.slice("others", own + 1, F.size("others"))
+    return pairs.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), own), rest).alias("rejected"))
+
+
+def tokenised(rows: DataFrame, path: str, *, masked: int = -100) -> DataFrame:
+    """Rows of format_preferences() with prompt_ids, and for either side ids and labels: the label of a token is its id inside the spans that count and `masked` elsewhere. path: a byte-level vocabulary.
+
+    What lies between two borders of spans is encoded by itself, so no token is half masked. Null texts have no ids.
+    """
+    from .token_files import _bytes
+
+    names = ["prompt_ids", "chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels"]
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bytes(path)
+        ids = lambda texts: [np.frombuffer(x, bpe.kind).tolist() for x in bpe.encode(texts)]
+        for batch in batches:
+            out = {"prompt_ids": ids(batch.column("prompt").to_pylist())}
+            for side in ("chosen", "rejected"):
+                pieces, counts = [], []
+                for text, spans in zip(batch.column(side).to_pylist(), batch.column(f"{side}_spans").to_pylist(), strict=True):
+                    text = text or ""
+                    borders = [0, *(x for s in spans or [] for x in (s["start"], s["end"])), len(text)]
+                    pieces += [text[i:j] for i, j in zip(borders, borders[1:], strict=False)]
+                    counts.append(len(borders) - 1)
+                got, at = ids(pieces), 0
+                out[f"{side}_ids"], out[f"{side}_labels"] = [], []
+                for n in counts:
+                    own = got[at : at + n]
+                    out[f"{side}_ids"].append([i for x in own for i in x])
+                    out[f"{side}_labels"].append([i if k % 2 else masked for k, x in enumerate(own) for i in x])
+                    at += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[c], pa.list_(pa.int32())) for c in names)], [*batch.schema.names, *names])
+
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return rows.mapInArrow(encoded, schema + "".join(f",{c}:array<int>" for c in names))
 
 
 def op6_preference_format(spark, sf_dir: str) -> DataFrame:
-    got = format_preferences(swapped_endings(conversations_as_turns(table(spark, sf_dir, "conversations"))))
+    got = format_preferences(crossed(conversations_as_turns(table(spark, sf_dir, "conversations"))))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return got.select(
@@ -80,27 +141,26 @@ def op6_preference_format(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP6_SQL = """
+_SPANS_SQL = """array_to_string(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i].role = 'assistant'
+    THEN concat(coalesce(list_sum(list_transform({0}[1:i - 1], lambda x: length(x.said))), 0) + {0}[i].head, ':', list_sum(list_transform({0}[1:i], lambda x: length(x.said)))) END), lambda x: x IS NOT NULL), ',')"""
+
+OP6_SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
-         count(*) OVER (PARTITION BY conv_id) AS n
+         replace(replace(coalesce(role, ''), '<\', '<\\'), '<|', '<\|') AS erole, replace(replace(coalesce(text, ''), '<\', '<\\'), '<|', '<\|') AS etext
   FROM conversations WHERE conv_id IS NOT NULL),
-r AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM t),
-last AS (SELECT conv_id, role, text, said FROM r WHERE k = n),
+c AS (
+  SELECT conv_id, list({{'role': role, 'text': text, 'said': '<|' || erole || '|>' || chr(10) || etext || '<|end|>' || chr(10), 'head': length(erole) + 5}} ORDER BY turn, role, text) AS turns
+  FROM t GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM c),
 pairs AS (
-  SELECT a.conv_id, a.role AS arole, a.text AS atext, a.said AS asaid, b.role AS brole, b.text AS btext, b.said AS bsaid,
-         a.role = b.role AND a.text = b.text AS tied
-  FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
-prompts AS (
-  SELECT p.conv_id, CAST(count(*) FILTER (WHERE r.k < r.n OR p.tied) AS INTEGER) AS prompt_turns,
-         coalesce(string_agg(r.said, '' ORDER BY r.k) FILTER (WHERE r.k < r.n OR p.tied), '') AS prompt
-  FROM pairs p JOIN r ON r.conv_id = p.conv_id GROUP BY p.conv_id)
-SELECT p.conv_id, prompt_turns, sha256(prompt) AS prompt_sha256,
-       sha256(CASE WHEN tied THEN '' ELSE asaid END) AS chosen_sha256,
-       sha256(CASE WHEN tied THEN '' ELSE bsaid END) AS rejected_sha256,
-       CASE WHEN NOT tied AND arole = 'assistant' THEN concat(14, ':', 14 + length(atext) + 8) ELSE '' END AS chosen_spans,
-       CASE WHEN NOT tied AND brole = 'assistant' THEN concat(14, ':', 14 + length(btext) + 8) ELSE '' END AS rejected_spans,
-       tied
-FROM pairs p JOIN prompts USING (conv_id)
+  SELECT c.conv_id, c.turns AS a, list_concat(c.turns[1:len(c.turns) * (c.conv_id % 4) // 4], o.turns[len(c.turns) * (c.conv_id % 4) // 4 + 1:]) AS b
+  FROM c JOIN n USING (conv_id) JOIN c o ON o.conv_id = n.next_id),
+p AS (
+  SELECT *, coalesce(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i].role <> b[i].role OR a[i].text <> b[i].text)[1] - 1, least(len(a), len(b))) AS k FROM pairs),
+r AS (SELECT conv_id, k, a[1:k] AS p, a[k + 1:] AS a, b[k + 1:] AS b FROM p)
+SELECT conv_id, CAST(k AS INTEGER) AS prompt_turns, sha256(array_to_string(list_transform(p, lambda x: x.said), '')) AS prompt_sha256,
+       sha256(array_to_string(list_transform(a, lambda x: x.said), '')) AS chosen_sha256, sha256(array_to_string(list_transform(b, lambda x: x.said), '')) AS rejected_sha256,
+       {_SPANS_SQL.format("a")} AS chosen_spans, {_SPANS_SQL.format("b")} AS rejected_spans, len(a) = 0 AND len(b) = 0 AS tied
+FROM r
 """
