@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, table, written
+from .common import WORD, table, written
 
 SYMBOLS = "#*$%&|<>"
-#: Character classes by patterns that don't overlap; what none takes is the last class.
+#: Character classes by patterns that don't overlap and take none of the symbols; what none takes is the last class.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{N}", "blank": r"[\x20\x09-\x0D]", "mark": r"[.,;:!?'\"()\-]"}
 
 
@@ -34,7 +34,6 @@ class Rules:
     word_spread: float = 5.0
     least_texts: int = 30
     most_word_distance: float = 0.80
-    classes: dict[str, str] = field(default_factory=lambda: dict(CLASSES))
 
 
 def counted_words(text: Column) -> Column:
@@ -42,6 +41,23 @@ def counted_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _let(x: Column, body) -> Column:
+    """body(x), with x worked out once however often body names it."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+def window_hashes(words: Column, window: int) -> Column:
+    """A hash of each `window` words in a row, by their first. Hashes of windows are made from those of windows of half the width, a few steps a word; the last window - 1 hashes mean nothing."""
+
+    def widened(h: Column, width: int) -> Column:
+        if width == window:
+            return h
+        step = min(width, window - width)
+        return _let(F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda x, y: F.xxhash64(x, y)), lambda v: widened(v, width + step))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: widened(h, 1))
+
+
 def repeated_words(words: Column, window: int) -> Column:
     """Words covered by windows of `window` words that occur twice or more, the first included.
 
@@ -50,24 +66,26 @@ def repeated_words(words: Column, window: int) -> Column:
     takes n log n steps in the text's length, however much of it repeats, and only where some hash occurs twice.
     """
     n = F.size(words)
-    starts = F.sequence(F.lit(1), n - window + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, window)))
-    some = F.when(n > window, F.size(F.array_distinct(hashes)) < n - window + 1).otherwise(F.lit(False))
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    pairs = F.zip_with(F.slice(ordered, F.lit(1), n - window), F.slice(ordered, F.lit(2), n - window), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    covered = F.aggregate(places, F.struct(F.lit(0).alias("sum"), F.lit(-1 - window).alias("last")), lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(window), i - acc["last"])).alias("sum"), i.alias("last")), lambda acc: acc["sum"])
-    return F.when(some, covered).otherwise(F.lit(0)).cast("long")
+    def covered(ordered: Column) -> Column:
+        pairs = F.zip_with(F.slice(ordered, F.lit(1), n - window), F.slice(ordered, F.lit(2), n - window), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        places = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
+        return F.aggregate(places, F.struct(F.lit(0).alias("sum"), F.lit(-1 - window).alias("last")), lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(window), i - acc["last"])).alias("sum"), i.alias("last")), lambda acc: acc["sum"])
+
+    def of(hashes: Column) -> Column:
+        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < n - window + 1, _let(ordered, covered)).otherwise(F.lit(0))
+
+    return F.when(n > window, _let(F.slice(window_hashes(words, window), F.lit(1), n - window + 1), of)).otherwise(F.lit(0)).cast("long")
 
 
-def class_counts(text: Column, rules: Rules) -> Column:
-    """Characters of each class, and the rest."""
-    counts = [F.regexp_count(text, F.lit(p)) for p in rules.classes.values()]
-    rest = F.length(text)
-    for c in counts:
-        rest = rest - c
-    return F.array(*[c.cast("double") for c in counts], rest.cast("double"))
+def class_counts(text: Column) -> tuple[dict[str, Column], Column]:
+    """How many characters of each class a text has, and the characters of no class. Each class is taken out, in runs, of what the ones before left."""
+    counts = {}
+    for name, pattern in CLASSES.items():
+        left = F.regexp_replace(text, f"(?:{pattern})+", "")
+        counts[name], text = F.length(text) - F.length(left), left
+    return counts, text
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -91,14 +109,15 @@ def measured(docs: DataFrame, rules: Rules) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", "lang", text.alias("text"), counted_words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    classes, rest = class_counts(F.col("text"))
     return split.select(
         "doc_id", "lang", "words",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - classes["blank"]).cast("long").alias("word_chars"),
+        (F.length(rest) - F.length(F.translate(rest, SYMBOLS, ""))).cast("long").alias("n_symbols"),  # no symbol is of a class
         F.aggregate(F.array(lines), F.lit(0), lambda s, x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), rules.window).alias("n_repeat_words"),
-        class_counts(F.col("text"), rules).alias("classes"),
+        F.array(*[c.cast("double") for c in classes.values()], F.length(rest).cast("double")).alias("classes"),
     )
 
 
@@ -171,7 +190,7 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
     got = written(got.withColumn("hist", hist).drop("common_text", "common"), "quality-measured")
     got = got.withColumn("hist", F.array_append("hist", F.col("n_words") - F.aggregate("hist", F.lit(0.0), lambda s, v: s + v)))
     chars = F.aggregate("classes", F.lit(0.0), lambda s, v: s + v)
-    classes = got.groupBy(F.col("lang").alias("class_lang")).agg(F.array(*[F.avg(F.get("classes", i) / F.nullif(chars, F.lit(0.0))) for i in range(len(rules.classes) + 1)]).alias("ref_classes"))
+    classes = got.groupBy(F.col("lang").alias("class_lang")).agg(F.array(*[F.avg(F.get("classes", i) / F.nullif(chars, F.lit(0.0))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
     got = got.join(written(classes, "quality-classes"), F.col("lang").eqNullSafe(F.col("class_lang")), "left")
     got = got.withColumns({
         "char_distance": F.when(F.col("n_words") > 0, distance(F.col("classes"), F.col("ref_classes"))),
