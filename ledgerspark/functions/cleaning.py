@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 # Fixed values of the source files: tokens that stand for null, and the labels of resolved loans.
 NULL_TOKENS = ("", "null", "NULL", "n/a")
+#: What is stripped from both ends: all characters that Unicode counts as white space.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
+COUNTRY = "United States"
+# Fixed column names of the accepted file, by how they are read.
+PERCENT_COLUMNS = ("int_rate", "revol_util")
+NUMERIC_COLUMNS = ("loan_amnt", "funded_amnt", "funded_amnt_inv", "installment", "annual_inc", "dti", "fico_range_low", "fico_range_high", "inq_last_6mths", "open_acc", "pub_rec", "revol_bal", "total_acc", "annual_inc_joint", "dti_joint")
+DATE_COLUMNS = ("issue_d", "earliest_cr_line", "last_pymnt_d", "next_pymnt_d", "last_credit_pull_d", "hardship_start_date", "hardship_end_date", "payment_plan_start_date", "debt_settlement_flag_date", "settlement_date", "sec_app_earliest_cr_line")
 GOOD, BAD = ("Fully Paid",), ("Charged Off", "Default")
 REJECTED_NAMES = {
     "Amount Requested": "requested_amount", "Application Date": "application_date", "Loan Title": "loan_title", "Risk_Score": "risk_score", "Debt-To-Income Ratio": "dti",
@@ -14,8 +21,12 @@ REJECTED_NAMES = {
 }
 
 
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def clean_string(c: Column) -> Column:
-    t = F.trim(c)
+    t = stripped(c)
     return F.when(~t.isin(*NULL_TOKENS), t)
 
 
@@ -27,7 +38,7 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 def to_number(c: Column) -> Column:
     """Numbers in plain or scientific notation; all else, infinity and NaN included, is null."""
-    t = F.trim(c)
+    t = stripped(c)
     return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
 
 
@@ -40,17 +51,17 @@ def parse_term_months(c: Column) -> Column:
 
 
 def parse_employment_years(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    t = F.lower(stripped(c))
     return F.when(t.contains("10+"), 10.0).when(t.startswith("< 1"), 0.5).otherwise(F.nullif(F.regexp_extract(t, r"(\d+)", 1), F.lit("")).try_cast("double"))
 
 
 def normalize_state(c: Column) -> Column:
-    t = F.upper(F.trim(c))
+    t = F.upper(stripped(c))
     return F.when(t.rlike("^[A-Z]{2}$"), t)
 
 
 def normalize_zip(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    t = F.lower(stripped(c))
     return F.when(t.rlike(r"^[0-9]{3,5}x{0,2}$"), t)
 
 
@@ -71,15 +82,25 @@ def derive_target(c: Column) -> Column:
 
 
 def clean_accepted(raw: DataFrame) -> DataFrame:
-    """The whole cleaning of the accepted file in one projection; columns it doesn't name stay."""
+    """The whole cleaning of the accepted file in one projection. Columns are read by their kind where the file has them; what term, employment length and state are made from stays beside what is made. Infinities become null. Whether loan_id is a key is for require_grain() to say."""
     df = clean_strings(raw)
-    made = {
-        "loan_id": normalize_id(F.col("id")), "target": derive_target(F.col("loan_status")), "loan_amnt": to_number(F.col("loan_amnt")), "annual_inc": to_number(F.col("annual_inc")),
-        "dti": to_number(F.col("dti")), "term_months": parse_term_months(F.col("term")), "int_rate": parse_percent(F.col("int_rate")), "emp_length_years": parse_employment_years(F.col("emp_length")),
-        "state_code": normalize_state(F.col("addr_state")), "zip_code": normalize_zip(F.col("zip_code")), "issue_d": parse_month(F.col("issue_d")), "earliest_cr_line": parse_month(F.col("earliest_cr_line")),
-        "total_pymnt": to_number(F.col("total_pymnt")), "country": F.lit("US"),
-    }
-    return df.withColumns(made).drop("id", "term", "emp_length", "addr_state")
+    if "id" in df.columns:
+        df = df.withColumnRenamed("id", "loan_id")
+    if missing := [c for c in ("loan_id", "loan_status") if c not in df.columns]:
+        raise ValueError(f"accepted file lacks {missing}")
+    made = {"loan_id": normalize_id(F.col("loan_id")), "target": derive_target(F.col("loan_status"))}
+    made |= {c: parse_percent(F.col(c)) for c in PERCENT_COLUMNS} | {c: to_number(F.col(c)) for c in NUMERIC_COLUMNS} | {c: parse_month(F.col(c)) for c in DATE_COLUMNS}
+    made |= {c: inf_to_null(F.col(c)) for c, t in df.dtypes if t in ("double", "float") and c not in made}
+    made = {c: x for c, x in made.items() if c in df.columns or c == "target"}
+    if "term" in df.columns:
+        made["term_months"] = parse_term_months(F.col("term"))
+    if "emp_length" in df.columns:
+        made["emp_length_years"] = parse_employment_years(F.col("emp_length"))
+    if "addr_state" in df.columns:
+        made |= {"state_code": normalize_state(F.col("addr_state")), "country": F.lit(COUNTRY)}
+    if "zip_code" in df.columns:
+        made["zip_code"] = normalize_zip(F.col("zip_code"))
+    return df.withColumns(made)
 
 
 def rename_rejected(raw: DataFrame) -> DataFrame:
@@ -94,5 +115,5 @@ def clean_rejected(raw: DataFrame) -> DataFrame:
     return df.select(
         to_number(F.col("requested_amount")).alias("requested_amount"), F.try_to_date("application_date", "yyyy-MM-dd").alias("application_date"), "loan_title", to_number(F.col("risk_score")).alias("risk_score"),
         parse_percent(F.col("dti")).alias("dti"), normalize_zip(F.col("zip_code")).alias("zip_code"), normalize_state(F.col("state_code")).alias("state_code"),
-        parse_employment_years(F.col("emp_length")).alias("emp_length_years"), to_number(F.col("policy_code")).alias("policy_code"), F.lit("US").alias("country"),
+        parse_employment_years(F.col("emp_length")).alias("emp_length_years"), to_number(F.col("policy_code")).alias("policy_code"), F.lit(COUNTRY).alias("country"),
     )

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIERS = ("A", "B", "C", "D")
-TIER_LABELS = ("A - Low", "B - Moderate", "C - High", "D - Very high")
+# Fixed labels of the tiers and the bins.
+TIER_LABELS = ("Tier A — Low", "Tier B — Moderate", "Tier C — High", "Tier D — Very High")
 #: Loss given default: the base case and the scenarios.
 BASE_LGD, LGDS = 0.45, (0.30, 0.45, 0.60)
-#: Loan-to-income bins: upper edges; the last is open.
-LTI_EDGES = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
+# Fixed values of the loan-to-income bins: upper edges (the last bin is open), where each stands on an axis, labels.
+LTI_EDGES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
+LTI_X = (0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.7, 0.9, 1.3333333333333333)
+LTI_LABELS = ("0 – <0,1", "0,1 – <0,2", "0,2 – <0,3", "0,3 – <0,4", "0,4 – <0,5", "0,5 – <0,6", "0,6 – <0,8", "0,8 – <1,0", "≥ 1,0 (nhóm đuôi)")
 
 
 def pd_to_log_odds(p: Column, eps: float = 1e-6) -> Column:
@@ -75,11 +78,26 @@ def pd_bin(p: Column, bins: int = 20) -> Column:
     return F.least(n, F.lit(bins))
 
 
+def pd_bin_label(bin_no: Column, bins: int = 20) -> Column:
+    labels = [f"{i / bins:.2f}–<{(i + 1) / bins:.2f}" for i in range(bins - 1)] + [f"{(bins - 1) / bins:.2f}–1.00 (inclusive)"]
+    return F.get(F.array(*map(F.lit, labels)), bin_no - 1)
+
+
 def expected_loss(p: Column, lgd: Column | float, ead: Column) -> Column:
     lgd = lgd if isinstance(lgd, Column) else F.lit(float(lgd))
     return p * lgd * ead
 
 
+def require_loss_inputs(df: DataFrame, pd_col: str = "predicted_pd", lgd: float = BASE_LGD, ead_col: str = "loan_amnt") -> None:
+    """Raises unless every probability is finite and in [0, 1], lgd in [0, 1] and every exposure finite and not negative."""
+    if not (math.isfinite(lgd) and 0 <= lgd <= 1):
+        raise ValueError("LGD must be in [0, 1]")
+    p, ead = F.col(pd_col), F.col(ead_col)
+    bad = df.agg(F.count_if(~F.coalesce((p >= 0) & (p <= 1), F.lit(False))).alias("p"), F.count_if(~F.coalesce((ead >= 0) & (ead < float("inf")), F.lit(False))).alias("ead")).first()
+    if bad["p"] or bad["ead"]:
+        raise ValueError(f"{bad['p']} probabilities out of [0, 1], {bad['ead']} exposures negative or not finite")
+
+
 def expected_loss_dataset(df: DataFrame, pd_col: str = "predicted_pd", ead_col: str = "loan_amnt") -> DataFrame:
     p, ead = F.col(pd_col), F.col(ead_col)
     base = expected_loss(p, BASE_LGD, ead)
@@ -91,6 +109,15 @@ def tier_order(tier: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, TIERS)), tier).cast("int")
 
 
+def tier_label(tier: Column) -> Column:
+    return F.get(F.array(*map(F.lit, TIER_LABELS)), tier_order(tier) - 1)
+
+
+def tier_code(label: Column) -> Column:
+    """A to D of a long label; null for any other text."""
+    return F.get(F.array(*map(F.lit, TIERS)), F.nullif(F.array_position(F.array(*map(F.lit, TIER_LABELS)), label), F.lit(0)).cast("int") - 1)
+
+
 def fico_order(label: Column) -> Column:
     """1 to 4; null is Missing, 5."""
     return F.when(label.isNull(), 5).otherwise(F.array_position(F.array(*map(F.lit, ("<650", "650-699", "700-749", "750+"))), label).cast("int"))
@@ -104,5 +131,13 @@ def lti_bin(ratio: Column) -> Column:
     return out.otherwise(len(LTI_EDGES) + 1)
 
 
+def lti_bin_label(bin_no: Column) -> Column:
+    return F.get(F.array(*map(F.lit, LTI_LABELS)), bin_no - 1)
+
+
+def lti_bin_x(bin_no: Column) -> Column:
+    return F.get(F.array(*map(F.lit, LTI_X)), bin_no - 1)
+
+
 def scenario_id(*parts: str) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 16)

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that an ordered table is cut into; what the driver and one task see of it is this many edges and sums.
-PARTS = 64
+#: Parts that an ordered table is cut into, and rows of a part beyond which there are more parts; what the driver and one task see of it is that many edges and sums, MOST_PARTS at most.
+PARTS, ROWS, MOST_PARTS = 64, 1_000_000, 16_384
+# The order of simplicity among candidates, and how complex each is.
+CANDIDATES = ("logistic_baseline", "logistic_weighted", "xgboost_candidate")
+COMPLEXITY = {"logistic_baseline": 0, "logistic_weighted": 0, "xgboost_candidate": 1}
 F1_TOLERANCE = 1e-12
 DIAGNOSTIC = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 
@@ -18,15 +21,25 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)
 
 
-def ordered_parts(df: DataFrame, by: str, parts: int = PARTS) -> DataFrame:
-    """df with `part`: ranges of `by` of about equal rows, by approximate quantiles (`parts` numbers at most reach the driver)."""
-    edges = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.002)))
+def ordered_parts(df: DataFrame, by: str, parts: int | None = None) -> DataFrame:
+    """df with `part`: ranges of `by` of about equal rows, by approximate quantiles. df is kept, as it's read more than once: for its edges and by what follows."""
+    df = df.persist()
+    parts = parts or min(MOST_PARTS, max(PARTS, -(-df.count() // ROWS)))
+    edges = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], min(0.002, 0.1 / parts))))
+    # Edges at or below a value, by halving: as many steps as the edges' number has bits.
     at = F.lit(0)
-    return df.withColumn("part", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(by))) if edges else at)
+    if edges:
+        held, steps = F.array(*map(F.lit, edges)), len(edges).bit_length()
+        for k in reversed(range(steps)):
+            nxt = at + F.lit(1 << k)
+            at = F.when((nxt <= len(edges)) & (F.get(held, nxt - 1) <= F.col(by)), nxt).otherwise(at)
+        if len(edges) <= PARTS:
+            at = F.size(F.filter(held, lambda e: e <= F.col(by)))
+    return df.withColumn("part", at)
 
 
-def prefix_sums(df: DataFrame, by: str, values: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """df with cum_<value> (this row included) in ascending order of `by`, and total_<value>, for each group of `within`.
+def prefix_sums(df: DataFrame, by: str, values: Sequence[str], within: Sequence[str] = (), *, parts: bool = False) -> DataFrame:
+    """df with cum_<value> (this row included) in ascending order of `by`, and total_<value>, for each group of `within`; with parts, the `part` of each row too.
 
     Rows are cut into ranges; the ranges' sums, a few rows, are summed up, and each range runs its own sum. No task
     orders the whole table. `by` must be distinct within a group.
@@ -42,7 +55,7 @@ def prefix_sums(df: DataFrame, by: str, values: Sequence[str], within: Sequence[
     on = on & (cut["part"] == sums["_part"]) if within else on
     got = cut.join(sums, on).drop("_part", *[f"_{w}" for w in within])
     inside = Window.partitionBy(*within, "part").orderBy(by)
-    return got.select(*df.columns, *[(F.col(f"before_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}") for v in values], *[f"total_{v}" for v in values])
+    return got.select(*df.columns, *(["part"] if parts else []), *[(F.col(f"before_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}") for v in values], *[f"total_{v}" for v in values])
 
 
 def score_histogram(df: DataFrame, pd_col: str = "predicted_pd", within: Sequence[str] = ()) -> DataFrame:
@@ -50,11 +63,12 @@ def score_histogram(df: DataFrame, pd_col: str = "predicted_pd", within: Sequenc
     return df.filter(F.col("target").isNotNull()).groupBy(*within, F.col(pd_col).alias("pd")).agg(F.sum("target").cast("long").alias("pos"), F.sum(1 - F.col("target")).cast("long").alias("neg"))
 
 
-def at_scores(hist: DataFrame) -> DataFrame:
-    """For each distinct score as threshold (pd >= threshold is flagged): tp, fp, fn, tn and own pos, neg."""
-    got = prefix_sums(hist, "pd", ["pos", "neg"])
+def at_scores(hist: DataFrame, *, parts: bool = False) -> DataFrame:
+    """For each distinct score as threshold (pd >= threshold is flagged): tp, fp, fn, tn and own pos, neg, and other columns of hist."""
+    got = prefix_sums(hist, "pd", ["pos", "neg"], parts=parts)
+    more = [c for c in hist.columns if c not in ("pd", "pos", "neg")] + ["part"] * parts
     tp, fp = F.col("total_pos") - F.col("cum_pos") + F.col("pos"), F.col("total_neg") - F.col("cum_neg") + F.col("neg")
-    return got.select("pd", "pos", "neg", tp.alias("tp"), fp.alias("fp"), (F.col("total_pos") - tp).alias("fn"), (F.col("total_neg") - fp).alias("tn"))
+    return got.select("pd", "pos", "neg", tp.alias("tp"), fp.alias("fp"), (F.col("total_pos") - tp).alias("fn"), (F.col("total_neg") - fp).alias("tn"), *more)
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -73,7 +87,7 @@ def confusion_metrics(df: DataFrame, threshold: float, by: Sequence[str] = (), p
 
 def roc_curve(hist: DataFrame) -> DataFrame:
     """threshold, fpr, tpr, kept. Points on a straight line between their neighbours aren't kept: a point is one if the next lower score adds the same counts."""
-    got = ordered_parts(at_scores(hist), "pd")
+    got = at_scores(hist, parts=True)
     own = F.struct("pos", "neg")
     below = Window.partitionBy("part").orderBy(F.desc("pd"))
     # What comes after a part's last row is the first row of the next part that has rows.
@@ -128,35 +142,52 @@ def threshold_table(df: DataFrame, thresholds: Sequence[float], pd_col: str = "p
     return rates(one.unpivot([], names, "t", "v").select("v.*"))
 
 
+def _best(scored: DataFrame, tolerance: float) -> DataFrame:
+    top = scored.agg(F.max("f1").alias("top"))
+    near = scored.crossJoin(F.broadcast(top)).filter(F.col("f1") >= F.col("top") - tolerance).drop("top")
+    return near.orderBy(F.desc("recall"), F.desc("precision"), F.desc("threshold")).limit(1)
+
+
 def best_threshold(hist: DataFrame, tolerance: float = F1_TOLERANCE) -> DataFrame:
     """The row of the greatest F1; within the tolerance by recall, precision and threshold, all descending."""
-    got = rates(at_scores(hist)).withColumnRenamed("pd", "threshold")
-    top = got.agg(F.max("f1").alias("top"))
-    near = got.crossJoin(F.broadcast(top)).filter(F.col("f1") >= F.col("top") - tolerance).drop("top")
-    return near.orderBy(F.desc("recall"), F.desc("precision"), F.desc("threshold")).limit(1)
+    return _best(rates(at_scores(hist)).withColumnRenamed("pd", "threshold"), tolerance)
 
 
 def full_threshold_table(hist: DataFrame) -> DataFrame:
     """Distinct scores and the diagnostic thresholds, with all counts, specificity and which one is best."""
-    marks = hist.sparkSession.createDataFrame([(t, 0, 0) for t in DIAGNOSTIC], "pd double, pos long, neg long")
-    both = hist.unionByName(marks).groupBy("pd").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = F.broadcast(best_threshold(hist).select(F.col("threshold").alias("best")))
-    got = rates(at_scores(both)).withColumn("specificity", ratio(F.col("tn"), F.col("tn") + F.col("fp")))
-    return got.crossJoin(best).withColumn("selected", F.col("pd") == F.col("best")).drop("best", "pos", "neg").withColumnRenamed("pd", "threshold")
+    marks = hist.sparkSession.createDataFrame([(t, 0, 0, False) for t in DIAGNOSTIC], "pd double, pos long, neg long, own boolean")
+    both = hist.withColumn("own", F.lit(True)).unionByName(marks).groupBy("pd").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("own").alias("own"))
+    got = rates(at_scores(both)).withColumn("specificity", ratio(F.col("tn"), F.col("tn") + F.col("fp"))).withColumnRenamed("pd", "threshold")
+    best = F.broadcast(_best(got.filter("own"), F1_TOLERANCE).select(F.col("threshold").alias("best")))
+    return got.crossJoin(best).withColumn("selected", F.col("threshold") == F.col("best")).drop("best", "pos", "neg", "own")
 
 
-def select_candidate(metrics: DataFrame, order: Sequence[str], auc_band: float = 0.002, ap_band: float = 0.005) -> DataFrame:
-    """Of the models within auc_band of the best ROC-AUC, those within ap_band of the best average precision of these; then by log loss, Brier and the fixed order. A few rows."""
+def select_candidate(metrics: DataFrame, order: Sequence[str] = CANDIDATES, complexity: dict[str, int] = COMPLEXITY, auc_band: float = 0.002, ap_band: float = 0.005) -> DataFrame:
+    """Of the models within auc_band of the best ROC-AUC, those within ap_band of the best average precision of these; then the least complex, then by log loss, Brier and the fixed order. A few rows."""
     w = Window.partitionBy()
-    near = metrics.withColumn("top", F.max("roc_auc").over(w)).filter(F.col("roc_auc") >= F.col("top") - auc_band)
-    near = near.withColumn("top", F.max("average_precision").over(w)).filter(F.col("average_precision") >= F.col("top") - ap_band)
-    return near.withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("model"))).orderBy("log_loss", "brier", "place").limit(1).select("model")
+    near = metrics.withColumn("top", F.max("roc_auc").over(w)).filter(F.col("top") - F.col("roc_auc") <= auc_band)
+    near = near.withColumn("top", F.max("average_precision").over(w)).filter(F.col("top") - F.col("average_precision") <= ap_band)
+    cost = F.coalesce(*[F.when(F.col("model") == m, F.lit(c)) for m, c in complexity.items()], F.lit(max(complexity.values(), default=0) + 1))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
+    return near.withColumns({"cost": cost, "place": place}).orderBy("cost", "log_loss", "brier", "place").limit(1).select("model")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by..., q: the exact quantiles of a value at these shares, interpolated between neighbours, for each group. Null and NaN don't count. They come from running counts over distinct values, so no task holds a group's values."""
+    v = F.col(value).cast("double")
+    hist = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count("*").alias("n"))
+    got = prefix_sums(hist, "v", ["n"], by)
+    at = [F.lit(float(p)) * (F.col("total_n") - 1) for p in shares]
+    one = lambda place: F.min(F.when(F.col("cum_n") > place, F.col("v")))
+    got = got.groupBy(*by).agg(F.max("total_n").alias("total_n"), *[x for i, p in enumerate(at) for x in (one(F.floor(p)).alias(f"lo{i}"), one(F.ceil(p)).alias(f"hi{i}"))])
+    q = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)) for i, p in enumerate(at)]
+    return got.select(*by, F.array(*q).alias("q"))
 
 
 def calibration_quantile(df: DataFrame, bins: int = 10, pd_col: str = "predicted_pd") -> DataFrame:
     """Right-closed bins on exact quantiles, equal edges once; n, mean_pd, observed_rate."""
     df = df.filter("target is not null")
-    edges = sorted(set(df.agg(F.percentile(pd_col, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0] or []))
+    edges = sorted(set((exact_quantiles(df, pd_col, [i / bins for i in range(bins + 1)]).first() or [[]])[0]))
     inner = edges[1:-1]
     at = F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e < F.col(pd_col))) if inner else F.lit(0)
     return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(pd_col).alias("mean_pd"), F.avg("target").alias("observed_rate"))
@@ -180,9 +211,67 @@ def percentile_index(df: DataFrame, reference: DataFrame, pd_col: str = "predict
     return df.select(key, pd_col).join(index, pd_col).withColumn("shown", F.rint("percentile").cast("int"))
 
 
-def reference_distribution(long: DataFrame) -> DataFrame:
-    """model, pd, n, cumulative."""
-    return prefix_sums(long.groupBy("model", "pd").agg(F.count("*").alias("n")), "pd", ["n"], ["model"]).select("model", "pd", "n", F.col("cum_n").alias("cumulative"))
+def reference_distribution(long: DataFrame, test_ids: DataFrame | None = None, key: str = "loan_id") -> DataFrame:
+    """long: model, pd and the key -> model, pd, n, cumulative, rows. Refuses ids that are also in the test split, probabilities out of [0, 1] and models of fewer than two rows."""
+    if test_ids is not None and not long.join(test_ids.select(key), key, "left_semi").isEmpty():
+        raise ValueError("the reference holds ids of the test split")
+    if not long.filter(~F.coalesce(F.col("pd").between(0, 1), F.lit(False))).isEmpty():
+        raise ValueError("the reference holds probabilities out of [0, 1]")
+    got = prefix_sums(long.groupBy("model", "pd").agg(F.count("*").alias("n")), "pd", ["n"], ["model"]).select("model", "pd", "n", F.col("cum_n").alias("cumulative"), F.col("total_n").alias("rows"))
+    if small := [r["model"] for r in got.filter("rows < 2").select("model").distinct().collect()]:
+        raise ValueError(f"the reference has fewer than two rows of {small}")
+    return got
+
+
+def reference_summary(reference: DataFrame) -> DataFrame:
+    """model, rows, least, median, most of a reference distribution."""
+    at = lambda place: F.min(F.when(F.col("cumulative") > place, F.col("pd")))
+    half = (F.col("rows") - 1) / 2
+    return reference.groupBy("model").agg(F.max("rows").alias("rows"), F.min("pd").alias("least"), ((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("median"), F.max("pd").alias("most"))
+
+
+def percentile_by_model(rows: DataFrame, reference: DataFrame, key: str = "loan_id") -> DataFrame:
+    """model, key, percentile: 100 * share of the same model's reference at or below a score. rows: model, key, pd, whose scores may be ones that the reference lacks."""
+    seen = reference.select("model", "pd", "n").unionByName(rows.select("model", "pd", F.lit(0).cast("long").alias("n"))).groupBy("model", "pd").agg(F.sum("n").alias("n"))
+    index = prefix_sums(seen, "pd", ["n"], ["model"]).select("model", "pd", (100 * F.col("cum_n") / F.col("total_n")).alias("percentile"))
+    return rows.select("model", key, "pd").join(index, ["model", "pd"]).select("model", key, "percentile")
+
+
+def nearest_to_quantiles(df: DataFrame, value: str, shares: Sequence[float], key: str = "loan_id") -> DataFrame:
+    """q, key, value: for each share in turn the row nearest to its quantile, ties by key, no row twice. Each share's rows that could be taken are its nearest few, as many as there are shares."""
+    at = exact_quantiles(df, value, shares).first()
+    near = None
+    for q, v in zip(shares, at["q"] if at else [], strict=False):
+        one = df.select(F.lit(q).alias("q"), key, value, F.abs(F.col(value) - v).alias("d")).orderBy("d", key).limit(len(shares))
+        near = one if near is None else near.unionByName(one)
+    taken: list = []
+    for q in shares if near is not None else ():
+        mine = sorted((r["d"], r[key], r[value]) for r in near.filter(F.col("q") == q).collect() if r[key] not in {t[1] for t in taken})  # len(shares) rows
+        taken += [(q, mine[0][1], mine[0][2])] if mine else []
+    schema = f"q double, {key} {dict(df.dtypes)[key]}, {value} {dict(df.dtypes)[value]}"
+    return df.sparkSession.createDataFrame(taken, schema)
+
+
+def rank_importance(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """feature, v with rank: by value descending, then name. One row a feature."""
+    got = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "feature")))
+    return got if n is None else got.filter(F.col("rank") <= n)
+
+
+def at_thresholds(hist: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """threshold_table() from a histogram of distinct scores instead of the rows."""
+    names, p, n, at = [f"t{i}" for i in range(len(thresholds))], F.col("pos"), F.col("neg"), F.col("pd")
+    total = lambda what, which: F.coalesce(F.sum(F.when(which, what).otherwise(0)), F.lit(0))
+    one = lambda t: F.struct(F.lit(float(t)).alias("threshold"), total(p, at >= t).alias("tp"), total(n, at >= t).alias("fp"), total(p, at < t).alias("fn"), total(n, at < t).alias("tn"))
+    return rates(hist.agg(*[one(t).alias(x) for x, t in zip(names, thresholds, strict=True)]).unpivot([], names, "t", "v").select("v.*"))
+
+
+def generalization_delta(df: DataFrame, split: DataFrame, threshold: float) -> DataFrame:
+    """Each metric on the test split less the same on the validation split, one row."""
+    got = confusion_metrics(df.join(split.select("loan_id", "split"), "loan_id"), threshold, ["split"])
+    columns = ["precision", "recall", "f1", "accuracy"]
+    v = got.filter("split = 'validation'").select(*[F.col(c).alias(f"v_{c}") for c in columns])
+    return got.filter("split = 'test'").crossJoin(F.broadcast(v)).select(*[(F.col(c) - F.col(f"v_{c}")).alias(c) for c in columns])
 
 
 def average_rank(df: DataFrame, column: str, key: str = "loan_id") -> DataFrame:
@@ -197,6 +286,27 @@ def spearman(df: DataFrame, a: str, b: str, key: str = "loan_id") -> DataFrame:
     return average_rank(sound, a, key).withColumnRenamed("rank", "ra").join(average_rank(sound, b, key), key).agg(F.count("*").alias("n"), F.corr("ra", "rank").alias("rho"))
 
 
+def direction_summary(df: DataFrame, feature: str, contribution: str, key: str = "loan_id", least_rows: int = 30, least_values: int = 3) -> DataFrame:
+    """n, rho, low, middle, high, direction: the rank correlation of a feature with a contribution, the contribution's median in each third of the feature's order, and what they say. Too few rows or values, or a constant contribution: insufficient. Rows of equal feature values are ordered by key."""
+    sound = df.filter(F.col(feature).isNotNull() & F.col(contribution).isNotNull()).select(key, F.col(feature).cast("double").alias("f"), F.col(contribution).cast("double").alias("c"))
+    hist = sound.groupBy("f").agg(F.count("*").alias("n"))
+    before = prefix_sums(hist, "f", ["n"]).select("f", (F.col("cum_n") - F.col("n")).alias("before"), F.col("n").alias("equal"), F.col("total_n").alias("total"))
+    # A value's rows stand together; only values at the border of two thirds have theirs numbered.
+    third = lambda place: F.when(3 * place < F.col("total"), 0).when(3 * place < 2 * F.col("total"), 1).otherwise(2)
+    placed = sound.join(before, "f")
+    split = third(F.col("before")) != third(F.col("before") + F.col("equal") - 1)
+    inside = F.row_number().over(Window.partitionBy("f").orderBy(key)) - 1
+    whole = placed.filter(~split).select("c", third(F.col("before")).alias("third"))
+    parts = placed.filter(split).withColumn("place", F.col("before") + inside).select("c", third(F.col("place")).alias("third"))
+    medians = exact_quantiles(whole.unionByName(parts), "c", [0.5], ["third"]).agg(*[F.max(F.when(F.col("third") == k, F.col("q")[0])).alias(n) for k, n in enumerate(("low", "middle", "high"))])
+    facts = sound.agg(F.min("c").alias("c0"), F.max("c").alias("c1")).crossJoin(F.broadcast(hist.agg(F.count("*").alias("values"))))
+    got = spearman(sound, "f", "c", key).crossJoin(medians).crossJoin(facts)
+    enough = (F.col("n") >= least_rows) & (F.col("values") >= least_values) & (F.col("c0") < F.col("c1"))
+    rising, falling = (F.col("low") < F.col("middle")) & (F.col("middle") < F.col("high")), (F.col("low") > F.col("middle")) & (F.col("middle") > F.col("high"))
+    said = F.when(~F.coalesce(enough, F.lit(False)), "insufficient").when(rising, "rising").when(falling, "falling").otherwise("mixed")
+    return got.select("n", F.when(said != "insufficient", F.col("rho")).alias("rho"), "low", "middle", "high", said.alias("direction"))
+
+
 def monotonic_check(df: DataFrame, x: str, y: str, *, rising: bool) -> DataFrame:
     """breaks: neighbouring distinct x whose y goes the wrong way."""
     got = ordered_parts(df.groupBy(x).agg(F.min(y).alias("lo"), F.max(y).alias("hi")), x)

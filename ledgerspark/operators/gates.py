@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .policy import leakage_gate
 from .tables import grain
 
 
@@ -23,32 +24,47 @@ def strict(gate: DataFrame) -> DataFrame:
     return gate
 
 
-
 def grain_gate(df: DataFrame, key: str) -> DataFrame:
     return checks(grain(df, key), [("null keys", F.col("null_keys"), F.lit(0)), ("duplicate keys", F.col("duplicate_keys"), F.lit(0))])
 
 
-def canonical_gate(df: DataFrame, key: str = "loan_id") -> DataFrame:
+def canonical_gate(df: DataFrame, key: str = "loan_id", features: Sequence[str] | None = None) -> DataFrame:
+    """Key, targets, infinities, and with features that each is there and of a class that may feed a model."""
     numbers = [c for c, t in df.dtypes if t in ("double", "float")]
     inf = F.lit(0)
     for c in numbers:
         inf = inf + F.coalesce((F.abs(F.col(c)) == float("inf")).cast("int"), F.lit(0))
     one = grain(df, key).crossJoin(df.agg(F.count_if(F.col("target").isNull() | ~F.col("target").isin(0, 1)).alias("bad_targets"), F.sum(inf).alias("infinite")))
-    return checks(one, [("null keys", F.col("null_keys"), F.lit(0)), ("duplicate keys", F.col("duplicate_keys"), F.lit(0)), ("targets not 0 or 1", F.col("bad_targets"), F.lit(0)), ("infinite values", F.col("infinite"), F.lit(0))])
+    got = checks(one, [("null keys", F.col("null_keys"), F.lit(0)), ("duplicate keys", F.col("duplicate_keys"), F.lit(0)), ("targets not 0 or 1", F.col("bad_targets"), F.lit(0)), ("infinite values", F.coalesce("infinite", F.lit(0)), F.lit(0))])
+    return got if features is None else got.unionByName(leakage_gate(df, features))
 
 
-def el_reconciliation(df: DataFrame, lgd: float = 0.45) -> DataFrame:
+def el_reconciliation(df: DataFrame, lgd: float = 0.45, tiers: DataFrame | None = None, portfolio: DataFrame | None = None) -> DataFrame:
+    """Losses row by row, and where given that the tiers' and the portfolio's totals (loans, ead, el) are those of the rows."""
     el, ead, p = F.col("expected_loss"), F.col("loan_amnt"), F.col("predicted_pd")
     tol = F.greatest(F.lit(1.0), F.abs(ead)) * 1e-9
-    one = df.agg(F.count_if(F.abs(el - p * lgd * ead) > tol).alias("wrong"), F.count_if((el < 0) | (el > ead)).alias("outside"), F.count_if((F.col("el_lgd_30") > F.col("el_lgd_45")) | (F.col("el_lgd_45") > F.col("el_lgd_60"))).alias("not_monotone"))
-    return checks(one, [("EL = PD x LGD x EAD", F.col("wrong"), F.lit(0)), ("0 <= EL <= EAD", F.col("outside"), F.lit(0)), ("monotone in LGD", F.col("not_monotone"), F.lit(0))])
-
-
-def control_totals(df: DataFrame, by: str, expected: DataFrame) -> DataFrame:
-    """expected: label, n. A check for each label of either side."""
+    one = df.agg(F.count_if(F.abs(el - p * lgd * ead) > tol).alias("wrong"), F.count_if((el < 0) | (el - ead > 1e-9)).alias("outside"), F.count_if((F.col("el_lgd_30") > F.col("el_lgd_45") + 1e-10) | (F.col("el_lgd_45") > F.col("el_lgd_60") + 1e-10)).alias("not_monotone"), F.count("*").alias("rows"), F.sum(ead).alias("ead"), F.sum(el).alias("el"))
+    named = [("EL = PD x LGD x EAD", F.col("wrong"), F.lit(0)), ("0 <= EL <= EAD", F.col("outside"), F.lit(0)), ("monotone in LGD", F.col("not_monotone"), F.lit(0))]
+    off = lambda a, b: F.when(F.abs(a - b) <= 1e-9 * F.greatest(F.abs(b), F.lit(1.0)), 0).otherwise(1)
+    if tiers is not None:
+        one = one.crossJoin(F.broadcast(tiers.agg(F.sum("loans").alias("t_rows"), F.sum("ead").alias("t_ead"), F.sum("el").alias("t_el"))))
+        named += [("tiers' loans = rows", F.col("t_rows"), F.col("rows")), ("tiers' EAD off", off(F.col("t_ead"), F.col("ead")), F.lit(0)), ("tiers' EL off", off(F.col("t_el"), F.col("el")), F.lit(0))]
+    if portfolio is not None:
+        one = one.crossJoin(F.broadcast(portfolio.select(F.col("el").alias("p_el"))))
+        named.append(("portfolio's EL off", off(F.col("p_el"), F.col("el")), F.lit(0)))
+    return checks(one, named)
+
+
+def control_totals(df: DataFrame, by: str, expected: DataFrame, el: float | None = None) -> DataFrame:
+    """expected: label, n. A check for each label of either side, one for all rows, and with el one for the total loss."""
     got = df.groupBy(F.col(by).alias("label")).agg(F.count("*").alias("observed"))
     both = got.join(expected.withColumnRenamed("n", "expected"), "label", "full")
-    return both.select(F.concat(F.lit("rows of "), "label").alias("check"), F.col("observed").eqNullSafe(F.col("expected")).alias("passed"), F.col("observed").cast("double").alias("observed"), F.col("expected").cast("double").alias("expected"))
+    rows = both.unionByName(both.agg(F.lit("all").alias("label"), F.sum("observed").alias("observed"), F.sum("expected").alias("expected")))
+    out = rows.select(F.concat(F.lit("rows of "), "label").alias("check"), F.col("observed").eqNullSafe(F.col("expected")).alias("passed"), F.col("observed").cast("double").alias("observed"), F.col("expected").cast("double").alias("expected"))
+    if el is None:
+        return out
+    total = F.sum("expected_loss")
+    return out.unionByName(df.agg(F.lit("total expected loss").alias("check"), (F.abs(total - el) <= 1e-6 + 1e-12 * abs(el)).alias("passed"), total.alias("observed"), F.lit(float(el)).alias("expected")))
 
 
 def probability_gate(df: DataFrame, threshold: float) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import features as X
 from ..functions import scoring as K
-from .tables import share
+from ..functions.cleaning import derive_target
+from .evaluation import exact_quantiles
+from .tables import _none, _require_scores, missing_ids, reconcile, require_grain, same_ids, share
 
 #: Groups smaller than this show no rate.
 SPARSE = 100
@@ -30,12 +33,15 @@ def band_metrics(df: DataFrame, by: str, labels: list[str], least: int = SPARSE)
 
 
 def box_stats(df: DataFrame, by: str, value: str, cap: float = 0.99) -> DataFrame:
-    """Quartiles and whiskers at 1.5 interquartile ranges of the values up to a quantile of all; exact quantiles."""
-    top = df.filter(F.col(value) >= 0).agg(F.percentile(value, cap).alias("cap"))
-    got = df.filter((F.col(value) >= 0) & F.col(by).isNotNull()).crossJoin(F.broadcast(top)).filter(F.col(value) <= F.col("cap"))
-    q = got.groupBy(by).agg(F.count("*").alias("n"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("q3"), F.max("cap").alias("cap"))
-    edge = F.broadcast(q.select(F.col(by).alias("k"), (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi")))
-    w = got.join(edge, got[by] == edge["k"]).filter(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(by).agg(F.min(value).alias("low_whisker"), F.max(value).alias("high_whisker"))
+    """Quartiles and whiskers at 1.5 interquartile ranges of the values up to a quantile of all; exact quantiles from running counts."""
+    sound = df.filter((F.col(value) >= 0) & ~F.isnan(value)).select(by, value)
+    top = exact_quantiles(sound, value, [cap]).select(F.col("q")[0].alias("cap"))
+    got = sound.filter(F.col(by).isNotNull()).crossJoin(F.broadcast(top)).filter(F.col(value) <= F.col("cap"))
+    q = exact_quantiles(got, value, [0.25, 0.5, 0.75], [by]).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    edge = F.broadcast(q.select(F.col(by).alias("k"), "q1", "q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
+    w = got.join(edge, got[by] == edge["k"]).groupBy(by).agg(F.count("*").alias("n"), F.max("cap").alias("cap"), F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"))
     return q.join(w, by)
 
 
@@ -50,19 +56,25 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
 
 def risk_tier_summary(df: DataFrame, threshold: float) -> DataFrame:
     t = df.withColumn("tier", K.pd_tier(F.col("predicted_pd"), threshold))
-    got = t.groupBy("tier").agg(F.count("*").alias("loans"), F.min("predicted_pd").alias("min_pd"), F.max("predicted_pd").alias("max_pd"), F.avg("predicted_pd").alias("mean_pd"), F.median("predicted_pd").alias("median_pd"), F.sum("target").alias("defaults"), F.avg("target").alias("observed_rate"))
-    return with_order(got.withColumn("share", share(F.col("loans"))), "tier", list(K.TIERS)).withColumns({"loans": F.coalesce("loans", F.lit(0)), "defaults": F.coalesce("defaults", F.lit(0)), "share": F.coalesce("share", F.lit(0.0))})
+    got = t.groupBy("tier").agg(F.count("*").alias("loans"), F.min("predicted_pd").alias("min_pd"), F.max("predicted_pd").alias("max_pd"), F.avg("predicted_pd").alias("mean_pd"), F.sum("target").alias("defaults"), F.avg("target").alias("observed_rate"))
+    median = exact_quantiles(t, "predicted_pd", [0.5], ["tier"]).select("tier", F.col("q")[0].alias("median_pd"))
+    got = got.join(median, "tier", "left").withColumn("share", share(F.col("loans")))
+    return with_order(got, "tier", list(K.TIERS)).withColumns({"loans": F.coalesce("loans", F.lit(0)), "defaults": F.coalesce("defaults", F.lit(0)), "share": F.coalesce("share", F.lit(0.0))})
 
 
 def score_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    one = lambda c: F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p"), F.max(c).alias("max"))
-    got = df.agg(*[one(F.col(c).cast("double")).alias(c) for c in columns]).unpivot([], columns, "variable", "s")
-    return got.select("variable", "s.n", "s.mean", "s.std", "s.min", *[F.col("s.p")[i].alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "s.max")
+    """A row a variable; the exact quantiles of all come from one set of running counts."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "variable", "v")
+    got = long.groupBy("variable").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    names = ("p10", "p25", "median", "p75", "p90")
+    q = exact_quantiles(long, "v", [0.1, 0.25, 0.5, 0.75, 0.9], ["variable"]).select("variable", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    return got.join(q, "variable", "left").select("variable", "n", "mean", "std", "min", *names, "max")
 
 
 def el_portfolio(df: DataFrame) -> DataFrame:
     el, ead = F.col("expected_loss"), F.col("loan_amnt")
-    return df.agg(F.count("*").alias("loans"), F.sum(ead).alias("ead"), F.sum(el).alias("el"), F.avg(el).alias("mean_el"), F.median(el).alias("median_el"), (F.sum(el) / F.nullif(F.sum(ead), F.lit(0.0))).alias("el_rate"), (F.sum(F.col("predicted_pd") * ead) / F.nullif(F.sum(ead), F.lit(0.0))).alias("weighted_pd"))
+    got = df.agg(F.count("*").alias("loans"), F.sum(ead).alias("ead"), F.sum(el).alias("el"), F.avg(el).alias("mean_el"), (F.sum(el) / F.nullif(F.sum(ead), F.lit(0.0))).alias("el_rate"), (F.sum(F.col("predicted_pd") * ead) / F.nullif(F.sum(ead), F.lit(0.0))).alias("weighted_pd"))
+    return got.crossJoin(F.broadcast(exact_quantiles(df, "expected_loss", [0.5]).select(F.col("q")[0].alias("median_el")))).select("loans", "ead", "el", "mean_el", "median_el", "el_rate", "weighted_pd")
 
 
 def el_by(df: DataFrame, by: str) -> DataFrame:
@@ -80,26 +92,162 @@ def threshold_policy(df: DataFrame, threshold: float, lgd: float = K.BASE_LGD) -
     return df.agg(F.sum(yes.cast("long")).alias("approved"), F.sum((~yes).cast("long")).alias("rejected"), F.sum(F.when(yes, F.col("target")).otherwise(0)).alias("defaults_approved"), F.sum(F.when(yes, K.expected_loss(F.col("predicted_pd"), lgd, F.col("loan_amnt"))).otherwise(0.0)).alias("el_approved"))
 
 
-def evaluated_fact(df: DataFrame, threshold: float) -> DataFrame:
-    """Grain loan: the 1:1 join of scores, losses and FICO is one projection here, with bins, tiers and their orders."""
+def scored_fact(df: DataFrame, threshold: float) -> DataFrame:
+    """Scored loans with losses, bins, tiers and their orders, as one projection."""
     p = F.col("predicted_pd")
     tier = K.pd_tier(p, threshold)
-    fact = K.expected_loss_dataset(df).withColumns({
+    return K.expected_loss_dataset(df).withColumns({
         "risk_score": K.risk_score(p), "credit_score": K.credit_score(p), "tier": tier, "tier_order": K.tier_order(tier), "predicted_class": K.flag_default(p, threshold),
         "pd_bin": K.pd_bin(p), "pd_bin_lower": (K.pd_bin(p) - 1) / 20, "fico_label": F.coalesce("fico_band", F.lit("Missing")), "fico_order": K.fico_order(F.col("fico_band")),
     })
-    return fact
+
+
+# Fixed columns of the fact and of what it is joined from.
+SCORES = ("loan_id", "target", "predicted_pd", "predicted_class", "risk_score", "credit_score", "risk_tier", "fico_avg", "loan_amnt", "annual_inc", "dti", "loan_to_income_ratio", "home_ownership", "purpose")
+LOSSES = ("loan_id", "target", "predicted_pd", "risk_score", "credit_score", "risk_tier", "loan_amnt", "ead_proxy", "expected_loss", "expected_loss_rate", "expected_loss_lgd_30", "expected_loss_lgd_45", "expected_loss_lgd_60")
+FACT = (
+    "loan_id", "target", "predicted_pd", "predicted_class", "risk_score", "credit_score", "risk_tier", "risk_tier_label", "tier_sort_order", "fico_avg", "fico_band", "fico_band_sort_order",
+    "loan_amnt", "annual_inc", "dti", "loan_to_income_ratio", "home_ownership", "purpose", "ead_proxy", "expected_loss", "expected_loss_rate", "expected_loss_lgd_30", "expected_loss_lgd_45",
+    "expected_loss_lgd_60", "pd_bin", "pd_bin_label", "pd_bin_sort_order",
+)
+_BOTH = ("target", "predicted_pd", "risk_score", "credit_score", "risk_tier", "loan_amnt")
+
+
+def losses(scores: DataFrame) -> DataFrame:
+    """The loss side of scored loans: exposure, loss at the base LGD and at each of the others."""
+    got = K.expected_loss_dataset(scores)
+    return got.withColumns({"ead_proxy": F.col("loan_amnt")}).withColumnsRenamed({"el_rate": "expected_loss_rate"} | {f"el_lgd_{k}": f"expected_loss_lgd_{k}" for k in (30, 45, 60)}).select(*LOSSES)
+
+
+def evaluated_fact(scores: DataFrame, loss: DataFrame, fico: DataFrame) -> DataFrame:
+    """Grain loan, 27 columns: scores (risk_tier as its long label), losses and FICO bands joined one to one.
+
+    Raises unless ids are keys and the same on both sides, every loan has a band row, what both sides carry is equal, and
+    targets, probabilities, tiers, bands and amounts are of their range.
+    """
+    for name, df, columns in (("scores", scores, SCORES), ("losses", loss, LOSSES), ("FICO bands", fico, ("loan_id", "fico_band"))):
+        if missing := sorted(set(columns).difference(df.columns)):
+            raise ValueError(f"{name} lack {missing}")
+        require_grain(df, "loan_id")
+    _require_scores(scores, "scores")
+    same_ids(scores, loss, "losses")
+    _none(missing_ids(scores, fico), "loans without a FICO band")
+    _none(reconcile(scores, loss, "loan_id", list(_BOTH)).filter("mismatches > 0"), "scores and losses differ")
+    amounts = ("expected_loss", "expected_loss_rate", "expected_loss_lgd_30", "expected_loss_lgd_45", "expected_loss_lgd_60", "ead_proxy")
+    got = scores.select(*SCORES).join(loss.select("loan_id", *amounts), "loan_id").join(fico.select("loan_id", "fico_band"), "loan_id")
+    band = F.coalesce("fico_band", F.lit("Missing"))
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    sound = K.tier_code(F.col("risk_tier")).isNotNull() & F.coalesce(F.col("predicted_class").isin(0, 1), F.lit(False)) & band.isin(*X.FICO_BANDS[1], "Missing")
+    for c in (*amounts, "risk_score", "credit_score", "loan_amnt"):
+        sound = sound & finite(c)
+    sound = sound & (F.col("expected_loss") == F.col("expected_loss_lgd_45")) & (F.col("ead_proxy") == F.col("loan_amnt"))
+    _none(got.filter(~F.coalesce(sound, F.lit(False))).select("loan_id"), "loans out of range")
+    code, bin_no = K.tier_code(F.col("risk_tier")), K.pd_bin(F.col("predicted_pd"))
+    made = {
+        "risk_tier_label": F.col("risk_tier"), "tier_sort_order": K.tier_order(code), "fico_band_sort_order": K.fico_order(F.col("fico_band")), "pd_bin_sort_order": bin_no,
+        "pd_bin": (bin_no - 1) / 20, "pd_bin_label": K.pd_bin_label(bin_no), "risk_tier": code, "fico_band": band,
+    }
+    return got.withColumns(made).select(*FACT)
 
 
 def fact_measures(fact: DataFrame, by: str) -> DataFrame:
     risky = F.col("tier").isin("C", "D")
     got = fact.groupBy(by).agg(
-        F.count("*").alias("loans"), F.avg("predicted_pd").alias("mean_pd"), F.median("predicted_pd").alias("median_pd"), F.sum("target").alias("defaults"), F.avg("target").alias("default_rate"),
+        F.count("*").alias("loans"), F.avg("predicted_pd").alias("mean_pd"), F.sum("target").alias("defaults"), F.avg("target").alias("default_rate"),
         F.sum("loan_amnt").alias("ead"), F.sum("expected_loss").alias("el"), F.avg("expected_loss").alias("mean_el"), F.sum(risky.cast("long")).alias("high_risk"),
     )
+    median = exact_quantiles(fact, "predicted_pd", [0.5], [by]).select(F.col(by).alias("_by"), F.col("q")[0].alias("median_pd"))
+    got = got.join(median, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     return got.withColumns({"loan_share": share(F.col("loans")), "el_rate": F.col("el") / F.nullif(F.col("ead"), F.lit(0.0)), "el_contribution": share(F.col("el")), "high_risk_share": F.col("high_risk") / F.col("loans")})
 
 
+def quartiles_by(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, q1, median, q3, mean."""
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], [by]).select(F.col(by).alias("_by"), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    got = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return got.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "q1", "median", "q3", "mean")
+
+
+def status_counts(df: DataFrame) -> DataFrame:
+    """Rows per status, null as <NA>."""
+    return df.groupBy(F.coalesce("loan_status", F.lit("<NA>")).alias("loan_status")).agg(F.count("*").alias("n"))
+
+
+def target_audit(df: DataFrame) -> DataFrame:
+    return df.groupBy("loan_status").agg(F.count("*").alias("n")).withColumn("mapped_target", derive_target(F.col("loan_status")))
+
+
+def cleaning_audit(cleaned: DataFrame) -> DataFrame:
+    n = F.count("*")
+    return cleaned.agg(n.alias("rows"), F.count_if(F.col("target").isNull()).alias("unresolved"), F.count("state_code").alias("states"), F.count("zip_code").alias("zips"), (F.count("state_code") / F.nullif(n, F.lit(0))).alias("state_coverage"))
+
+
+def canonical_audit(df: DataFrame) -> DataFrame:
+    n, ids = F.count("*"), F.countDistinct("loan_id")
+    return df.agg(n.alias("joined"), F.count("target").alias("labeled"), (n - F.count("target")).alias("unresolved"), ids.alias("unique_ids"), (n - ids).alias("duplicate_ids"), (n - F.count("loan_id")).alias("null_ids"), F.count_if(F.col("target") == 0).alias("paid"), F.count_if(F.col("target") == 1).alias("defaulted"))
+
+
+def scan_audit(df: DataFrame) -> DataFrame:
+    """One pass: rows, ids, targets, coverage, and infinities in any numeric column."""
+    inf = F.lit(False)
+    for c, t in df.dtypes:
+        if t in ("double", "float"):
+            inf = inf | F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False))
+    n = F.count("*")
+    part = lambda c: F.count(c) / F.nullif(n, F.lit(0))
+    return df.agg(n.alias("rows"), (n - F.count("loan_id")).alias("null_ids"), (n - F.countDistinct("loan_id")).alias("duplicate_ids"), F.count_if(F.col("target") == 1).alias("defaulted"), part("state_code").alias("state_coverage"), part("issue_d").alias("date_coverage"), F.count_if(inf).alias("infinite"))
+
+
+def loan_trend(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.date_format("issue_d", "yyyy-MM").alias("month")).agg(F.count("*").alias("loans"), F.sum("loan_amnt").alias("amount"))
+
+
+def accepted_volume(df: DataFrame) -> DataFrame:
+    return df.filter("issue_d is not null").groupBy(F.trunc("issue_d", "MM").alias("month")).agg(F.count("*").alias("loans"))
+
+
+def time_metrics(df: DataFrame) -> DataFrame:
+    return df.filter("target in (0, 1)").groupBy(F.trunc("issue_d", "MM").alias("month")).agg(F.count("*").alias("loans"), F.sum("target").alias("defaults"), F.avg("target").alias("default_rate"))
+
+
+def funnel_counts(funnel: DataFrame, expected: dict[str, DataFrame]) -> DataFrame:
+    """Applications per decision beside the rows of the table that each comes from."""
+    counts = None
+    for decision, df in expected.items():
+        one = df.agg(F.lit(decision).alias("decision"), F.count("*").alias("expected"))
+        counts = one if counts is None else counts.unionByName(one)
+    return funnel.groupBy("decision").agg(F.count("*").alias("applications")).join(counts, "decision")
+
+
+def funnel_monthly(funnel: DataFrame) -> DataFrame:
+    return funnel.groupBy(F.trunc("application_date", "MM").alias("application_month"), "state_code", "decision").agg(F.count("*").alias("application_count"), F.sum("requested_amount").alias("requested_amount"), F.count("requested_amount").alias("amount_known_count"))
+
+
+def lti_risk_line(fact: DataFrame, least: int = SPARSE) -> DataFrame:
+    """Per loan-to-income bin: where it stands, its label, loans, mean probability, observed rate, their gap, and whether it is sparse."""
+    got = fact.withColumn("lti_bin", K.lti_bin(F.col("loan_to_income_ratio"))).filter("lti_bin is not null").groupBy("lti_bin")
+    got = got.agg(F.count("*").alias("n"), F.avg("predicted_pd").alias("mean_pd"), F.avg("target").alias("observed_rate"), (F.avg("target") - F.avg("predicted_pd")).alias("gap"), (F.count("*") < least).alias("sparse"))
+    return got.withColumns({"lti_x": K.lti_bin_x(F.col("lti_bin")), "lti_label": K.lti_bin_label(F.col("lti_bin"))})
+
+
+def state_risk_map(fact: DataFrame, states: DataFrame) -> DataFrame:
+    """Every state, with 0 loans and defaults where the fact has none."""
+    got = fact.groupBy("state_code").agg(F.count("*").alias("n"), F.sum("target").alias("d"), F.avg("target").alias("default_rate"), F.avg("predicted_pd").alias("mean_pd"))
+    return states.select("state_code").join(got, "state_code", "left").select("state_code", F.coalesce("n", F.lit(0)).alias("loans"), F.coalesce("d", F.lit(0)).alias("defaults"), "default_rate", "mean_pd")
+
+
+def portfolio_kpis(df: DataFrame, least: int = SPARSE) -> DataFrame:
+    return df.agg(F.count("*").alias("loans"), F.sum("loan_amnt").alias("funded"), F.avg("fico_avg").alias("mean_fico"), F.avg("loan_amnt").alias("mean_loan"), F.when(F.count("target") >= least, F.avg("target")).alias("default_rate"))
+
+
+def numeric_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("low"), F.max(F.col(c).cast("double")).alias("high")).alias(c) for c in columns]).unpivot([], columns, "feature", "b").select("feature", "b.low", "b.high")
+
+
+def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*columns).unpivot([], columns, "feature", "value").groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
 def top_by_count(df: DataFrame, by: str) -> DataFrame:
     """The value with the most rows; of equal counts the first by value. The sort keeps one row a task."""
     return df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(1)

@@ -16,11 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as K
-from ..functions.features import sanitize_inputs
+from ..functions.features import DTI_BANDS, INCOME_BANDS, LOAN_BANDS, band, safe_ratio, sanitize_inputs
+from .evaluation import direction_summary
+from .tables import scored_context_join
 
 NUMBERS, CATEGORIES = ("loan_amnt", "annual_inc", "dti", "fico_range_low", "term_months"), ("purpose", "home_ownership")
+#: Inputs of the compact models, numbers and categories.
 SIX = (("loan_amnt", "annual_inc", "dti", "term_months"), ("purpose", "home_ownership"))
+FIVE = (("loan_amnt", "annual_inc", "dti", "term_months"), ("purpose",))
 OVERRIDABLE = ("loan_amnt", "annual_inc", "dti", "term_months")
+# Fixed ranges of overrides, both ends included (income must be above 0), and the terms on offer.
+RANGES = {"loan_amnt": (500, 40_000), "annual_inc": (0, 10_999_200), "dti": (0, 999)}
+TERMS = (36, 60)
 
 
 def fill_modes(df: DataFrame, categories: Sequence[str]) -> dict[str, str]:
@@ -88,6 +95,18 @@ def score_batch(model: Model, df: DataFrame, threshold: float) -> DataFrame:
     return model.transform(df).select("loan_id", "target", p.alias("predicted_pd")).withColumn("predicted_class", K.flag_default(F.col("predicted_pd"), threshold))
 
 
+def compact_model(df: DataFrame, inputs: int = 6, kind: str = "logistic", **how) -> Model:
+    """A model of five or six inputs, of either kind; inputs out of range count as missing."""
+    numbers, categories = {5: FIVE, 6: SIX}[inputs]
+    return fit(df, kind, numbers=numbers, categories=categories, **how)
+
+
+def full_refit(df: DataFrame, context: DataFrame, threshold: float, kind: str = "logistic", **how) -> DataFrame:
+    """A model of all labeled rows, which it scores, joined with their context under its guards."""
+    labeled = df.filter("target is not null")
+    return scored_context_join(score_batch(fit(labeled, kind, **how), labeled, threshold), context, threshold)
+
+
 def out_of_fold_scores(folds: DataFrame, kind: str = "logistic", **how) -> DataFrame:
     """Each row scored by a model that saw only the other folds, preprocessing included."""
     got = None
@@ -98,14 +117,14 @@ def out_of_fold_scores(folds: DataFrame, kind: str = "logistic", **how) -> DataF
     return got
 
 
-def linear_contributions(model: Model, df: DataFrame) -> DataFrame:
-    """loan_id, feature (source column), contribution; their sum and the intercept are the margin."""
+def linear_contributions(model: Model, df: DataFrame, key: str = "loan_id") -> DataFrame:
+    """key, feature (source column), contribution; their sum and the intercept are the margin."""
     coefficients = model.fitted.stages[-1].coefficients.toArray().tolist()
     sources = [s for _, s in model.feature_names()]
-    x = model.transform(df).select("loan_id", vector_to_array("features").alias("x"))
+    x = model.transform(df).select(key, vector_to_array("features").alias("x"))
     per = F.zip_with("x", F.array(*map(F.lit, coefficients)), lambda a, b: a * b)
     out = [F.struct(F.lit(f).alias("feature"), sum((F.get("per", i) for i, s in enumerate(sources) if s == f), F.lit(0.0)).alias("contribution")) for f in dict.fromkeys(sources)]
-    return x.select("loan_id", per.alias("per")).select("loan_id", F.explode(F.array(*out)).alias("c")).select("loan_id", "c.*")
+    return x.select(key, per.alias("per")).select(key, F.explode(F.array(*out)).alias("c")).select(key, "c.*")
 
 
 def tree_table(model: Model) -> list[dict]:
@@ -225,8 +244,20 @@ def gain_importance(model: Model) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame([(n, s, float(g), w, c) for (n, s), g, w, c in zip(names, gain, weight, cover, strict=True)], "encoded string, feature string, gain double, weight int, cover double")
 
 
-def global_importance(contributions: DataFrame) -> DataFrame:
+def global_importance(contributions: DataFrame, gain: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """feature, mean_abs, rank; with gain (gain_importance()) also gain and encoded, the number of encoded columns; with values (loan_id, feature, value: the numeric inputs) also rho and direction, `category` where a feature has no numeric values."""
     got = contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    if gain is not None:
+        of = gain.groupBy("feature").agg(F.sum("gain").alias("gain"), F.count("*").alias("encoded"))
+        got = got.join(of, "feature", "left").withColumns({"gain": F.coalesce("gain", F.lit(0.0)), "encoded": F.coalesce("encoded", F.lit(0))})
+    if values is not None:
+        said = None
+        for feature in sorted(r["feature"] for r in values.select("feature").distinct().collect()):  # a few inputs
+            both = contributions.filter(F.col("feature") == feature).join(values.filter(F.col("feature") == feature).drop("feature"), "loan_id")
+            one = direction_summary(both, "value", "contribution").select(F.lit(feature).alias("feature"), "rho", "direction")
+            said = one if said is None else said.unionByName(one)
+        if said is not None:
+            got = got.join(said, "feature", "left").withColumn("direction", F.coalesce("direction", F.lit("category")))
     return got.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))
 
 
@@ -237,30 +268,73 @@ def top_contributors(contributions: DataFrame, n: int = 5) -> DataFrame:
     return contributions.withColumn("sign", sign).filter("sign is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def validate_overrides(scenarios: DataFrame) -> DataFrame:
-    """scenarios with accepted and the reasons against each."""
-    checks = [
-        F.when(F.col("loan_amnt").isNotNull() & ~F.col("loan_amnt").between(500, 100_000), "loan_amnt out of range"), F.when(F.col("annual_inc").isNotNull() & (F.col("annual_inc") <= 0), "annual_inc not positive"),
-        F.when(F.col("dti").isNotNull() & ~F.col("dti").between(0, 100), "dti out of range"), F.when(F.col("term_months").isNotNull() & ~F.col("term_months").isin(36, 60), "term not 36 or 60"),
-    ]
-    reasons = F.filter(F.array(*checks), lambda r: r.isNotNull())
+def validate_overrides(scenarios: DataFrame, seen: dict[str, list] | None = None) -> DataFrame:
+    """scenarios with accepted and the reasons against each: a column that may not be overridden, a value that isn't finite or out of its range, a term that isn't offered, and with seen (category: values in training) a category that the model hasn't seen."""
+    seen = seen or {}
+    if unknown := sorted(set(scenarios.columns).difference(("scenario", "loan_id", *OVERRIDABLE, *seen))):
+        raise ValueError(f"columns that may not be overridden: {unknown}")
+    rules = []
+    for c, (least, most) in RANGES.items():
+        x = F.col(c).cast("double")
+        above = x > least if c == "annual_inc" else x >= least
+        rules.append(F.when(x.isNotNull() & ~(above & (x <= most) & ~F.isnan(x)), f"{c} out of range"))
+    rules.append(F.when(F.col("term_months").isNotNull() & ~F.col("term_months").isin(*TERMS), "term not 36 or 60"))
+    rules += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(values)), f"{c} not seen in training") for c, values in seen.items() if c in scenarios.columns]
+    reasons = F.filter(F.array(*rules), lambda r: r.isNotNull())
     return scenarios.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
 
 
+def validate_inputs(df: DataFrame, bounds: DataFrame, categories: DataFrame) -> DataFrame:
+    """loan_id, reasons, accepted: inputs outside the training bounds (feature, low, high) or of a category value that training hasn't (feature, value). A missing input is accepted: it's filled in."""
+    low_high = {r["feature"]: (r["low"], r["high"]) for r in bounds.collect()}  # a row a feature
+    rules = [F.when(F.col(c).isNotNull() & ~F.col(c).cast("double").between(lo, hi), f"{c} out of the training range") for c, (lo, hi) in sorted(low_high.items()) if c in df.columns]
+    got = df
+    for c in sorted(r["feature"] for r in categories.select("feature").distinct().collect()):
+        known = categories.filter((F.col("feature") == c) & F.col("value").isNotNull()).select(F.col("value").alias(c), F.lit(True).alias(f"_{c}"))
+        got = got.join(known, c, "left")
+        rules.append(F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), f"{c} not seen in training"))
+    reasons = F.filter(F.array(*rules), lambda r: r.isNotNull())
+    return got.select("loan_id", reasons.alias("reasons")).withColumn("accepted", F.size("reasons") == 0)
+
+
+#: What is recomputed after an override.
+DEPENDENT = ("loan_to_income_ratio", "loan_amount_band", "income_band", "dti_band")
+
+
 def apply_overrides(loans: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Each accepted scenario's loan with its overrides in place and what depends on them recomputed, and each such loan as it is (scenario null)."""
     ok = validate_overrides(scenarios).filter("accepted").select("scenario", "loan_id", *[F.col(c).alias(f"new_{c}") for c in OVERRIDABLE])
     changed = loans.join(ok, "loan_id").withColumns({c: F.coalesce(F.col(f"new_{c}").cast(dict(loans.dtypes)[c]), F.col(c)) for c in OVERRIDABLE}).drop(*[f"new_{c}" for c in OVERRIDABLE])
     base = loans.join(ok.select("loan_id").distinct(), "loan_id", "left_semi").withColumn("scenario", F.lit(None).cast("string"))
-    both = changed.unionByName(base)
-    ratio = F.when(F.col("annual_inc") > 0, F.col("loan_amnt") / F.nullif(F.col("annual_inc"), F.lit(0.0)))
-    return both.withColumns({"loan_to_income_ratio": ratio, "is_what_if": F.col("scenario").isNotNull()})
+    made = {
+        "loan_to_income_ratio": safe_ratio(F.col("loan_amnt").cast("double"), F.col("annual_inc").cast("double")), "loan_amount_band": band(F.col("loan_amnt"), LOAN_BANDS, right=True),
+        "income_band": band(F.col("annual_inc"), INCOME_BANDS, right=True), "dti_band": band(F.col("dti"), DTI_BANDS, right=True), "is_what_if": F.col("scenario").isNotNull(),
+    }
+    return changed.unionByName(base).withColumns(made)
 
 
-def what_if(loans: DataFrame, scenarios: DataFrame, score: Column | Model) -> DataFrame:
+def what_if(loans: DataFrame, scenarios: DataFrame, score: Column | Model, threshold: float) -> DataFrame:
+    """The results: score, class, tier and losses of each scenario and of each loan as it is."""
     got = apply_overrides(loans, scenarios)
     if isinstance(score, Model):
         got = score.transform(got).withColumn("predicted_pd", vector_to_array("probability")[1])
     else:
         got = got.withColumn("predicted_pd", score)
-    return K.expected_loss_dataset(got).select("loan_id", "scenario", "is_what_if", *OVERRIDABLE, "loan_to_income_ratio", "predicted_pd", "el_lgd_30", "el_lgd_45", "el_lgd_60")
+    p = F.col("predicted_pd")
+    got = K.expected_loss_dataset(got).withColumns({"predicted_class": K.flag_default(p, threshold), "risk_score": K.risk_score(p), "credit_score": K.credit_score(p), "risk_tier": K.tier_label(K.pd_tier(p, threshold))})
+    return got.select("loan_id", "scenario", "is_what_if", *OVERRIDABLE, *DEPENDENT, "predicted_pd", "predicted_class", "risk_score", "credit_score", "risk_tier", "expected_loss", "el_lgd_30", "el_lgd_45", "el_lgd_60")
+
+
+def what_if_inputs(loans: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """scenario, loan_id, input_role (baseline, current), the fields that may be overridden and what depends on them: two rows for each accepted scenario."""
+    got = apply_overrides(loans, scenarios)
+    columns = [*OVERRIDABLE, *DEPENDENT]
+    current = got.filter("is_what_if").select("scenario", "loan_id", F.lit("current").alias("input_role"), *columns)
+    base = got.filter("not is_what_if").select("loan_id", F.lit("baseline").alias("input_role"), *columns)
+    return current.unionByName(current.select("scenario", "loan_id").join(base, "loan_id").select("scenario", "loan_id", "input_role", *columns))
+
+
+def what_if_attributions(model: Model, loans: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """loan_id, scenario, feature, contribution for each accepted scenario and each loan as it is (scenario null), by a logistic model."""
+    got = apply_overrides(loans, scenarios).withColumn("row", F.struct("loan_id", "scenario"))
+    return linear_contributions(model, got, "row").select("row.loan_id", "row.scenario", "feature", "contribution")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The hash is a permutation step modulo a prime, so that any engine can repeat it; ranges of it split the ranking.
-MODULUS, MULTIPLIER, RANGES = 1_000_003, 7919, 64
+MODULUS, MULTIPLIER, RANGES, ROWS = 1_000_003, 7919, 64, 1_000_000
 
 
 def lot(key: Column, seed: int = 42) -> Column:
@@ -14,9 +14,10 @@ def lot(key: Column, seed: int = 42) -> Column:
 
 
 def ranked(df: DataFrame, by: str, key: str = "loan_id", seed: int = 42) -> DataFrame:
-    """df with `rank` from 1 within each value of `by`, in the order of the hash, then the key, and `n`, its rows. Ranges of the hash rank their own rows; only their counts meet."""
+    """df with `rank` from 1 within each value of `by`, in the order of the hash, then the key, and `n`, its rows. Ranges of the hash, as many as the rows need, rank their own rows; only their counts meet."""
     h = lot(F.col(key), seed)
-    cut = df.withColumns({"_h": h, "_r": F.floor(h * RANGES / MODULUS)})
+    ranges = min(MODULUS, max(RANGES, -(-df.count() // ROWS)))
+    cut = df.withColumns({"_h": h, "_r": F.floor(h * ranges / MODULUS)})
     counts = cut.groupBy(by, "_r").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(by)
     counts = counts.select(F.col(by).alias("_by"), F.col("_r").alias("_r2"), (F.sum("_n").over(w.orderBy("_r")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n"))
@@ -32,10 +33,16 @@ def stratified_split(df: DataFrame, train: float = 0.6, validation: float = 0.2,
     return got.select("loan_id", "target", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "validation").otherwise("test").alias("split"))
 
 
-def split_audit(split: DataFrame) -> DataFrame:
+def split_audit(split: DataFrame, labeled: DataFrame | None = None, tolerance: float = 0.005) -> DataFrame:
+    """Per split: rows, positives, rate, coverage, within_tolerance; overlap, the ids that are in another split too; and with the labeled rows (loan_id), lost: how many of those no split has, and unknown: how many rows of the split aren't among them."""
     total = split.agg(F.avg("target").alias("overall"), F.count("*").alias("all"))
-    got = split.groupBy("split").agg(F.count("*").alias("rows"), F.sum("target").alias("positives"), F.avg("target").alias("rate")).crossJoin(F.broadcast(total))
-    return got.select("split", "rows", "positives", "rate", (F.col("rows") / F.col("all")).alias("coverage"), (F.abs(F.col("rate") - F.col("overall")) <= 0.005).alias("within_tolerance"))
+    several = split.groupBy("loan_id").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
+    marked = split.join(several.select("loan_id", F.lit(1).alias("twice")), "loan_id", "left")
+    known = marked.withColumn("known", F.lit(1)) if labeled is None else marked.join(labeled.select("loan_id", F.lit(1).alias("known")), "loan_id", "left")
+    lost = split.sparkSession.range(1).select(F.lit(0).cast("long").alias("lost")) if labeled is None else labeled.join(split, "loan_id", "left_anti").agg(F.count("*").alias("lost"))
+    got = known.groupBy("split").agg(F.count("*").alias("rows"), F.sum("target").alias("positives"), F.avg("target").alias("rate"), F.count("twice").alias("overlap"), (F.count("*") - F.count("known")).alias("unknown"))
+    got = got.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(lost))
+    return got.select("split", "rows", "positives", "rate", (F.col("rows") / F.col("all")).alias("coverage"), (F.abs(F.col("rate") - F.col("overall")) <= tolerance).alias("within_tolerance"), "overlap", "unknown", "lost")
 
 
 def stratified_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:

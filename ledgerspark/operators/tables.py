@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed column lists of the business tables, by their policy class; the loan book here has some of them.
-APPLICATION = ("loan_id", "loan_amnt", "issue_d", "purpose", "term_months", "application_type")
-BORROWER = ("loan_id", "emp_title", "emp_length", "emp_length_years", "home_ownership", "annual_inc", "verification_status", "addr_state", "state_code", "zip_code", "country", "annual_inc_joint", "verification_status_joint")
-CREDIT = ("loan_id", "dti", "dti_joint", "earliest_cr_line", "fico_range_low", "fico_range_high")
-PRICING = ("loan_id", "funded_amnt", "funded_amnt_inv", "int_rate", "installment", "grade", "sub_grade", "initial_list_status")
-POST_LOAN = ("total_pymnt", "last_pymnt_d", "recoveries", "out_prncp")
-#: Classes of columns; only the first two may feed a model.
-POLICY = {c: "APPLICATION_TIME" for c in (*APPLICATION[1:], *BORROWER[1:])} | {c: "CREDIT_SNAPSHOT" for c in CREDIT[1:]} | {c: "PRICING_DECISION" for c in PRICING[1:]} | {c: "POST_LOAN" for c in POST_LOAN} | {"loan_id": "IDENTIFIER", "loan_status": "TARGET", "target": "TARGET"}
-ELIGIBLE = ("APPLICATION_TIME", "CREDIT_SNAPSHOT")
+from ..functions import scoring as K
+from ..functions.cleaning import COUNTRY
+from .policy import eligible, policy_class, policy_table, post_loan
+
 FUNNEL = ("application_id", "application_date", "requested_amount", "state_code", "zip_code", "purpose", "decision")
 
 
-def project(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The columns that are there, in the table's order; the key must be."""
+def project(df: DataFrame, columns: tuple[str, ...], *, strict: bool = False) -> DataFrame:
+    """The columns that are there, in the table's order; the key must be, and with strict it must be non-null and unique."""
     if columns[0] not in df.columns:
         raise ValueError(f"{columns[0]} is missing")
-    return df.select(*[c for c in columns if c in df.columns])
+    got = df.select(*[c for c in columns if c in df.columns])
+    if strict:
+        require_grain(got, columns[0])
+    return got
 
 
-def loan_outcome(df: DataFrame) -> DataFrame:
-    return project(df, ("loan_id", "loan_status", "target", *POST_LOAN))
+def loan_outcome(df: DataFrame, *, strict: bool = False) -> DataFrame:
+    """The status, the target and every column that is known only after the loan."""
+    return project(df, ("loan_id", "loan_status", "target", *post_loan(df.columns)), strict=strict)
 
 
 def labeled_only(df: DataFrame) -> DataFrame:
@@ -57,12 +56,100 @@ def missing_ids(a: DataFrame, b: DataFrame, key: str = "loan_id") -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
 
 
+def _none(df: DataFrame, what: str) -> None:
+    """Raises if df has rows."""
+    if some := df.limit(5).collect():
+        raise ValueError(f"{what}: {[r.asDict() for r in some]}")
+
+
+def same_ids(a: DataFrame, b: DataFrame, what: str, key: str = "loan_id") -> None:
+    """Raises unless both sides have the same ids."""
+    _none(missing_ids(a, b, key), f"{what} lacks ids")
+    _none(missing_ids(b, a, key), f"{what} has ids too many")
+
+
+def partition_rows(canonical: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """The canonical rows of these ids (loan_id, target). All must be found, each once, with the same target."""
+    require_grain(ids, "loan_id")
+    got = canonical.join(ids.select("loan_id"), "loan_id", "left_semi")
+    require_grain(got, "loan_id")
+    _none(missing_ids(ids, got), "ids that aren't there")
+    both = ids.select("loan_id", F.col("target").alias("of")).join(got.select("loan_id", "target"), "loan_id")
+    _none(both.filter(~F.col("target").eqNullSafe(F.col("of"))), "targets that differ")
+    return got.select("loan_id", *[c for c in columns if c != "loan_id"])
+
+
+def _require_scores(df: DataFrame, what: str, threshold: float | None = None) -> None:
+    """loan_id is a key, targets are 0 or 1, probabilities in [0, 1], and classes follow the threshold."""
+    require_grain(df, "loan_id")
+    sound = F.coalesce(F.col("target").isin(0, 1), F.lit(False)) & F.coalesce(F.col("predicted_pd").between(0, 1), F.lit(False))
+    if threshold is not None:
+        sound = sound & F.coalesce(F.col("predicted_class") == K.flag_default(F.col("predicted_pd"), threshold), F.lit(False))
+    _none(df.filter(~sound).select("loan_id"), f"{what} with a target, probability or class out of range")
+
+
+def scored_context_join(predictions: DataFrame, context: DataFrame, threshold: float) -> DataFrame:
+    """predictions (loan_id, target, predicted_pd, predicted_class) with their context, scores and tier. The context may not bring outcomes or scores of its own and must cover every loan."""
+    _require_scores(predictions, "predictions", threshold)
+    require_grain(context, "loan_id")
+    if clash := sorted({"target", "predicted_pd", "predicted_class", "risk_tier"}.intersection(context.columns)):
+        raise ValueError(f"context brings {clash}")
+    _none(missing_ids(predictions, context), "loans without context")
+    p = F.col("predicted_pd")
+    made = {"decision_threshold": F.lit(float(threshold)), "risk_score": K.risk_score(p), "credit_score": K.credit_score(p), "risk_tier": K.tier_label(K.pd_tier(p, threshold))}
+    return predictions.join(context, "loan_id", "left").withColumns(made)
+
+
+def align_predictions(predictions: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """loan_id, target and a column of probabilities for each model. Every model must have exactly these ids (loan_id, target), with these targets and probabilities in [0, 1]."""
+    require_grain(ids, "loan_id")
+    got = ids.select("loan_id", "target")
+    for name, df in predictions.items():
+        _require_scores(df, name)
+        same_ids(ids, df, name)
+        own = df.select("loan_id", F.col("target").alias("of"), F.col("predicted_pd").alias(name))
+        _none(got.join(own, "loan_id").filter(~F.col("of").eqNullSafe(F.col("target"))).select("loan_id"), f"{name} with other targets")
+        got = got.join(own.drop("of"), "loan_id")
+    return got
+
+
+def accepted_rejected_by(accepted: DataFrame, rejected: DataFrame, by: str = "state_code") -> DataFrame:
+    """Applications of either kind by a column, 0 where a side has none."""
+    a, r = (x.groupBy(by).agg(F.count("*").alias(n)) for x, n in ((accepted, "accepted"), (rejected, "rejected")))
+    return a.join(r, by, "full").select(by, F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+def star_join(facts: DataFrame, dates: DataFrame, states: DataFrame) -> DataFrame:
+    """Facts with their date's and their state's dimension."""
+    return facts.join(dates, facts["issue_d"] == dates["date"]).join(states, "state_code")
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    """One row with the count; of Parquet files it comes from their footers."""
+    return df.agg(F.count("*").alias("rows"))
+
+
+def set_difference(a: DataFrame, b: DataFrame, sides: tuple[str, str]) -> DataFrame:
+    """Distinct rows that only one of two tables has, and which."""
+    return a.subtract(b).withColumn("side", F.lit(sides[0])).unionByName(b.subtract(a).withColumn("side", F.lit(sides[1])))
+
+
+#: Numbers of equal rejected applications that are made at once.
+EQUALS = 10_000
+
+
 def application_funnel(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Both files on one schema. A rejected application has no id: it gets one from a hash of its values and its number among equals."""
+    """Both files on one schema. A rejected application has no id: it gets one from a digest of its values and its number among equals.
+
+    Equal applications are interchangeable, so they are counted, which combines before the shuffle, and numbered as they
+    are made again from their count. No task holds or orders a set of equals, however many those are.
+    """
     yes = accepted.select(F.col("loan_id").alias("application_id"), F.col("issue_d").alias("application_date"), F.col("loan_amnt").alias("requested_amount"), "state_code", "zip_code", "purpose", F.lit("accepted").alias("decision"))
-    own = F.xxhash64(*rejected.columns)
-    again = F.row_number().over(Window.partitionBy(*rejected.columns).orderBy(F.lit(1)))
-    no = rejected.withColumn("again", again).select(F.concat(F.lit("rejected-"), F.hex(own), F.lit("-"), F.col("again")).alias("application_id"), "application_date", "requested_amount", "state_code", "zip_code", F.col("loan_title").alias("purpose"), F.lit("rejected").alias("decision"))
+    own = F.substring(F.sha2(F.to_json(F.struct(*rejected.columns)), 256), 1, 32)
+    counted = rejected.groupBy(*rejected.columns).agg(F.count("*").alias("n")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUALS))))
+    first = F.col("block") * EQUALS + 1
+    made = counted.withColumn("no", F.explode(F.sequence(first, F.least(first + EQUALS - 1, F.col("n")))))
+    no = made.select(F.concat(F.lit("rejected-"), own, F.lit("-"), F.col("no")).alias("application_id"), "application_date", "requested_amount", "state_code", "zip_code", F.col("loan_title").alias("purpose"), F.lit("rejected").alias("decision"))
     return yes.unionByName(no)
 
 
@@ -80,7 +167,7 @@ def dim_state(*states: tuple[DataFrame, str]) -> DataFrame:
     for df, c in states:
         s = df.select(F.upper(F.col(c)).alias("state_code")).filter("state_code is not null").distinct()
         one = s if one is None else one.unionByName(s)
-    return one.distinct().withColumn("country", F.lit("US"))
+    return one.distinct().withColumn("country", F.lit(COUNTRY))
 
 
 def reconcile(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -102,6 +189,22 @@ def column_profile(df: DataFrame) -> DataFrame:
     return got.unpivot([], df.columns, "column_name", "v").select("column_name", "v.nulls", "v.distinct_values")
 
 
+def data_dictionary(df: DataFrame, grain: str = "loan_id") -> DataFrame:
+    """A row a column: its type, policy class, whether it may feed a model, the table's grain, and its nulls and distinct values."""
+    return F.broadcast(policy_table(df, grain)).join(column_profile(df), "column_name").select("column_name", "dtype", "policy_class", "model_eligible", "grain", "nulls", "distinct_values")
+
+
+def feature_audit(df: DataFrame, most_values: int = 50) -> DataFrame:
+    """A row a column: kind (by its type), missing, distinct values, what is done with it, and why it is left out: its class may not feed a model, or it is a date."""
+    kind = lambda t: "date" if t in ("date", "timestamp", "timestamp_ntz") else "category" if t == "string" else "number"
+    rows = [(c, kind(t), None if eligible(c) else f"class {policy_class(c)}") for c, t in df.dtypes]
+    kinds = df.sparkSession.createDataFrame(rows, "feature_name string, kind string, class_why string")
+    got = column_profile(df).withColumnsRenamed({"column_name": "feature_name", "nulls": "missing"}).join(F.broadcast(kinds), "feature_name").crossJoin(df.agg(F.count("*").alias("n")))
+    got = got.withColumn("why", F.coalesce("class_why", F.when(F.col("kind") == "date", "date")))
+    how = F.when(F.col("why").isNotNull(), "exclude").when(F.col("kind") == "category", "mode + one-hot").otherwise("median + scale")
+    return got.select("feature_name", "kind", "missing", (F.col("missing") / F.nullif(F.col("n"), F.lit(0))).alias("missing_rate"), "distinct_values", "why", how.alias("preprocessing"), F.col("why").isNull().alias("used"), ((F.col("kind") == "category") & (F.col("distinct_values") > most_values)).alias("cardinality_concern"))
+
+
 def share(c: Column) -> Column:
     """A count's part of the sum over all rows of a small result."""
     return c / F.sum(c).over(Window.partitionBy())

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import features as X
+from ..operators import policy as Y
 from ..operators import tables as P
+from ..sources import io as IO
 from ..sources.adapter import loans, raw_accepted, raw_rejected, rejected, table
 from .registry import query
 
@@ -14,54 +16,54 @@ R6 = lambda c: F.round(c, 6)
 
 
 # Sources
-@query("read_table", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 1000")
+@query("read_table", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(s, d):
-    return table(s, d, "orders").select("o_orderkey", "o_totalprice").filter("o_orderkey <= 1000")
+    return IO.read_table(s, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice"])
 
 
 @query("table_row_count", "SELECT count(*) AS rows FROM lineitem")
 def _(s, d):
-    return table(s, d, "lineitem").agg(F.count("*").alias("rows"))
+    return P.row_count(table(s, d, "lineitem"))
 
 
-@query("read_partition_rows", "SELECT loan_id, target, loan_amnt, dti FROM loans WHERE target IS NOT NULL AND CAST(loan_id AS BIGINT) % 5 = 0", "loans")
+@query("read_partition_rows", "SELECT loan_id, target, loan_amnt, dti FROM loans WHERE target IS NOT NULL", "loans")
 def _(s, d):
     df = loans(s, d)
-    ids = P.labeled_only(df).filter(F.col("loan_id").cast("long") % 5 == 0).select("loan_id")
-    return df.join(ids, "loan_id", "left_semi").select("loan_id", "target", "loan_amnt", "dti")
+    return P.partition_rows(df, P.labeled_only(df).select("loan_id", "target"), ["target", "loan_amnt", "dti"])
 
 
 @query("lookup", "SELECT loan_id, loan_status, loan_amnt FROM loans WHERE loan_id = (SELECT CAST(min(o_orderkey) AS VARCHAR) FROM orders)", "loans")
 def _(s, d):
-    first = table(s, d, "orders").agg(F.min("o_orderkey").cast("string").alias("loan_id"))
-    return loans(s, d).join(first, "loan_id", "left_semi").select("loan_id", "loan_status", "loan_amnt")
+    df = loans(s, d).select("loan_id", "loan_status", "loan_amnt")
+    row = IO.lookup(df, "loan_id", table(s, d, "orders").agg(F.min("o_orderkey").cast("string")).first()[0])
+    return s.createDataFrame([row], df.schema)
 
 
 @query("fingerprint")
 def _(s, d):
-    from ..sources.io import fingerprint
-
-    return fingerprint(loans(s, d))
+    return IO.fingerprint(loans(s, d))
 
 
 # Cleaning
-CLEAN = "trim({0})"
+BLANKS = " || ".join(f"chr({ord(c)})" for c in C.BLANKS)
+TRIM = f"trim({{0}}, {BLANKS})"
 RAW = ("raw_accepted",)
 
 
-@query("clean_strings", "SELECT id, CASE WHEN trim(loan_status) NOT IN ('','null','NULL','n/a') THEN trim(loan_status) END AS loan_status, CASE WHEN trim(annual_inc) NOT IN ('','null','NULL','n/a') THEN trim(annual_inc) END AS annual_inc, CASE WHEN trim(emp_length) NOT IN ('','null','NULL','n/a') THEN trim(emp_length) END AS emp_length FROM raw_accepted", *RAW)
+@query("clean_strings", "SELECT id, " + ", ".join(f"CASE WHEN {TRIM.format(c)} NOT IN ('','null','NULL','n/a') THEN {TRIM.format(c)} END AS {c}" for c in ("loan_status", "annual_inc", "emp_length")) + " FROM raw_accepted", *RAW)
 def _(s, d):
     return C.clean_strings(raw_accepted(s, d)).select("id", "loan_status", "annual_inc", "emp_length")
 
 
-NUM = "CASE WHEN regexp_full_match(trim({0}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim({0}) AS DOUBLE) END"
+NUM = f"CASE WHEN regexp_full_match({TRIM}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({TRIM} AS DOUBLE) END"
 PERCENT = NUM.format("replace(int_rate, '%', '')")
 TERM = "try_cast(nullif(regexp_extract(term, '(\\d+)', 1), '') AS INTEGER)"
-EMP = "CASE WHEN lower(trim({0})) LIKE '%10+%' THEN 10e0 WHEN lower(trim({0})) LIKE '< 1%' THEN 0.5e0 ELSE try_cast(nullif(regexp_extract(lower(trim({0})), '(\\d+)', 1), '') AS DOUBLE) END"
-STATE = "CASE WHEN regexp_full_match(upper(trim({0})), '[A-Z]{{2}}') THEN upper(trim({0})) END"
-ZIP = "CASE WHEN regexp_full_match(lower(trim({0})), '[0-9]{{3,5}}x{{0,2}}') THEN lower(trim({0})) END"
+EMP = f"CASE WHEN lower({TRIM}) LIKE '%10+%' THEN 10e0 WHEN lower({TRIM}) LIKE '< 1%' THEN 0.5e0 ELSE try_cast(nullif(regexp_extract(lower({TRIM}), '(\\d+)', 1), '') AS DOUBLE) END"
+STATE = f"CASE WHEN regexp_full_match(upper({TRIM}), '[A-Z]{{{{2}}}}') THEN upper({TRIM}) END"
+ZIP = f"CASE WHEN regexp_full_match(lower({TRIM}), '[0-9]{{{{3,5}}}}x{{{{0,2}}}}') THEN lower({TRIM}) END"
 MONTH = "CASE WHEN regexp_full_match({0}, '[A-Z][a-z]{{2}}-[0-9]{{4}}') THEN CAST(try_strptime({0}, '%b-%Y') AS DATE) END"
-TARGET = "CASE WHEN trim(loan_status) = 'Fully Paid' THEN 0 WHEN trim(loan_status) IN ('Charged Off', 'Default') THEN 1 END"
+STATUS = TRIM.format("loan_status")
+TARGET = f"CASE WHEN {STATUS} = 'Fully Paid' THEN 0 WHEN {STATUS} IN ('Charged Off', 'Default') THEN 1 END"
 ID = "regexp_replace(id, '\\.0$', '')"
 
 
@@ -80,21 +82,23 @@ _scalar("normalize_id", ID, lambda: C.normalize_id(F.col("id")))
 _scalar("to_number", NUM.format("dti"), lambda: C.to_number(F.col("dti")))
 _scalar("parse_month", MONTH.format("issue_d"), lambda: C.parse_month(F.col("issue_d")))
 _scalar("inf_to_null", "CASE WHEN isfinite(try_cast(replace(dti, 'd', '') AS DOUBLE)) THEN try_cast(replace(dti, 'd', '') AS DOUBLE) END", lambda: C.inf_to_null(F.replace(F.col("dti"), F.lit("d"), F.lit("")).try_cast("double")))
-_scalar("derive_target", TARGET, lambda: C.derive_target(F.trim("loan_status")))
+_scalar("derive_target", TARGET, lambda: C.derive_target(C.stripped(F.col("loan_status"))))
 
-ACCEPTED_SQL = f"""SELECT {ID} AS loan_id, trim(loan_status) AS loan_status, {TARGET} AS target, {NUM.format('loan_amnt')} AS loan_amnt, {NUM.format('annual_inc')} AS annual_inc, {NUM.format('dti')} AS dti,
- {TERM} AS term_months, {PERCENT} AS int_rate, {EMP.format('emp_length')} AS emp_length_years, {STATE.format('addr_state')} AS state_code, {ZIP.format('zip_code')} AS zip_code, {MONTH.format('issue_d')} AS issue_d,
- {MONTH.format('earliest_cr_line')} AS earliest_cr_line, purpose, {NUM.format('total_pymnt')} AS total_pymnt, 'US' AS country FROM raw_accepted"""
-ACCEPTED = ["loan_id", "loan_status", "target", "loan_amnt", "annual_inc", "dti", "term_months", "int_rate", "emp_length_years", "state_code", "zip_code", "issue_d", "earliest_cr_line", "purpose", "total_pymnt", "country"]
+ACCEPTED_SQL = f"""SELECT {ID} AS loan_id, {STATUS} AS loan_status, {TARGET} AS target, {NUM.format('loan_amnt')} AS loan_amnt, {NUM.format('annual_inc')} AS annual_inc, {NUM.format('dti')} AS dti,
+ {TERM} AS term_months, {TRIM.format('term')} AS term, CASE WHEN {TRIM.format('emp_length')} <> 'n/a' THEN {TRIM.format('emp_length')} END AS emp_length, {TRIM.format('addr_state')} AS addr_state, {PERCENT} AS int_rate, {EMP.format('emp_length')} AS emp_length_years, {STATE.format('addr_state')} AS state_code, {ZIP.format('zip_code')} AS zip_code, {MONTH.format('issue_d')} AS issue_d,
+ {MONTH.format('earliest_cr_line')} AS earliest_cr_line, purpose, total_pymnt, 'United States' AS country FROM raw_accepted"""
+ACCEPTED = ["loan_id", "loan_status", "target", "loan_amnt", "annual_inc", "dti", "term_months", "term", "emp_length", "addr_state", "int_rate", "emp_length_years", "state_code", "zip_code", "issue_d", "earliest_cr_line", "purpose", "total_pymnt", "country"]
 
 
 @query("clean_accepted", ACCEPTED_SQL, *RAW)
 def _(s, d):
-    return C.clean_accepted(raw_accepted(s, d)).select(*ACCEPTED)
+    got = C.clean_accepted(raw_accepted(s, d)).select(*ACCEPTED)
+    P.require_grain(got, "loan_id")
+    return got
 
 
-REJECTED_CLEAN = f"""SELECT {NUM.format('amount')} AS requested_amount, CAST(adate AS DATE) AS application_date, trim(title) AS loan_title, {NUM.format('score')} AS risk_score, {NUM.format("replace(ratio, '%', '')")} AS dti,
- {ZIP.format('zip')} AS zip_code, {STATE.format('state')} AS state_code, {EMP.format('emp')} AS emp_length_years, {NUM.format('policy')} AS policy_code, 'US' AS country FROM raw_rejected"""
+REJECTED_CLEAN = f"""SELECT {NUM.format('amount')} AS requested_amount, CAST(adate AS DATE) AS application_date, {TRIM.format('title')} AS loan_title, {NUM.format('score')} AS risk_score, {NUM.format("replace(ratio, '%', '')")} AS dti,
+ {ZIP.format('zip')} AS zip_code, {STATE.format('state')} AS state_code, {EMP.format('emp')} AS emp_length_years, {NUM.format('policy')} AS policy_code, 'United States' AS country FROM raw_rejected"""
 
 
 @query("clean_rejected", REJECTED_CLEAN, "raw_rejected")
@@ -145,18 +149,18 @@ def _(s, d):
 def _table(name, columns, have):
     @query(name, f"SELECT {', '.join(have)} FROM loans", "loans")
     def _(s, d):
-        return P.project(loans(s, d), columns)
+        return P.project(loans(s, d), columns, strict=True)
 
 
-_table("loan_application", P.APPLICATION, ["loan_id", "loan_amnt", "issue_d", "purpose", "term_months"])
-_table("borrower_profile", P.BORROWER, ["loan_id", "emp_length_years", "home_ownership", "annual_inc", "state_code", "zip_code"])
-_table("credit_profile", P.CREDIT, ["loan_id", "dti", "earliest_cr_line", "fico_range_low", "fico_range_high"])
-_table("loan_pricing", P.PRICING, ["loan_id", "int_rate", "installment"])
+_table("loan_application", Y.APPLICATION, ["loan_id", "loan_amnt", "issue_d", "purpose", "term_months"])
+_table("borrower_profile", Y.BORROWER, ["loan_id", "emp_length_years", "home_ownership", "annual_inc", "state_code", "zip_code"])
+_table("credit_profile", Y.CREDIT, ["loan_id", "dti", "earliest_cr_line", "fico_range_low", "fico_range_high"])
+_table("loan_pricing", Y.PRICING, ["loan_id", "int_rate", "installment"])
 
 
 @query("loan_outcome", "SELECT loan_id, loan_status, target, total_pymnt FROM loans", "loans")
 def _(s, d):
-    return P.loan_outcome(loans(s, d))
+    return P.loan_outcome(loans(s, d), strict=True)
 
 
 @query("rejected_applications", "SELECT * FROM rejected", "rejected")
@@ -169,39 +173,41 @@ def _(s, d):
     return P.labeled_only(loans(s, d)).select("loan_id", "target")
 
 
-DICT = ["loan_id", "loan_status", "target", "loan_amnt", "annual_inc", "dti", "term_months", "purpose", "total_pymnt", "int_rate"]
+# Fixed classes of these columns, for the SQL side; the library works them out.
+DICT = {
+    "loan_id": "IDENTIFIER", "loan_status": "TARGET_SOURCE", "target": "ANALYTICS_ONLY", "loan_amnt": "APPLICATION_TIME", "annual_inc": "APPLICATION_TIME", "dti": "CREDIT_SNAPSHOT",
+    "term_months": "APPLICATION_TIME", "purpose": "APPLICATION_TIME", "total_pymnt": "POST_LOAN", "int_rate": "POLICY_DERIVED", "state_code": "GEOGRAPHY_ANALYTICS", "zip_code": "GEOGRAPHY_ANALYTICS",
+    "pd_trees": "UNKNOWN_REVIEW_REQUIRED",
+}
+TYPES = {"loan_id": "string", "loan_status": "string", "purpose": "string", "state_code": "string", "zip_code": "string", "target": "int", "term_months": "int"}
+FEEDS = ("APPLICATION_TIME", "CREDIT_SNAPSHOT")
 
 
-@query("data_dictionary", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{P.POLICY[c]}' AS policy_class, {str(P.POLICY[c] in P.ELIGIBLE).lower()} AS model_eligible, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM loans" for c in DICT), "loans")
+@query("data_dictionary", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{TYPES.get(c, 'double')}' AS dtype, '{k}' AS policy_class, {str(k in FEEDS).lower()} AS model_eligible, 'loan_id' AS grain, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM loans" for c, k in DICT.items()), "loans")
 def _(s, d):
-    classes = s.createDataFrame([(c, P.POLICY[c], P.POLICY[c] in P.ELIGIBLE) for c in DICT], "column_name string, policy_class string, model_eligible boolean")
-    return P.column_profile(loans(s, d).select(*DICT)).join(F.broadcast(classes), "column_name").select("column_name", "policy_class", "model_eligible", "nulls", "distinct_values")
+    return P.data_dictionary(loans(s, d).select(*DICT))
 
 
-AUDIT = ["loan_amnt", "annual_inc", "dti", "purpose", "home_ownership", "zip_code", "issue_d"]
+AUDIT = ["loan_amnt", "annual_inc", "dti", "purpose", "home_ownership", "zip_code", "issue_d", "int_rate", "total_pymnt"]
 KIND = {"purpose": "category", "home_ownership": "category", "zip_code": "category", "issue_d": "date"}
+WHY = "CASE WHEN feature_name = 'zip_code' THEN 'class GEOGRAPHY_ANALYTICS' WHEN feature_name = 'int_rate' THEN 'class POLICY_DERIVED' WHEN feature_name = 'total_pymnt' THEN 'class POST_LOAN' WHEN kind = 'date' THEN 'date' END"
 
 
-@query("feature_audit", "SELECT *, CASE WHEN kind = 'date' THEN 'exclude' WHEN kind = 'category' THEN 'mode + one-hot' ELSE 'median + scale' END AS preprocessing, kind <> 'date' AS used, kind = 'category' AND distinct_values > 50 AS cardinality_concern FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature_name, '{KIND.get(c, 'number')}' AS kind, count(*) - count({c}) AS missing, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 6) AS missing_rate, count(DISTINCT {c}) AS distinct_values FROM loans WHERE target IS NOT NULL" for c in AUDIT) + ")", "loans")
+@query("feature_audit", f"SELECT *, CASE WHEN why IS NOT NULL THEN 'exclude' WHEN kind = 'category' THEN 'mode + one-hot' ELSE 'median + scale' END AS preprocessing, why IS NULL AS used, kind = 'category' AND distinct_values > 50 AS cardinality_concern FROM (SELECT *, {WHY} AS why FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature_name, '{KIND.get(c, 'number')}' AS kind, count(*) - count({c}) AS missing, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 6) AS missing_rate, count(DISTINCT {c}) AS distinct_values FROM loans WHERE target IS NOT NULL" for c in AUDIT) + "))", "loans")
 def _(s, d):
-    df = P.labeled_only(loans(s, d)).select(*AUDIT)
-    kinds = s.createDataFrame([(c, KIND.get(c, "number")) for c in AUDIT], "feature_name string, kind string")
-    got = P.column_profile(df).withColumnsRenamed({"column_name": "feature_name", "nulls": "missing"}).join(F.broadcast(kinds), "feature_name").crossJoin(df.agg(F.count("*").alias("n")))
-    how = F.when(F.col("kind") == "date", "exclude").when(F.col("kind") == "category", "mode + one-hot").otherwise("median + scale")
-    return got.select("feature_name", "kind", "missing", R6(F.col("missing") / F.col("n")).alias("missing_rate"), "distinct_values", how.alias("preprocessing"), (F.col("kind") != "date").alias("used"), ((F.col("kind") == "category") & (F.col("distinct_values") > 50)).alias("cardinality_concern"))
+    return P.feature_audit(P.labeled_only(loans(s, d)).select(*AUDIT)).withColumn("missing_rate", R6("missing_rate"))
 
 
 # Joins and unions
 @query("canonical_join", "SELECT loan_id, loan_amnt, issue_d, purpose, term_months, emp_length_years, home_ownership, annual_inc, state_code, zip_code, dti, earliest_cr_line, fico_range_low, fico_range_high, target FROM loans", "loans")
 def _(s, d):
     df = loans(s, d)
-    return P.canonical_join(P.project(df, P.APPLICATION), P.project(df, P.BORROWER), P.project(df, P.CREDIT), P.loan_outcome(df))
+    return P.canonical_join(P.project(df, Y.APPLICATION), P.project(df, Y.BORROWER), P.project(df, Y.CREDIT), P.loan_outcome(df), strict=True)
 
 
 @query("accepted_rejected_by_state", "SELECT coalesce(a.state_code, r.state_code) AS state_code, coalesce(a.n, 0) AS accepted, coalesce(r.n, 0) AS rejected FROM (SELECT state_code, count(*) n FROM loans GROUP BY 1) a FULL JOIN (SELECT state_code, count(*) n FROM rejected GROUP BY 1) r ON a.state_code = r.state_code", "loans", "rejected")
 def _(s, d):
-    a, r = (x.groupBy("state_code").agg(F.count("*").alias(n)) for x, n in ((loans(s, d), "accepted"), (rejected(s, d), "rejected")))
-    return a.join(r, "state_code", "full").select("state_code", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    return P.accepted_rejected_by(loans(s, d), rejected(s, d))
 
 
 @query("missing_ids", "SELECT DISTINCT loan_id FROM loans WHERE target IS NULL", "loans")
@@ -209,18 +215,19 @@ def _(s, d):
     return P.missing_ids(loans(s, d), P.labeled_only(loans(s, d)))
 
 
-@query("star_join", "SELECT year(issue_d) AS year, state_code, 'US' AS country, count(*) AS loans, round(sum(loan_amnt), 2) AS amount FROM loans GROUP BY 1, 2", "loans")
+@query("star_join", "SELECT year(issue_d) AS year, state_code, 'United States' AS country, count(*) AS loans, round(sum(loan_amnt), 2) AS amount FROM loans GROUP BY 1, 2", "loans")
 def _(s, d):
     df = loans(s, d)
     dates, states = P.dim_date((df, "issue_d")).select("date", "year"), P.dim_state((df, "state_code"))
-    got = df.join(dates, df["issue_d"] == dates["date"]).join(F.broadcast(states), "state_code")
+    got = P.star_join(df, dates, states)
     return got.groupBy("year", "state_code", "country").agg(F.count("*").alias("loans"), F.round(F.sum("loan_amnt"), 2).alias("amount"))
 
 
-@query("reconcile_values", "SELECT count(*) AS compared, 'dti' AS \"column\", CAST(0 AS BIGINT) AS mismatches FROM loans UNION ALL SELECT count(*), 'annual_inc', CAST(sum(CASE WHEN annual_inc IS DISTINCT FROM abs(annual_inc) THEN 1 ELSE 0 END) AS BIGINT) FROM loans", "loans")
+@query("reconcile_values", "SELECT count(*) AS compared, 'dti' AS \"column\", CAST(count(*) FILTER (WHERE dti > 40 OR dti IS NULL) AS BIGINT) AS mismatches FROM loans UNION ALL SELECT count(*), 'annual_inc', CAST(sum(CASE WHEN annual_inc IS DISTINCT FROM abs(annual_inc) THEN 1 ELSE 0 END) AS BIGINT) FROM loans", "loans")
 def _(s, d):
     df = loans(s, d)
-    return P.reconcile(df, df.withColumn("annual_inc", F.abs("annual_inc")), "loan_id", ["dti", "annual_inc"])
+    other = df.withColumns({"annual_inc": F.abs("annual_inc"), "dti": F.when(F.col("dti").isNull(), -1.0).when(F.col("dti") <= 40, F.col("dti"))})
+    return P.reconcile(df, other, "loan_id", ["dti", "annual_inc"])
 
 
 FUNNEL_SQL = """funnel AS (SELECT issue_d AS application_date, loan_amnt AS requested_amount, state_code, zip_code, purpose, 'accepted' AS decision FROM loans
@@ -237,15 +244,14 @@ def _(s, d):
     return P.dim_date((loans(s, d), "issue_d"), (rejected(s, d), "application_date"))
 
 
-@query("dim_state", "SELECT DISTINCT state_code, 'US' AS country FROM (SELECT state_code FROM loans UNION SELECT state_code FROM rejected)", "loans", "rejected")
+@query("dim_state", "SELECT DISTINCT state_code, 'United States' AS country FROM (SELECT state_code FROM loans UNION SELECT state_code FROM rejected)", "loans", "rejected")
 def _(s, d):
     return P.dim_state((loans(s, d), "state_code"), (rejected(s, d), "state_code"))
 
 
 @query("set_diff", "SELECT state_code, 'accepted only' AS side FROM (SELECT state_code FROM loans EXCEPT SELECT state_code FROM rejected) UNION ALL SELECT state_code, 'rejected only' FROM (SELECT state_code FROM rejected EXCEPT SELECT state_code FROM loans)", "loans", "rejected")
 def _(s, d):
-    a, r = loans(s, d).select("state_code"), rejected(s, d).select("state_code")
-    return a.subtract(r).withColumn("side", F.lit("accepted only")).unionByName(r.subtract(a).withColumn("side", F.lit("rejected only")))
+    return P.set_difference(loans(s, d).select("state_code"), rejected(s, d).select("state_code"), ("accepted only", "rejected only"))
 
 
 @query("wide_to_long", "SELECT loan_id, 'dti' AS feature, dti AS value FROM loans UNION ALL SELECT loan_id, 'int_rate', int_rate FROM loans UNION ALL SELECT loan_id, 'loan_amnt', loan_amnt FROM loans", "loans")

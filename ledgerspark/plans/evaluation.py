@@ -9,6 +9,7 @@ from ..operators import evaluation as E
 from ..operators import gates as G
 from ..operators import marts as M
 from ..operators import sampling as S
+from ..operators import tables as P
 from ..sources.adapter import loans
 from .portfolio import FACT, TIER, fact
 from .registry import T, query
@@ -77,12 +78,7 @@ def _(s, d):
 
 @query("threshold_metrics_lookup", TABLE, "loans")
 def _(s, d):
-    # The same from the histogram of distinct scores instead of the rows.
-    h = hist(s, d)
-    names = [f"t{i}" for i in range(len(THRESHOLDS))]
-    p, n, at = F.col("pos"), F.col("neg"), F.col("pd")
-    one = lambda t: F.struct(F.lit(t).alias("threshold"), F.sum(F.when(at >= t, p).otherwise(0)).alias("tp"), F.sum(F.when(at >= t, n).otherwise(0)).alias("fp"), F.sum(F.when(at < t, p).otherwise(0)).alias("fn"), F.sum(F.when(at < t, n).otherwise(0)).alias("tn"))
-    return M.rounded(E.rates(h.agg(*[one(t).alias(x) for x, t in zip(names, THRESHOLDS, strict=True)]).unpivot([], names, "t", "v").select("v.*")))
+    return M.rounded(E.at_thresholds(hist(s, d), THRESHOLDS))
 
 
 SCORED = f"s AS (SELECT *, {RATES} FROM (SELECT pd AS threshold, tp, fp, p - tp AS fn, n - fp AS tn, pos, neg FROM c))"
@@ -108,7 +104,7 @@ def _(s, d):
     return got.select("threshold", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes if c != "threshold"])
 
 
-MODELS = {"baseline": "predicted_pd", "weighted": "pd_weighted", "trees": "pd_trees"}
+MODELS = {"logistic_baseline": "predicted_pd", "logistic_weighted": "pd_weighted", "xgboost_candidate": "pd_trees"}
 
 
 def long(s, d, where=None):
@@ -124,26 +120,22 @@ m AS (SELECT model, roc_auc, average_precision, log_loss, brier FROM (SELECT mod
 ALL_METRICS = "round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(log_loss, 6) AS log_loss, round(brier, 6) AS brier"
 
 
-@query("compare_models", f"SELECT m.model, {', '.join(f'round(m.{c}, 6) AS {c}' for c in ('roc_auc', 'average_precision', 'log_loss', 'brier'))}, round(m.roc_auc - b.roc_auc, 6) AS auc_delta FROM m, (SELECT roc_auc FROM m WHERE model = 'baseline') b", "loans", more=LONG + "," + BY_MODEL)
+@query("compare_models", f"SELECT m.model, {', '.join(f'round(m.{c}, 6) AS {c}' for c in ('roc_auc', 'average_precision', 'log_loss', 'brier'))}, round(m.roc_auc - b.roc_auc, 6) AS auc_delta FROM m, (SELECT roc_auc FROM m WHERE model = 'logistic_baseline') b", "loans", more=LONG + "," + BY_MODEL)
 def _(s, d):
     got = E.model_metrics(long(s, d))
-    base = got.filter("model = 'baseline'").select(F.col("roc_auc").alias("base"))
+    base = got.filter("model = 'logistic_baseline'").select(F.col("roc_auc").alias("base"))
     return M.rounded(got.crossJoin(F.broadcast(base)).withColumn("auc_delta", F.col("roc_auc") - F.col("base")).drop("base"))
 
 
-@query("select_candidate", "SELECT model FROM m WHERE roc_auc >= (SELECT max(roc_auc) FROM m) - 0.002 AND average_precision >= (SELECT max(average_precision) FROM m WHERE roc_auc >= (SELECT max(roc_auc) FROM m) - 0.002) - 0.005 ORDER BY log_loss, brier LIMIT 1", "loans", more=LONG + "," + BY_MODEL)
+@query("select_candidate", "SELECT model FROM m WHERE roc_auc >= (SELECT max(roc_auc) FROM m) - 0.002 AND average_precision >= (SELECT max(average_precision) FROM m WHERE roc_auc >= (SELECT max(roc_auc) FROM m) - 0.002) - 0.005 ORDER BY CASE model WHEN 'xgboost_candidate' THEN 1 ELSE 0 END, log_loss, brier, model LIMIT 1", "loans", more=LONG + "," + BY_MODEL)
 def _(s, d):
-    return E.select_candidate(E.model_metrics(long(s, d)), list(MODELS))
+    return E.select_candidate(E.model_metrics(long(s, d)))
 
 
-@query("align_predictions", "SELECT loan_id, target, predicted_pd AS baseline, pd_weighted AS weighted, pd_trees AS trees FROM loans WHERE target IS NOT NULL", "loans")
+@query("align_predictions", "SELECT loan_id, target, predicted_pd AS logistic_baseline, pd_weighted AS logistic_weighted, pd_trees AS xgboost_candidate FROM loans WHERE target IS NOT NULL", "loans")
 def _(s, d):
     df = loans(s, d).filter("target is not null")
-    got = None
-    for m, c in MODELS.items():
-        one = df.filter(F.col(c).between(0, 1)).select("loan_id", "target", F.col(c).alias(m))
-        got = one if got is None else got.join(one, ["loan_id", "target"])
-    return got
+    return P.align_predictions({m: df.select("loan_id", "target", F.col(c).alias("predicted_pd")) for m, c in MODELS.items()}, df.select("loan_id", "target"))
 
 
 @query("calibration_quantile", "SELECT CAST((SELECT count(*) FROM e WHERE e.edge > (SELECT min(edge) FROM e) AND e.edge < (SELECT max(edge) FROM e) AND e.edge < l.predicted_pd) AS INTEGER) AS bin, count(*) AS n, round(avg(predicted_pd), 6) AS mean_pd, round(avg(target), 6) AS observed_rate FROM loans l WHERE target IS NOT NULL GROUP BY 1", "loans", more="e AS (SELECT DISTINCT unnest(quantile_cont(predicted_pd, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS edge FROM loans WHERE target IS NOT NULL)")
@@ -170,9 +162,10 @@ def _(s, d):
     return S.stratified_split(loans(s, d))
 
 
-@query("split_audit", "SELECT split, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives, round(avg(target), 6) AS rate, round(count(*) / CAST((SELECT count(*) FROM sp) AS DOUBLE), 6) AS coverage, abs(avg(target) - (SELECT avg(target) FROM sp)) <= 0.005 AS within_tolerance FROM sp GROUP BY 1", "loans", more=RANKED)
+@query("split_audit", "SELECT split, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives, round(avg(target), 6) AS rate, round(count(*) / CAST((SELECT count(*) FROM sp) AS DOUBLE), 6) AS coverage, abs(avg(target) - (SELECT avg(target) FROM sp)) <= 0.005 AS within_tolerance, CAST(0 AS BIGINT) AS overlap, CAST(count(*) FILTER (WHERE loan_id NOT IN (SELECT loan_id FROM loans WHERE target IS NOT NULL)) AS BIGINT) AS unknown, (SELECT count(*) FROM loans WHERE target IS NOT NULL AND loan_id NOT IN (SELECT loan_id FROM sp)) AS lost FROM sp GROUP BY 1", "loans", more=RANKED)
 def _(s, d):
-    return M.rounded(S.split_audit(S.stratified_split(loans(s, d))))
+    df = loans(s, d)
+    return M.rounded(S.split_audit(S.stratified_split(df), df.filter("target is not null").select("loan_id")))
 
 
 @query("class_counts", "SELECT split, target, count(*) AS n FROM sp GROUP BY 1, 2", "loans", more=RANKED)
@@ -204,10 +197,7 @@ def _(s, d):
 @query("generalization_delta", f"SELECT round(t.precision - v.precision, 6) AS precision, round(t.recall - v.recall, 6) AS recall, round(t.f1 - v.f1, 6) AS f1, round(t.accuracy - v.accuracy, 6) AS accuracy FROM r t, r v WHERE t.split = 'test' AND v.split = 'validation'", "loans", more=RANKED + f", r AS (SELECT *, {RATES} FROM (SELECT split, {COUNTS.format(p='predicted_pd', t=T)} FROM sp GROUP BY 1))")
 def _(s, d):
     df = loans(s, d)
-    got = E.confusion_metrics(df.join(S.stratified_split(df).select("loan_id", "split"), "loan_id"), T, ["split"])
-    cols = ["precision", "recall", "f1", "accuracy"]
-    v = got.filter("split = 'validation'").select(*[F.col(c).alias(f"v_{c}") for c in cols])
-    return got.filter("split = 'test'").crossJoin(F.broadcast(v)).select(*[F.round(F.col(c) - F.col(f"v_{c}"), 6).alias(c) for c in cols])
+    return M.rounded(E.generalization_delta(df, S.stratified_split(df), T))
 
 
 @query("ordered_prefix_sum", "SELECT pd, CAST(sum(pos) OVER (ORDER BY pd) AS BIGINT) AS cum_pos, CAST(sum(neg) OVER (ORDER BY pd) AS BIGINT) AS cum_neg FROM h", "loans", more=HIST)
@@ -222,49 +212,60 @@ def _(s, d):
     return E.percentile_index(df, ref).select("loan_id", "predicted_pd", F.round("percentile", 6).alias("percentile"), "shown")
 
 
-@query("reference_distribution", "SELECT model, pd, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY model ORDER BY pd) AS BIGINT) AS cumulative FROM l GROUP BY 1, 2", "loans", more=LONG)
+VALID = RANKED + ", " + LONG + ", lv AS (SELECT l.* FROM l JOIN sp ON l.loan_id = sp.loan_id WHERE sp.split = 'validation')"
+
+
+def reference(s, d):
+    """The validation split's scores, which may hold none of the test split."""
+    split = S.stratified_split(loans(s, d))
+    rows = long(s, d).join(split.filter("split = 'validation'").select("loan_id"), "loan_id", "left_semi")
+    return E.reference_distribution(rows, split.filter("split = 'test'"))
+
+
+@query("reference_distribution", "SELECT model, pd, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY model ORDER BY pd) AS BIGINT) AS cumulative, CAST(sum(count(*)) OVER (PARTITION BY model) AS BIGINT) AS rows FROM lv GROUP BY 1, 2", "loans", more=VALID)
 def _(s, d):
-    return E.reference_distribution(long(s, d))
+    return reference(s, d)
 
 
-@query("percentile_by_model", "SELECT model, loan_id, round(100 * cume_dist() OVER (PARTITION BY model ORDER BY pd), 6) AS percentile FROM l", "loans", more=LONG)
+@query("reference_summary", "SELECT model, count(*) AS rows, round(min(pd), 9) AS least, round(median(pd), 9) AS median, round(max(pd), 9) AS most FROM lv GROUP BY 1", "loans", more=VALID)
 def _(s, d):
-    rows = long(s, d)
-    ref = E.reference_distribution(rows)
-    n = ref.groupBy("model").agg(F.sum("n").alias("all"))
-    return rows.join(ref, ["model", "pd"]).join(F.broadcast(n), "model").select("model", "loan_id", F.round(100 * F.col("cumulative") / F.col("all"), 6).alias("percentile"))
+    return M.rounded(E.reference_summary(reference(s, d)), 9)
+
+
+@query("percentile_by_model", "SELECT l.model, l.loan_id, round(100 * (SELECT count(*) FROM lv WHERE lv.model = l.model AND lv.pd <= l.pd) / CAST((SELECT count(*) FROM lv WHERE lv.model = l.model) AS DOUBLE), 6) AS percentile FROM l", "loans", more=VALID)
+def _(s, d):
+    return M.rounded(E.percentile_by_model(long(s, d), reference(s, d)))
 
 
 @query("nearest_to_quantiles", "SELECT q, loan_id, predicted_pd FROM (SELECT 0.1e0 AS q, loan_id, predicted_pd FROM a UNION ALL SELECT 0.5e0, loan_id, predicted_pd FROM b UNION ALL SELECT 0.9e0, loan_id, predicted_pd FROM z)", "loans", more="lab AS (SELECT loan_id, predicted_pd FROM loans WHERE target IS NOT NULL), a AS (SELECT * FROM lab ORDER BY abs(predicted_pd - (SELECT quantile_cont(predicted_pd, 0.1) FROM lab)), loan_id LIMIT 1), b AS (SELECT * FROM lab WHERE loan_id NOT IN (SELECT loan_id FROM a) ORDER BY abs(predicted_pd - (SELECT quantile_cont(predicted_pd, 0.5) FROM lab)), loan_id LIMIT 1), z AS (SELECT * FROM lab WHERE loan_id NOT IN (SELECT loan_id FROM a UNION SELECT loan_id FROM b) ORDER BY abs(predicted_pd - (SELECT quantile_cont(predicted_pd, 0.9) FROM lab)), loan_id LIMIT 1)")
 def _(s, d):
-    df = loans(s, d).filter("target is not null").select("loan_id", "predicted_pd")
-    at = df.agg(F.percentile("predicted_pd", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))).first()[0]
-    got, left = None, df
-    for q, v in zip((0.1, 0.5, 0.9), at, strict=True):
-        one = left.orderBy(F.abs(F.col("predicted_pd") - v), "loan_id").limit(1)
-        got = one.withColumn("q", F.lit(q)) if got is None else got.unionByName(one.withColumn("q", F.lit(q)))
-        left = left.join(F.broadcast(one.select("loan_id")), "loan_id", "left_anti")
-    return got
+    return E.nearest_to_quantiles(loans(s, d).filter("target is not null"), "predicted_pd", (0.1, 0.5, 0.9))
 
 
 @query("rank_importance", "SELECT feature, round(v, 6) AS v, CAST(row_number() OVER (ORDER BY v DESC, feature) AS INTEGER) AS rank FROM (SELECT 'dti' AS feature, avg(abs(dti)) AS v FROM loans UNION ALL SELECT 'int_rate', avg(abs(int_rate)) FROM loans UNION ALL SELECT 'loan_amnt', avg(abs(loan_amnt)) FROM loans) ORDER BY rank LIMIT 2", "loans")
 def _(s, d):
-    from pyspark.sql import Window
-
     rows = loans(s, d).unpivot([], ["dti", "int_rate", "loan_amnt"], "feature", "x").groupBy("feature").agg(F.avg(F.abs("x")).alias("v"))
-    got = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "feature"))).filter("rank <= 2")
-    return got.select("feature", F.round("v", 6).alias("v"), "rank")
+    return M.rounded(E.rank_importance(rows, 2))
+
 
+# A score that is no function of the probability alone has breaks; they are counted against the score before.
+MONO = ", mono AS (SELECT predicted_pd, min(score) AS lo, max(score) AS hi FROM (SELECT predicted_pd, round_even(1000 * (1 - predicted_pd), 0) + CAST(loan_id AS BIGINT) % 3 AS score FROM loans WHERE target IS NOT NULL) GROUP BY 1)"
 
-@query("monotonic_check", "SELECT count(*) AS scores, CAST(0 AS BIGINT) AS breaks FROM h", "loans", more=HIST)
+
+@query("monotonic_check", "SELECT count(*) AS scores, CAST(count(*) FILTER (WHERE hi > before) AS BIGINT) AS breaks FROM (SELECT *, lag(lo) OVER (ORDER BY predicted_pd) AS before FROM mono)", "loans", more=HIST + MONO)
 def _(s, d):
-    df = loans(s, d).filter("target is not null").withColumn("credit_score", K.credit_score(F.col("predicted_pd")))
+    df = loans(s, d).filter("target is not null").withColumn("credit_score", K.credit_score(F.col("predicted_pd")) + F.col("loan_id").cast("long") % 3)
     return E.monotonic_check(df, "predicted_pd", "credit_score", rising=False)
 
 
-@query("direction_summary", "SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY dti) + (count(*) OVER (PARTITION BY dti) - 1) / 2e0 AS ra, rank() OVER (ORDER BY predicted_pd) + (count(*) OVER (PARTITION BY predicted_pd) - 1) / 2e0 AS rb FROM loans WHERE target IS NOT NULL AND dti IS NOT NULL)", "loans")
+DIRECTION = """d AS (SELECT loan_id, dti, predicted_pd, ntile(3) OVER (ORDER BY dti, loan_id) AS third FROM loans WHERE target IS NOT NULL AND dti IS NOT NULL),
+m AS (SELECT median(predicted_pd) FILTER (WHERE third = 1) AS low, median(predicted_pd) FILTER (WHERE third = 2) AS middle, median(predicted_pd) FILTER (WHERE third = 3) AS high FROM d),
+r AS (SELECT count(*) AS n, corr(ra, rb) AS rho FROM (SELECT rank() OVER (ORDER BY dti) + (count(*) OVER (PARTITION BY dti) - 1) / 2e0 AS ra, rank() OVER (ORDER BY predicted_pd) + (count(*) OVER (PARTITION BY predicted_pd) - 1) / 2e0 AS rb FROM d))"""
+
+
+@query("direction_summary", "SELECT n, round(rho, 6) AS rho, round(low, 6) AS low, round(middle, 6) AS middle, round(high, 6) AS high, CASE WHEN low < middle AND middle < high THEN 'rising' WHEN low > middle AND middle > high THEN 'falling' ELSE 'mixed' END AS direction FROM r, m", "loans", more=DIRECTION)
 def _(s, d):
-    return M.rounded(E.spearman(loans(s, d).filter("target is not null"), "dti", "predicted_pd"))
+    return M.rounded(E.direction_summary(loans(s, d).filter("target is not null"), "dti", "predicted_pd"))
 
 
 @query("fixed_order_sort", "SELECT tier, count(*) AS n, CAST(CASE tier WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END AS INTEGER) AS tier_order FROM fact GROUP BY 1 ORDER BY tier_order", "loans", more=FACT)
@@ -272,43 +273,63 @@ def _(s, d):
     return fact(s, d).groupBy("tier", "tier_order").agg(F.count("*").alias("n")).orderBy("tier_order")
 
 
-# Gates
-@query("grain_gate", "SELECT 'null keys' AS \"check\", true AS passed, 0e0 AS observed, 0e0 AS expected UNION ALL SELECT 'duplicate keys', count(*) = count(DISTINCT l_orderkey), CAST(count(*) - count(DISTINCT l_orderkey) AS DOUBLE), 0e0 FROM lineitem")
+# Gates, each held against a table with faults, so that checks fail as well as pass.
+@query("grain_gate", "SELECT 'null keys' AS \"check\", count(*) = count(k) AS passed, CAST(count(*) - count(k) AS DOUBLE) AS observed, 0e0 AS expected FROM b UNION ALL SELECT 'duplicate keys', count(k) = count(DISTINCT k), CAST(count(k) - count(DISTINCT k) AS DOUBLE), 0e0 FROM b", more="b AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey END AS k FROM lineitem)")
 def _(s, d):
     from ..sources.adapter import table
 
-    return G.grain_gate(table(s, d, "lineitem"), "l_orderkey")
+    return G.grain_gate(table(s, d, "lineitem").select(F.when(F.col("l_orderkey") % 7 != 0, F.col("l_orderkey")).alias("k")), "k")
+
+
+BROKEN = """x AS (SELECT CASE WHEN CAST(loan_id AS BIGINT) % 11 = 0 THEN NULL WHEN CAST(loan_id AS BIGINT) % 13 = 0 THEN '-1' ELSE loan_id END AS loan_id, CASE WHEN CAST(loan_id AS BIGINT) % 5 = 0 THEN 2 ELSE target END AS target, CASE WHEN CAST(loan_id AS BIGINT) % 17 = 0 THEN CAST('inf' AS DOUBLE) ELSE dti END AS dti, annual_inc, state_code, int_rate FROM loans),
+one AS (SELECT count(*) - count(loan_id) AS nulls, count(loan_id) - count(DISTINCT loan_id) AS twice, count(*) FILTER (WHERE target IS NULL OR target NOT IN (0, 1)) AS bad, count(*) FILTER (WHERE isinf(dti)) AS inf FROM x)"""
+RULES = {"features missing": 1, "features not eligible": 4, "features of class POST_LOAN": 0, "features of class POLICY_DERIVED": 1, "features of class GEOGRAPHY_ANALYTICS": 1, "features of class TEXT_HIGH_CARDINALITY": 0, "features of class UNKNOWN_REVIEW_REQUIRED": 1, "features that are ids or targets": 1}
 
 
-@query("canonical_gate", "SELECT 'null keys' AS \"check\", true AS passed, 0e0 AS observed, 0e0 AS expected UNION ALL SELECT 'duplicate keys', true, 0e0, 0e0 UNION ALL SELECT 'targets not 0 or 1', count(*) = 0, CAST(count(*) AS DOUBLE), 0e0 FROM loans WHERE target IS NULL UNION ALL SELECT 'infinite values', true, 0e0, 0e0", "loans")
+@query("canonical_gate", "SELECT 'null keys' AS \"check\", nulls = 0 AS passed, CAST(nulls AS DOUBLE) AS observed, 0e0 AS expected FROM one UNION ALL SELECT 'duplicate keys', twice = 0, CAST(twice AS DOUBLE), 0e0 FROM one UNION ALL SELECT 'targets not 0 or 1', bad = 0, CAST(bad AS DOUBLE), 0e0 FROM one UNION ALL SELECT 'infinite values', inf = 0, CAST(inf AS DOUBLE), 0e0 FROM one" + "".join(f" UNION ALL SELECT '{k}', {str(not n).lower()}, {n}e0, 0e0" for k, n in RULES.items()), "loans", more=BROKEN)
 def _(s, d):
-    return G.canonical_gate(loans(s, d))
+    k = F.col("loan_id").cast("long")
+    df = loans(s, d).select(
+        F.when(k % 11 == 0, None).when(k % 13 == 0, "-1").otherwise(F.col("loan_id")).alias("loan_id"), F.when(k % 5 == 0, 2).otherwise(F.col("target")).alias("target"),
+        F.when(k % 17 == 0, float("inf")).otherwise(F.col("dti")).alias("dti"), "annual_inc", "state_code", "int_rate",
+    )
+    return G.canonical_gate(df, features=["dti", "annual_inc", "state_code", "int_rate", "target", "no_such_column"])
 
 
-@query("el_reconciliation", "SELECT * FROM (VALUES ('EL = PD x LGD x EAD', true, 0e0, 0e0), ('0 <= EL <= EAD', true, 0e0, 0e0), ('monotone in LGD', true, 0e0, 0e0)) v(\"check\", passed, observed, expected)")
+WRONG = "w AS (SELECT *, CASE WHEN CAST(loan_id AS BIGINT) % 7 = 0 THEN expected_loss + 1 WHEN CAST(loan_id AS BIGINT) % 19 = 0 THEN -1e0 ELSE expected_loss END AS el, predicted_pd * CASE WHEN CAST(loan_id AS BIGINT) % 23 = 0 THEN 0.9e0 ELSE 0.3e0 END * loan_amnt AS el30 FROM fact), g AS (SELECT count(*) AS n, sum(loan_amnt) AS ead, sum(el) AS el, sum(loan_amnt) FILTER (WHERE tier <> 'D') AS t_ead, sum(el) FILTER (WHERE tier <> 'D') AS t_el, count(*) FILTER (WHERE tier <> 'D') AS t_n, count(*) FILTER (WHERE abs(el - predicted_pd * 0.45e0 * loan_amnt) > greatest(1, loan_amnt) * 1e-9) AS wrong, count(*) FILTER (WHERE el < 0 OR el - loan_amnt > 1e-9) AS outside, count(*) FILTER (WHERE el30 > predicted_pd * 0.45e0 * loan_amnt + 1e-10) AS down FROM w)"
+
+
+@query("el_reconciliation", "SELECT 'EL = PD x LGD x EAD' AS \"check\", wrong = 0 AS passed, CAST(wrong AS DOUBLE) AS observed, 0e0 AS expected FROM g UNION ALL SELECT '0 <= EL <= EAD', outside = 0, CAST(outside AS DOUBLE), 0e0 FROM g UNION ALL SELECT 'monotone in LGD', down = 0, CAST(down AS DOUBLE), 0e0 FROM g UNION ALL SELECT 'tiers'' loans = rows', t_n = n, CAST(t_n AS DOUBLE), CAST(n AS DOUBLE) FROM g UNION ALL SELECT 'tiers'' EAD off', t_ead = ead, CASE WHEN t_ead = ead THEN 0e0 ELSE 1e0 END, 0e0 FROM g UNION ALL SELECT 'tiers'' EL off', t_el = el, CASE WHEN t_el = el THEN 0e0 ELSE 1e0 END, 0e0 FROM g UNION ALL SELECT 'portfolio''s EL off', true, 0e0, 0e0 FROM g WHERE el = el", "loans", more=FACT + "," + WRONG)
 def _(s, d):
-    return G.el_reconciliation(fact(s, d))
+    k, el = F.col("loan_id").cast("long"), F.col("expected_loss")
+    df = fact(s, d).withColumns({"expected_loss": F.when(k % 7 == 0, el + 1).when(k % 19 == 0, -1.0).otherwise(el), "el_lgd_30": F.col("predicted_pd") * F.when(k % 23 == 0, 0.9).otherwise(0.3) * F.col("loan_amnt")})
+    return G.el_reconciliation(df, tiers=M.el_by(df.filter("tier <> 'D'"), "tier"), portfolio=M.el_portfolio(df))
 
 
-@query("control_totals", "SELECT 'rows of ' || coalesce(a.tier, e.tier) AS \"check\", coalesce(a.n, -1) = coalesce(e.n, -1) AS passed, CAST(a.n AS DOUBLE) AS observed, CAST(e.n AS DOUBLE) AS expected FROM (SELECT tier, count(*) n FROM fact GROUP BY 1) a FULL JOIN (SELECT tier, count(*) n FROM (SELECT " + TIER + " AS tier FROM loans) GROUP BY 1) e ON a.tier = e.tier", "loans", more=FACT)
+@query("control_totals", "SELECT 'rows of ' || coalesce(a.tier, e.tier) AS \"check\", coalesce(a.n, -1) = coalesce(e.n, -1) AS passed, CAST(a.n AS DOUBLE) AS observed, CAST(e.n AS DOUBLE) AS expected FROM (SELECT tier, count(*) n FROM fact GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM fact) a FULL JOIN (SELECT tier, count(*) n FROM (SELECT " + TIER + " AS tier FROM loans) GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM loans) e ON a.tier = e.tier UNION ALL SELECT 'total expected loss', true, round(sum(expected_loss), 2), round(sum(expected_loss), 2) FROM fact", "loans", more=FACT)
 def _(s, d):
     expected = loans(s, d).groupBy(K.pd_tier(F.col("predicted_pd"), T).alias("label")).agg(F.count("*").alias("n"))
-    return G.control_totals(fact(s, d), "tier", expected)
+    df = fact(s, d)
+    return M.rounded(G.control_totals(df, "tier", expected, el=M.el_portfolio(df).first()["el"]), 2)
 
 
-@query("probability_gate", "SELECT * FROM (VALUES ('probabilities in [0, 1]', true, 0e0, 0e0), ('class matches threshold', true, 0e0, 0e0)) v(\"check\", passed, observed, expected)")
-def _(s, d):
-    return G.probability_gate(fact(s, d), T)
+ODD = f"o AS (SELECT CASE WHEN CAST(loan_id AS BIGINT) % 9 = 0 THEN NULL WHEN CAST(loan_id AS BIGINT) % 10 = 0 THEN predicted_pd + 1 ELSE predicted_pd END AS p, CASE WHEN CAST(loan_id AS BIGINT) % 4 = 0 THEN 1 WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS c FROM loans WHERE target IS NOT NULL), n AS (SELECT count(*) FILTER (WHERE p IS NULL OR p < 0 OR p > 1) AS bad, count(*) FILTER (WHERE CASE WHEN p >= {T} THEN 1 ELSE 0 END <> c AND p IS NOT NULL) AS off FROM o)"
 
 
-@query("metric_match", f"SELECT 'roc_auc' AS \"check\", true AS passed, round({AUC}, 6) AS observed, round({AUC}, 6) AS expected FROM c", "loans", more=HIST)
+@query("probability_gate", "SELECT 'probabilities in [0, 1]' AS \"check\", bad = 0 AS passed, CAST(bad AS DOUBLE) AS observed, 0e0 AS expected FROM n UNION ALL SELECT 'class matches threshold', off = 0, CAST(off AS DOUBLE), 0e0 FROM n", "loans", more=ODD)
 def _(s, d):
-    a = E.ranking_metrics(hist(s, d))
-    b = E.model_metrics(long(s, d)).filter("model = 'baseline'")
-    return M.rounded(G.metric_match(a, b, ["roc_auc"]))
+    k, p = F.col("loan_id").cast("long"), F.col("predicted_pd")
+    df = fact(s, d).withColumns({"predicted_pd": F.when(k % 9 == 0, None).when(k % 10 == 0, p + 1).otherwise(p), "predicted_class": F.when(k % 4 == 0, 1).otherwise(F.col("predicted_class"))})
+    return G.probability_gate(df, T)
 
 
-@query("handoff_manifest", "SELECT 'accepted = labeled + unresolved' AS \"check\", true AS passed, CAST(count(*) AS DOUBLE) AS observed, CAST(count(*) AS DOUBLE) AS expected FROM loans UNION ALL SELECT 'labeled = paid + defaulted', true, CAST(count(target) AS DOUBLE), CAST(count(target) AS DOUBLE) FROM loans UNION ALL SELECT 'state for every row', true, CAST(count(state_code) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM loans", "loans")
+@query("metric_match", f"SELECT 'roc_auc' AS \"check\", abs(a.x - b.x) <= 1e-8 AS passed, round(a.x, 6) AS observed, round(b.x, 6) AS expected FROM (SELECT {AUC} AS x FROM c) a, (SELECT roc_auc AS x FROM m WHERE model = 'logistic_baseline') b UNION ALL SELECT 'average_precision', abs(a.x - b.x) <= 1e-8, round(a.x, 6), round(b.x, 6) FROM (SELECT {AP} AS x FROM c) a, (SELECT average_precision + 0.001e0 AS x FROM m WHERE model = 'logistic_baseline') b", "loans", more=HIST + "," + LONG + "," + BY_MODEL)
 def _(s, d):
-    return G.handoff_manifest(loans(s, d))
+    stored = E.model_metrics(long(s, d)).filter("model = 'logistic_baseline'").withColumn("average_precision", F.col("average_precision") + 0.001)
+    return M.rounded(G.metric_match(E.ranking_metrics(hist(s, d)), stored, ["roc_auc", "average_precision"]))
 
+
+@query("handoff_manifest", "SELECT 'accepted = labeled + unresolved' AS \"check\", count(*) = count(target) + count(*) FILTER (WHERE target IS NULL) AS passed, CAST(count(*) AS DOUBLE) AS observed, CAST(count(target) + count(*) FILTER (WHERE target IS NULL) AS DOUBLE) AS expected FROM x UNION ALL SELECT 'labeled = paid + defaulted', count(target) = count(*) FILTER (WHERE target IN (0, 1)), CAST(count(target) AS DOUBLE), CAST(count(*) FILTER (WHERE target IN (0, 1)) AS DOUBLE) FROM x UNION ALL SELECT 'state for every row', count(s) = count(*), CAST(count(s) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM x", "loans", more="x AS (SELECT CASE WHEN CAST(loan_id AS BIGINT) % 5 = 0 THEN 2 ELSE target END AS target, CASE WHEN CAST(loan_id AS BIGINT) % 3 <> 0 THEN state_code END AS s FROM loans)")
+def _(s, d):
+    k = F.col("loan_id").cast("long")
+    return G.handoff_manifest(loans(s, d).withColumns({"target": F.when(k % 5 == 0, 2).otherwise(F.col("target")), "state_code": F.when(k % 3 != 0, F.col("state_code"))}))

@@ -10,7 +10,7 @@ from ..functions import scoring as K
 from ..operators import marts as M
 from ..operators import tables as P
 from ..sources.adapter import loans, raw_accepted, rejected
-from .data import BAND, FUNNEL_SQL, RATIO
+from .data import BAND, FUNNEL_SQL, RATIO, STATE, STATUS, ZIP
 from .registry import T, query
 
 FEAT = f"feat AS (SELECT *, {RATIO} AS lti, " + ", ".join(f"{v} AS {k}" for k, v in BAND.items()) + " FROM loans)"
@@ -25,32 +25,29 @@ def labeled(s, d):
 
 
 def fact(s, d):
-    return M.evaluated_fact(labeled(s, d), T)
+    return M.scored_fact(labeled(s, d), T)
 
 
 # Counts and rates
 @query("status_counts", "SELECT coalesce(loan_status, '<NA>') AS loan_status, count(*) AS n FROM loans GROUP BY 1", "loans")
 def _(s, d):
-    return loans(s, d).groupBy(F.coalesce("loan_status", F.lit("<NA>")).alias("loan_status")).agg(F.count("*").alias("n"))
+    return M.status_counts(loans(s, d))
 
 
 @query("target_audit", "SELECT loan_status, CASE WHEN loan_status = 'Fully Paid' THEN 0 WHEN loan_status IN ('Charged Off', 'Default') THEN 1 END AS mapped_target, count(*) AS n FROM loans GROUP BY 1, 2", "loans")
 def _(s, d):
-    return loans(s, d).groupBy("loan_status").agg(F.count("*").alias("n")).withColumn("mapped_target", C.derive_target(F.col("loan_status")))
+    return M.target_audit(loans(s, d))
 
 
-@query("cleaning_audit", """SELECT count(*) AS rows, CAST(count(*) FILTER (WHERE trim(loan_status) NOT IN ('Fully Paid', 'Charged Off', 'Default')) AS BIGINT) AS unresolved,
-  count(CASE WHEN regexp_full_match(upper(trim(addr_state)), '[A-Z]{2}') THEN 1 END) AS states, count(CASE WHEN regexp_full_match(lower(trim(zip_code)), '[0-9]{3,5}x{0,2}') THEN 1 END) AS zips,
-  round(count(CASE WHEN regexp_full_match(upper(trim(addr_state)), '[A-Z]{2}') THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS state_coverage FROM raw_accepted""", "raw_accepted")
+@query("cleaning_audit", f"""SELECT count(*) AS rows, CAST(count(*) FILTER (WHERE {STATUS} NOT IN ('Fully Paid', 'Charged Off', 'Default')) AS BIGINT) AS unresolved,
+  count({STATE.format('addr_state')}) AS states, count({ZIP.format('zip_code')}) AS zips, round(count({STATE.format('addr_state')}) / CAST(count(*) AS DOUBLE), 6) AS state_coverage FROM raw_accepted""", "raw_accepted")
 def _(s, d):
-    c = C.clean_accepted(raw_accepted(s, d))
-    return c.agg(F.count("*").alias("rows"), F.sum(F.col("target").isNull().cast("long")).alias("unresolved"), F.count("state_code").alias("states"), F.count("zip_code").alias("zips"), F.round(F.count("state_code") / F.count("*"), 6).alias("state_coverage"))
+    return M.rounded(M.cleaning_audit(C.clean_accepted(raw_accepted(s, d))))
 
 
 @query("canonical_audit", "SELECT count(*) AS joined, count(target) AS labeled, count(*) - count(target) AS unresolved, count(DISTINCT loan_id) AS unique_ids, count(*) - count(DISTINCT loan_id) AS duplicate_ids, count(*) - count(loan_id) AS null_ids, count(*) FILTER (WHERE target = 0) AS paid, count(*) FILTER (WHERE target = 1) AS defaulted FROM loans", "loans")
 def _(s, d):
-    n = F.count("*")
-    return loans(s, d).agg(n.alias("joined"), F.count("target").alias("labeled"), (n - F.count("target")).alias("unresolved"), F.countDistinct("loan_id").alias("unique_ids"), (n - F.countDistinct("loan_id")).alias("duplicate_ids"), (n - F.count("loan_id")).alias("null_ids"), F.count_if(F.col("target") == 0).alias("paid"), F.count_if(F.col("target") == 1).alias("defaulted"))
+    return M.canonical_audit(loans(s, d))
 
 
 @query("default_rate_by", "SELECT purpose, count(*) AS loans, round(avg(target), 6) AS default_rate FROM loans WHERE target IS NOT NULL AND purpose IS NOT NULL GROUP BY 1", "loans")
@@ -60,17 +57,17 @@ def _(s, d):
 
 @query("loan_trend", "SELECT strftime(issue_d, '%Y-%m') AS month, count(*) AS loans, round(sum(loan_amnt), 2) AS amount FROM loans GROUP BY 1", "loans")
 def _(s, d):
-    return loans(s, d).groupBy(F.date_format("issue_d", "yyyy-MM").alias("month")).agg(F.count("*").alias("loans"), F.round(F.sum("loan_amnt"), 2).alias("amount"))
+    return M.rounded(M.loan_trend(loans(s, d)), 2)
 
 
 @query("accepted_volume", "SELECT CAST(date_trunc('month', issue_d) AS DATE) AS month, count(*) AS loans FROM loans WHERE issue_d IS NOT NULL GROUP BY 1", "loans")
 def _(s, d):
-    return loans(s, d).filter("issue_d is not null").groupBy(F.trunc("issue_d", "MM").alias("month")).agg(F.count("*").alias("loans"))
+    return M.accepted_volume(loans(s, d))
 
 
 @query("time_metrics", "SELECT CAST(date_trunc('month', issue_d) AS DATE) AS month, count(*) AS loans, CAST(sum(target) AS BIGINT) AS defaults, round(avg(target), 6) AS default_rate FROM loans WHERE target IN (0, 1) GROUP BY 1", "loans")
 def _(s, d):
-    return loans(s, d).filter("target in (0, 1)").groupBy(F.trunc("issue_d", "MM").alias("month")).agg(F.count("*").alias("loans"), F.sum("target").alias("defaults"), F.round(F.avg("target"), 6).alias("default_rate"))
+    return M.rounded(M.time_metrics(loans(s, d)))
 
 
 FICO_LABELS = X.FICO_BANDS[1]
@@ -106,14 +103,12 @@ def _(s, d):
 @query("funnel_counts", "SELECT decision, count(*) AS applications, CASE decision WHEN 'accepted' THEN (SELECT count(*) FROM loans) ELSE (SELECT count(*) FROM rejected) END AS expected FROM funnel GROUP BY 1", "loans", "rejected", more=FUNNEL_SQL)
 def _(s, d):
     a, r = loans(s, d), rejected(s, d)
-    expected = a.agg(F.lit("accepted").alias("decision"), F.count("*").alias("expected")).unionByName(r.agg(F.lit("rejected").alias("decision"), F.count("*").alias("expected")))
-    return P.application_funnel(a, r).groupBy("decision").agg(F.count("*").alias("applications")).join(expected, "decision")
+    return M.funnel_counts(P.application_funnel(a, r), {"accepted": a, "rejected": r})
 
 
 @query("funnel_monthly", "SELECT CAST(date_trunc('month', application_date) AS DATE) AS application_month, state_code, decision, count(*) AS application_count, round(sum(requested_amount), 2) AS requested_amount, count(requested_amount) AS amount_known_count FROM funnel GROUP BY 1, 2, 3", "loans", "rejected", more=FUNNEL_SQL)
 def _(s, d):
-    f = P.application_funnel(loans(s, d), rejected(s, d))
-    return f.groupBy(F.trunc("application_date", "MM").alias("application_month"), "state_code", "decision").agg(F.count("*").alias("application_count"), F.round(F.sum("requested_amount"), 2).alias("requested_amount"), F.count("requested_amount").alias("amount_known_count"))
+    return M.rounded(M.funnel_monthly(P.application_funnel(loans(s, d), rejected(s, d))), 2)
 
 
 @query("accepted_share", "SELECT decision, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM funnel GROUP BY 1", "loans", "rejected", more=FUNNEL_SQL)
@@ -123,11 +118,7 @@ def _(s, d):
 
 @query("scan_audit", "SELECT count(*) AS rows, count(*) - count(loan_id) AS null_ids, count(*) - count(DISTINCT loan_id) AS duplicate_ids, count(*) FILTER (WHERE target = 1) AS defaulted, round(count(state_code) / CAST(count(*) AS DOUBLE), 6) AS state_coverage, round(count(issue_d) / CAST(count(*) AS DOUBLE), 6) AS date_coverage, count(*) FILTER (WHERE isinf(loan_amnt) OR isinf(annual_inc) OR isinf(dti)) AS infinite FROM loans WHERE target IS NOT NULL", "loans")
 def _(s, d):
-    inf = F.lit(False)
-    for c in ("loan_amnt", "annual_inc", "dti"):
-        inf = inf | F.coalesce(F.abs(c) == float("inf"), F.lit(False))
-    n = F.count("*")
-    return P.labeled_only(loans(s, d)).agg(n.alias("rows"), (n - F.count("loan_id")).alias("null_ids"), (n - F.countDistinct("loan_id")).alias("duplicate_ids"), F.count_if(F.col("target") == 1).alias("defaulted"), F.round(F.count("state_code") / n, 6).alias("state_coverage"), F.round(F.count("issue_d") / n, 6).alias("date_coverage"), F.count_if(inf).alias("infinite"))
+    return M.rounded(M.scan_audit(P.labeled_only(loans(s, d))))
 
 
 # Scores and losses
@@ -148,20 +139,24 @@ _score("risk_score", "round(100 * predicted_pd, 6) AS risk_score", lambda p: [K.
 _score("credit_score", "CAST(round_even(1000 * (1 - predicted_pd), 0) AS INTEGER) AS credit_score", lambda p: [K.credit_score(p).alias("credit_score")])
 _score("pd_tier", f"{TIER} AS tier", lambda p: [K.pd_tier(p, T).alias("tier")])
 _score("flag_default", f"CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS flag, CASE WHEN target IS NULL THEN NULL WHEN predicted_pd >= {T} THEN CASE target WHEN 1 THEN 'TP' ELSE 'FP' END ELSE CASE target WHEN 1 THEN 'FN' ELSE 'TN' END END AS code", lambda p: [K.flag_default(p, T).alias("flag"), K.outcome_code(p, F.col("target"), T).alias("code")])
-_score("pd_bin", f"{PD_BIN} AS pd_bin", lambda p: [K.pd_bin(p).alias("pd_bin")])
+PD_LABEL = f"CASE WHEN {PD_BIN} = 20 THEN '0.95–1.00 (inclusive)' ELSE printf('%.2f–<%.2f', ({PD_BIN} - 1) / 20e0, {PD_BIN} / 20e0) END"
+_score("pd_bin", f"{PD_BIN} AS pd_bin, {PD_LABEL} AS pd_bin_label", lambda p: [K.pd_bin(p).alias("pd_bin"), K.pd_bin_label(K.pd_bin(p)).alias("pd_bin_label")])
 _score("expected_loss", "round(predicted_pd * 0.45e0 * loan_amnt, 6) AS expected_loss", lambda p: [K.expected_loss(p, 0.45, F.col("loan_amnt")).alias("expected_loss")])
-LTI = "CASE WHEN {0} IS NULL OR {0} < 0 THEN NULL " + " ".join(f"WHEN {{0}} < {e} THEN {i}" for i, e in enumerate(K.LTI_EDGES, 1)) + " ELSE 9 END"
-_score("loan_to_income_bin", f"{LTI.format('(' + RATIO + ')')} AS lti_bin", lambda p: [K.lti_bin(X.safe_ratio(F.col("loan_amnt"), F.col("annual_inc"))).alias("lti_bin")])
+LTI = "CASE WHEN {0} IS NULL OR {0} < 0 THEN NULL " + " ".join(f"WHEN {{0}} < {e} THEN {i}" for i, e in enumerate((0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0), 1)) + " ELSE 9 END"
+LTI_X = "CASE {0} WHEN 1 THEN 0.05e0 WHEN 2 THEN 0.15e0 WHEN 3 THEN 0.25e0 WHEN 4 THEN 0.35e0 WHEN 5 THEN 0.45e0 WHEN 6 THEN 0.55e0 WHEN 7 THEN 0.7e0 WHEN 8 THEN 0.9e0 WHEN 9 THEN 1.333333e0 END"
+_score("loan_to_income_bin", f"{LTI.format('(' + RATIO + ')')} AS lti_bin, {LTI_X.format('(' + LTI.format('(' + RATIO + ')') + ')')} AS lti_x", lambda p: [(b := K.lti_bin(X.safe_ratio(F.col("loan_amnt"), F.col("annual_inc")))).alias("lti_bin"), K.lti_bin_x(b).alias("lti_x")])
 
 
 @query("expected_loss_dataset", "SELECT loan_id, round(predicted_pd * 0.45e0 * loan_amnt, 6) AS expected_loss, round(CASE WHEN loan_amnt <> 0 THEN predicted_pd * 0.45e0 * loan_amnt / loan_amnt END, 6) AS el_rate, round(predicted_pd * 0.3e0 * loan_amnt, 6) AS el_lgd_30, round(predicted_pd * 0.45e0 * loan_amnt, 6) AS el_lgd_45, round(predicted_pd * 0.6e0 * loan_amnt, 6) AS el_lgd_60 FROM loans", "loans")
 def _(s, d):
+    K.require_loss_inputs(loans(s, d))
     return M.rounded(K.expected_loss_dataset(loans(s, d)).select("loan_id", "expected_loss", "el_rate", "el_lgd_30", "el_lgd_45", "el_lgd_60"))
 
 
-@query("tier_parts", "SELECT loan_id, tier, CAST(CASE tier WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END AS INTEGER) AS tier_order, coalesce(fico_band, 'Missing') AS fico_label, fico_order FROM fact", "loans", more=FACT)
+@query("tier_parts", "SELECT loan_id, tier, CAST(CASE tier WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END AS INTEGER) AS tier_order, CASE tier WHEN 'A' THEN 'Tier A — Low' WHEN 'B' THEN 'Tier B — Moderate' WHEN 'C' THEN 'Tier C — High' ELSE 'Tier D — Very High' END AS tier_label, tier AS tier_code, coalesce(fico_band, 'Missing') AS fico_label, fico_order FROM fact", "loans", more=FACT)
 def _(s, d):
-    return fact(s, d).select("loan_id", "tier", "tier_order", "fico_label", "fico_order")
+    label = K.tier_label(F.col("tier"))
+    return fact(s, d).select("loan_id", "tier", "tier_order", label.alias("tier_label"), K.tier_code(label).alias("tier_code"), "fico_label", "fico_order")
 
 
 @query("scenario_id")
@@ -169,16 +164,29 @@ def _(s, d):
     return loans(s, d).select("loan_id", K.scenario_id("loan_id", "loan_amnt", "term_months").alias("scenario_id"))
 
 
-@query("scored_context_join", f"SELECT loan_id, predicted_pd, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class, purpose, (fico_range_low + fico_range_high) / 2 AS fico_avg FROM loans WHERE target IS NOT NULL", "loans")
-def _(s, d):
+LABEL = "CASE tier WHEN 'A' THEN 'Tier A — Low' WHEN 'B' THEN 'Tier B — Moderate' WHEN 'C' THEN 'Tier C — High' ELSE 'Tier D — Very High' END"
+
+
+def scores(s, d):
+    """Predictions of labeled loans with their context, under the join's guards."""
     df = labeled(s, d)
-    context = df.select("loan_id", "purpose", "fico_avg")
-    return df.select("loan_id", "predicted_pd").join(context, "loan_id", "left").withColumn("predicted_class", K.flag_default(F.col("predicted_pd"), T))
+    predictions = df.select("loan_id", "target", "predicted_pd", K.flag_default(F.col("predicted_pd"), T).alias("predicted_class"))
+    return P.scored_context_join(predictions, df.select("loan_id", "purpose", "home_ownership", "fico_avg", "loan_amnt", "annual_inc", "dti", "loan_to_income_ratio"), T)
+
+
+@query("scored_context_join", f"SELECT loan_id, target, predicted_pd, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class, purpose, (fico_range_low + fico_range_high) / 2 AS fico_avg, {T}e0 AS decision_threshold, {LABEL} AS risk_tier, round(100 * predicted_pd, 6) AS risk_score FROM fact", "loans", more=FACT)
+def _(s, d):
+    return scores(s, d).select("loan_id", "target", "predicted_pd", "predicted_class", "purpose", "fico_avg", "decision_threshold", "risk_tier", F.round("risk_score", 6).alias("risk_score"))
 
 
-@query("evaluated_fact", f"SELECT loan_id, tier, pd_bin, (pd_bin - 1) / 20e0 AS pd_bin_lower, CAST(round_even(1000 * (1 - predicted_pd), 0) AS INTEGER) AS credit_score, round(expected_loss, 6) AS expected_loss, coalesce(fico_band, 'Missing') AS fico_label, fico_order, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class FROM fact", "loans", more=FACT)
+@query("evaluated_fact", f"""SELECT loan_id, target, round(predicted_pd, 6) AS predicted_pd, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class, round(100 * predicted_pd, 6) AS risk_score, CAST(round_even(1000 * (1 - predicted_pd), 0) AS INTEGER) AS credit_score,
+  tier AS risk_tier, {LABEL} AS risk_tier_label, CAST(CASE tier WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END AS INTEGER) AS tier_sort_order, (fico_range_low + fico_range_high) / 2 AS fico_avg, coalesce(fico_band, 'Missing') AS fico_band, fico_order AS fico_band_sort_order,
+  round(loan_amnt, 6) AS loan_amnt, round(annual_inc, 6) AS annual_inc, round(dti, 6) AS dti, round(lti, 6) AS loan_to_income_ratio, home_ownership, purpose, round(loan_amnt, 6) AS ead_proxy, round(expected_loss, 6) AS expected_loss, round(expected_loss / loan_amnt, 6) AS expected_loss_rate,
+  round(predicted_pd * 0.3e0 * loan_amnt, 6) AS expected_loss_lgd_30, round(predicted_pd * 0.45e0 * loan_amnt, 6) AS expected_loss_lgd_45, round(predicted_pd * 0.6e0 * loan_amnt, 6) AS expected_loss_lgd_60,
+  round((pd_bin - 1) / 20e0, 6) AS pd_bin, {PD_LABEL} AS pd_bin_label, pd_bin AS pd_bin_sort_order FROM fact""", "loans", more=FACT)
 def _(s, d):
-    return M.rounded(fact(s, d).select("loan_id", "tier", "pd_bin", "pd_bin_lower", "credit_score", "expected_loss", "fico_label", "fico_order", "predicted_class"))
+    scored = scores(s, d)
+    return M.rounded(M.evaluated_fact(scored, M.losses(scored), labeled(s, d).select("loan_id", "fico_band")))
 
 
 TIER_VALUES = "(VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D')) t(sort_order, tier)"
@@ -232,26 +240,23 @@ def _(s, d):
 
 @query("pd_quartiles_by_fico", "SELECT fico_order, count(*) AS n, round(quantile_cont(predicted_pd, 0.25), 6) AS q1, round(quantile_cont(predicted_pd, 0.5), 6) AS median, round(quantile_cont(predicted_pd, 0.75), 6) AS q3, round(avg(predicted_pd), 6) AS mean FROM fact GROUP BY 1", "loans", more=FACT)
 def _(s, d):
-    q = F.percentile(F.col("predicted_pd"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return M.rounded(fact(s, d).groupBy("fico_order").agg(F.count("*").alias("n"), q.alias("q"), F.avg(F.col("predicted_pd")).alias("mean")).select("fico_order", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean"))
+    return M.rounded(M.quartiles_by(fact(s, d), "fico_order", "predicted_pd"))
 
 
-@query("lti_risk_line", f"SELECT {LTI.format('lti')} AS lti_bin, count(*) AS n, round(avg(predicted_pd), 6) AS mean_pd, round(avg(target), 6) AS observed_rate, round(avg(target) - avg(predicted_pd), 6) AS gap, count(*) < 100 AS sparse FROM fact WHERE lti IS NOT NULL GROUP BY 1", "loans", more=FACT)
+@query("lti_risk_line", f"SELECT *, {LTI_X.format('lti_bin')} AS lti_x, CASE lti_bin WHEN 9 THEN '≥ 1,0 (nhóm đuôi)' WHEN 1 THEN '0 – <0,1' WHEN 7 THEN '0,6 – <0,8' WHEN 8 THEN '0,8 – <1,0' ELSE '0,' || (lti_bin - 1) || ' – <0,' || lti_bin END AS lti_label FROM (SELECT {LTI.format('lti')} AS lti_bin, count(*) AS n, round(avg(predicted_pd), 6) AS mean_pd, round(avg(target), 6) AS observed_rate, round(avg(target) - avg(predicted_pd), 6) AS gap, count(*) < 100 AS sparse FROM fact WHERE lti IS NOT NULL GROUP BY 1)", "loans", more=FACT)
 def _(s, d):
-    got = fact(s, d).withColumn("lti_bin", K.lti_bin(F.col("loan_to_income_ratio"))).filter("lti_bin is not null").groupBy("lti_bin")
-    return M.rounded(got.agg(F.count("*").alias("n"), F.avg(F.col("predicted_pd")).alias("mean_pd"), F.avg("target").alias("observed_rate"), (F.avg("target") - F.avg(F.col("predicted_pd"))).alias("gap"), (F.count("*") < M.SPARSE).alias("sparse")))
+    return M.rounded(M.lti_risk_line(fact(s, d)))
 
 
 @query("state_risk_map", "SELECT s.state_code, coalesce(n, 0) AS loans, coalesce(defaults, 0) AS defaults, round(rate, 6) AS default_rate, round(mean_pd, 6) AS mean_pd FROM (SELECT state_code FROM loans UNION SELECT state_code FROM rejected) s LEFT JOIN (SELECT state_code, count(*) n, CAST(sum(target) AS BIGINT) defaults, avg(target) rate, avg(predicted_pd) mean_pd FROM fact GROUP BY 1) f ON s.state_code = f.state_code", "loans", "rejected", more=FACT)
 def _(s, d):
     states = P.dim_state((loans(s, d), "state_code"), (rejected(s, d), "state_code")).select("state_code")
-    got = fact(s, d).groupBy("state_code").agg(F.count("*").alias("n"), F.sum("target").alias("d"), F.avg("target").alias("default_rate"), F.avg(F.col("predicted_pd")).alias("mean_pd"))
-    return M.rounded(states.join(got, "state_code", "left").select("state_code", F.coalesce("n", F.lit(0)).alias("loans"), F.coalesce("d", F.lit(0)).alias("defaults"), "default_rate", "mean_pd"))
+    return M.rounded(M.state_risk_map(fact(s, d), states))
 
 
 @query("portfolio_kpis", "SELECT count(*) AS loans, round(sum(loan_amnt), 2) AS funded, round(avg((fico_range_low + fico_range_high) / 2), 2) AS mean_fico, round(avg(loan_amnt), 2) AS mean_loan, round(CASE WHEN count(target) >= 100 THEN avg(target) END, 2) AS default_rate FROM loans", "loans")
 def _(s, d):
-    return M.rounded(X.engineer_features(loans(s, d)).agg(F.count("*").alias("loans"), F.sum("loan_amnt").alias("funded"), F.avg("fico_avg").alias("mean_fico"), F.avg("loan_amnt").alias("mean_loan"), F.when(F.count("target") >= M.SPARSE, F.avg("target")).alias("default_rate")), 2)
+    return M.rounded(M.portfolio_kpis(X.engineer_features(loans(s, d))), 2)
 
 
 @query("top_category", "SELECT purpose, count(*) AS n FROM loans GROUP BY 1 ORDER BY n DESC, purpose LIMIT 1", "loans")
@@ -271,10 +276,9 @@ def _(s, d):
 
 @query("numeric_bounds", "SELECT 'loan_amnt' AS feature, min(loan_amnt) AS low, max(loan_amnt) AS high FROM loans WHERE target IS NOT NULL UNION ALL SELECT 'dti', min(dti), max(dti) FROM loans WHERE target IS NOT NULL UNION ALL SELECT 'annual_inc', min(annual_inc), max(annual_inc) FROM loans WHERE target IS NOT NULL", "loans")
 def _(s, d):
-    cols = ["loan_amnt", "dti", "annual_inc"]
-    return P.labeled_only(loans(s, d)).agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in cols]).unpivot([], cols, "feature", "b").select("feature", "b.low", "b.high")
+    return M.numeric_bounds(P.labeled_only(loans(s, d)), ["loan_amnt", "dti", "annual_inc"])
 
 
 @query("category_counts", "SELECT 'purpose' AS feature, purpose AS value, count(*) AS n FROM loans WHERE target IS NOT NULL GROUP BY 2 UNION ALL SELECT 'home_ownership', home_ownership, count(*) FROM loans WHERE target IS NOT NULL GROUP BY 2", "loans")
 def _(s, d):
-    return P.labeled_only(loans(s, d)).select("purpose", "home_ownership").unpivot([], ["purpose", "home_ownership"], "feature", "value").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return M.category_counts(P.labeled_only(loans(s, d)), ["purpose", "home_ownership"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import COUNTRY
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,7 +68,7 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(
         F.col("l_extendedprice").alias("requested_amount"), F.col("l_shipdate").cast("date").alias("application_date"), F.col("l_returnflag").alias("loan_title"),
         ((F.col("l_orderkey") % 300) + 500.0).alias("risk_score"), F.col("l_quantity").alias("dti"), F.concat(F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), F.lit("xx")).alias("zip_code"),
-        _states(F.col("l_suppkey")).alias("state_code"), F.col("l_linenumber").cast("double").alias("emp_length_years"), F.lit(0.0).alias("policy_code"), F.lit("US").alias("country"),
+        _states(F.col("l_suppkey")).alias("state_code"), F.col("l_linenumber").cast("double").alias("emp_length_years"), F.lit(0.0).alias("policy_code"), F.lit(COUNTRY).alias("country"),
     )
 
 
@@ -74,7 +76,7 @@ REJECTED_SQL = """
 rejected AS (SELECT l_extendedprice AS requested_amount, CAST(l_shipdate AS DATE) AS application_date, l_returnflag AS loan_title,
   (l_orderkey % 300) + 500e0 AS risk_score, l_quantity AS dti, lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || 'xx' AS zip_code,
   chr(CAST(65 + l_suppkey % 26 AS INTEGER)) || chr(CAST(65 + (l_suppkey * 7) % 26 AS INTEGER)) AS state_code,
-  CAST(l_linenumber AS DOUBLE) AS emp_length_years, 0e0 AS policy_code, 'US' AS country FROM lineitem)"""
+  CAST(l_linenumber AS DOUBLE) AS emp_length_years, 0e0 AS policy_code, 'United States' AS country FROM lineitem)"""
 
 
 def raw_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +87,13 @@ def raw_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     emp = F.when(cust % 13 == 0, "< 1 year").when(cust % 13 == 10, "10+ years").when(cust % 13 == 11, "n/a").when(cust % 13 == 12, None).otherwise(F.concat(s(cust % 13), F.lit(" years")))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.when(key % 5 == 0, F.concat(s(key), F.lit(".0"))).otherwise(s(key)).alias("id"),
-        F.when(F.col("o_orderstatus") == "F", "Fully Paid ").when(F.col("o_orderstatus") == "O", " Charged Off").when(key % 7 == 0, "Default").otherwise("Current").alias("loan_status"),
+        F.when(F.col("o_orderstatus") == "F", "Fully Paid\t").when(F.col("o_orderstatus") == "O", " Charged Off").when(key % 7 == 0, "Default").otherwise("Current").alias("loan_status"),
         s(key % 40000).alias("loan_amnt"), F.when(cust % 19 == 0, "NULL").otherwise(s((cust * 37) % 90000)).alias("annual_inc"),
         F.when(key % 31 == 0, "12d").when(key % 37 == 0, "inf").otherwise(F.concat(s((key % 450 / 10).cast("int")), F.lit("."), s(key % 10))).alias("dti"),
         F.when(key % 3 == 0, " 60 months").when(key % 41 == 0, "months").otherwise(" 36 months").alias("term"),
         F.when(key % 43 == 0, "bad%").otherwise(F.concat(s(key % 30), F.lit("."), s(key % 10), F.lit("%"))).alias("int_rate"),
         emp.alias("emp_length"), F.when(cust % 50 == 0, "bad").otherwise(F.lower(_states(F.col("c_nationkey")))).alias("addr_state"),
-        F.when(cust % 29 == 0, "9").otherwise(F.concat(F.lpad(s(cust % 1000), 3, "0"), F.lit("XX "))).alias("zip_code"),
+        F.when(cust % 29 == 0, "9").otherwise(F.concat(F.lpad(s(cust % 1000), 3, "0"), F.lit("XX\t\u00a0"))).alias("zip_code"),
         F.when(key % 47 == 0, "2018").otherwise(F.date_format("o_orderdate", "MMM-yyyy")).alias("issue_d"), F.date_format(F.add_months(F.col("o_orderdate").cast("date"), (20 - cust % 300).cast("int")), "MMM-yyyy").alias("earliest_cr_line"),
         F.col("o_orderpriority").alias("purpose"), s(key % 9000).alias("total_pymnt"),
     )
@@ -100,14 +102,14 @@ def raw_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_ACCEPTED_SQL = """
 raw_accepted AS (SELECT
   CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey AS VARCHAR) || '.0' ELSE CAST(o_orderkey AS VARCHAR) END AS id,
-  CASE WHEN o_orderstatus = 'F' THEN 'Fully Paid ' WHEN o_orderstatus = 'O' THEN ' Charged Off' WHEN o_orderkey % 7 = 0 THEN 'Default' ELSE 'Current' END AS loan_status,
+  CASE WHEN o_orderstatus = 'F' THEN 'Fully Paid' || chr(9) WHEN o_orderstatus = 'O' THEN ' Charged Off' WHEN o_orderkey % 7 = 0 THEN 'Default' ELSE 'Current' END AS loan_status,
   CAST(o_orderkey % 40000 AS VARCHAR) AS loan_amnt, CASE WHEN o_custkey % 19 = 0 THEN 'NULL' ELSE CAST((o_custkey * 37) % 90000 AS VARCHAR) END AS annual_inc,
   CASE WHEN o_orderkey % 31 = 0 THEN '12d' WHEN o_orderkey % 37 = 0 THEN 'inf' ELSE CAST((o_orderkey % 450) // 10 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR) END AS dti,
   CASE WHEN o_orderkey % 3 = 0 THEN ' 60 months' WHEN o_orderkey % 41 = 0 THEN 'months' ELSE ' 36 months' END AS term,
   CASE WHEN o_orderkey % 43 = 0 THEN 'bad%' ELSE CAST(o_orderkey % 30 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR) || '%' END AS int_rate,
   CASE WHEN o_custkey % 13 = 0 THEN '< 1 year' WHEN o_custkey % 13 = 10 THEN '10+ years' WHEN o_custkey % 13 = 11 THEN 'n/a' WHEN o_custkey % 13 = 12 THEN NULL ELSE CAST(o_custkey % 13 AS VARCHAR) || ' years' END AS emp_length,
   CASE WHEN o_custkey % 50 = 0 THEN 'bad' ELSE lower(chr(65 + c_nationkey % 26) || chr(65 + (c_nationkey * 7) % 26)) END AS addr_state,
-  CASE WHEN o_custkey % 29 = 0 THEN '9' ELSE lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || 'XX ' END AS zip_code,
+  CASE WHEN o_custkey % 29 = 0 THEN '9' ELSE lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || 'XX' || chr(9) || chr(160) END AS zip_code,
   CASE WHEN o_orderkey % 47 = 0 THEN '2018' ELSE strftime(o_orderdate, '%b-%Y') END AS issue_d,
   strftime(CAST(o_orderdate AS DATE) + to_months(CAST(20 - (o_custkey % 300) AS INTEGER)), '%b-%Y') AS earliest_cr_line,
   o_orderpriority AS purpose, CAST(o_orderkey % 9000 AS VARCHAR) AS total_pymnt

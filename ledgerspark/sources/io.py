@@ -10,8 +10,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_raw(spark: SparkSession, path: str, header: list[str], columns: list[str] | None = None) -> DataFrame:
-    """A CSV file with a header, all strings: ids and ZIP codes keep their zeros. Columns that aren't asked for aren't parsed."""
-    df = spark.read.schema(StructType([StructField(c, StringType()) for c in header])).option("header", True).option("multiLine", False).csv(path)
+    """A CSV file with a header, all strings: ids and ZIP codes keep their zeros. Columns that aren't asked for aren't parsed. Quoted texts may hold line breaks and doubled quotes."""
+    df = spark.read.schema(StructType([StructField(c, StringType()) for c in header])).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -29,21 +29,39 @@ def export_samples(tables: dict[str, DataFrame], folder: str, n: int = 100) -> N
         df.limit(n).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Parquet that is visible when it is complete."""
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    """Parquet that is visible when it is complete: it is written beside its place and moved in; what was there before goes only then, and comes back if the move fails."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    at, fs = _hadoop(spark, path)
+    new, old = f"{path.rstrip('/')}_new-{mark}", f"{path.rstrip('/')}_old-{mark}"
+    try:
+        df.write.option("compression", "snappy").parquet(new)
+        there = fs.exists(at(path))
+        if there and not fs.rename(at(path), at(old)):
+            raise OSError(f"{path} can't be moved away")
+        if not fs.rename(at(new), at(path)):
+            if there:
+                fs.rename(at(old), at(path))
+            raise OSError(f"{path} can't be moved in")
+    finally:
+        fs.delete(at(new), True)
+    fs.delete(at(old), True)
 
 
 def publish_set(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
     """All tables or none: each is written beside its place and counted again, then they are moved in; on a failure what was there before comes back."""
     spark = next(iter(tables.values())).sparkSession
-    jvm, stage = spark.sparkContext._jvm, f"{folder}/_stage-{uuid.uuid4().hex}"
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stage = f"{folder}/_stage-{uuid.uuid4().hex}"
+    path, fs = _hadoop(spark, folder)
     counts, moved = {}, []
     try:
         for name, df in tables.items():
-            publish(df, f"{stage}/{name}")
+            df.write.option("compression", "snappy").parquet(f"{stage}/{name}")
             counts[name] = spark.read.parquet(f"{stage}/{name}").count()
             if not counts[name]:
                 raise ValueError(f"{name} is empty")
