@@ -17,8 +17,10 @@ from .common import table, written
 
 #: Bits of an id that each level holds, and bits of a continuation bitmap between two entries of its rank directory.
 CHUNK_BITS, RANK_EVERY = 8, 512
-#: Ids of a segment, about; a longer document is a segment of its own.
+#: A segment ends with the document that brings it to this many ids.
 SEGMENT = 1 << 20
+#: Segments up to which their offsets, some 24 bytes each, are broadcast when documents are read back.
+OFFSETS = 200_000
 #: Pieces of text whose ids a worker remembers.
 MEMORY = 700_000
 MAGIC = b"DAC1"
@@ -166,9 +168,10 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, id_col: str = "
     (ids of each document), codes (the file format: see pack()).
 
     Null and empty texts have the end id alone. Rows without doc_id come first, rows of one doc_id follow each other in
-    the order of their texts. More columns aren't read. An empty table gives an empty one.
+    the order of a hash of their texts, which also deals them into ranges, so that no id makes a range too large. More columns aren't read. An empty table gives an empty one.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -194,17 +197,19 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, id_col: str = "
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // bytes_per_part))
-    dealt = docs.repartitionByRange(int(ranges), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by = F.col("doc_id").asc_nulls_first(), F.col("h")
+    dealt = docs.repartitionByRange(int(ranges), *by).sortWithinPartitions(*by, "text")
     return written(dealt.mapInArrow(packed, SEGMENTS), "tokens", "none")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), read back from written segments by the documents' addresses, some documents in a row at a time."""
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), read back from written segments by the documents' addresses, some documents in a row at a time. Segments stay where they are: their offsets come to them as a broadcast, up to OFFSETS of them."""
     counts = files.select("part", "segment", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     # One row a range is ordered whole; a range's segments only among themselves.
     parts = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     firsts = counts.select("part", "segment", (F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")).alias("inside")).join(parts, "part")
-    firsts = firsts.select("part", "segment", (F.col("inside") + F.col("before")).alias("first"))
+    firsts = written(firsts.select("part", "segment", (F.col("inside") + F.col("before")).alias("first")), "token-offsets")
+    firsts = F.broadcast(firsts) if firsts.count() <= OFFSETS else firsts.hint("merge")
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

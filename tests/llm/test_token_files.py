@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerspark.llm import token_files as T
@@ -35,7 +36,7 @@ def test_pieces_equal_library():
 def test_files_round_trip(docs, odd, none):
     for df in (docs, odd, none):
         start, want = 0, []
-        for r in sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+        for r in df.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect():
             ids = [*LIBRARY.encode(r.text or "", add_special_tokens=False).ids, 2]
             want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
