@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -20,6 +20,8 @@ BANDS, ROWS = 70, 6
 REGISTERS = BANDS * ROWS
 #: Of a register's 16 bits, these hold the mantissa; the others count leading zeros.
 MANTISSA = 10
+#: The lower bits of a band's key say which band it is.
+BAND_BITS = 7
 #: Rows of a bucket that one group compares at once; a larger bucket is compared in pairs of such blocks.
 BLOCK = 2048
 #: Bytes of text hashed in one go, and words that a worker remembers.
@@ -138,32 +140,46 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
+def tiny_keys(s: np.ndarray) -> tuple[int | None, list[int]]:
+    """Keys by which a set of 3 to 6 shingles and the larger sets similar to it meet for certain: own, a hash of the whole set, and those of the set without one shingle (4 to 7) or without two (8). At these sizes, sets as similar as that are one inside the other, with one more, or two more than six."""
+    n = len(s)
+    if not 3 <= n <= 8:
+        return None, []
+    h = _mix(s, 0x6A09E667F3BCC909)
+    with np.errstate(over="ignore"):
+        whole = h.sum(dtype=np.uint64)
+        fewer = whole - (h if n < 8 else (h[:, None] + h)[np.triu_indices(n, 1)]) if n > 3 else h[:0]
+    return (int(whole.view(np.int64)) if n <= 6 else None), fewer.view(np.int64).tolist()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _chunks(batches):
         sets = shingle_sets(_texts(batch))
+        own, fewer = zip(*map(tiny_keys, sets), strict=True) if sets else ((), ())
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-            pa.array([r.tobytes() for r in sketches(sets)], pa.binary()),
-        ], ["doc_id", "n", "print", "sketch"])
+            pa.array([r.tobytes() for r in sketches(sets)], pa.binary()), pa.array(own, pa.int64()), pa.array(fewer, pa.list_(pa.int64())),
+        ], ["doc_id", "n", "print", "sketch", "own", "fewer"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], ["id", "set"])
+        raw = [s.tobytes() for s in shingle_sets(_texts(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["id", "print", "set"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per band of a sketch: the key is a hash of the band's number and its registers."""
+    """A row per band of a sketch: the key is a hash of the band's registers, and its number in the lower bits."""
     for batch in batches:
         regs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(batch), BANDS))
+        band = np.arange(BANDS, dtype=np.uint64)
+        key = np.broadcast_to(band, (len(batch), BANDS))
         for r in range(ROWS):
             key = _mix(key + regs[:, :, r] * np.uint64(0x9E3779B97F4A7C15), r)
-        key = key.view(np.int64)
-        ids, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("id", "n"))
-        band = np.tile(np.arange(BANDS, dtype=np.int32), len(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(band), pa.array(ids), pa.array(n)], ["key", "band", "id", "n"])
+        key = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band).view(np.int64)
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], ["key", "id"])
 
 
 def _similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -238,14 +254,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, set) of the documents with these ids (doc_id); no other text is read into a set."""
-    return written(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, set binary"), "near-sets", "none")
+def _sets_of(ids: DataFrame, docs: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    """(id, set) of the documents with these ids (doc_id); no other text is read into a set. chosen: of ids with several texts, the print of the one that counts."""
+    got = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "id long, print binary, set binary")
+    if chosen is not None:
+        got = got.join(chosen.select(F.col("doc_id").alias("id"), F.col("print").alias("of")), "id", "left").filter("of is null or of = print")
+    return written(got.dropDuplicates(["id"]).select("id", "set"), "near-sets", "none")
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xset")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("yset")).hint("merge"), "b")
     return written(both.mapInArrow(_confirmed, "a long, b long"), "near-links")
 
@@ -255,54 +273,71 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts with one shingle set are one class, found by a hash of the set that combines before the shuffle; its smallest
     id stands for it from here on, so any number of copies costs one sketch. Two classes meet in a bucket if a band of
-    their sketches agrees (for a similarity of 0.75 but for about one pair in 10^6). First each class is held against the
-    smallest id of each of its buckets, then in buckets that still hold several components against one drawn by lot in
-    each; so large groups of copies link up with a few pairs a class. Buckets that hold several components even then are
-    compared in blocks, in memory, pairs of different components only: any link that is left would join two of those.
-    All three rounds estimate on sketches, then confirm on full sets. No bucket is capped or sampled.
+    their sketches agrees; sets of so few shingles that bands may miss them also meet by tiny_keys(), exactly. First each
+    class is held against the smallest id of each of its buckets, then in buckets that still hold several components
+    against one drawn by lot in each; so large groups of copies link up with a few pairs a class. Buckets that hold
+    several components even then are compared in blocks, in memory, pairs of different components only: any link that
+    is left would join two of those. All three rounds estimate on sketches, then confirm on full sets. No bucket is
+    capped or sampled. A bucket's least id and its count combine before the shuffle and come to its rows by a join,
+    which Spark splits where a bucket is large.
 
     Decided: a text that is null, empty or blank has no shingles and no links. Rows of one doc_id are one document; if
-    their texts differ, one of them is confirmed. A row without doc_id can't be named: n_shingles is given, its
-    component_id is null and it is kept. More columns aren't read. An empty table gives an empty one.
+    their texts differ, the one whose set has the smallest hash counts for all of them, on every run. A row without
+    doc_id can't be named: n_shingles is given, its component_id is null and it is kept. More columns aren't read. An
+    empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = written(docs.mapInArrow(_sketched, "doc_id long, n long, print binary, sketch binary"), "near-sketches")
+    drawn = written(docs.mapInArrow(_sketched, "doc_id long, n long, print binary, sketch binary, own long, fewer array<long>"), "near-sketches")
+    several = drawn.filter("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("print"), F.max("print").alias("last")).filter("print <> last")
+    several = written(several.select("doc_id", "print"), "near-several")
+    chosen = None if several.isEmpty() else several
+    if chosen is not None:
+        one = drawn.join(chosen, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"]).drop("doc_id")
+        again = drawn.select("doc_id").join(chosen, "doc_id").join(one, "print")
+        drawn = written(drawn.join(chosen, "doc_id", "left_anti").unionByName(again), "near-sketches")
     linked = drawn.filter("n > 0 and doc_id is not null")
     classes = linked.groupBy("print").agg(F.min("doc_id").alias("id"))
-    firsts = written(linked.join(classes.select(F.col("id").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch"), "near-classes")
-
-    by_key = Window.partitionBy("key")
-    bands = firsts.mapInArrow(_banded, "key long, band int, id long, n long")
-    met = bands.withColumn("first", F.min(F.struct("id", "n")).over(by_key)).withColumn("last", F.max("id").over(by_key)).filter("first.id <> last")
-    met = written(met.select("key", "band", "id", "n", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "near-buckets")
+    firsts = linked.join(classes.select(F.col("id").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"])
+    firsts = written(firsts.select(F.col("doc_id").alias("id"), "n", "sketch", "own", "fewer"), "near-classes")
+
+    bands = firsts.mapInArrow(_banded, "key long, id long")
+    shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("key", "first")
+    met = written(bands.join(shared.hint("merge"), "key"), "near-buckets")
+    tiny = firsts.filter("own is not null").select("own", F.col("id").alias("a")).join(firsts.select(F.explode("fewer").alias("own"), F.col("id").alias("b")), "own")
+    tiny = written(tiny.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-tiny")
+    needed = met.select("id").unionByName(tiny.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    sets = _sets_of(needed.withColumnRenamed("id", "doc_id"), docs, chosen)
     x, y = (firsts.select(F.col("id").alias(i), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for i, v in (("a", "x"), ("b", "y")))
-    close = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(SIMILAR) * F.greatest(n, m)
+    close = F.lit(100) * F.least("xn", "yn") >= F.lit(SIMILAR) * F.greatest("xn", "yn")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
-        return written(pairs.distinct().join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_near, "a long, b long"), name)
+        sized = pairs.distinct().join(x.select("a", "xn"), "a").join(y.select("b", "yn"), "b").filter(close)
+        return written(sized.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_near, "a long, b long"), name)
 
     def mixed(of: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with their count of rows; of buckets with the same rows, the one of the first band."""
-        placed = met.join(of, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
-        several = placed.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("lo <> hi")
-        first = several.groupBy("who", "rows").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "rows")
+        placed = met.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("lo <> hi")
+        first = several.groupBy("who", "rows").agg(F.min(F.struct(band, "key")).alias("first")).select("first.key", "rows")
         return placed.join(first, "key")
 
-    stars = likely(met.filter((F.col("id") != F.col("first")) & close(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("id").alias("b")), "near-stars")
-    of = written(components(_links(stars, docs)), "near-components")
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
+    stars = likely(met.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), "near-stars").unionByName(tiny)
+    of = written(components(_links(stars, sets)), "near-components")
 
-    drawn_by_lot = F.min(F.struct(F.xxhash64("key", "id").alias("lot"), "id", "n", "component")).over(by_key)
-    others = mixed(of).withColumn("lead", drawn_by_lot).filter((F.col("component") != F.col("lead.component")) & close(F.col("n"), F.col("lead.n")))
+    others = written(mixed(of), "near-mixed")
+    drawn_by_lot = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("lot"), "id", "component")).alias("lead"))
+    others = others.join(drawn_by_lot, "key").filter(F.col("component") != F.col("lead.component"))
     leads = others.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
     leads = likely(leads.join(stars, ["a", "b"], "left_anti"), "near-leads")
     as_links = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    of = written(components(as_links(of).unionByName(_links(leads, docs))), "near-components")
+    of = written(components(as_links(of).unionByName(_links(leads, sets))), "near-components")
 
     left = written(mixed(of), "near-left")
     blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
     dealt = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.join(firsts.select("id", "sketch").hint("merge"), "id").join(_sets_of(left.select(F.col("id").alias("doc_id")).distinct(), docs).hint("merge"), "id")
-    dealt = dealt.select("key", "band", "id", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sketch", "set")
+    dealt = dealt.join(firsts.select("id", "n", "sketch").hint("merge"), "id").join(sets.hint("merge"), "id")
+    dealt = dealt.select("key", band, "id", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sketch", "set")
     more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared, "a long, b long")
     final = components(as_links(of).unionByName(more))
 

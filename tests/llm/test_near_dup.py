@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import near_dup as N
 from ledgerspark.llm.components import components
@@ -65,6 +66,48 @@ def test_odd_rows(odd, none):
     assert N.near_duplicates(none).count() == 0
 
 
+def test_very_short_texts_equal_brute_force(spark):
+    """Bands may miss pairs of a few shingles; their own keys don't."""
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        w = [f"w{i}-{k}" for k in range(rng.randint(7, 12))]
+        rows += [w, w[: rng.randint(max(5, len(w) - 2), len(w))], w[rng.randint(0, 2) :], [*w, f"x{i}"]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_tiny_keys_meet_whatever_is_similar():
+    rng = np.random.default_rng(7)
+    for n in range(1, 10):
+        for m in range(n, 10):
+            for both in range(n + 1):
+                x = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+                (own, _), (_, fewer) = N.tiny_keys(np.sort(x[:n])), N.tiny_keys(np.sort(np.concatenate([x[:both], x[n:]])))
+                similar = 100 * both >= 75 * (n + m - both) and m > n
+                assert (own in fewer if own is not None else False) == (similar and n <= 6 and both == n), (n, m, both)
+                assert n > 6 or not similar or both == n
+
+
+def test_one_id_with_several_texts(spark):
+    """One text, the same on every run, counts for all rows of an id."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, b), (3, a), (3, b + " c"), (3, None), (4, "x y z"), (4, "x y z"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, N.near_duplicates(df).collect()))
+    assert got == sorted(map(str, N.near_duplicates(df.orderBy(F.desc("text")).repartition(5)).collect())) and len(got) == len(rows)
+    of = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df).collect() if r.doc_id is not None}
+    assert of[3] in ((36, 1, False), (37, 2, False), (0, 3, True)) and of[1] == (36, 1, True) and of[4] == (1, 4, True)
+
+
+def test_a_hot_bucket_of_texts_from_one_template(spark):
+    """Many texts that share most words but aren't similar enough, and a few that are."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"t{i}-{k}" for k in range(rng.randint(8, 10))])) for i in range(700)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 700, 7)]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
