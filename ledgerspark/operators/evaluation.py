@@ -282,8 +282,9 @@ def average_rank(df: DataFrame, column: str, key: str = "loan_id") -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, key: str = "loan_id") -> DataFrame:
+    """n, rho: the correlation of average ranks; null where a side is constant."""
     sound = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return average_rank(sound, a, key).withColumnRenamed("rank", "ra").join(average_rank(sound, b, key), key).agg(F.count("*").alias("n"), F.corr("ra", "rank").alias("rho"))
+    return average_rank(sound, a, key).withColumnRenamed("rank", "ra").join(average_rank(sound, b, key), key).agg(F.count("*").alias("n"), (F.covar_pop("ra", "rank") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rank"), F.lit(0.0))).alias("rho"))
 
 
 def direction_summary(df: DataFrame, feature: str, contribution: str, key: str = "loan_id", least_rows: int = 30, least_values: int = 3) -> DataFrame:

@@ -186,6 +186,21 @@ def test_tree_queries_do_the_whole_job(spark, sf, monkeypatch):
     assert asked == [200] * 4 and explained == [labelled] * 2
 
 
+def test_compact_models_of_both_kinds(spark, sf, monkeypatch):
+    import ledgerspark.plans.models  # noqa: F401  registers the queries
+    from ledgerspark.plans.registry import QUERIES
+
+    real, asked = D.fit, []
+
+    def fit(df, kind="logistic", **how):
+        asked.append((kind, len(how["numbers"]) + len(how["categories"]), how.pop("trees", 200)))
+        return real(df, kind, trees=3, **how)
+
+    monkeypatch.setattr(D, "fit", fit)
+    got = QUERIES["compact_model"](spark, sf).groupBy("inputs", "kind").count().collect()
+    assert sorted(asked) == sorted((k, n, 200) for k in ("logistic", "trees") for n in (5, 6)) and len({r["count"] for r in got}) == 1 and len(got) == 4
+
+
 def test_tree_contributions_equal_the_definition():
     """Against Shapley values over all subsets, with a feature that splits twice on a path."""
     from itertools import combinations
@@ -237,3 +252,138 @@ def test_funnel_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.applications, r.requested_amount) for r in spark.table("funnel_test").collect()] == [(2, 15.0)]
+
+
+def test_guards_of_joins(spark):
+    """Each fault is refused: repeated or missing ids, other targets, scores out of range, a context that brings outcomes."""
+    t = "loan_id string, target int, predicted_pd double"
+    good = spark.createDataFrame([("1", 0, 0.1), ("2", 1, 0.9)], t)
+    ids = good.select("loan_id", "target")
+    assert P.align_predictions({"a": good, "b": good}, ids).count() == 2
+    bad = [[("1", 0, 0.1)], [("1", 0, 0.1), ("2", 1, 0.9), ("3", 0, 0.5)], [("1", 1, 0.1), ("2", 1, 0.9)], [("1", 0, 1.1), ("2", 1, 0.9)], [("1", 0, 0.1), ("1", 0, 0.1)], [("1", 0, None), ("2", 1, 0.9)], [("1", None, 0.1), ("2", 1, 0.9)]]
+    for rows in bad:
+        with pytest.raises(ValueError):
+            P.align_predictions({"a": spark.createDataFrame(rows, t)}, ids)
+    canonical = spark.createDataFrame([("1", 0, 5.0), ("2", 1, 6.0), ("3", 0, 7.0)], "loan_id string, target int, dti double")
+    assert P.partition_rows(canonical, ids, ["dti"]).count() == 2
+    for rows in ([("1", 1)], [("9", 0)], [("1", 0), ("1", 0)]):
+        with pytest.raises(ValueError):
+            P.partition_rows(canonical, spark.createDataFrame(rows, "loan_id string, target int"), ["dti"])
+    scored = good.withColumn("predicted_class", F.col("target"))
+    context = canonical.select("loan_id", "dti")
+    assert P.scored_context_join(scored, context, 0.5).select("risk_tier").distinct().count() == 2
+    for predictions, more in ((scored.withColumn("predicted_class", F.lit(0)), context), (scored, context.filter("loan_id <> '2'")), (scored, context.withColumn("target", F.lit(1))), (scored, context.union(context))):
+        with pytest.raises(ValueError):
+            P.scored_context_join(predictions, more, 0.5)
+    with pytest.raises(ValueError):
+        P.project(context.union(context), ("loan_id", "dti"), strict=True)
+
+
+def test_evaluated_fact_refuses_faults(spark):
+    from ledgerspark.operators import marts as M
+
+    scored = spark.createDataFrame([("1", 0, 0.1, 700.0, 1000.0, 5e4, 9.0, 0.02, "RENT", "car"), ("2", 1, 0.9, 650.0, 2000.0, 4e4, 8.0, 0.05, "OWN", "car")], "loan_id string, target int, predicted_pd double, fico_avg double, loan_amnt double, annual_inc double, dti double, loan_to_income_ratio double, home_ownership string, purpose string")
+    scored = P.scored_context_join(scored.select("loan_id", "target", "predicted_pd", F.col("target").alias("predicted_class")), scored.drop("target", "predicted_pd"), 0.5)
+    loss, fico = M.losses(scored), spark.createDataFrame([("1", "700-749"), ("2", None), ("3", "<650")], "loan_id string, fico_band string")
+    fact = M.evaluated_fact(scored, loss, fico)
+    assert tuple(fact.columns) == M.FACT and len(M.FACT) == 27
+    rows = {r.loan_id: r for r in fact.collect()}
+    assert (rows["1"].risk_tier, rows["1"].risk_tier_label, rows["1"].pd_bin_label, rows["2"].pd_bin_label) == ("A", "Tier A — Low", "0.10–<0.15", "0.90–<0.95")
+    assert (rows["2"].fico_band, rows["2"].fico_band_sort_order, rows["2"].tier_sort_order, rows["1"].pd_bin_sort_order) == ("Missing", 5, 3, 3)
+    faults = [
+        (scored, loss.filter("loan_id = '1'"), fico), (scored, loss, fico.filter("loan_id = '1'")), (scored, loss.withColumn("loan_amnt", F.lit(1.0)), fico), (scored, loss.withColumn("expected_loss", F.lit(7.0)), fico),
+        (scored.withColumn("risk_tier", F.lit("A")), loss.withColumn("risk_tier", F.lit("A")), fico), (scored.union(scored), loss, fico), (scored, loss, fico.withColumn("fico_band", F.lit("high"))), (scored.drop("dti"), loss, fico),
+    ]
+    for fault in faults:
+        with pytest.raises(ValueError):
+            M.evaluated_fact(*fault)
+
+
+def test_candidate_choice_follows_complexity_before_loss(spark):
+    def chosen(*rows):
+        return E.select_candidate(spark.createDataFrame([(m, *map(float, r)) for m, *r in rows], "model string, roc_auc double, average_precision double, log_loss double, brier double")).first()[0]
+
+    a, b, c = "logistic_baseline", "logistic_weighted", "xgboost_candidate"
+    assert chosen((a, 0.7, 0.3, 0.5, 0.2), (b, 0.699, 0.3, 0.6, 0.2), (c, 0.7, 0.3, 0.1, 0.1)) == a
+    assert chosen((a, 0.7, 0.3, 0.5, 0.2), (b, 0.699, 0.3, 0.4, 0.2), (c, 0.7, 0.3, 0.1, 0.1)) == b
+    assert chosen((a, 0.7, 0.3, 0.5, 0.2), (b, 0.7, 0.3, 0.5, 0.2), (c, 0.71, 0.3, 0.9, 0.9)) == c
+    assert chosen((a, 0.7, 0.2, 0.5, 0.2), (b, 0.7, 0.2, 0.5, 0.2), (c, 0.7, 0.3, 0.9, 0.9)) == c
+    assert chosen((a, 0.7, 0.3, 0.5, 0.2), (b, 0.7, 0.3, 0.5, 0.2), (c, 0.7, 0.3, 0.5, 0.2)) == a
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=500), rng.integers(0, 5, 300)])
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(x)] + [(0, None), (1, float("nan")), (7, 2.5)], "g int, v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = {r.g: r.q for r in E.exact_quantiles(df, "v", shares, ["g"]).collect()}
+    assert all(np.allclose(got[g], np.quantile(x[np.arange(len(x)) % 3 == g], shares)) for g in range(3)) and set(got[7]) == {2.5}
+    assert np.allclose(E.exact_quantiles(df, "v", shares).first().q, np.quantile(np.append(x, 2.5), shares))
+    assert "percentile" not in E.exact_quantiles(df, "v", shares)._jdf.queryExecution().toString()
+
+
+def test_direction_guards(spark):
+    df = spark.createDataFrame([(str(i), float(i), float(i) / 2, 1.0, float(i % 2)) for i in range(40)], "loan_id string, f double, up double, flat double, two double")
+    said = lambda f, c, d=df: E.direction_summary(d, f, c).first()
+    assert said("f", "up").direction == "rising" and abs(said("f", "up").rho - 1) < 1e-9
+    assert said("f", "flat").direction == said("two", "up").direction == said("f", "up", df.limit(29)).direction == "insufficient"
+
+
+def test_split_audit_finds_faults(spark):
+    split = spark.createDataFrame([("1", 0, "train"), ("1", 0, "test"), ("2", 1, "train"), ("9", 1, "test")], "loan_id string, target int, split string")
+    rows = {r.split: r for r in S.split_audit(split, spark.createDataFrame([("1",), ("2",), ("3",)], "loan_id string")).collect()}
+    assert (rows["train"].overlap, rows["test"].overlap, rows["test"].unknown, rows["train"].unknown, rows["test"].lost) == (1, 1, 1, 0, 1)
+
+
+def test_reference_refuses_test_ids(spark):
+    long = spark.createDataFrame([("a", "1", 0.1), ("a", "2", 0.3), ("a", "3", 0.3)], "model string, loan_id string, pd double")
+    got = E.reference_distribution(long, spark.createDataFrame([("7",)], "loan_id string"))
+    assert E.reference_summary(got).first() == ("a", 3, 0.1, 0.3, 0.3)
+    for rows, ids in ((long, [("2",)]), (long.limit(1), [("7",)]), (long.withColumn("pd", F.lit(2.0)), [("7",)])):
+        with pytest.raises(ValueError):
+            E.reference_distribution(rows, spark.createDataFrame(ids, "loan_id string"))
+
+
+def test_policy_classes():
+    from ledgerspark.operators import policy as Y
+
+    assert len(Y.CREDIT) == 85 and len(Y.POST_LOAN) == 19 and len(Y.BORROWER) == 13
+    assert [Y.policy_class(c) for c in ("emp_title", "addr_state", "zip_code", "hardship_x", "settlement_term", "debt_settlement_flag_date", "foo", "fico_avg", "int_rate", "member_id", "target", "loan_status")] == [
+        "TEXT_HIGH_CARDINALITY", "GEOGRAPHY_ANALYTICS", "GEOGRAPHY_ANALYTICS", "POST_LOAN", "POST_LOAN", "POST_LOAN", "UNKNOWN_REVIEW_REQUIRED", "CREDIT_SNAPSHOT", "POLICY_DERIVED", "IDENTIFIER",
+        "ANALYTICS_ONLY", "TARGET_SOURCE",
+    ]
+
+
+def test_cleaning_of_what_the_file_has(spark):
+    raw = spark.createDataFrame([("7.0", "Fully Paid", "\u00a01e3\t", "12.5%", "Jan-2018", " 36 months", "n/a", "ny\u2003", "x")], "id string, loan_status string, revol_bal string, revol_util string, last_pymnt_d string, term string, emp_length string, addr_state string, other string")
+    r = C.clean_accepted(raw).first().asDict()
+    assert (r["loan_id"], r["target"], r["revol_bal"], r["revol_util"], str(r["last_pymnt_d"]), r["term_months"], r["term"], r["emp_length"], r["emp_length_years"], r["state_code"], r["addr_state"], r["country"], r["other"]) == (
+        "7", 0, 1000.0, 12.5, "2018-01-01", 36, "36 months", None, None, "NY", "ny", "United States", "x",
+    )
+    for missing in ("id", "loan_status"):
+        with pytest.raises(ValueError):
+            C.clean_accepted(raw.drop(missing))
+
+
+def test_funnel_ids_of_equal_applications(spark, monkeypatch):
+    monkeypatch.setattr(P, "EQUALS", 3)
+    t = "requested_amount double, application_date date, loan_title string, zip_code string, state_code string"
+    rows = [(1.0, None, "a", None, "NY")] * 10 + [(1.0, None, None, "a", "NY")] * 2 + [(None, None, None, None, None)]
+    accepted = spark.createDataFrame([("5", None, 2.0, "NY", "1", "car")], "loan_id string, issue_d date, loan_amnt double, state_code string, zip_code string, purpose string")
+    got = P.application_funnel(accepted, spark.createDataFrame(rows, t)).collect()
+    assert len(got) == 14 and len({r.application_id for r in got}) == 14 and sum(r.purpose == "a" for r in got) == 10
+
+
+def test_publish_replaces_when_complete(spark, tmp_path):
+    from ledgerspark.sources import io as IO
+
+    path = str(tmp_path / "t")
+    IO.publish(spark.range(3), path)
+    IO.publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception):  # noqa: B017
+        IO.publish(broken, path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]

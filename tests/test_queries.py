@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import by_spark, by_sql
 
+#: test_cases.py runs these with fewer trees; fit_gbt is run here with all of them.
+FEWER_TREES = {"tree_contributions", "importance_join", "gain_importance", "compact_model"}
 OWN, SQL = entry._own().QUERIES, entry._own().ORACLE_SQL
 
 
@@ -15,7 +17,7 @@ def test_query_equals_sql(spark, sf, name):
     assert by_spark(OWN[name](spark, sf)) == by_sql(sf, SQL[name])
 
 
-@pytest.mark.parametrize("name", [n for n in OWN if n not in SQL])
+@pytest.mark.parametrize("name", [n for n in OWN if n not in SQL and n not in FEWER_TREES])
 def test_query_has_rows(spark, sf, name):
     assert not OWN[name](spark, sf).isEmpty()
 
