@@ -20,31 +20,50 @@ def _back(docs: DataFrame, rows: DataFrame, **changed) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or with a narrow margin between languages go; a missing lang is filled in."""
+    """Documents without letters or with a narrow margin between languages go; a missing lang is filled in.
+
+    Nulls: a null text has no letters and goes; null ids, sources and counts stay as they are. Texts of any length are
+    read whole. Repeated rows are judged alike. Where no row has a lang, none is learned and all go. An empty table
+    gives an empty one. Other columns, of whatever name, come through.
+    """
     learned = langid.dictionaries(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
     rows = langid.predict(_rows(docs), learned).filter(~F.col("rejected"))
     return _back(docs, rows, lang=F.coalesce(F.col("row.lang"), F.col("lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays, once if it is there repeatedly. Documents without doc_id stay."""
+    """Of each group of near-duplicates the document of the smallest doc_id stays.
+
+    Rows that share a doc_id are one document: one of them stays, the same on every run (that of the smallest hash of
+    its values). Rows without doc_id can't be named and all stay, as do documents without words, which have no
+    duplicates. Other columns, of whatever name, come through. An empty table gives an empty one.
+    """
     gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind, and n_chars follows."""
+    """Spans of personal data are replaced by their kind, and n_chars follows.
+
+    All rows stay. A null or empty text stays as it is, with its length. Repeated rows are changed alike. The labelers'
+    reliabilities and the classifier are estimated on the rows of this stage. An empty table gives an empty one.
+    """
     rows = pii.annotate(_rows(docs), with_text=True).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
     return _back(docs, rows, n_chars=F.length("text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, none included."""
+    """Each document as often as the mix takes it, none included.
+
+    A document without words, or with a null text, is taken no times; a null source is a source. Rows that share an id
+    are decided each by itself. Reruns agree. An empty table gives an empty one.
+    """
     taken = written(mixing.mix(docs).filter("copies > 0").select("doc_id", "again", "copies"), "mix-taken")
     rows = _rows(docs).withColumn("id", F.col("row.doc_id"))
     on = rows["id"].eqNullSafe(taken["doc_id"])
@@ -57,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of the ids and of what they decode to, a row for each row, null and empty texts with no ids. An empty table gives an empty one."""
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
