@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,12 +23,29 @@ BLOCK, LEVEL = 2_000, 5
 #: The best language must save this share of the second's size, or the text is rejected.
 MARGIN = 0.003
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def mark_ranges() -> list[tuple[int, int]]:
+    """The code points of Unicode's marks, as first and last of each run."""
+    out: list[tuple[int, int]] = []
+    for c in range(0x300, 0xE01F0):
+        if unicodedata.category(chr(c))[0] == "M":
+            if out and out[-1][1] == c - 1:
+                out[-1] = (out[-1][0], c)
+            else:
+                out.append((c, c))
+    return out
+
+
+# Vowel signs and other marks belong to the letters before them; few texts have any, so only those are cut by the longer pattern.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in mark_ranges())
+_HAS_MARKS = re.compile(f"[{_MARKS}]")
+_NO_LETTERS, _NO_LETTERS_OR_MARKS = re.compile(r"[\W\d_]+"), re.compile(rf"(?:[^\w{_MARKS}]|[\d_])+")
 
 
 def normal(text: str | None) -> bytes:
     """Letters in lower case with one space between runs of them: neither capitals nor symbols tell languages apart."""
-    kept = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    kept = (_NO_LETTERS_OR_MARKS if _HAS_MARKS.search(text) else _NO_LETTERS).sub(" ", text.lower()).strip() if text else ""
     return kept.encode() if any(c.isalpha() for c in kept[:64]) or any(map(str.isalpha, kept)) else b""
 
 
@@ -112,7 +130,8 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Languages are learned from labelled rows that aren't held out (crc32 of the id as text, modulo 4, isn't 2), within
     the bounds above; every whole text is classified, by itself alone. Null and empty texts are `und`. A null id hashes
-    as an empty one. Rows may repeat. More columns aren't read. An empty table gives an empty one.
+    as an empty one. A label none of whose texts has letters can't be learned and isn't predicted; one with less than 8
+    bytes of samples is compared without a dictionary. Rows may repeat. More columns aren't read. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     learned = dictionaries(rows.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))

@@ -12,6 +12,8 @@ from .common import WORD, table, unit, written
 #: Copies of a document that a mix takes at most, and documents that one step of the tree pairs off in one group.
 CAP = 3
 GROUP = 64
+#: Rows alike that are numbered at once.
+ALIKE = 10_000
 
 
 def source_targets(sizes: DataFrame, *, cap: float = CAP, cycle: int = 3) -> DataFrame:
@@ -73,9 +75,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     repeated with one doc_id are numbered from 1 in `again` and decided each by itself. Reruns agree: the hashes see keys and the seed
     only. More columns aren't read. An empty table gives an empty one.
     """
-    same = Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("again", F.row_number().over(same)), "mix-sizes")
+    # Rows alike in what counts here are interchangeable: they are counted, which combines before the shuffle, and numbered from their count.
+    alike = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    blocks = alike.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / ALIKE)))).withColumn("first", F.col("block") * ALIKE + 1)
+    numbers = F.explode(F.sequence("first", F.least(F.col("first") + ALIKE - 1, F.col("rows"))))
+    sizes = written(blocks.select("doc_id", "source", "size", numbers.alias("again")).withColumn("again", F.col("again").cast("int")), "mix-sizes")
     targets = written(source_targets(sizes, cap=cap, cycle=cycle).withColumn("source_no", F.xxhash64("source", F.col("source").isNull())), "mix-targets")
     most = targets.agg(F.max("n")).first()[0] or 0
 

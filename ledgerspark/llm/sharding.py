@@ -32,7 +32,8 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], *, id_col: str =
     of whatever name, aren't read. A null text counts as empty. A null key is a key like another. Repeated rows go to
     one shard and get slots of their own. An empty table gives an empty one.
 
-    Slots: a shard is split by a hash of the key into buckets of about rows_per_bucket rows, numbered within
+    Texts may be of any length. Slots: a shard is split by a hash of the key and the text's figures, so that no id's rows
+    need to be in one, into buckets of about rows_per_bucket rows, numbered within
     themselves; the buckets' counts, a few rows for each shard, are summed up to the first slot of each. So no task
     orders a whole shard, and no row's text is shuffled.
     """
@@ -44,7 +45,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], *, id_col: str =
     rows = (
         rows.withColumns({"shard": shard, "score": score})
         .withColumn("grown_shard", F.when(_score(F.col("doc_id"), F.lit(n), F.lit(float(next_weight)), seed) < F.col("score"), F.lit(n)).otherwise(F.col("shard")))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(buckets)))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "size"), F.lit(buckets)))
         .drop("score")
     )
     firsts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -77,6 +77,14 @@ def test_shards(docs, odd, none):
     assert grown == {(r.doc_id, r.grown_shard) for r in sharding.shard_documents(docs, [1.0] * 40).collect()}
 
 
+def test_sizes_and_checksums_of_shards(docs, odd):
+    import zlib
+
+    for df in (docs, odd):
+        want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in df.collect())
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard_documents(df, [1.0] * 40).collect()) == want
+
+
 def test_shards_by_weight(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = Counter(r.shard for r in sharding.shard_documents(df, [1.0, 2.0, 1.0]).collect())
@@ -179,6 +187,34 @@ def test_languages_of_long_or_short_texts_only_are_learned(spark):
     assert langid.predict(tests, three).filter("lang <> lang_pred or rejected").isEmpty()
 
 
+def test_language_equals_brute_force(spark):
+    """Each block compressed anew with each language's dictionary; the smallest sum wins, ties to the first name, and a narrow margin rejects."""
+    import zstandard
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in df.collect()] + [(-1, "l'été à la plage der die das und the of and", None), (-2, "", None), (-3, "12 34", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.dictionaries(df.filter(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    for i, text, _ in rows:
+        content = langid.normal(text)
+        if not content:
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        sizes = []
+        for lang, sample in learned.items():
+            own = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(one.compress(content[k : k + langid.BLOCK])) for k in range(0, len(content), langid.BLOCK)), lang))
+        first, second = sorted(sizes)[:2]
+        assert got[i].lang_pred == first[1] and abs(got[i].score - (1 - first[0] / second[0])) < 1e-12
+        assert got[i].rejected == (1 - first[0] / second[0] < langid.MARGIN)
+
+
+def test_marks_belong_to_letters():
+    assert langid.normal("हिन्दी में, 12 लिखा_है").decode() == "हिन्दी में लिखा है" and langid.normal("Cafe\u0301 x").decode() == "cafe\u0301 x"
+
+
 def test_preferences(spark):
     turn = lambda *x: [{"role": r, "text": t} for r, t in x]
     a = turn(("user", "hi"), ("assistant", "hey"), ("user", "é?"), ("assistant", "yes"))
