@@ -42,3 +42,33 @@ def test_files_round_trip(docs, odd, none):
             start += len(ids)
         got = sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in T.read_documents(T.write_tokens(df, PATH)).collect()), key=lambda r: r[1])
         assert got == want
+
+
+def test_offsets_too_many_to_broadcast(docs, monkeypatch):
+    files = T.write_tokens(docs, PATH)
+    rows = lambda: sorted((r.doc_id, r.start, r.n_tokens, r.ids) for r in T.read_documents(files).collect())
+    want = rows()
+    monkeypatch.setattr(T, "OFFSETS", 0)
+    assert rows() == want
+
+
+def test_hot_id_is_dealt_over_ranges(spark):
+    """Rows of one id, a third of all, still round-trip, in the order of their hashes."""
+    df = spark.createDataFrame([(i if i % 3 else 7, f"text {i} " * 20) for i in range(600)], "doc_id long, text string")
+    start, want = 0, []
+    for r in df.orderBy("doc_id", F.xxhash64("text"), "text").collect():
+        ids = [*LIBRARY.encode(r.text, add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = T.read_documents(T.write_tokens(df, PATH, bytes_per_part=20_000))
+    assert sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in got.collect()), key=lambda r: r[1]) == want
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerspark.llm.common import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
