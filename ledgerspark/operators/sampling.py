@@ -45,6 +45,16 @@ def split_audit(split: DataFrame, labeled: DataFrame | None = None, tolerance: f
     return got.select("split", "rows", "positives", "rate", (F.col("rows") / F.col("all")).alias("coverage"), (F.abs(F.col("rate") - F.col("overall")) <= tolerance).alias("within_tolerance"), "overlap", "unknown", "lost")
 
 
+def class_counts(split: DataFrame) -> DataFrame:
+    """Rows of each class in each split."""
+    return split.groupBy("split", "target").agg(F.count("*").alias("n"))
+
+
+def first_n(df: DataFrame, n: int, key: str = "loan_id") -> DataFrame:
+    """The n rows of the smallest keys, read as numbers: each task keeps n at most."""
+    return df.orderBy(F.col(key).cast("long"), key).limit(n)
+
+
 def stratified_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """About n rows, each class by its share (rounded down)."""
     got = ranked(df.filter("target is not null"), "target", seed=seed)

@@ -170,7 +170,7 @@ def _(s, d):
 
 @query("class_counts", "SELECT split, target, count(*) AS n FROM sp GROUP BY 1, 2", "loans", more=RANKED)
 def _(s, d):
-    return S.stratified_split(loans(s, d)).groupBy("split", "target").agg(F.count("*").alias("n"))
+    return S.class_counts(S.stratified_split(loans(s, d)))
 
 
 @query("stratified_sample", "SELECT loan_id, target FROM k WHERE rank <= floor(n * 500 / CAST((SELECT count(*) FROM k) AS DOUBLE))", "loans", more=RANKED)
@@ -185,7 +185,7 @@ def _(s, d):
 
 @query("first_n", "SELECT loan_id, loan_amnt FROM loans ORDER BY CAST(loan_id AS BIGINT) LIMIT 200", "loans")
 def _(s, d):
-    return loans(s, d).orderBy(F.col("loan_id").cast("long")).limit(200).select("loan_id", "loan_amnt")
+    return S.first_n(loans(s, d), 200).select("loan_id", "loan_amnt")
 
 
 @query("fold_metrics", f"SELECT fold, {ROUNDED}, round((tp + fn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS positive_rate FROM (SELECT *, {RATES} FROM (SELECT CAST(rank % 5 AS INTEGER) AS fold, {COUNTS.format(p='predicted_pd', t=T)} FROM k GROUP BY 1))", "loans", more=RANKED)
