@@ -120,9 +120,10 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(2, *m.span()) for m in _GROUPS.finditer(text)]
         out += [(3, *m.span()) for m in _PLUS_PHONE.finditer(text)] if "+" in text else []
         out += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-        out += [(4, *m.span()) for m in _PREFIXED.finditer(text)]
         out += [(4, *m.span()) for m in _MIXED.finditer(text) if _switches(m[0]) >= 3]
         out += [(6, *m.span()) for m in _STREET.finditer(text)]
+    if any(start in text for start in _KEY_STARTS):
+        out += [(4, *m.span()) for m in _PREFIXED.finditer(text)]
     if "=" in text or ":" in text:
         out += [(4, *m.span(1)) for m in _KEYED.finditer(text)]
     out += [(5, *m.span(1)) for m in _TITLED.finditer(text)]
