@@ -165,7 +165,7 @@ def ship_lexicon(docs: DataFrame, path: str, *, most: int = LEXICON_WORDS) -> st
     return address
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker that outlives a query forgets its lexicon and pieces with the next one
 def _shipped(address: str) -> Lexicon:
     return Lexicon(address.removeprefix("file:") if address.startswith("file:") else SparkFiles.get(address.rsplit("/", 1)[1]))
 
@@ -204,7 +204,7 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(path: str, name: str) -> Encoder:
     return Encoder(vocabulary(path), _shipped(name))
 

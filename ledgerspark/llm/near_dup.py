@@ -25,7 +25,7 @@ BAND_BITS = 7
 #: Rows of a bucket that one group compares at once; a larger bucket is compared in pairs of such blocks.
 BLOCK = 2048
 #: Bytes of text hashed in one go, and words that a worker remembers.
-CHUNK, MEMORY = 4_000_000, 500_000
+CHUNK, MEMORY = 2_000_000, 150_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
