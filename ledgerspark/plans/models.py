@@ -150,11 +150,11 @@ WHAT_IF = "x AS (SELECT l.loan_id, ok.scenario, true AS is_what_if, coalesce(ok.
 DEPENDENT = f"round({RATIO}, 6) AS loan_to_income_ratio, {BAND['loan_amount_band']} AS loan_amount_band, {BAND['income_band']} AS income_band, {BAND['dti_band']} AS dti_band"
 
 
-@query("what_if_scenarios", f"SELECT loan_id, scenario, is_what_if, round(loan_amnt, 6) AS loan_amnt, round(annual_inc, 6) AS annual_inc, round(dti, 6) AS dti, term_months, {DEPENDENT}, round(predicted_pd, 6) AS predicted_pd, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class, CASE WHEN predicted_pd < {T / 2} THEN 'Tier A — Low' WHEN predicted_pd < {T} THEN 'Tier B — Moderate' WHEN predicted_pd < {2 * T} THEN 'Tier C — High' ELSE 'Tier D — Very High' END AS risk_tier, round(predicted_pd * 0.3e0 * loan_amnt, 4) AS el_lgd_30, round(predicted_pd * 0.45e0 * loan_amnt, 4) AS el_lgd_45, round(predicted_pd * 0.6e0 * loan_amnt, 4) AS el_lgd_60 FROM y", "loans", more=SCEN + "," + WHAT_IF)
+@query("what_if_scenarios", f"SELECT loan_id, scenario, is_what_if, round(loan_amnt, 6) AS loan_amnt, round(annual_inc, 6) AS annual_inc, round(dti, 6) AS dti, term_months, {DEPENDENT}, round(predicted_pd, 6) AS predicted_pd, CASE WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS predicted_class, CASE WHEN predicted_pd < {T / 2} THEN 'Tier A — Low' WHEN predicted_pd < {T} THEN 'Tier B — Moderate' WHEN predicted_pd < {2 * T} THEN 'Tier C — High' ELSE 'Tier D — Very High' END AS risk_tier, round(predicted_pd * 0.3e0 * loan_amnt, 8) AS el_lgd_30, round(predicted_pd * 0.45e0 * loan_amnt, 8) AS el_lgd_45, round(predicted_pd * 0.6e0 * loan_amnt, 8) AS el_lgd_60 FROM y", "loans", more=SCEN + "," + WHAT_IF)
 def _(s, d):
     score = F.coalesce(F.least("dti", F.lit(45.0)), F.lit(20.0)) / 100 + F.when(F.col("term_months") == 60, 0.1).otherwise(0.0)
     got = D.what_if(loans(s, d), scenarios(s, d), score, T).drop("risk_score", "credit_score", "expected_loss")
-    return got.select("loan_id", "scenario", "is_what_if", "term_months", *D.DEPENDENT[1:], "predicted_class", "risk_tier", *[F.round(c, 4 if c.startswith("el_") else 6).alias(c) for c, t in got.dtypes if t == "double"])
+    return got.select("loan_id", "scenario", "is_what_if", "term_months", *D.DEPENDENT[1:], "predicted_class", "risk_tier", *[F.round(c, 8 if c.startswith("el_") else 6).alias(c) for c, t in got.dtypes if t == "double"])
 
 
 @query("what_if_inputs", f"SELECT scenario, loan_id, 'current' AS input_role, round(loan_amnt, 6) AS loan_amnt, round(annual_inc, 6) AS annual_inc, round(dti, 6) AS dti, term_months, {DEPENDENT} FROM y WHERE is_what_if UNION ALL SELECT ok.scenario, y.loan_id, 'baseline', round(y.loan_amnt, 6), round(y.annual_inc, 6), round(y.dti, 6), y.term_months, {DEPENDENT} FROM (SELECT scenario AS of, * EXCLUDE (scenario) FROM y WHERE NOT is_what_if) y JOIN (SELECT scenario, loan_id FROM ok) ok ON ok.loan_id = y.loan_id", "loans", more=SCEN + "," + WHAT_IF)
