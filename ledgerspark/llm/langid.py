@@ -39,13 +39,14 @@ def mark_ranges() -> list[tuple[int, int]]:
 
 # Vowel signs and other marks belong to the letters before them; few texts have any, so only those are cut by the longer pattern.
 _MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in mark_ranges())
-_HAS_MARKS = re.compile(f"[{_MARKS}]")
+_HIGH, _HAS_MARKS = re.compile("[\u0300-\U0010ffff]+"), re.compile(f"[{_MARKS}]")
 _NO_LETTERS, _NO_LETTERS_OR_MARKS = re.compile(r"[\W\d_]+"), re.compile(rf"(?:[^\w{_MARKS}]|[\d_])+")
 
 
 def normal(text: str | None) -> bytes:
     """Letters in lower case with one space between runs of them: neither capitals nor symbols tell languages apart."""
-    kept = (_NO_LETTERS_OR_MARKS if _HAS_MARKS.search(text) else _NO_LETTERS).sub(" ", text.lower()).strip() if text else ""
+    marked = text and any(map(_HAS_MARKS.search, _HIGH.findall(text)))
+    kept = (_NO_LETTERS_OR_MARKS if marked else _NO_LETTERS).sub(" ", text.lower()).strip() if text else ""
     return kept.encode() if any(c.isalpha() for c in kept[:64]) or any(map(str.isalpha, kept)) else b""
 
 
