@@ -12,6 +12,7 @@ from .quality import op3_quality_rules
 from .sharding import op10_rendezvous
 from .token_files import op8_token_files
 from .topk import op7_bit_sliced_top_k
+from .whiten import op12_golub_kahan_whitening
 
 QUERIES = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_rendezvous": op10_rendezvous,
+    "op12_golub_kahan_whitening": op12_golub_kahan_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op6_preference_format": OP6_SQL}
