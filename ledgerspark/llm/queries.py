@@ -9,6 +9,7 @@ from .mixing import op2_pivotal_mix
 from .near_dup import op5_near_duplicates
 from .pii import op4_personal_data
 from .quality import op3_quality_rules
+from .rtree import op11_hard_negatives
 from .sharding import op10_rendezvous
 from .token_files import op8_token_files
 from .topk import op7_bit_sliced_top_k
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_rendezvous": op10_rendezvous,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_golub_kahan_whitening": op12_golub_kahan_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op6_preference_format": OP6_SQL}
