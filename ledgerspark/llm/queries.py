@@ -11,6 +11,7 @@ from .pii import op4_personal_data
 from .quality import op3_quality_rules
 from .rtree import op11_hard_negatives
 from .sharding import op10_rendezvous
+from .sigtree import op13_signature_trees
 from .token_files import op8_token_files
 from .topk import op7_bit_sliced_top_k
 from .whiten import op12_golub_kahan_whitening
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_rendezvous": op10_rendezvous,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_golub_kahan_whitening": op12_golub_kahan_whitening,
+    "op13_signature_trees": op13_signature_trees,
 }
 ORACLE_SQL: dict[str, str] = {"op6_preference_format": OP6_SQL}
