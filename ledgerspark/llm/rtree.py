@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Rows of a tree, of one of its leaves, and leaves of a node above them.
-ROWS, LEAF, FAN = 8192, 64, 16
+ROWS, LEAF, FAN = SHAPE = 8192, 64, 16
 #: Bytes of vectors in a group of trees and in a slab of queries, which is what a task holds of each; queries that walk the trees together.
 HELD, BATCH = 64 << 20, 256
 #: Leaves that a query looks at in its first round on a tree; each further round takes twice as many.
@@ -71,8 +71,10 @@ def labelled(vectors: DataFrame, *, id_col: str, vector_col: str, label_col: str
     return written(got.mapInArrow(numbered, "number long, vec_id long, label string, values int, lead long, x binary"), "rtree-rows")
 
 
-def build_trees(rows: DataFrame) -> DataFrame:
-    """Written trees of at most ROWS vectors of one label and length. Spark cuts the table into ranges of label, length and first coordinate, so the rows of one label, and copies of one vector, are dealt over as many tasks as their number needs; a task packs what it gets, tree by tree."""
+def build_trees(rows: DataFrame, shape: tuple[int, int, int] = SHAPE) -> DataFrame:
+    """Written trees of at most shape[0] vectors of one label and length. Spark cuts the table into ranges of label, length and first coordinate, so the rows of one label, and copies of one vector, are dealt over as many tasks as their number needs; a task packs what it gets, tree by tree."""
+
+    most, leaf, _ = shape
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,9 +86,9 @@ def build_trees(rows: DataFrame) -> DataFrame:
             x = np.frombuffer(b"".join(r["x"] for r in held), np.int64).reshape(len(held), kind[1])
             ids, numbers = (np.array([r[c] for r in held], np.int64) for c in ("vec_id", "number"))
             by_id = np.lexsort((numbers, ids))
-            order = by_id[str_order(x[by_id])]
-            order = np.concatenate([part[np.lexsort((numbers[part], ids[part]))] for part in np.split(order, range(LEAF, len(order), LEAF))])
-            x, starts = x[order], np.arange(0, len(order), LEAF)
+            order = by_id[str_order(x[by_id], leaf)]
+            order = np.concatenate([part[np.lexsort((numbers[part], ids[part]))] for part in np.split(order, range(leaf, len(order), leaf))])
+            x, starts = x[order], np.arange(0, len(order), leaf)
             low, high = (f.reduceat(x, starts, axis=0) if kind[1] else np.zeros((len(starts), 0), np.int64) for f in (np.minimum, np.maximum))
             number += 1
             binary = [pa.array([y.tobytes()], pa.binary()) for y in (ids[order], numbers[order], _narrow(x), low, high)]
@@ -94,7 +96,7 @@ def build_trees(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held and ((row["label"], row["values"]) != kind or len(held) == ROWS):
+                if held and ((row["label"], row["values"]) != kind or len(held) == most):
                     yield out()
                     held = []
                 kind = (row["label"], row["values"])
@@ -109,14 +111,15 @@ def build_trees(rows: DataFrame) -> DataFrame:
 class Tree:
     """A tree in memory. kind: float where all products are whole numbers below 2^53, else object, for whole numbers of any size."""
 
-    def __init__(self, row: dict, kind: type):
+    def __init__(self, row: dict, kind: type, shape: tuple[int, int, int]):
         n, d = row["rows"], row["values"]
+        _, self.leaf, self.fan = shape
         self.label, self.values = row["label"], d
         self.ids, self.numbers = (np.frombuffer(row[c], np.int64) for c in ("ids", "numbers"))
         self.x = np.frombuffer(row["x"], f"<i{len(row['x']) // (n * d) if d else 8}").reshape(n, d).astype(kind)
-        self.low, self.high = (np.frombuffer(row[c], np.int64).reshape(math.ceil(n / LEAF), d).astype(kind) for c in ("lows", "highs"))
-        self.first_ids = self.ids[::LEAF]
-        at = np.arange(0, len(self.low), FAN)
+        self.low, self.high = (np.frombuffer(row[c], np.int64).reshape(math.ceil(n / self.leaf), d).astype(kind) for c in ("lows", "highs"))
+        self.first_ids = self.ids[:: self.leaf]
+        at = np.arange(0, len(self.low), self.fan)
         self.node_low, self.node_high = (f.reduceat(b, at, axis=0) if d else b[at] for f, b in ((np.minimum, self.low), (np.maximum, self.high)))
 
 
@@ -169,11 +172,11 @@ def walk(tree: Tree, q: np.ndarray, numbers: np.ndarray, best: Best) -> None:
     above = best.wanted(*intervals(q, tree.node_low, tree.node_high)) > -math.inf
     active = np.flatnonzero(above.any(axis=1))
     nodes = np.flatnonzero(above.any(axis=0))
-    leaves = np.concatenate([np.arange(i * FAN, min((i + 1) * FAN, len(tree.low))) for i in nodes]) if len(nodes) else nodes
+    leaves = np.concatenate([np.arange(i * tree.fan, min((i + 1) * tree.fan, len(tree.low))) for i in nodes]) if len(nodes) else nodes
     if not len(leaves) or not len(active):
         return
     least, most = intervals(q, tree.low[leaves], tree.high[leaves])
-    left = above[:, leaves // FAN]
+    left = above[:, leaves // tree.fan]
     take = FIRST
     while True:
         queue = np.where(left, best.wanted(least, most, tree.first_ids[leaves]), -math.inf)
@@ -185,8 +188,8 @@ def walk(tree: Tree, q: np.ndarray, numbers: np.ndarray, best: Best) -> None:
         np.put_along_axis(now, order, True, 1)
         now &= left
         for j in np.flatnonzero(now.any(axis=0)).tolist():
-            at, lo = np.flatnonzero(now[:, j]), leaves[j] * LEAF
-            part = slice(lo, lo + LEAF)
+            at, lo = np.flatnonzero(now[:, j]), leaves[j] * tree.leaf
+            part = slice(lo, lo + tree.leaf)
             got = q[at] @ tree.x[part].T
             own = tree.numbers[part][None, :] == numbers[at, None]
             best.add(at, np.where(own, -math.inf, got) if own.any() else got, tree.ids[part])
@@ -194,7 +197,7 @@ def walk(tree: Tree, q: np.ndarray, numbers: np.ndarray, best: Best) -> None:
         take *= 2
 
 
-def search(queries: DataFrame, trees: DataFrame, k: int, *, same: bool, wide: bool, window: tuple[int, int] = (0, 100)) -> DataFrame:
+def search(queries: DataFrame, trees: DataFrame, k: int, *, same: bool, wide: bool, window: tuple[int, int] = (0, 100), shape: tuple[int, int, int] = SHAPE) -> DataFrame:
     """number, w, vec_id, score, exact: for each query (number, label, values, x, positives) the k best rows of its label (same) or of other labels, but itself. positives: null for one window without ends, else for each window w its score p as text; the window is from window[0] to window[1] hundredths of p.
 
     Groups of trees meet slabs of queries, a task for each meeting, which holds HELD bytes of each side at most (one
@@ -244,7 +247,7 @@ def search(queries: DataFrame, trees: DataFrame, k: int, *, same: bool, wide: bo
                 if row["meeting"] != meeting:
                     meeting, held = row["meeting"], []
                 if row["ids"] is not None:
-                    held.append(Tree(row, kind))
+                    held.append(Tree(row, kind, shape))
                 elif held:
                     waiting.append(row)
         yield from answers()
@@ -272,7 +275,7 @@ def search(queries: DataFrame, trees: DataFrame, k: int, *, same: bool, wide: bo
 
 
 def hard_negatives(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: float = 256.0, every: int = 50, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95)
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: float = 256.0, every: int = 50, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95), shape: tuple[int, int, int] = SHAPE
 ) -> DataFrame:
     """For each row whose id is divisible by `every` (an anchor) and each of its positives, the `positives` best other rows of its label: the first rows of other labels whose score lies from window[0] to window[1] hundredths of the positive's: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
@@ -287,7 +290,7 @@ def hard_negatives(
     any type are compared by their text. More columns aren't read. An empty table gives an empty one.
     """
     rows = labelled(vectors, id_col=id_col, vector_col=vector_col, label_col=label_col, scale=scale)
-    trees = build_trees(rows)
+    trees = build_trees(rows, shape)
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +300,12 @@ def hard_negatives(
     most, values = trees.select("lows", "highs").mapInArrow(largest, "most double").agg(F.max("most")).first()[0], trees.agg(F.max("values")).first()[0]
     wide = most is not None and 100 * most * most * (values or 0) >= 2.0**53
     anchors = rows.filter(F.col("vec_id") % every == 0)
-    own = search(anchors.withColumn("positives", F.lit(None).cast("array<string>")), trees, positives, same=True, wide=wide)
+    own = search(anchors.withColumn("positives", F.lit(None).cast("array<string>")), trees, positives, same=True, wide=wide, shape=shape)
     order = [F.desc("exact"), F.desc("score"), "vec_id"]
     own = own.withColumn("p", F.row_number().over(Window.partitionBy("number").orderBy(*order))).filter(F.col("p") <= positives)
     own = written(own.select("number", "p", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), "said"), "rtree-positives")
     of = own.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "said"))), lambda s: s["said"]).alias("positives"))
-    other = search(anchors.join(of, "number"), trees, negatives, same=False, wide=wide, window=window)
+    other = search(anchors.join(of, "number"), trees, negatives, same=False, wide=wide, window=window, shape=shape)
     other = other.withColumn("rank", F.row_number().over(Window.partitionBy("number", "w").orderBy(*order))).filter(F.col("rank") <= negatives)
     got = other.withColumn("p", F.col("w") + 1).select("number", "p", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     got = got.join(own.drop("said"), ["number", "p"]).join(anchors.select("number", F.col("vec_id").alias("anchor_id")), "number")
