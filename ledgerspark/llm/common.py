@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Words are runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +60,11 @@ def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     return fs.makeQualified(at).toString()
 
 
+def with_columns(fields: Iterable[StructField], more: str) -> StructType:
+    """A schema of these fields, of whatever names, and more, which are given as text."""
+    return StructType([*fields, *_parse_datatype_string(more)])
+
+
 def unit(*keys: Column, seed: int = 0) -> Column:
     """A number in (0, 1) that depends on the keys and the seed alone."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import table, written
+from .common import table, with_columns, written
 
 #: The first BASE kinds have base patterns, whose spans always stay; spans of all kinds are added by the method.
 KINDS = ("email", "ip", "card", "phone", "secret", "name", "address")
@@ -27,15 +27,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Candidates besides the base ones: forms that people write, which the base patterns don't take. Each repetition is bounded or can't start inside itself, so time is linear in the text.
+# Candidates besides the base ones: forms that people write, which the base patterns don't take. Each repetition is bounded, or takes its whole run and can't start inside it, so a secret of any length is one span and time is linear in the text.
 _UPPER, _LOWER = "A-Z\u00c0-\u00d6\u00d8-\u00de", "a-z\u00df-\u00f6\u00f8-\u00ff"
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,64} ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z]{2,12}\b")
 _PLUS_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9.-])")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z=.])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")
-_KEYED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|passwort|kennwort|contrase\u00f1a|mot de passe)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{6,256})")
-_PREFIXED = re.compile(r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,255}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{10,999}(?:\.[A-Za-z0-9_-]{1,999})?)(?![A-Za-z0-9])")
-_MIXED = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/_-]{20,256}(?![A-Za-z0-9+/_-])")
+_KEYED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|passwort|kennwort|contrase\u00f1a|mot de passe)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{6,})")
+_PREFIXED = re.compile(r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)?)(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/_-]{20,}+")
 _TITLED = re.compile(rf"\b(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Se\u00f1ora?|Sra?|Do\u00f1a)\.? ([{_UPPER}][{_LOWER}'-]{{1,30}}(?: [{_UPPER}][{_LOWER}'-]{{1,30}}){{0,2}})(?![{_LOWER}])")
 _CAPITALS = re.compile(rf"(?<![\w@.'-])[{_UPPER}][{_LOWER}]{{1,30}}(?: [{_UPPER}]\.)?(?: [{_UPPER}][{_LOWER}'-]{{1,30}}){{1,2}}(?![\w-])")
 _STREET = re.compile(
@@ -211,8 +211,7 @@ def candidates(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, pa.list_(span))], [*kept, "spans"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
-    return docs.mapInArrow(found, ", ".join([*fields, f"spans array<{SPAN}>"]))
+    return docs.mapInArrow(found, with_columns([f for f in docs.schema if f.name in kept], f"spans array<{SPAN}>"))
 
 
 #: What the estimates start from and are drawn to: per labeler, how likely it abstains, votes for or against, given personal data and given not. It says which labelers are the better ones, as votes alone could as well mean the reverse.
