@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -134,6 +135,27 @@ def common_words(docs: DataFrame, rules: Rules) -> DataFrame:
     return out.select(F.col("lang").alias("ref_lang"), F.transform("top", lambda t: t["word"]).alias("common"), F.array_append(counts, rest).alias("ref_words"))
 
 
+def word_histogram(text: Column, common: Column) -> Column:
+    """How often each word of a list is in a text whose words stand between spaces of their own: taking one out shortens the text by its count."""
+    return F.transform(common, lambda w: (F.length(text) - F.length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0))
+
+
+def spaced(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+
+def nearest_language(got: DataFrame, refs: DataFrame, text: Callable[[Column], Column]) -> DataFrame:
+    """got with labelled, and with lang of rows that have none set to that of the nearest reference by words, of equal ones the first by name. text: the spaced words of a row that are in a reference's list. The references come to the rows as one row."""
+    every = refs.agg(F.sort_array(F.collect_list(F.struct("ref_lang", "common", "ref_words"))).alias("refs"))
+
+    def away(r: Column) -> Column:
+        counts = word_histogram(text(r["common"]), r["common"])
+        return F.struct(distance(F.array_append(counts, F.col("n_words") - F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)), r["ref_words"]).alias("d"), r["ref_lang"].alias("lang"))
+
+    none = got.filter("lang is null").crossJoin(every).withColumn("lang", F.array_min(F.transform("refs", away))["lang"]).drop("refs").withColumn("labelled", F.lit(False))
+    return got.filter("lang is not null").withColumn("labelled", F.lit(True)).unionByName(none)
+
+
 def word_limits(measured: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """(limit_lang, limit_band, own_limit) and (all_band, all_limit): the median word distance of a language's texts of like length, and of all texts of that length, plus word_spread times what lies between it and the lower quartile.
 
@@ -166,7 +188,8 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
     kept: not base_failed, and neither histogram is farther from the reference of the row's language than the limits; a
     histogram of a text shorter than its guard doesn't count. The words' limit follows the spread of distances among all
     texts of the language and of like length (word_limits); where these are few, among those of all languages. The reference of a language is made from all its texts. A
-    null language is one of its own. Null and empty texts have no words and fail. Rows may repeat, ids be null. More
+    row without a language is held against the language whose reference is nearest, and goes into no reference and no
+    limit; where no row has a language, null is the one they share. Null and empty texts have no words and fail. Rows may repeat, ids be null. More
     columns aren't read. An empty table gives an empty one.
 
     Texts are read twice: once for the words of each language, once to be measured; the characters' reference is the mean
@@ -175,22 +198,25 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
     """
     rules = rules or Rules()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    refs = written(common_words(rows, rules), "quality-references")
+    refs = written(common_words(rows.filter("lang is not null"), rules), "quality-references")
+    named = not refs.isEmpty()
+    if not named:
+        refs = written(common_words(rows, rules), "quality-references")
     got = measured(rows, rules)
     # Few known words in all: a hash set of them leaves the common words of a text, before the join. Many: the text's own language's list does, after it. The counts are the same.
     known: list[str] = []
     if (refs.agg(F.sum(F.size("common"))).first()[0] or 0) <= KNOWN:
         known = sorted({w for r in refs.select("common").collect() for w in r["common"]})
         got = got.withColumn("words", F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>"))
-    got = got.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
-    # The text's common words, each between spaces of its own; taking one out shortens the string by its count.
-    common = F.col("words") if known else F.filter("words", lambda w: F.array_contains("common", w))
-    got = got.withColumn("common_text", F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))).drop("words")
-    hist = F.transform("common", lambda w: (F.length("common_text") - F.length(F.replace(F.col("common_text"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0))
-    got = written(got.withColumn("hist", hist).drop("common_text", "common"), "quality-measured")
+    if known:
+        got = got.withColumn("common_text", spaced(F.col("words"))).drop("words")
+    in_list = lambda common: F.col("common_text") if known else spaced(F.filter("words", lambda w: F.array_contains(common, w)))
+    got = nearest_language(got, refs, in_list) if named else got.withColumn("labelled", F.lit(True))
+    got = got.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang").withColumn("common_text", in_list(F.col("common")))
+    got = written(got.withColumn("hist", word_histogram(F.col("common_text"), F.col("common"))).drop("common_text", "common", "words"), "quality-measured")
     got = got.withColumn("hist", F.array_append("hist", F.col("n_words") - F.aggregate("hist", F.lit(0.0), lambda s, v: s + v)))
     chars = F.aggregate("classes", F.lit(0.0), lambda s, v: s + v)
-    classes = got.groupBy(F.col("lang").alias("class_lang")).agg(F.array(*[F.avg(F.get("classes", i) / F.nullif(chars, F.lit(0.0))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
+    classes = got.filter("labelled").groupBy(F.col("lang").alias("class_lang")).agg(F.array(*[F.avg(F.get("classes", i) / F.nullif(chars, F.lit(0.0))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
     got = got.join(written(classes, "quality-classes"), F.col("lang").eqNullSafe(F.col("class_lang")), "left")
     got = got.withColumns({
         "char_distance": F.when(F.col("n_words") > 0, distance(F.col("classes"), F.col("ref_classes"))),
@@ -198,7 +224,7 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
         "base_failed": (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")),
     })
     got = got.withColumn("band", F.floor(2 * F.log2(F.nullif(F.col("n_words"), F.lit(0)))))
-    own, every = word_limits(got, rules)
+    own, every = word_limits(got.filter("labelled"), rules)
     got = got.join(written(own, "quality-limits"), F.col("lang").eqNullSafe(F.col("limit_lang")) & (F.col("band") == F.col("limit_band")), "left").join(F.broadcast(every), F.col("band") == F.col("all_band"), "left")
     limit = F.greatest(F.coalesce("own_limit", "all_limit", F.lit(rules.most_word_distance)), chance_distance(F.col("n_words"), rules.common_words))
     odd_chars = (F.col("word_chars") >= rules.guard_chars) & (F.col("char_distance") > rules.most_char_distance)

@@ -74,3 +74,84 @@ def test_every_language_has_a_reference(spark):
     got = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert len(got) == 781 and all(r.char_distance is not None and r.word_distance is not None for r in got)
     assert any(r.word_distance > 0 for r in got)
+
+
+def brute_kept(rows, rules):
+    """doc_id -> (char distance, word distance, kept), by plain Python."""
+    from collections import Counter, defaultdict
+
+    def js(a, b):
+        na, nb = sum(a), sum(b)
+        d = 0.0
+        for x, y in zip(a, b, strict=True):
+            p, q = x / na, y / nb
+            d += sum(u * math.log2(2 * u / (u + v)) for u, v in ((p, q), (q, p)) if u) / 2
+        return math.sqrt(max(d, 0.0))
+
+    def classes(t):
+        kinds = [lambda c: c.islower() and c.isalpha() and re.match(r"[a-zà-öø-ÿß]", c), lambda c: re.match(r"[A-ZÀ-ÖØ-Þ]", c), str.isdigit, lambda c: c in " \t\n\r\x0b\x0c", lambda c: c in ".,;:!?'\"()-"]
+        out = [0] * 6
+        for c in t:
+            out[next((k for k, f in enumerate(kinds) if f(c)), 5)] += 1
+        return out
+
+    facts = {i: (*base(t), WORD.findall(t)) for i, t, _ in rows}
+    named = [(i, t, lang) for i, t, lang in rows if lang is not None] or rows
+    words = defaultdict(Counter)
+    for i, _, lang in named:
+        words[lang].update(facts[i][6])
+    refs = {}
+    for lang, c in words.items():
+        common = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.common_words]]
+        refs[lang] = (common, [c[w] for w in common] + [sum(c.values()) - sum(c[w] for w in common)])
+
+    def word_distance(i, lang):
+        c = Counter(facts[i][6])
+        own = [c[w] for w in refs[lang][0]]
+        return js([*own, facts[i][0] - sum(own)], refs[lang][1])
+
+    judged = {i: lang if lang in refs else min(refs, key=lambda x, i=i: (word_distance(i, x), x)) for i, _, lang in rows if facts[i][0]}
+    shares = defaultdict(list)
+    for i, t, lang in named:
+        if t:
+            k = classes(t)
+            shares[lang].append([x / sum(k) for x in k])
+    means = {lang: [sum(col) / len(x) for col in zip(*x, strict=True)] for lang, x in shares.items()}
+    dist = {i: (js(classes(t), means[judged[i]]), word_distance(i, judged[i])) for i, t, _ in rows if facts[i][0]}
+    band = lambda i: math.floor(2 * math.log2(facts[i][0]))
+    cells = {(lang, band(i), facts[i][0], dist[i][1]) for i, _, lang in named if facts[i][0] >= rules.guard_words}
+
+    def limit(ds):
+        ds = sorted(math.floor(d * 1000) for d in ds)
+        at = lambda share: next(c for k, c in enumerate(ds, 1) if k >= share * len(ds)) / 1000
+        return at(0.5) + rules.word_spread * (at(0.5) - at(0.25)) if len(ds) >= rules.least_texts else None
+
+    out = {}
+    for i, _, _ in rows:
+        n, chars, *_, failed, _ = facts[i]
+        if failed:
+            out[i] = False
+            continue
+        own = limit([d for lang, b, _, d in cells if lang == judged[i] and b == band(i)])
+        every = limit([d for _, b, _, d in cells if b == band(i)])
+        least = math.sqrt(rules.common_words / (8 * math.log(2) * n)) + 2 / math.sqrt(16 * math.log(2) * n)
+        most = max(next(x for x in (own, every, rules.most_word_distance) if x is not None), least)
+        out[i] = not (chars >= rules.guard_chars and dist[i][0] > rules.most_char_distance) and not (n >= rules.guard_words and dist[i][1] > most)
+    return out
+
+
+def test_verdicts_equal_brute_force_and_gibberish_without_a_language_goes(spark):
+    rng = random.Random(12)
+    words = {lang: invented(rng, 1500) for lang in ("aa", "bb", "cc")}
+    rows = [(i, prose(rng, words[lang], rng.randint(60, 300)), lang if rng.random() < 0.7 else None) for i, lang in enumerate(["aa"] * 150 + ["bb"] * 150 + ["cc"] * 20)]
+    rows += [(1000 + i, " ".join(invented(rng, rng.randint(100, 200))), None) for i in range(30)] + [(2000 + i, prose(rng, words["bb"], 150), "aa") for i in range(10)]
+    rows += [(3000 + i, prose(rng, words["aa"], 120).upper(), "aa") for i in range(5)] + [(4000, "", None), (4001, "a b c", "zz")]
+    rows = [(i, t, lang) for i, t, lang in rows]
+    rules = Q.Rules()
+    for part in (rows, [(i, t, None) for i, t, _ in rows[:200]]):
+        got = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(part, "doc_id long, text string, lang string")).collect()}
+        assert got == brute_kept(part, rules)
+        if part is rows:
+            assert sum(got[i] for i in range(1000, 1030)) <= 3
+            prose_ids = [i for i, _, lang in rows if i < 300 and lang is None]
+            assert sum(got[i] for i in prose_ids) >= 0.95 * len(prose_ids)
