@@ -12,19 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import table
+from .common import table, with_columns
 
 #: Bytes of a language's dictionary, bytes of a text that goes into one and texts tried for one: the bounds of the fit.
 DICTIONARY, LONGEST_SAMPLE, SAMPLES = 32_000, 2_000, 120
 #: Slices of a longer text, where a language has too few short ones.
 SLICES = 16
+#: Texts too short for the sample are first thinned out in so many parts of a language, so that no task meets all of them.
+SPREAD = 100
 #: A text is compressed in blocks, so that its own earlier words don't stand in for the dictionary's.
 BLOCK, LEVEL = 2_000, 5
 #: The best language must save this share of the second's size, or the text is rejected.
 MARGIN = 0.003
 
 
-
 def mark_ranges() -> list[tuple[int, int]]:
     """The code points of Unicode's marks, as first and last of each run."""
     out: list[tuple[int, int]] = []
@@ -75,14 +76,20 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
 
 def others(rows: DataFrame) -> DataFrame:
     """lang, text: from texts too long for the sample, slices spread over each whole text, together about DICTIONARY characters a language; then texts too short for it, up to DICTIONARY bytes."""
-    n, long = F.length("text"), F.octet_length("text") > LONGEST_SAMPLE
+    n, bytes_ = F.length("text"), F.octet_length("text")
     width = DICTIONARY // SLICES
     slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(F.col("text"), F.floor(i * n / SLICES).cast("int") + 1, F.least(F.lit(width), F.ceil(n / SLICES).cast("int"))))
-    pieces = F.when(long, slices).otherwise(F.array("text"))
-    got = rows.filter(long | (F.octet_length("text") < 40)).select("lang", (~long).alias("short"), F.xxhash64(F.lit(9), "key").alias("h"), pieces.alias("pieces"))
-    got = got.withColumn("k", F.row_number().over(Window.partitionBy("lang", "short").orderBy("h", "pieces"))).filter(F.col("k") <= F.when(F.col("short"), DICTIONARY).otherwise(SAMPLES))
-    share = F.ceil(F.lit(width) / F.max("k").over(Window.partitionBy("lang", "short"))).cast("int")
-    got = got.withColumn("share", share).withColumn("text", F.array_join(F.when(F.col("short"), F.col("pieces")).otherwise(F.transform("pieces", lambda p: F.substring(p, F.lit(1), F.col("share")))), " "))
+    h = F.xxhash64(F.lit(9), "key", "text").alias("h")
+    lowest = lambda df, most, *by: df.withColumn("k", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))).filter(F.col("k") <= most)
+    # Chosen by hash alone, a few rows a language from each task; only then are their texts picked out and cut.
+    long = rows.filter(bytes_ > LONGEST_SAMPLE).select("lang", "text", h)
+    chosen = lowest(long.select("lang", "h").distinct(), SAMPLES)
+    chosen = chosen.withColumn("share", F.ceil(F.lit(width) / F.max("k").over(Window.partitionBy("lang"))).cast("int"))
+    texts = long.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"])
+    cut = F.transform(slices, lambda p: F.substring(p, F.lit(1), F.col("share")))
+    short = lowest(rows.filter(bytes_ < 40).select("lang", "text", h).distinct().withColumn("b", F.pmod("h", F.lit(SPREAD))), 2 * DICTIONARY // SPREAD, "b").drop("k", "b")
+    short = lowest(short, DICTIONARY).select("lang", F.lit(True).alias("short"), "k", "text")
+    got = texts.select("lang", F.lit(False).alias("short"), "k", F.array_join(cut, " ").alias("text")).unionByName(short)
     order = Window.partitionBy("lang").orderBy("short", "k").rowsBetween(Window.unboundedPreceding, 0)
     return got.withColumn("before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text")).filter(F.col("before") < 2 * DICTIONARY).orderBy("lang", "short", "k").select("lang", "text")
 
@@ -122,8 +129,7 @@ def predict(docs: DataFrame, learned: dict[str, bytes], *, margin: float = MARGI
                 scores.append(0.0 if first[1] == "und" or not content else 1 - first[0] / others[0][0] if others else 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return docs.mapInArrow(predicted, f"{schema},lang_pred:string,score:double").withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < margin))
+    return docs.mapInArrow(predicted, with_columns(docs.schema, "lang_pred string, score double")).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < margin))
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN) -> DataFrame:
