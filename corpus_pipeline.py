@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ledgerspark.llm import bpe, langid, mixing, near_dup, pii
-from ledgerspark.llm.common import WORD, table, written
+from ledgerspark.llm.common import table, written
+
+
+def _named(c: str, within: str = "") -> Column:
+    """A column by its name, whatever characters are in it."""
+    return F.col(within + "`" + c.replace("`", "``") + "`")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Each row's text, and its other columns in one, so that none of their names meets one of an operator."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+    return docs.select(F.struct(*[_named(c) for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _digest(docs: DataFrame) -> Column:
+    """A hash of all values of a row, nulls told from values by their places. Rows of one digest count as copies of one another."""
+    value = lambda f: F.to_json(_named(f.name)) if isinstance(f.dataType, MapType) else _named(f.name)
+    return F.xxhash64(*[x for f in docs.schema for x in (value(f).isNull(), value(f))])
 
 
 def _back(docs: DataFrame, rows: DataFrame, **changed) -> DataFrame:
-    return rows.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return rows.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("text") if c == "text" else _named(c, "row.").alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +51,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     duplicates. Other columns, of whatever name, come through. An empty table gives an empty one.
     """
     gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    columns = [_named(c) for c in docs.columns]
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(columns)
     again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), _digest(docs)).alias("row")).select(*[_named(c, "row.").alias(c) for c in docs.columns])
+    return kept.join(again, "doc_id", "left_anti").select(columns).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,17 +73,28 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none included.
 
-    A document without words, or with a null text, is taken no times; a null source is a source. Rows that share an id
-    are decided each by itself. Reruns agree. An empty table gives an empty one.
+    A document without words, or with a null text, is taken no times; a null source is a source. The mix knows a
+    document by its doc_id; rows that share one, or have none, it knows by a hash of all their values, and decides each
+    by itself. Rows alike in every value are decided each by itself too, and as they are interchangeable their copies are
+    made from one of them. So reruns agree, however the rows are partitioned. Other columns, of whatever name, come
+    through. An empty table gives an empty one.
     """
-    taken = written(mixing.mix(docs).filter("copies > 0").select("doc_id", "again", "copies"), "mix-taken")
-    rows = _rows(docs).withColumn("id", F.col("row.doc_id"))
-    on = rows["id"].eqNullSafe(taken["doc_id"])
-    if (taken.agg(F.max("again")).first()[0] or 1) > 1:  # rows that share an id: any order, as mix numbers rows that are alike for it
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-        rows = rows.withColumn("no", F.row_number().over(Window.partitionBy("id", "row.source", size).orderBy("id")))
-        on = on & (rows["no"] == taken["again"])
-    rows = rows.join(taken.hint("merge"), on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    keyed = docs.withColumn("mix key", F.col("doc_id").cast("long"))
+    again = written(docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"), "mix-again")
+    several = not again.isEmpty()
+    if several:
+        digest, shared = _digest(docs), again.filter("doc_id is not null").withColumn("mix shared", F.lit(True))
+        named = docs.filter("doc_id is not null").withColumn("mix digest", digest).join(shared, "doc_id", "left")
+        named = named.withColumn("mix key", F.when(F.col("mix shared"), F.col("mix digest")).otherwise(F.col("doc_id").cast("long"))).drop("mix shared", "mix digest")
+        keyed = named.unionByName(docs.filter("doc_id is null").withColumn("mix key", digest))
+    rows = keyed.select(F.col("mix key").alias("key"), F.struct(*[_named(c) for c in docs.columns if c != "text"]).alias("row"), "text")
+    taken = mixing.mix(rows.select(F.col("key").alias("doc_id"), F.col("row.source").alias("source"), "text"))
+    taken = written(taken.filter("copies > 0").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").cast("int").alias("copies"), F.max("again").alias("again")), "mix-taken")
+    if several:
+        alike = rows.groupBy("key").count().filter("count > 1").select("key")
+        one = rows.join(alike.hint("merge"), "key", "left_semi").groupBy("key").agg(F.any_value(F.struct("row", "text")).alias("one")).select("key", "one.row", "one.text")
+        rows = rows.join(alike.hint("merge"), "key", "left_anti").unionByName(one)
+    rows = rows.join(taken.hint("merge"), "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return _back(docs, rows)
 
 

@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_file, table, written
+from .common import shared_file, table, with_columns, written
 from .lexicon import LONGEST, Lexicon, automaton
 
 #: Words in the lexicon at most: what the driver compiles and every executor gets is bounded by it.
@@ -187,11 +187,11 @@ class Encoder:
         new = {p: self.vocab.words(p) for p in found if p not in self.known}
         words = list({w for x in new.values() for w in x if isinstance(w, bytes)})
         ids: dict[bytes | int, bytes] = {i: np.uint32(i).tobytes() for i in self.vocab.added.values()}
-        raw, starts = self.lexicon.ids, self.lexicon.starts.tolist()
-        flat = raw.tobytes()
-        for w, k in zip(words, self.lexicon.find(words).tolist(), strict=True):
+        at, starts, mapped = self.lexicon.find(words), self.lexicon.starts, memoryview(self.lexicon.ids).cast("B")
+        known = np.maximum(at, 0)
+        for w, k, first, last in zip(words, at.tolist(), starts[known].tolist() if len(starts) > 1 else known.tolist(), starts[known + 1].tolist() if len(starts) > 1 else known.tolist(), strict=True):
             if k >= 0:
-                ids[w] = flat[4 * starts[k] : 4 * starts[k + 1]]
+                ids[w] = bytes(mapped[4 * first : 4 * last])
             elif (got := self.merged.get(w)) is not None:
                 ids[w] = got
             else:
@@ -242,7 +242,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             texts = [decode_ids(x, vocab) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(decoded, rows.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",decoded:string")
+    return rows.mapInArrow(decoded, with_columns(rows.schema, "decoded string"))
 
 
 def digests(docs: DataFrame, path: str, *, with_ids: bool = False, most: int = LEXICON_WORDS) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_columns
 
 #: The turn template: fixed strings around a turn's role and text.
 BEFORE_ROLE, BEFORE_TEXT, AFTER_TEXT = "<|", "|>\n", "<|end|>\n"
@@ -127,8 +127,7 @@ def tokenised(rows: DataFrame, path: str, *, masked: int = -100) -> DataFrame:
                     at += n
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[c], pa.list_(pa.int32())) for c in names)], [*batch.schema.names, *names])
 
-    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return rows.mapInArrow(encoded, schema + "".join(f",{c}:array<int>" for c in names))
+    return rows.mapInArrow(encoded, with_columns(rows.schema, ", ".join(f"{c} array<int>" for c in names)))
 
 
 def op6_preference_format(spark, sf_dir: str) -> DataFrame:
