@@ -20,9 +20,9 @@ SIMILAR = 80
 RANGE, MOST_RANGES, HELD = 1 << 22, 1 << 16, 1 << 22
 #: Rows and bytes of sets of a block, which is what a task holds of a group of documents at once.
 BLOCK, BLOCK_BYTES = 1024, 64 << 20
-#: Children of a node; bits of a signature for each token of the group's largest set, and their least and most.
+#: Children of a node; bits of a signature for each token of its set, in powers of two, and their least and most.
 FAN, BITS, LEAST_BITS, MOST_BITS = 8, 8, 512, 1 << 17
-#: Ids up to this number (16 MB) are sent to all tasks to pick their texts; more of them meet the texts in a merge join.
+#: Ids up to this number (some 32 MB) are sent to all tasks to pick their texts or sets; more of them meet those in a merge join.
 SENT = 1_000_000
 #: Bytes of bitmaps laid side by side at once.
 SIDE = 16 << 20
@@ -42,7 +42,21 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], ["id", "set"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "block")), pa.array([s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], ["id", "key", "block", "set"])
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """A set's bitmap in 64-bit words: a bit for the lower bits of each token's hash. Half as many bits are the OR of both halves."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * len(s) - 1).bit_length()))
+    row = np.zeros(bits, bool)
+    row[(s >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
+    return np.packbits(row).view(np.uint64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(x[0].view(np.int64)) for x in sets], pa.int64()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], ["id", "n", "lead", "signature"])
 
 
 def dealt_tokens(docs: DataFrame, bits: int) -> DataFrame:
@@ -143,19 +157,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SignatureTree:
     """Sets in a hierarchy of nodes. A set's signature is a bitmap with a bit for each hash of a token; a node has the OR of those below it, their least and greatest size, the most tokens of a set beyond its bits (slack), and their least and greatest component."""
 
-    def __init__(self, at: np.ndarray, sets: list[np.ndarray], component: np.ndarray, bits: int):
-        n = np.array([len(sets[i]) for i in at])
-        near = np.floor(np.log(n) / np.log(100 / SIMILAR)).astype(int)
-        self.at = at[np.lexsort((n, [sets[i][0] for i in at], near))]  # of like sizes those with the same least token, as similar sets mostly have
-        maps = np.zeros((len(at), bits), bool) if len(at) * bits <= SIDE else None
-        packed = np.empty((len(at), bits // 64), np.uint64)
-        for k, i in enumerate(self.at):
-            row = maps[k] if maps is not None else np.zeros(bits, bool)
-            row[(sets[i] >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
-            packed[k] = np.packbits(row).view(np.uint64)
-        n = np.array([len(sets[i]) for i in self.at])
-        slack, own = n - np.bitwise_count(packed).sum(axis=1).astype(np.int64), component[self.at]
-        self.levels = [(packed, n, n, slack, own, own)]
+    def __init__(self, at: np.ndarray, maps: list[np.ndarray], words: int, n: np.ndarray, lead: np.ndarray, component: np.ndarray):
+        near = np.floor(np.log(n[at]) / np.log(100 / SIMILAR))
+        self.at = at = at[np.lexsort((n[at], lead[at], near))]  # of like sizes those with the same least token, as similar sets mostly have
+        folded = np.stack([np.bitwise_or.reduce(maps[i].reshape(-1, words), axis=0) for i in at])
+        slack = n[at] - np.bitwise_count(folded).sum(axis=1).astype(np.int64)
+        self.levels = [(folded, n[at], n[at], slack, component[at], component[at])]
         while len(self.levels) < 2 or len(self.levels[-1][0]) > 1:
             maps, least, most, slack, lo, hi = self.levels[-1]
             cut = np.arange(0, len(maps), FAN)
@@ -215,17 +222,32 @@ def _similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 100 * both >= SIMILAR * (len(x) + sizes - both)
 
 
-def tree_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between different components, of sets `left` with sets `right` (the same array: with each other): enough of them that all components that any link joins are joined. Trees narrow down to pairs of leaves, then a set's signature is held against those of its leaves' sets, and what is left against full sets."""
-    component, out = component.copy(), []
-    longest = max(len(sets[i]) for part in (left, right) for i in part)
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * longest - 1).bit_length()))
-    a = SignatureTree(left, sets, component, bits)
-    b = a if left is right else SignatureTree(right, sets, component, bits)
+def tree_links(maps: list[np.ndarray], n: np.ndarray, lead: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of `left` with `right` (the same array: with each other) of different components.
+
+    Trees narrow down to pairs of leaves, then a set's signature is held against those of its leaves' sets. With sets,
+    what is left is held against full sets, and the links given are enough that all components that any link joins are
+    joined; without, all pairs are given that may be links. Signatures are of like lengths in one tree: sets whose
+    signatures differ by more than one halving can't be similar.
+    """
+    component, out, words = component.copy(), [], np.array([len(m) for m in maps])
+    for short in np.unique(words).tolist():
+        same = [x[words[x] == short] for x in (left, right)]
+        longer = [x[words[x] == 2 * short] for x in (left, right)]
+        meetings = [(same[0], same[0])] if left is right else [(same[0], same[1]), (longer[0], same[1])]
+        for x, y in [*meetings, (same[0], longer[1])]:
+            if len(x) and len(y):
+                a = SignatureTree(x, maps, short, n, lead, component)
+                _meet(a, a if x is y else SignatureTree(y, maps, short, n, lead, component), component, sets, out)
+    return out
+
+
+def _meet(a: SignatureTree, b: SignatureTree, component: np.ndarray, sets: list[np.ndarray] | None, out: list[tuple[int, int]]) -> None:
     i, j = leaf_pairs(a, b)
     order = np.lexsort((j, i))
     i, j = i[order], j[order]
     starts = np.searchsorted(i, np.arange(len(a.levels[1][0]) + 1))
+    maps, sizes, _, slack = b.levels[0][:4]
     for k, x in enumerate(a.at.tolist()):
         leaves = j[starts[k // FAN] : starts[k // FAN + 1]]
         if not len(leaves):
@@ -233,34 +255,36 @@ def tree_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray,
         y = (leaves[:, None] * FAN + np.arange(FAN)).ravel()
         y = y[(y < len(b.at)) & ((y > k) if a is b else True)]
         y = y[component[b.at[y]] != component[x]]
+        own, n, _, spare = (v[k] for v in a.levels[0][:4])
+        y = y[100 * np.minimum(sizes[y], n) >= SIMILAR * np.maximum(sizes[y], n)]
         if len(y):
-            maps, n, _, slack = b.levels[0][:4]
-            mine = a.levels[0]
-            y = y[100 * np.minimum(n[y], mine[1][k]) >= SIMILAR * np.maximum(n[y], mine[1][k])]
-            shared = np.minimum(slack[y], mine[3][k]) + np.bitwise_count(maps[y] & mine[0][k]).sum(axis=1).astype(np.int64)
-            y = y[(100 + SIMILAR) * shared >= SIMILAR * (n[y] + mine[1][k])]
-        if not len(y):
-            continue
-        y = b.at[y]
-        y = y[_similar(sets[x], [sets[q] for q in y])]
-        if len(y):
+            shared = np.minimum(np.minimum(slack[y], spare) + np.bitwise_count(maps[y] & own).sum(axis=1).astype(np.int64), np.minimum(sizes[y], n))
+            y = b.at[y[(100 + SIMILAR) * shared >= SIMILAR * (sizes[y] + n)]]
+        if len(y) and sets is None:
+            out += [(x, int(q)) for q in y]
+        elif len(y):
+            y = y[_similar(sets[x], [sets[q] for q in y])]
             joined, first = np.unique(component[y], return_index=True)
             out += [(x, int(q)) for q in y[first]]
             joined = np.append(joined, component[x])
             component[np.isin(component, joined)] = joined.min()
-    return out
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows dealt and sorted by (key, i, j): links of block i with block j of a group, by their trees."""
+    """Rows dealt and sorted by (key, i, j): pairs of block i with block j of a group, by their trees. Rows bring full sets, or n, lead and signature."""
     held: list[dict] = []
 
     def links() -> pa.RecordBatch:
-        sets = [np.frombuffer(r["set"], np.uint64) for r in held]
+        if "set" in held[0]:
+            sets = [np.frombuffer(r["set"], np.uint64) for r in held]
+            maps, n, lead = [signature(x) for x in sets], np.array([len(x) for x in sets]), np.array([x[0].view(np.int64) for x in sets])
+        else:
+            sets, maps = None, [np.frombuffer(r["signature"], np.uint64) for r in held]
+            n, lead = (np.array([r[c] for r in held], np.int64) for c in ("n", "lead"))
         component, block = (np.array([r[c] for r in held], np.int64) for c in ("component", "block"))
         left = np.flatnonzero(block == held[0]["i"])
         right = left if held[0]["i"] == held[0]["j"] else np.flatnonzero(block == held[0]["j"])
-        got = tree_links(sets, component, left, right) if len(left) and len(right) else []
+        got = tree_links(maps, n, lead, component, left, right, sets)
         a, b = ([held[p[k]]["id"] for p in got] for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -274,6 +298,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("xset", "yset")]
+        yield batch.filter(pa.array([bool(_similar(x, [y])[0]) for x, y in zip(*sets, strict=True)], pa.bool_())).select(["a", "b"])
+
+
+def picked(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of these ids (each once), with what else ids has. A few ids, up to SENT, are sent to all tasks; more meet the rows in a merge join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge"), key)
+
+
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id that links of a similarity of 0.8 or more reach.
 
@@ -281,9 +316,10 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     dealt by ranges of their hash, in bulk, each range says which tokens several classes have, and each class keeps
     those in its prefix (the rarest first). So a passage that many documents share brings none of them together, as
     long as a fifth of each is its own. Classes with a common prefix token are a group, and a group is joined by
-    signature trees (tree_links), in three rounds so that no large group is copied about: each class in its largest
-    group only; then of each group one class of each component; then, in full and in pairs of blocks, the groups that
-    hold several components even so. Nothing is capped or sampled.
+    signature trees (tree_links), in three rounds so that no set is copied about: each class with its set in its largest
+    group only; then of each group one class of each component; then the groups that hold several components even so, in
+    full and in pairs of blocks, by signatures alone, an eighth of the sets, and only pairs of classes that these let
+    through meet with their sets. Nothing is capped or sampled.
 
     Decided: a text that is null, empty or blank has no shingles and no links. Rows of one doc_id are one document; if
     their texts differ, the one whose set has the smallest hash counts for all of them, on every run. A row without
@@ -310,19 +346,19 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sizes = prefixes.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     met = written(prefixes.join(sizes.hint("merge"), "key"), "join-groups")
 
-    ids = written(met.select(F.col("id").alias("doc_id")).distinct(), "join-ids")
-    chosen = named.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SENT else named.join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(_sets, "id long, set binary"), "join-sets", "none").join(classes.select("id", "n"), "id")
-
-    def blocks(rows: DataFrame, *, pairs: bool) -> DataFrame:
-        """Links of the groups in rows (key, id, component), each group in as many blocks as its rows and bytes need; with pairs, also of each two blocks."""
+    def cut(rows: DataFrame) -> DataFrame:
+        """rows (key, id, component) with the block of each and the blocks of its group: as many as the group's rows and bytes need."""
         sized = rows.join(classes.select("id", "n"), "id")
         parts = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"), F.count("*").alias("rows")).filter("rows > 1").select("key", "parts")
-        cut = rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) if pairs else cut.withColumn("other", F.col("block"))
-        cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-        cut = cut.join(sets.select("id", "set").hint("merge"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return written(cut.mapInArrow(_joined, "a long, b long"), "join-links")
+        return rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+
+    def links(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return written(dealt.mapInArrow(_joined, "a long, b long"), "join-links")
+
+    def within(rows: DataFrame) -> DataFrame:
+        """Full sets of rows that are in a block, each block for itself."""
+        return links(rows.select("key", F.col("block").alias("i"), F.col("block").alias("j"), "block", "id", "component", "set"))
 
     def mixed(of: DataFrame) -> DataFrame:
         """key, id, component of the groups that hold several components; of groups with the same rows, one."""
@@ -331,11 +367,26 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return placed.join(several.groupBy("who", "sum", "rows").agg(F.min("key").alias("key")).select("key"), "key")
 
     largest = met.groupBy("id").agg(F.max(F.struct("rows", "key")).alias("top")).select(F.col("top.key").alias("key"), "id", F.col("id").alias("component"))
-    of = written(components(blocks(largest, pairs=False)), "join-components")
+    first = written(cut(largest).select("key", "id", "block"), "join-first")
+    alone = written(met.select("id").distinct().join(first.select("id"), "id", "left_anti").withColumns({"key": F.lit(None).cast("long"), "block": F.lit(None).cast("int")}), "join-alone")  # no other class has their group as its largest
+    places = written(first.unionByName(alone).withColumnRenamed("id", "doc_id"), "join-places")
+    sets = written(picked(named, places, "doc_id").select("doc_id", "key", "block", "text").mapInArrow(_sets, "id long, key long, block int, set binary"), "join-sets", "none")
+    of = written(components(within(sets.filter("key is not null").withColumn("component", F.col("id")))), "join-components")
+
     as_links = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    heads = written(mixed(of), "join-mixed").groupBy("key", "component").agg(F.min("id").alias("id"))
-    of = written(components(as_links(of).unionByName(blocks(heads, pairs=False))), "join-components")
-    final = components(as_links(of).unionByName(blocks(written(mixed(of), "join-mixed"), pairs=True)))
+    full = sets.select("id", "set")
+    heads = written(cut(mixed(of).groupBy("key", "component").agg(F.min("id").alias("id"))), "join-heads")
+    some = picked(full, written(heads.select("id").distinct(), "join-ids"))
+    of = written(components(as_links(of).unionByName(within(heads.join(some.hint("merge"), "id")))), "join-components")
+
+    rest = written(cut(mixed(of)), "join-rest")
+    maps = picked(full, written(rest.select("id").distinct(), "join-ids")).mapInArrow(_signatures, "id long, n long, lead long, signature binary")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+    near = links(rest.join(maps.hint("merge"), "id"))
+    near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+    some = written(picked(full, written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")), "join-sets", "none")
+    near = near.join(some.select(F.col("id").alias("a"), F.col("set").alias("xset")).hint("merge"), "a").join(some.select(F.col("id").alias("b"), F.col("set").alias("yset")).hint("merge"), "b")
+    final = components(as_links(of).unionByName(near.mapInArrow(_confirmed, "a long, b long")))
 
     of_class = classes.join(final.withColumnRenamed("component", "of"), "id", "left").select("print", F.coalesce("of", "id").alias("component_id"))
     out = drawn.join(of_class, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
