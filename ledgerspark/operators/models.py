@@ -1,23 +1,28 @@
-"""Default models on Spark ML, scoring, attributions and what-if scenarios."""
+"""Default models, scoring, attributions and what-if scenarios."""
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import scoring as K
 from ..functions.features import DTI_BANDS, INCOME_BANDS, LOAN_BANDS, band, safe_ratio, sanitize_inputs
-from .evaluation import direction_summary
+from .boosting import Boosted, Plan, boost
+from .evaluation import direction_summary, exact_quantiles
 from .tables import scored_context_join
 
 NUMBERS, CATEGORIES = ("loan_amnt", "annual_inc", "dti", "fico_range_low", "term_months"), ("purpose", "home_ownership")
@@ -37,62 +42,117 @@ def fill_modes(df: DataFrame, categories: Sequence[str]) -> dict[str, str]:
     return {r["feature"]: r["value"] for r in counts.withColumn("k", first).filter("k = 1").collect()}
 
 
-def prepared(df: DataFrame, modes: dict[str, str], numbers: Sequence[str]) -> DataFrame:
-    return sanitize_inputs(df).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in modes.items()} | {c: F.col(c).cast("double") for c in numbers})
+def fill_medians(df: DataFrame, numbers: Sequence[str]) -> dict[str, float]:
+    """The exact median of each number, of what sanitize_inputs() leaves; 0 where nothing is left."""
+    long = sanitize_inputs(df).select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], list(numbers), "feature", "v")
+    got = {r["feature"]: r["q"][0] for r in exact_quantiles(long, "v", [0.5], ["feature"]).collect()}  # a row a number
+    return {c: got.get(c, 0.0) for c in numbers}
 
 
-def preprocess(numbers: Sequence[str], categories: Sequence[str], *, scale: bool) -> list:
-    """Median imputation (and standardising), one-hot categories with unknown values in a slot of their own."""
-    filled = [f"{c}_filled" for c in numbers]
-    stages = [Imputer(strategy="median", inputCols=list(numbers), outputCols=filled, relativeError=1e-4), VectorAssembler(inputCols=filled, outputCol="numbers", handleInvalid="keep")]
-    if scale:
-        stages.append(StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True))
-    stages.append(StringIndexer(inputCols=list(categories), outputCols=[f"{c}_index" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc"))
-    stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_hot" for c in categories], dropLast=False))
-    stages.append(VectorAssembler(inputCols=["scaled" if scale else "numbers", *[f"{c}_hot" for c in categories]], outputCol="features"))
-    return stages
+def category_values(df: DataFrame, categories: Sequence[str]) -> dict[str, list[str]]:
+    """The values of each category in their order: what is one-hot, a few each."""
+    got = df.unpivot([], list(categories), "feature", "value").filter("value is not null").groupBy("feature").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    found = {r["feature"]: r["values"] for r in got.collect()}
+    return {c: found.get(c, []) for c in categories}
 
 
+@dataclass(frozen=True)
+class Filling:
+    """What preprocessing learns: modes, exact medians, and the values that are one-hot."""
+
+    modes: dict[str, str]
+    medians: dict[str, float]
+    values: dict[str, list[str]]
+
+    @classmethod
+    def of(cls, df: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> Filling:
+        modes = fill_modes(df, categories)
+        return cls(modes, fill_medians(df, numbers), category_values(df, categories))
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        """Numbers as c_filled, categories in place."""
+        number = lambda c, m: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m))
+        return sanitize_inputs(df).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.modes.items()} | {f"{c}_filled": number(c, m) for c, m in self.medians.items()})
+
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """df with features: the numbers, then a 0 or 1 for each value of each category and for any other."""
+        hot = [F.when(F.col(c).isin(values) if v is None else F.col(c) == v, 0.0 if v is None else 1.0).otherwise(1.0 if v is None else 0.0) for c, values in self.values.items() for v in [*values, None]]
+        made = F.array(*[F.col(f"{c}_filled") for c in self.medians], *hot)
+        return self.filled(df).withColumn("features", made)
+
+    def names(self) -> list[tuple[str, str]]:
+        """(encoded column, source column) in the order of the features."""
+        return [(c, c) for c in self.medians] + [(f"{c}={v}", c) for c, values in self.values.items() for v in [*values, "<other>"]]
+
+
+def preprocess(numbers: Sequence[str], categories: Sequence[str]) -> list:
+    """For a linear model, on filled columns: standardised numbers, one-hot categories with unknown values in a slot of their own."""
+    return [
+        VectorAssembler(inputCols=[f"{c}_filled" for c in numbers], outputCol="numbers", handleInvalid="keep"), StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True),
+        StringIndexer(inputCols=list(categories), outputCols=[f"{c}_index" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_hot" for c in categories], dropLast=False), VectorAssembler(inputCols=["scaled", *[f"{c}_hot" for c in categories]], outputCol="features"),
+    ]
+
+
+@dataclass
 class Model:
-    """A fitted pipeline with what filling in needs."""
+    """A fitted model with what filling in needs: a pipeline of Spark ML (logistic) or boosted trees."""
 
-    def __init__(self, fitted: PipelineModel, modes: dict[str, str], numbers: Sequence[str], categories: Sequence[str], kind: str):
-        self.fitted, self.modes, self.numbers, self.categories, self.kind = fitted, modes, tuple(numbers), tuple(categories), kind
+    filling: Filling
+    kind: str
+    fitted: PipelineModel | None = None
+    trees: Boosted | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.fitted.transform(prepared(df, self.modes, self.numbers))
+        """df with features, an array in the order of feature_names()."""
+        if self.trees is not None:
+            return self.filling.encoded(df)
+        got = self.fitted.transform(self.filling.filled(df))
+        return got.withColumn("features", vector_to_array("features"))
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """df with features and predicted_pd."""
+        got = self.transform(df)
+        if self.trees is None:
+            return got.withColumn("predicted_pd", vector_to_array("probability")[1])
+        sent = df.sparkSession.sparkContext.broadcast(self.trees)
+
+        @F.arrow_udf("double")
+        def score(x: pa.Array) -> pa.Array:
+            return pa.array(1 / (1 + np.exp(-sent.value.margins(rows_of(x, len(sent.value.cuts))))))
+
+        return got.withColumn("predicted_pd", score("features"))
 
     def feature_names(self) -> list[tuple[str, str]]:
-        """(encoded column, source column) in the order of the vector."""
-        labels = next(s for s in self.fitted.stages if s.__class__.__name__ == "StringIndexerModel").labelsArray
-        out = [(c, c) for c in self.numbers]
-        for c, values in zip(self.categories, labels, strict=True):
-            out += [(f"{c}={v}", c) for v in [*values, "<other>"]]
-        return out
+        return self.filling.names()
+
+
+def rows_of(x: pa.Array, width: int) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
 
 
 def fit(df: DataFrame, kind: str = "logistic", *, numbers: Sequence[str] = NUMBERS, categories: Sequence[str] = CATEGORIES, balanced: bool = False, trees: int = 200) -> Model:
     """kind: logistic (L2, one retry with more iterations) or trees. Rows without target are left out."""
     df = df.filter("target is not null").withColumn("label", F.col("target").cast("double"))
-    modes = fill_modes(df, categories)
-    train = prepared(df, modes, numbers).withColumn("weight", F.lit(1.0))
+    filling = Filling.of(df, numbers, categories)
+    weight = F.lit(1.0)
     if balanced:
-        n, pos = train.agg(F.count("*"), F.sum("label")).first()
-        train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * max(pos, 1))).otherwise(n / (2 * max(n - pos, 1))))
-    if kind == "logistic":
-        for most in (100, 400):
-            fitted = Pipeline(stages=[*preprocess(numbers, categories, scale=True), LogisticRegression(maxIter=most, regParam=1e-4, standardization=False, weightCol="weight")]).fit(train)
-            if len(fitted.stages[-1].summary.objectiveHistory) <= most:
-                break
-    else:
-        last = GBTClassifier(maxIter=trees, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, weightCol="weight")
-        fitted = Pipeline(stages=[*preprocess(numbers, categories, scale=False), last]).fit(train)
-    return Model(fitted, modes, numbers, categories, kind)
+        n, pos = df.agg(F.count("*"), F.sum("label")).first()
+        weight = F.when(F.col("label") == 1, n / (2 * max(pos, 1))).otherwise(n / (2 * max(n - pos, 1)))
+    train = df.withColumn("weight", weight)
+    if kind == "trees":
+        return Model(filling, kind, trees=boost(filling.encoded(train), len(numbers), len(filling.names()), Plan(trees=trees)))
+    train = filling.filled(train)
+    for most in (100, 400):
+        fitted = Pipeline(stages=[*preprocess(numbers, categories), LogisticRegression(maxIter=most, regParam=1e-4, standardization=False, weightCol="weight")]).fit(train)
+        if len(fitted.stages[-1].summary.objectiveHistory) <= most:
+            break
+    return Model(filling, kind, fitted=fitted)
 
 
 def score_batch(model: Model, df: DataFrame, threshold: float) -> DataFrame:
-    p = vector_to_array("probability")[1]
-    return model.transform(df).select("loan_id", "target", p.alias("predicted_pd")).withColumn("predicted_class", K.flag_default(F.col("predicted_pd"), threshold))
+    return model.scored(df).select("loan_id", "target", "predicted_pd").withColumn("predicted_class", K.flag_default(F.col("predicted_pd"), threshold))
 
 
 def compact_model(df: DataFrame, inputs: int = 6, kind: str = "logistic", **how) -> Model:
@@ -108,49 +168,21 @@ def full_refit(df: DataFrame, context: DataFrame, threshold: float, kind: str =
 
 
 def out_of_fold_scores(folds: DataFrame, kind: str = "logistic", **how) -> DataFrame:
-    """Each row scored by a model that saw only the other folds, preprocessing included."""
-    got = None
-    for k in sorted(r[0] for r in folds.select("fold").distinct().collect()):
-        model = fit(folds.filter(F.col("fold") != k), kind, **how)
-        one = score_batch(model, folds.filter(F.col("fold") == k), 0.5).withColumn("fold", F.lit(k))
-        got = one if got is None else got.unionByName(one)
-    return got
+    """Each row scored by a model that saw only the other folds, preprocessing included. The folds' models are fitted side by side: each is a chain of short jobs, which leave room for one another's."""
+    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    with ThreadPoolExecutor(max(1, len(numbers))) as pool:
+        models = list(pool.map(inheritable_thread_target(folds.sparkSession)(lambda k: fit(folds.filter(F.col("fold") != k), kind, **how)), numbers))
+    scored = [score_batch(m, folds.filter(F.col("fold") == k), 0.5).withColumn("fold", F.lit(k)) for k, m in zip(numbers, models, strict=True)]
+    return reduce(DataFrame.unionByName, scored) if scored else folds.select("loan_id", "target", F.lit(0.5).alias("predicted_pd"), F.lit(1).alias("predicted_class"), "fold")
 
 
 def linear_contributions(model: Model, df: DataFrame, key: str = "loan_id") -> DataFrame:
     """key, feature (source column), contribution; their sum and the intercept are the margin."""
     coefficients = model.fitted.stages[-1].coefficients.toArray().tolist()
     sources = [s for _, s in model.feature_names()]
-    x = model.transform(df).select(key, vector_to_array("features").alias("x"))
-    per = F.zip_with("x", F.array(*map(F.lit, coefficients)), lambda a, b: a * b)
+    per = F.zip_with("features", F.array(*map(F.lit, coefficients)), lambda a, b: a * b)
     out = [F.struct(F.lit(f).alias("feature"), sum((F.get("per", i) for i, s in enumerate(sources) if s == f), F.lit(0.0)).alias("contribution")) for f in dict.fromkeys(sources)]
-    return x.select(key, per.alias("per")).select(key, F.explode(F.array(*out)).alias("c")).select(key, "c.*")
-
-
-def tree_table(model: Model) -> list[dict]:
-    """The trees as arrays: feature, threshold or left categories, children, cover and value of each node."""
-    gbt, out = model.fitted.stages[-1], []
-    for tree, weight in zip(gbt.trees, gbt.treeWeights, strict=True):
-        nodes: list[list] = []
-
-        def walk(node, nodes=nodes) -> int:
-            at = len(nodes)
-            cover = float(node.impurityStats().count())
-            nodes.append([-1, 0.0, -1, -1, cover, float(node.prediction())])
-            if node.getClass().getSimpleName() == "InternalNode":
-                split, children = node.split(), [node.leftChild(), node.rightChild()]
-                nodes[at][0] = int(split.featureIndex())
-                if split.getClass().getSimpleName() == "ContinuousSplit":
-                    nodes[at][1] = float(split.threshold())
-                else:  # a one-hot column: 0 goes left, or right
-                    nodes[at][1] = 0.5
-                    children = children if 0.0 in list(split.leftCategories()) else children[::-1]
-                nodes[at][2], nodes[at][3] = (walk(c) for c in children)
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append({"weight": weight, "nodes": nodes})
-    return out
+    return model.transform(df).select(key, per.alias("per")).select(key, F.explode(F.array(*out)).alias("c")).select(key, "c.*")
 
 
 def leaf_paths(nodes: list) -> Iterator[tuple[float, dict[int, tuple[float, float, float]]]]:
@@ -179,19 +211,22 @@ def pattern_values(zeros: Sequence[float]) -> np.ndarray:
     return out
 
 
-def explainer(trees: list[dict]) -> tuple[list[tuple], float]:
-    """What path_contributions needs of the trees, once a task: the leaves' features with their intervals and the values of each pattern."""
-    leaves, expected = [], 0.0
-    for tree in trees:
-        expected += tree["weight"] * _mean(tree["nodes"], 0)
-        for value, path in leaf_paths(tree["nodes"]):
+def explainer(trees: list[list]) -> tuple[list[tuple], float]:
+    """What path_contributions needs of the trees, once a task: the leaves' features with their intervals and the values of each pattern. Leaves of the same features and intervals are taken together; trees of a few cuts share many."""
+    leaves, expected = {}, 0.0
+    for nodes in trees:
+        expected += _mean(nodes, 0)
+        for value, path in leaf_paths(nodes):
             if path:
-                zeros, lows, highs = (list(x) for x in zip(*path.values(), strict=True))
-                leaves.append((list(path), lows, highs, tree["weight"] * value * pattern_values(zeros)))
-    return leaves, expected
+                features = tuple(sorted(path))
+                zeros, lows, highs = (tuple(x) for x in zip(*(path[f] for f in features), strict=True))
+                made = value * pattern_values(zeros)
+                key = (features, lows, highs)
+                leaves[key] = leaves[key] + made if key in leaves else made
+    return [(*key, made) for key, made in leaves.items()], expected
 
 
-def path_contributions(trees: list[dict], x: np.ndarray, ready: tuple[list[tuple], float] | None = None) -> tuple[np.ndarray, float]:
+def path_contributions(trees: list[list], x: np.ndarray, ready: tuple[list[tuple], float] | None = None) -> tuple[np.ndarray, float]:
     """TreeSHAP, leaf by leaf for all rows at once: for each row, a value per feature whose sum with the expected value is the margin. A leaf's features are few (the depth), so the value of each pattern of met splits is worked out once."""
     leaves, expected = ready or explainer(trees)
     columns = np.ascontiguousarray(x.T, dtype=float)
@@ -210,38 +245,50 @@ def _mean(nodes: list, at: int) -> float:
     return value if f < 0 else (nodes[left][4] * _mean(nodes, left) + nodes[right][4] * _mean(nodes, right)) / cover
 
 
-def tree_contributions(model: Model, df: DataFrame) -> DataFrame:
-    """loan_id, expected, phi: attributions in margin space per encoded column. Spark deals the rows; a task holds the trees, whose size is bounded by their number and depth."""
-    sent = df.sparkSession.sparkContext.broadcast(json.dumps(tree_table(model)))
+#: What a row's attributions and the expected value may differ from its margin.
+ADDITIVITY = 1e-3
+
+
+def tree_contributions(model: Model, df: DataFrame, key: str = "loan_id") -> DataFrame:
+    """key (any column), expected, phi: attributions in margin space per encoded column. Spark deals the rows; a task holds the trees, whose size is bounded by their number and depth. Each row's attributions must add up to its margin by the trees themselves, to ADDITIVITY, or the query fails."""
+    sent = df.sparkSession.sparkContext.broadcast(model.trees)
 
     def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = json.loads(sent.value)
-        ready = explainer(trees)
+        boosted = sent.value
+        trees, width = boosted.nodes(), len(boosted.cuts)
+        leaves, expected = explainer(trees)
         for batch in batches:
-            phi, expected = path_contributions(trees, np.array(batch.column("x").to_pylist(), dtype=float).reshape(len(batch), -1), ready)
-            yield pa.RecordBatch.from_arrays([batch.column("loan_id"), pa.array([expected] * len(batch)), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["loan_id", "expected", "phi"])
+            x = rows_of(batch.column("features"), width)
+            phi, mean = path_contributions(trees, x, (leaves, expected + boosted.base))
+            off = np.abs(mean + phi.sum(axis=1) - boosted.margins(x)).max(initial=0.0)
+            if not off <= ADDITIVITY:
+                raise ValueError(f"attributions miss the margin by {off}")
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), mean)), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(phi).ravel()))], [key, "expected", "phi"])
+
+    got = model.transform(df).select(key, "features")
+    out = StructType([got.schema[key], StructField("expected", DoubleType()), StructField("phi", ArrayType(DoubleType()))])
+    return got.mapInArrow(explained, out)
+
 
-    return model.transform(df).select("loan_id", vector_to_array("features").alias("x")).mapInArrow(explained, "loan_id string, expected double, phi array<double>")
+def group_contributions(encoded: DataFrame, names: Sequence[tuple[str, str]], key: str = "loan_id") -> DataFrame:
+    """Encoded columns' attributions (key, phi) summed per source column, row by row."""
+    sources = [s for _, s in names]
+    sums = [F.struct(F.lit(f).alias("feature"), sum((F.get("phi", i) for i, s in enumerate(sources) if s == f), F.lit(0.0)).alias("contribution")) for f in dict.fromkeys(sources)]
+    return encoded.select(key, F.explode(F.array(*sums)).alias("c")).select(key, "c.*")
 
 
-def group_contributions(encoded: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
-    """Encoded columns' attributions (loan_id, phi) summed per source column."""
-    spark = encoded.sparkSession
-    mapping = F.broadcast(spark.createDataFrame([(i, s) for i, (_, s) in enumerate(names)], "pos int, feature string"))
-    return encoded.select("loan_id", F.posexplode("phi").alias("pos", "v")).join(mapping, "pos").groupBy("loan_id", "feature").agg(F.sum("v").alias("contribution"))
+def contributions(model: Model, df: DataFrame, key: str = "loan_id") -> DataFrame:
+    """key, feature, contribution of either kind of model; with the expected value or the intercept they add up to the margin."""
+    return linear_contributions(model, df, key) if model.trees is None else group_contributions(tree_contributions(model, df, key), model.feature_names(), key)
 
 
 def gain_importance(model: Model) -> DataFrame:
-    """Per encoded column: Spark's impurity gain share, how often it splits, and the rows it splits (cover); with its source."""
-    names, trees = model.feature_names(), tree_table(model)
-    gain = model.fitted.stages[-1].featureImportances.toArray().tolist()
-    weight, cover = [0] * len(names), [0.0] * len(names)
-    for t in trees:
-        for f, _, _, _, c, _ in t["nodes"]:
-            if f >= 0:
-                weight[f] += 1
-                cover[f] += c
-    return SparkSession.getActiveSession().createDataFrame([(n, s, float(g), w, c) for (n, s), g, w, c in zip(names, gain, weight, cover, strict=True)], "encoded string, feature string, gain double, weight int, cover double")
+    """Per encoded column with its source: gain (the loss its splits took away), weight (how many they are) and cover (the second-order weight of the rows they cut), and its part of all gain. All from the histograms of the fit; a row an encoded column."""
+    got = model.trees.importance()
+    whole = sum(g for g, _, _ in got)
+    rows = [(n, s, g, w, c, g / whole if whole else 0.0) for (n, s), (g, w, c) in zip(model.feature_names(), got, strict=True)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "encoded string, feature string, gain double, weight int, cover double, gain_share double")
 
 
 def global_importance(contributions: DataFrame, gain: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
@@ -317,7 +364,7 @@ def what_if(loans: DataFrame, scenarios: DataFrame, score: Column | Model, thres
     """The results: score, class, tier and losses of each scenario and of each loan as it is."""
     got = apply_overrides(loans, scenarios)
     if isinstance(score, Model):
-        got = score.transform(got).withColumn("predicted_pd", vector_to_array("probability")[1])
+        got = score.scored(got)
     else:
         got = got.withColumn("predicted_pd", score)
     p = F.col("predicted_pd")
@@ -335,6 +382,6 @@ def what_if_inputs(loans: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def what_if_attributions(model: Model, loans: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """loan_id, scenario, feature, contribution for each accepted scenario and each loan as it is (scenario null), by a logistic model."""
+    """loan_id, scenario, feature, contribution for each accepted scenario and each loan as it is (scenario null), by a model of either kind."""
     got = apply_overrides(loans, scenarios).withColumn("row", F.struct("loan_id", "scenario"))
-    return linear_contributions(model, got, "row").select("row.loan_id", "row.scenario", "feature", "contribution")
+    return contributions(model, got, "row").select("row.loan_id", "row.scenario", "feature", "contribution")

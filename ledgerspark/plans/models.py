@@ -19,15 +19,13 @@ def labeled(s, d):
 @query("preprocess_linear")
 def _(s, d):
     m = D.fit(labeled(s, d), "logistic")
-    return m.transform(labeled(s, d)).select("loan_id", D.vector_to_array("features").alias("features"))
+    return m.transform(labeled(s, d)).select("loan_id", "features")
 
 
 @query("preprocess_tree")
 def _(s, d):
     df = labeled(s, d)
-    modes = D.fill_modes(df, D.CATEGORIES)
-    ready = D.prepared(df, modes, D.NUMBERS)
-    return D.Pipeline(stages=D.preprocess(D.NUMBERS, D.CATEGORIES, scale=False)).fit(ready).transform(ready).select("loan_id", D.vector_to_array("features").alias("features"))
+    return D.Filling.of(df, D.NUMBERS, D.CATEGORIES).encoded(df).select("loan_id", "features")
 
 
 @query("fit_logistic")
@@ -85,7 +83,7 @@ def _(s, d):
     df = labeled(s, d)
     m = D.fit(df, "trees")
     values = df.select("loan_id", *[F.col(c).cast("double").alias(c) for c in D.NUMBERS]).unpivot("loan_id", list(D.NUMBERS), "feature", "value")
-    return D.global_importance(D.group_contributions(D.tree_contributions(m, df), m.feature_names()).persist(), D.gain_importance(m), values)
+    return D.global_importance(D.group_contributions(D.tree_contributions(m, df), m.feature_names()), D.gain_importance(m), values)
 
 
 @query("gain_importance")

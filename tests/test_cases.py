@@ -160,7 +160,7 @@ def test_tree_contributions_add_up(spark, sf):
     m = D.fit(df, "trees", trees=3)
     some = S.stratified_sample(df, 60)
     got = {r.loan_id: r.expected + sum(r.phi) for r in D.tree_contributions(m, some).collect()}
-    want = {r.loan_id: r.m for r in m.transform(some).select("loan_id", D.vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    want = {r.loan_id: math.log(r.predicted_pd / (1 - r.predicted_pd)) for r in m.scored(some).collect()}
     assert len(got) > 50 and max(abs(got[k] - want[k]) for k in want) < 1e-3
 
 
@@ -216,7 +216,7 @@ def test_tree_contributions_equal_the_definition():
         return sum(tree[k][4] / cover * mean(k, row, known) for k in (left, right))
 
     rows = [[a, b, c] for a in (0.0, 1.0, 1.5, 2.0, 3.0) for b in (0.0, 1.0) for c in (-1.0, 1.0)]
-    phi, expected = D.path_contributions([{"weight": 0.5, "nodes": tree}], D.np.array(rows))
+    phi, expected = D.path_contributions([[[*node[:5], 0.5 * node[5]] for node in tree]], D.np.array(rows))
     assert abs(expected - 0.5 * mean(0, rows[0], ())) < 1e-12
     for row, got in zip(rows, phi, strict=True):
         for f in range(3):
