@@ -39,7 +39,7 @@ def clean_strings(df: DataFrame) -> DataFrame:
 def to_number(c: Column) -> Column:
     """Numbers in plain or scientific notation; all else, infinity and NaN included, is null."""
     t = stripped(c)
-    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    return inf_to_null(F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double")))
 
 
 def parse_percent(c: Column) -> Column:

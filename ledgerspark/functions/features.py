@@ -43,13 +43,14 @@ def quarter_label(d: Column) -> Column:
 
 
 def engineer_features(df: DataFrame) -> DataFrame:
-    """All features. dti may be missing: then its band is null. Infinities count as missing values."""
+    """All features. dti may be missing: then its band is null. An infinite amount, income, score or ratio is refused, by an error of the query, as it would end up in a band."""
     needed = ["loan_amnt", "annual_inc", "fico_range_low", "fico_range_high", "issue_d", "earliest_cr_line"]
     if missing := [c for c in needed if c not in df.columns]:
         raise ValueError(f"features need {missing}")
-    number = {c: inf_to_null(F.col(c).cast("double")) for c in (*needed[:4], "dti") if c in df.columns}
+    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) == float("inf"), F.raise_error(F.lit(f"{c} is infinite")).cast("double")).otherwise(F.col(c).cast("double"))
+    number = {c: finite(c) for c in (*needed[:4], "dti") if c in df.columns}
     df = df.withColumns({
-        "loan_to_income_ratio": safe_ratio(F.col("loan_amnt").cast("double"), F.col("annual_inc").cast("double")), "fico_avg": fico_avg(number["fico_range_low"], number["fico_range_high"]),
+        "loan_to_income_ratio": safe_ratio(number["loan_amnt"], number["annual_inc"]), "fico_avg": fico_avg(number["fico_range_low"], number["fico_range_high"]),
         "credit_history_months": credit_history_months(F.col("issue_d"), F.col("earliest_cr_line")), "issue_year": F.year("issue_d"), "issue_quarter": quarter_label(F.col("issue_d")), "issue_month": F.month("issue_d"),
         "loan_amount_band": band(number["loan_amnt"], LOAN_BANDS, right=True), "income_band": band(number["annual_inc"], INCOME_BANDS, right=True),
         "dti_band": band(number.get("dti", F.lit(None)), DTI_BANDS, right=True),

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that an ordered table is cut into, and rows of a part beyond which there are more parts; what the driver and one task see of it is that many edges and sums, MOST_PARTS at most.
-PARTS, ROWS, MOST_PARTS = 64, 1_000_000, 16_384
+#: Parts that an ordered table is cut into, the most there are, and rows of a part beyond which there are so many; what one task sees of it is that many edges and sums.
+PARTS, MOST_PARTS, ROWS = 64, 1024, 1_000_000
 # The order of simplicity among candidates, and how complex each is.
 CANDIDATES = ("logistic_baseline", "logistic_weighted", "xgboost_candidate")
 COMPLEXITY = {"logistic_baseline": 0, "logistic_weighted": 0, "xgboost_candidate": 1}
@@ -21,21 +21,20 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)
 
 
-def ordered_parts(df: DataFrame, by: str, parts: int | None = None) -> DataFrame:
-    """df with `part`: ranges of `by` of about equal rows, by approximate quantiles. df is kept, as it's read more than once: for its edges and by what follows."""
-    df = df.persist()
-    parts = parts or min(MOST_PARTS, max(PARTS, -(-df.count() // ROWS)))
-    edges = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], min(0.002, 0.1 / parts))))
-    # Edges at or below a value, by halving: as many steps as the edges' number has bits.
-    at = F.lit(0)
-    if edges:
-        held, steps = F.array(*map(F.lit, edges)), len(edges).bit_length()
-        for k in reversed(range(steps)):
-            nxt = at + F.lit(1 << k)
-            at = F.when((nxt <= len(edges)) & (F.get(held, nxt - 1) <= F.col(by)), nxt).otherwise(at)
-        if len(edges) <= PARTS:
-            at = F.size(F.filter(held, lambda e: e <= F.col(by)))
-    return df.withColumn("part", at)
+def ordered_parts(df: DataFrame, by: str) -> DataFrame:
+    """df with `part`: ranges of `by` of about equal rows, by approximate quantiles.
+
+    The quantiles are one row of the same query, broadcast: building the plan runs no job and nothing is kept. They ask
+    for all columns of df, so Spark sees the same exchange below them and below df, and runs it once.
+    """
+    every = MOST_PARTS // PARTS
+    edges = df.agg(F.percentile_approx(by, [i / MOST_PARTS for i in range(1, MOST_PARTS)], 16 * MOST_PARTS).alias("_all"), F.count("*").alias("_rows"), *[F.max(c).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    few = F.filter("_all", lambda e, i: (i + 1) % every == 0)
+    edges = edges.select(F.when(F.col("_rows") > PARTS * ROWS, F.col("_all")).otherwise(few).alias("_edges"))
+    # Edges at or below a value, by halving.
+    steps = F.array(*[F.lit(MOST_PARTS >> k) for k in range(1, MOST_PARTS.bit_length())])
+    at = F.aggregate(steps, F.lit(0), lambda place, step: F.when(F.get("_edges", place + step - 1) <= F.col(by), place + step).otherwise(place))
+    return df.crossJoin(F.broadcast(edges)).withColumn("part", at).drop("_edges")
 
 
 def prefix_sums(df: DataFrame, by: str, values: Sequence[str], within: Sequence[str] = (), *, parts: bool = False) -> DataFrame:
@@ -267,11 +266,13 @@ def at_thresholds(hist: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def generalization_delta(df: DataFrame, split: DataFrame, threshold: float) -> DataFrame:
-    """Each metric on the test split less the same on the validation split, one row."""
-    got = confusion_metrics(df.join(split.select("loan_id", "split"), "loan_id"), threshold, ["split"])
-    columns = ["precision", "recall", "f1", "accuracy"]
-    v = got.filter("split = 'validation'").select(*[F.col(c).alias(f"v_{c}") for c in columns])
-    return got.filter("split = 'test'").crossJoin(F.broadcast(v)).select(*[(F.col(c) - F.col(f"v_{c}")).alias(c) for c in columns])
+    """Each metric on the test split less the same on the validation split, one row: those at the threshold, and ROC-AUC, average precision, log loss and Brier score."""
+    rows = df.join(split.select("loan_id", "split").filter("split in ('test', 'validation')"), "loan_id")
+    ranked = model_metrics(rows.select(F.col("split").alias("model"), F.col("predicted_pd").alias("pd"), "target"))
+    got = confusion_metrics(rows, threshold, ["split"]).join(ranked.withColumnRenamed("model", "split"), "split")
+    columns = ["precision", "recall", "f1", "accuracy", "roc_auc", "average_precision", "log_loss", "brier"]
+    of = lambda name, c: F.max(F.when(F.col("split") == name, F.col(c)))
+    return got.agg(*[(of("test", c) - of("validation", c)).alias(c) for c in columns])
 
 
 def average_rank(df: DataFrame, column: str, key: str = "loan_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import features as X
 from ..functions import scoring as K
 from ..functions.cleaning import derive_target
 from .evaluation import exact_quantiles
-from .tables import _none, _require_scores, missing_ids, reconcile, require_grain, same_ids, share
+from .tables import Meeting, share, unsound_scores
 
 #: Groups smaller than this show no rate.
 SPARSE = 100
@@ -120,34 +122,29 @@ def losses(scores: DataFrame) -> DataFrame:
 
 
 def evaluated_fact(scores: DataFrame, loss: DataFrame, fico: DataFrame) -> DataFrame:
-    """Grain loan, 27 columns: scores (risk_tier as its long label), losses and FICO bands joined one to one.
+    """Grain loan, 27 columns in order of loan_id: scores (risk_tier as its long label), losses and FICO bands joined one to one.
 
     Raises unless ids are keys and the same on both sides, every loan has a band row, what both sides carry is equal, and
-    targets, probabilities, tiers, bands and amounts are of their range.
+    targets, probabilities, tiers, bands and amounts are of their range; all of it in one pass over the three sides.
     """
     for name, df, columns in (("scores", scores, SCORES), ("losses", loss, LOSSES), ("FICO bands", fico, ("loan_id", "fico_band"))):
         if missing := sorted(set(columns).difference(df.columns)):
             raise ValueError(f"{name} lack {missing}")
-        require_grain(df, "loan_id")
-    _require_scores(scores, "scores")
-    same_ids(scores, loss, "losses")
-    _none(missing_ids(scores, fico), "loans without a FICO band")
-    _none(reconcile(scores, loss, "loan_id", list(_BOTH)).filter("mismatches > 0"), "scores and losses differ")
     amounts = ("expected_loss", "expected_loss_rate", "expected_loss_lgd_30", "expected_loss_lgd_45", "expected_loss_lgd_60", "ead_proxy")
-    got = scores.select(*SCORES).join(loss.select("loan_id", *amounts), "loan_id").join(fico.select("loan_id", "fico_band"), "loan_id")
+    finite = lambda *cs: reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in cs])
+    odd_scores = unsound_scores() | ~(K.tier_code(F.col("risk_tier")).isNotNull() & F.coalesce(F.col("predicted_class").isin(0, 1), F.lit(False)) & finite("risk_score", "credit_score", "loan_amnt"))
+    odd_losses = ~(finite(*amounts) & (F.col("expected_loss") == F.col("expected_loss_lgd_45")) & (F.col("ead_proxy") == F.col("loan_amnt")))
     band = F.coalesce("fico_band", F.lit("Missing"))
-    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
-    sound = K.tier_code(F.col("risk_tier")).isNotNull() & F.coalesce(F.col("predicted_class").isin(0, 1), F.lit(False)) & band.isin(*X.FICO_BANDS[1], "Missing")
-    for c in (*amounts, "risk_score", "credit_score", "loan_amnt"):
-        sound = sound & finite(c)
-    sound = sound & (F.col("expected_loss") == F.col("expected_loss_lgd_45")) & (F.col("ead_proxy") == F.col("loan_amnt"))
-    _none(got.filter(~F.coalesce(sound, F.lit(False))).select("loan_id"), "loans out of range")
+    met = Meeting().side("scores", scores, odd_scores, _BOTH).side("losses", loss, odd_losses, _BOTH).side("FICO bands", fico, ~band.isin(*X.FICO_BANDS[1], "Missing"))
+    met.sound("scores", "values out of range").sound("losses", "amounts out of range").sound("FICO bands", "an unknown band", among="scores")
+    met.covers("scores", "losses").covers("losses", "scores").covers("scores", "FICO bands").equal("scores", "losses", _BOTH).require()
+    got = scores.select(*SCORES).join(loss.select("loan_id", *amounts), "loan_id").join(fico.select("loan_id", "fico_band"), "loan_id")
     code, bin_no = K.tier_code(F.col("risk_tier")), K.pd_bin(F.col("predicted_pd"))
     made = {
         "risk_tier_label": F.col("risk_tier"), "tier_sort_order": K.tier_order(code), "fico_band_sort_order": K.fico_order(F.col("fico_band")), "pd_bin_sort_order": bin_no,
         "pd_bin": (bin_no - 1) / 20, "pd_bin_label": K.pd_bin_label(bin_no), "risk_tier": code, "fico_band": band,
     }
-    return got.withColumns(made).select(*FACT)
+    return got.withColumns(made).select(*FACT).orderBy("loan_id")
 
 
 def fact_measures(fact: DataFrame, by: str) -> DataFrame:

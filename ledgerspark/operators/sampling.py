@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The hash is a permutation step modulo a prime, so that any engine can repeat it; ranges of it split the ranking.
-MODULUS, MULTIPLIER, RANGES, ROWS = 1_000_003, 7919, 64, 1_000_000
+from ..sources.io import exists, publish
+
+#: Ranges of the hash that split the ranking, and rows of a range beyond which there are more.
+RANGES, ROWS, MOST_RANGES = 64, 1_000_000, 1 << 20
+#: A split of fewer rows can miss the overall rate by more than the tolerance though it is cut exactly.
+LEAST_AUDITED = 1000
 
 
 def lot(key: Column, seed: int = 42) -> Column:
-    return F.pmod(key.cast("long") * MULTIPLIER + seed * 104729, F.lit(MODULUS))
+    """A digest of seed and key as text of 32 hexadecimal digits, for keys of any kind; other engines have the same one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
 def ranked(df: DataFrame, by: str, key: str = "loan_id", seed: int = 42) -> DataFrame:
-    """df with `rank` from 1 within each value of `by`, in the order of the hash, then the key, and `n`, its rows. Ranges of the hash, as many as the rows need, rank their own rows; only their counts meet."""
-    h = lot(F.col(key), seed)
-    ranges = min(MODULUS, max(RANGES, -(-df.count() // ROWS)))
-    cut = df.withColumns({"_h": h, "_r": F.floor(h * ranges / MODULUS)})
+    """df with `rank` from 1 within each value of `by`, in the order of the digest, then the key, and `n`, its rows. Ranges of the digest's first 32 bits, as many as the rows need, rank their own rows; only their counts meet."""
+    ranges = min(MOST_RANGES, max(RANGES, -(-df.count() // ROWS)))
+    cut = df.withColumn("_h", lot(F.col(key), seed)).withColumn("_r", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * ranges, 32))
     counts = cut.groupBy(by, "_r").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(by)
     counts = counts.select(F.col(by).alias("_by"), F.col("_r").alias("_r2"), (F.sum("_n").over(w.orderBy("_r")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n"))
-    got = cut.join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_r2")))
-    at = F.row_number().over(Window.partitionBy(by, "_r").orderBy("_h", F.col(key).cast("long")))
+    got = cut.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_r2")))
+    at = F.row_number().over(Window.partitionBy(by, "_r").orderBy("_h", F.col(key).cast("string")))
     return got.withColumn("rank", F.col("_before") + at).drop("_h", "_r", "_by", "_r2", "_before")
 
 
@@ -51,8 +55,8 @@ def class_counts(split: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int, key: str = "loan_id") -> DataFrame:
-    """The n rows of the smallest keys, read as numbers: each task keeps n at most."""
-    return df.orderBy(F.col(key).cast("long"), key).limit(n)
+    """The n rows of the smallest keys, whole numbers first, in their order, then other keys by their text: each task keeps n at most."""
+    return df.orderBy(F.col(key).try_cast("decimal(38,0)").asc_nulls_last(), F.col(key).cast("string")).limit(n)
 
 
 def stratified_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -67,13 +71,16 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def reuse_or_create_split(df: DataFrame, path: str, seed: int = 42) -> DataFrame:
-    """The split written at path if there is one, which must still cover the labeled rows with their targets; else a new one is written. Never overwrites."""
+    """The split published at path if there is one, else a new one, which is there when it is complete: a write that fails leaves nothing that counts as a split. Either way it must pass the audit: each labeled row with its target in one split, no other rows, all three splits, and rates within the tolerance. Never overwrites."""
     spark = df.sparkSession
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        stratified_split(df, seed=seed).write.parquet(path)
+    if not exists(spark, path):
+        publish(stratified_split(df, seed=seed), path)
     old = spark.read.parquet(path)
     labeled = df.filter("target is not null").select("loan_id", "target")
     if not labeled.exceptAll(old.select("loan_id", "target")).isEmpty() or not old.select("loan_id", "target").exceptAll(labeled).isEmpty():
         raise ValueError(f"the split at {path} isn't one of these rows")
+    audit = split_audit(old, labeled.select("loan_id")).collect()
+    odd = [r.asDict() for r in audit if r["overlap"] or r["unknown"] or r["lost"] or not r["within_tolerance"] and r["rows"] >= LEAST_AUDITED]
+    if odd or {r["split"] for r in audit} != {"train", "validation", "test"}:
+        raise ValueError(f"the split at {path} fails its audit: {odd or [r['split'] for r in audit]}")
     return old

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +47,60 @@ def require_grain(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} isn't a key: {got.asDict()}")
 
 
+class Meeting:
+    """All guards of a join in one pass: the sides, each with what rules ask of its rows, as one tagged union, grouped by the key. A rule is a condition on a key's group; require() counts the keys that break each, and raises if any does."""
+
+    def __init__(self, key: str = "loan_id"):
+        self.key, self.names, self.sides, self.values, self.rules = key, [], [], [], []
+
+    def side(self, name: str, df: DataFrame, bad: Column | None = None, values: Sequence[str] = (), *, unique: bool = True) -> Meeting:
+        """A side whose key must be there and unique. bad: rows that break its own rules; values: columns that rules compare."""
+        flag = F.lit(False) if bad is None else F.coalesce(bad, F.lit(True))
+        made = [F.struct(F.col(c).alias("v")).alias(f"{name} {c}") for c in values]
+        self.names.append(name)
+        self.sides.append(df.select(F.col(self.key), F.lit(name).alias("_side"), flag.alias("_bad"), *made))
+        self.values += [f"{name} {c}" for c in values]
+        if unique:
+            return self.rule(f"{name}: {self.key} isn't a key", (self.rows(name) > 1) | (F.col(self.key).isNull() & (self.rows(name) > 0)))
+        return self
+
+    def rows(self, name: str) -> Column:
+        return F.col(f"rows {name}")
+
+    def rule(self, what: str, broken: Column) -> Meeting:
+        self.rules.append((what, broken))
+        return self
+
+    def sound(self, name: str, what: str, among: str | None = None) -> Meeting:
+        """No bad row of a side; with among, of keys that another side has."""
+        broken = F.col(f"bad {name}") > 0
+        return self.rule(f"{name}: {what}", broken if among is None else broken & (self.rows(among) > 0))
+
+    def covers(self, a: str, b: str) -> Meeting:
+        """Every key of a is in b."""
+        return self.rule(f"{b} lacks ids of {a}", (self.rows(a) > 0) & (self.rows(b) == 0))
+
+    def equal(self, a: str, b: str, columns: Sequence[str]) -> Meeting:
+        """Where both have the key, these columns are equal, null with null."""
+        both = (self.rows(a) > 0) & (self.rows(b) > 0)
+        for c in columns:
+            self.rule(f"{a} and {b} differ in {c}", both & ~F.col(f"{a} {c}").eqNullSafe(F.col(f"{b} {c}")))
+        return self
+
+    def require(self) -> None:
+        union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), self.sides)
+        names = self.names
+        counts = [F.count_if(F.col("_side") == n).alias(f"rows {n}") for n in names] + [F.count_if((F.col("_side") == n) & F.col("_bad")).alias(f"bad {n}") for n in names]
+        per = union.groupBy(self.key).agg(*counts, *[F.max(v).alias(v) for v in self.values])
+        got = per.agg(*[x for i, (_, broken) in enumerate(self.rules) for x in (F.count_if(broken).alias(f"n{i}"), F.min(F.when(broken, F.coalesce(F.col(self.key).cast("string"), F.lit("null")))).alias(f"e{i}"))]).first()
+        if said := [f"{what} ({got[f'n{i}']} ids, such as {got[f'e{i}']})" for i, (what, _) in enumerate(self.rules) if got[f"n{i}"]]:
+            raise ValueError("; ".join(said))
+
+
 def canonical_join(application: DataFrame, borrower: DataFrame, credit: DataFrame, outcome: DataFrame, *, strict: bool = False) -> DataFrame:
-    """One row per application with its borrower, credit and target; strict: each side's key is checked first."""
-    for side in (application, borrower, credit, outcome) if strict else ():
-        require_grain(side, "loan_id")
+    """One row per application with its borrower, credit and target; strict: all sides' keys are checked first, in one pass."""
+    if strict:
+        Meeting().side("application", application).side("borrower", borrower).side("credit", credit).side("outcome", outcome).require()
     return application.join(borrower, "loan_id", "left").join(credit, "loan_id", "left").join(outcome.select("loan_id", "target"), "loan_id", "left")
 
 
@@ -56,60 +109,39 @@ def missing_ids(a: DataFrame, b: DataFrame, key: str = "loan_id") -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
 
 
-def _none(df: DataFrame, what: str) -> None:
-    """Raises if df has rows."""
-    if some := df.limit(5).collect():
-        raise ValueError(f"{what}: {[r.asDict() for r in some]}")
-
-
-def same_ids(a: DataFrame, b: DataFrame, what: str, key: str = "loan_id") -> None:
-    """Raises unless both sides have the same ids."""
-    _none(missing_ids(a, b, key), f"{what} lacks ids")
-    _none(missing_ids(b, a, key), f"{what} has ids too many")
-
-
 def partition_rows(canonical: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """The canonical rows of these ids (loan_id, target). All must be found, each once, with the same target."""
-    require_grain(ids, "loan_id")
-    got = canonical.join(ids.select("loan_id"), "loan_id", "left_semi")
-    require_grain(got, "loan_id")
-    _none(missing_ids(ids, got), "ids that aren't there")
-    both = ids.select("loan_id", F.col("target").alias("of")).join(got.select("loan_id", "target"), "loan_id")
-    _none(both.filter(~F.col("target").eqNullSafe(F.col("of"))), "targets that differ")
-    return got.select("loan_id", *[c for c in columns if c != "loan_id"])
-
-
-def _require_scores(df: DataFrame, what: str, threshold: float | None = None) -> None:
-    """loan_id is a key, targets are 0 or 1, probabilities in [0, 1], and classes follow the threshold."""
-    require_grain(df, "loan_id")
+    met = Meeting().side("ids", ids, values=["target"]).side("canonical rows", canonical, values=["target"], unique=False).covers("ids", "canonical rows").equal("ids", "canonical rows", ["target"])
+    met.rule("canonical rows: several of one id", (met.rows("ids") > 0) & (met.rows("canonical rows") > 1)).require()
+    return canonical.join(ids.select("loan_id"), "loan_id", "left_semi").select("loan_id", *[c for c in columns if c != "loan_id"])
+
+
+def unsound_scores(threshold: float | None = None) -> Column:
+    """A target that isn't 0 or 1, a probability out of [0, 1], or a class that doesn't follow the threshold."""
     sound = F.coalesce(F.col("target").isin(0, 1), F.lit(False)) & F.coalesce(F.col("predicted_pd").between(0, 1), F.lit(False))
     if threshold is not None:
         sound = sound & F.coalesce(F.col("predicted_class") == K.flag_default(F.col("predicted_pd"), threshold), F.lit(False))
-    _none(df.filter(~sound).select("loan_id"), f"{what} with a target, probability or class out of range")
+    return ~sound
 
 
 def scored_context_join(predictions: DataFrame, context: DataFrame, threshold: float) -> DataFrame:
     """predictions (loan_id, target, predicted_pd, predicted_class) with their context, scores and tier. The context may not bring outcomes or scores of its own and must cover every loan."""
-    _require_scores(predictions, "predictions", threshold)
-    require_grain(context, "loan_id")
     if clash := sorted({"target", "predicted_pd", "predicted_class", "risk_tier"}.intersection(context.columns)):
         raise ValueError(f"context brings {clash}")
-    _none(missing_ids(predictions, context), "loans without context")
+    met = Meeting().side("predictions", predictions, unsound_scores(threshold)).sound("predictions", "a target, probability or class out of range")
+    met.side("context", context).covers("predictions", "context").require()
     p = F.col("predicted_pd")
     made = {"decision_threshold": F.lit(float(threshold)), "risk_score": K.risk_score(p), "credit_score": K.credit_score(p), "risk_tier": K.tier_label(K.pd_tier(p, threshold))}
     return predictions.join(context, "loan_id", "left").withColumns(made)
 
 
 def align_predictions(predictions: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """loan_id, target and a column of probabilities for each model. Every model must have exactly these ids (loan_id, target), with these targets and probabilities in [0, 1]."""
-    require_grain(ids, "loan_id")
-    got = ids.select("loan_id", "target")
+    """loan_id, target and a column of probabilities for each model. Every model must have exactly these ids (loan_id, target), with these targets and probabilities in [0, 1]; all of it is checked in one pass over all models."""
+    met, got = Meeting().side("ids", ids, values=["target"]), ids.select("loan_id", "target")
     for name, df in predictions.items():
-        _require_scores(df, name)
-        same_ids(ids, df, name)
-        own = df.select("loan_id", F.col("target").alias("of"), F.col("predicted_pd").alias(name))
-        _none(got.join(own, "loan_id").filter(~F.col("of").eqNullSafe(F.col("target"))).select("loan_id"), f"{name} with other targets")
-        got = got.join(own.drop("of"), "loan_id")
+        met.side(name, df, unsound_scores(), ["target"]).sound(name, "a target or probability out of range").covers("ids", name).covers(name, "ids").equal("ids", name, ["target"])
+        got = got.join(df.select("loan_id", F.col("predicted_pd").alias(name)), "loan_id")
+    met.require()
     return got
 
 

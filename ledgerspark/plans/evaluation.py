@@ -153,8 +153,8 @@ def _(s, d):
     return M.rounded(E.confusion_row_rates(loans(s, d), T))
 
 
-LOT = "((CAST(loan_id AS BIGINT) * 7919 + 42 * 104729) % 1000003)"
-RANKED = f"k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {LOT}, CAST(loan_id AS BIGINT)) AS rank, count(*) OVER (PARTITION BY target) AS n FROM loans WHERE target IS NOT NULL), sp AS (SELECT *, CASE WHEN rank <= floor(n * 0.6e0) THEN 'train' WHEN rank <= floor(n * (0.6e0 + 0.2e0)) THEN 'validation' ELSE 'test' END AS split FROM k)"
+LOT = "md5('42:' || loan_id)"
+RANKED = f"k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {LOT}, loan_id) AS rank, count(*) OVER (PARTITION BY target) AS n FROM loans WHERE target IS NOT NULL), sp AS (SELECT *, CASE WHEN rank <= floor(n * 0.6e0) THEN 'train' WHEN rank <= floor(n * (0.6e0 + 0.2e0)) THEN 'validation' ELSE 'test' END AS split FROM k)"
 
 
 @query("stratified_split", "SELECT loan_id, target, split FROM sp", "loans", more=RANKED)
@@ -194,7 +194,10 @@ def _(s, d):
     return M.rounded(got.withColumn("positive_rate", (F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))))
 
 
-@query("generalization_delta", f"SELECT round(t.precision - v.precision, 6) AS precision, round(t.recall - v.recall, 6) AS recall, round(t.f1 - v.f1, 6) AS f1, round(t.accuracy - v.accuracy, 6) AS accuracy FROM r t, r v WHERE t.split = 'test' AND v.split = 'validation'", "loans", more=RANKED + f", r AS (SELECT *, {RATES} FROM (SELECT split, {COUNTS.format(p='predicted_pd', t=T)} FROM sp GROUP BY 1))")
+EIGHT = ("precision", "recall", "f1", "accuracy", "roc_auc", "average_precision", "log_loss", "brier")
+
+
+@query("generalization_delta", "SELECT " + ", ".join(f"round(t.{c} - v.{c}, 6) AS {c}" for c in EIGHT) + " FROM e t, e v WHERE t.split = 'test' AND v.split = 'validation'", "loans", more=RANKED + ", l AS (SELECT split AS model, loan_id, target, predicted_pd AS pd FROM sp), " + BY_MODEL + f", r AS (SELECT *, {RATES} FROM (SELECT split, {COUNTS.format(p='predicted_pd', t=T)} FROM sp GROUP BY 1)), e AS (SELECT * FROM r JOIN m ON m.model = r.split)")
 def _(s, d):
     df = loans(s, d)
     return M.rounded(E.generalization_delta(df, S.stratified_split(df), T))
@@ -313,7 +316,7 @@ def _(s, d):
     return M.rounded(G.control_totals(df, "tier", expected, el=M.el_portfolio(df).first()["el"]), 2)
 
 
-ODD = f"o AS (SELECT CASE WHEN CAST(loan_id AS BIGINT) % 9 = 0 THEN NULL WHEN CAST(loan_id AS BIGINT) % 10 = 0 THEN predicted_pd + 1 ELSE predicted_pd END AS p, CASE WHEN CAST(loan_id AS BIGINT) % 4 = 0 THEN 1 WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS c FROM loans WHERE target IS NOT NULL), n AS (SELECT count(*) FILTER (WHERE p IS NULL OR p < 0 OR p > 1) AS bad, count(*) FILTER (WHERE CASE WHEN p >= {T} THEN 1 ELSE 0 END <> c AND p IS NOT NULL) AS off FROM o)"
+ODD = f"o AS (SELECT CASE WHEN CAST(loan_id AS BIGINT) % 9 = 0 THEN NULL WHEN CAST(loan_id AS BIGINT) % 10 = 0 THEN predicted_pd + 1 ELSE predicted_pd END AS p, CASE WHEN CAST(loan_id AS BIGINT) % 4 = 0 THEN 1 WHEN predicted_pd >= {T} THEN 1 ELSE 0 END AS c FROM loans WHERE target IS NOT NULL), n AS (SELECT count(*) FILTER (WHERE p IS NULL OR p < 0 OR p > 1) AS bad, count(*) FILTER (WHERE CASE WHEN p >= {T} THEN 1 ELSE 0 END <> c OR p IS NULL) AS off FROM o)"
 
 
 @query("probability_gate", "SELECT 'probabilities in [0, 1]' AS \"check\", bad = 0 AS passed, CAST(bad AS DOUBLE) AS observed, 0e0 AS expected FROM n UNION ALL SELECT 'class matches threshold', off = 0, CAST(off AS DOUBLE), 0e0 FROM n", "loans", more=ODD)

@@ -6,13 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 
-def read_raw(spark: SparkSession, path: str, header: list[str], columns: list[str] | None = None) -> DataFrame:
-    """A CSV file with a header, all strings: ids and ZIP codes keep their zeros. Columns that aren't asked for aren't parsed. Quoted texts may hold line breaks and doubled quotes."""
-    df = spark.read.schema(StructType([StructField(c, StringType()) for c in header])).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.select(*columns) if columns else df
+def read_raw(spark: SparkSession, path: str, header: list[str], columns: list[str] | None = None, *, line_breaks: bool = False) -> DataFrame:
+    """A CSV file with a header, all strings: ids and ZIP codes keep their zeros. Columns that aren't asked for aren't parsed; quoted texts may hold doubled quotes.
+
+    Spark cuts a file between lines, so a file of any size is read by many tasks. With line_breaks, quoted texts may hold
+    line breaks too; such a file can only be read by one task, so its rows are dealt out again for what follows.
+    """
+    df = spark.read.schema(StructType([StructField(c, StringType()) for c in header])).option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
+    df = df.select(*columns) if columns else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if line_breaks else df
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, n: int | None = None) -> DataFrame:
@@ -34,13 +39,25 @@ def _hadoop(spark: SparkSession, folder: str):
     return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Parquet that is visible when it is complete: it is written beside its place and moved in; what was there before goes only then, and comes back if the move fails."""
+def conformed(df: DataFrame, schema: StructType) -> DataFrame:
+    """df with the columns and types of a schema, or an error."""
+    if missing := [f.name for f in schema if f.name not in df.columns]:
+        raise ValueError(f"columns missing: {missing}")
+    return df.to(schema)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _hadoop(spark, path)
+    return fs.exists(at(path))
+
+
+def publish(df: DataFrame, path: str, schema: StructType | None = None) -> None:
+    """Parquet that is visible when it is complete: it is written beside its place and moved in; what was there before goes only then, and comes back if the move fails. With schema, columns are cast to it and put in its order, or it is an error."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     at, fs = _hadoop(spark, path)
     new, old = f"{path.rstrip('/')}_new-{mark}", f"{path.rstrip('/')}_old-{mark}"
     try:
-        df.write.option("compression", "snappy").parquet(new)
+        (conformed(df, schema) if schema else df).write.option("compression", "snappy").parquet(new)
         there = fs.exists(at(path))
         if there and not fs.rename(at(path), at(old)):
             raise OSError(f"{path} can't be moved away")
@@ -53,36 +70,74 @@ def publish(df: DataFrame, path: str) -> None:
     fs.delete(at(old), True)
 
 
-def publish_set(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
-    """All tables or none: each is written beside its place and counted again, then they are moved in; on a failure what was there before comes back."""
+#: Names in a folder of published sets: the folders of its versions, and the file that says which one counts.
+VERSIONS, CURRENT = "versions", "current"
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version of a published set that counts, None before the first."""
+    path, fs = _hadoop(spark, folder)
+    if not fs.exists(path(f"{folder}/{CURRENT}")):
+        return None
+    stream = fs.open(path(f"{folder}/{CURRENT}"))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the set that counts now. What has been read stays of that version."""
+    version = current_version(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    return spark.read.parquet(f"{folder}/{VERSIONS}/{version}/{name}")
+
+
+def publish_set(tables: dict[str, DataFrame], folder: str, keep: int = 2) -> dict[str, int]:
+    """All tables or none, at one moment: a new version is written beside the others and counted again, then a pointer file is replaced by one rename. Whenever a driver is lost, readers see the whole set of before or the whole new one.
+
+    A table keeps the columns and types that it has in the version before (its rows are cast to them, or it is an
+    error); an empty table is an error. Of superseded versions the last keep - 1 stay for those who still read them.
+    """
     spark = next(iter(tables.values())).sparkSession
-    stage = f"{folder}/_stage-{uuid.uuid4().hex}"
     path, fs = _hadoop(spark, folder)
-    counts, moved = {}, []
+    before = current_version(spark, folder)
+    version = f"{int((before or '0').split('-')[0]) + 1:08d}-{uuid.uuid4().hex}"
+    at, counts = f"{folder}/{VERSIONS}/{version}", {}
     try:
         for name, df in tables.items():
-            df.write.option("compression", "snappy").parquet(f"{stage}/{name}")
-            counts[name] = spark.read.parquet(f"{stage}/{name}").count()
+            was = f"{folder}/{VERSIONS}/{before}/{name}"
+            fixed = conformed(df, spark.read.parquet(was).schema) if before and fs.exists(path(was)) else df
+            fixed.write.option("compression", "snappy").parquet(f"{at}/{name}")
+            counts[name] = spark.read.parquet(f"{at}/{name}").count()
             if not counts[name]:
                 raise ValueError(f"{name} is empty")
-        for name in tables:
-            old = fs.exists(path(f"{folder}/{name}"))
-            if old:
-                fs.rename(path(f"{folder}/{name}"), path(f"{stage}/old-{name}"))
-            moved.append((name, old))
-            if not fs.rename(path(f"{stage}/{name}"), path(f"{folder}/{name}")):
-                raise OSError(f"{name} can't be moved")
     except Exception:
-        for name, old in reversed(moved):
-            fs.delete(path(f"{folder}/{name}"), True)
-            if old:
-                fs.rename(path(f"{stage}/old-{name}"), path(f"{folder}/{name}"))
+        fs.delete(path(at), True)
         raise
-    finally:
-        fs.delete(path(stage), True)
+    _point(spark, folder, version)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(path(f"{folder}/{VERSIONS}")))
+    for old in [v for v in versions if v < version][: -(keep - 1) or None]:
+        fs.delete(path(f"{folder}/{VERSIONS}/{old}"), True)
     return counts
 
 
+def _point(spark: SparkSession, folder: str, version: str) -> None:
+    """The pointer file says this version from one moment on."""
+    jvm = spark.sparkContext._jvm
+    path, fs = _hadoop(spark, folder)
+    new = f"{folder}/{CURRENT}-{uuid.uuid4().hex}"
+    out = fs.create(path(new))
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    made = fs.makeQualified(path(folder)).toUri()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(made, spark.sparkContext._jsc.hadoopConfiguration()).rename(path(new), path(f"{folder}/{CURRENT}"), options)
+
+
 def lookup(df: DataFrame, key: str, value) -> dict:
     """Exactly one row, or an error."""
     rows = df.filter(F.col(key) == F.lit(value)).limit(2).collect()
@@ -91,7 +146,22 @@ def lookup(df: DataFrame, key: str, value) -> dict:
     return rows[0].asDict()
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that changes with any value of the table, whatever the order of its rows."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum_of_hashes"), F.bit_xor(h).alias("xor_of_hashes"))
+#: Seeds of the two 64-bit hashes of a row.
+SEEDS = (17, 89)
+
+
+def fingerprint(df: DataFrame, key: str | None = None, ranges: int = 64) -> DataFrame:
+    """rows and digest: one row that changes with any value of the table, its column names and types, and with where a null or a value stands, whatever the order of its rows. With key, a row for each of some ranges of the key's hash, so that two tables show where they differ."""
+    value = lambda f: F.to_json(f"`{f.name}`") if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")
+    parts = [x for f in df.schema for x in (value(f).isNull(), value(f))]
+    hashes = [F.xxhash64(F.lit(seed), *parts) for seed in SEEDS]
+    of = lambda h: (F.sum(h.cast("decimal(38,0)")).cast("string"), F.lpad(F.hex(F.bit_xor(h)), 16, "0"))
+    digest = F.sha2(F.concat_ws("|", F.lit(df.schema.simpleString()), F.count("*").cast("string"), *of(hashes[0]), *of(hashes[1])), 256).alias("digest")
+    grouped = df.groupBy() if key is None else df.groupBy(F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int").alias("range"))
+    return grouped.agg(F.count("*").alias("rows"), digest)
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """range, rows_a, rows_b of the ranges of the key's hash whose rows differ between two tables; they are told apart by digests, without a join of rows."""
+    x, y = (fingerprint(df, key, ranges).withColumnsRenamed({"rows": f"rows_{n}", "digest": f"digest_{n}"}) for df, n in ((a, "a"), (b, "b")))
+    return x.join(y, "range", "full").filter(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).select("range", F.coalesce("rows_a", F.lit(0)).alias("rows_a"), F.coalesce("rows_b", F.lit(0)).alias("rows_b"))

@@ -125,7 +125,7 @@ def test_publish_set_is_all_or_nothing(spark, tmp_path):
     assert io.publish_set({"a": good}, str(tmp_path)) == {"a": 3}
     with pytest.raises(ValueError):
         io.publish_set({"a": spark.range(9).toDF("x"), "b": empty}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 3 and not (tmp_path / "b").exists()
+    assert io.read_published(spark, str(tmp_path), "a").count() == 3 and not list(tmp_path.glob("versions/*/b"))
 
 
 def test_lookup_and_tables(spark, tmp_path):
