@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bins of a feature; values of binned features of a partition, about; rows of a block.
-BINS, CELLS, BLOCK = 64, 4_000_000, 65_536
+BINS, CELLS, BLOCK = 64, 1_000_000, 65_536
 #: Partitions whose histograms the driver adds up itself; those of more are added up in the cluster first.
 DIRECT = 32
 #: Bytes of margins that a worker remembers between passes.

@@ -299,13 +299,13 @@ def _(s, d):
     return G.canonical_gate(df, features=["dti", "annual_inc", "state_code", "int_rate", "target", "no_such_column"])
 
 
-WRONG = "w AS (SELECT *, CASE WHEN CAST(loan_id AS BIGINT) % 7 = 0 THEN expected_loss + 1 WHEN CAST(loan_id AS BIGINT) % 19 = 0 THEN -1e0 ELSE expected_loss END AS el, predicted_pd * CASE WHEN CAST(loan_id AS BIGINT) % 23 = 0 THEN 0.9e0 ELSE 0.3e0 END * loan_amnt AS el30 FROM fact), g AS (SELECT count(*) AS n, sum(loan_amnt) AS ead, sum(el) AS el, sum(loan_amnt) FILTER (WHERE tier <> 'D') AS t_ead, sum(el) FILTER (WHERE tier <> 'D') AS t_el, count(*) FILTER (WHERE tier <> 'D') AS t_n, count(*) FILTER (WHERE abs(el - predicted_pd * 0.45e0 * loan_amnt) > greatest(1, loan_amnt) * 1e-9) AS wrong, count(*) FILTER (WHERE el < 0 OR el - loan_amnt > 1e-9) AS outside, count(*) FILTER (WHERE el30 > predicted_pd * 0.45e0 * loan_amnt + 1e-10) AS down FROM w)"
+WRONG = "w AS (SELECT *, CASE WHEN CAST(loan_id AS BIGINT) % 7 = 0 THEN expected_loss + 1 WHEN CAST(loan_id AS BIGINT) % 19 = 0 THEN -1e0 WHEN CAST(loan_id AS BIGINT) % 29 = 0 THEN NULL ELSE expected_loss END AS el, predicted_pd * CASE WHEN CAST(loan_id AS BIGINT) % 23 = 0 THEN 0.9e0 ELSE 0.3e0 END * loan_amnt AS el30 FROM fact), g AS (SELECT count(*) AS n, sum(loan_amnt) AS ead, sum(el) AS el, sum(loan_amnt) FILTER (WHERE tier <> 'D') AS t_ead, sum(el) FILTER (WHERE tier <> 'D') AS t_el, count(*) FILTER (WHERE tier <> 'D') AS t_n, count(*) FILTER (WHERE NOT coalesce(abs(el - predicted_pd * 0.45e0 * loan_amnt) <= greatest(1, loan_amnt) * 1e-9, false)) AS wrong, count(*) FILTER (WHERE NOT coalesce(el >= 0 AND el - loan_amnt <= 1e-9, false)) AS outside, count(*) FILTER (WHERE el30 > predicted_pd * 0.45e0 * loan_amnt + 1e-10) AS down FROM w)"
 
 
 @query("el_reconciliation", "SELECT 'EL = PD x LGD x EAD' AS \"check\", wrong = 0 AS passed, CAST(wrong AS DOUBLE) AS observed, 0e0 AS expected FROM g UNION ALL SELECT '0 <= EL <= EAD', outside = 0, CAST(outside AS DOUBLE), 0e0 FROM g UNION ALL SELECT 'monotone in LGD', down = 0, CAST(down AS DOUBLE), 0e0 FROM g UNION ALL SELECT 'tiers'' loans = rows', t_n = n, CAST(t_n AS DOUBLE), CAST(n AS DOUBLE) FROM g UNION ALL SELECT 'tiers'' EAD off', t_ead = ead, CASE WHEN t_ead = ead THEN 0e0 ELSE 1e0 END, 0e0 FROM g UNION ALL SELECT 'tiers'' EL off', t_el = el, CASE WHEN t_el = el THEN 0e0 ELSE 1e0 END, 0e0 FROM g UNION ALL SELECT 'portfolio''s EL off', true, 0e0, 0e0 FROM g WHERE el = el", "loans", more=FACT + "," + WRONG)
 def _(s, d):
     k, el = F.col("loan_id").cast("long"), F.col("expected_loss")
-    df = fact(s, d).withColumns({"expected_loss": F.when(k % 7 == 0, el + 1).when(k % 19 == 0, -1.0).otherwise(el), "el_lgd_30": F.col("predicted_pd") * F.when(k % 23 == 0, 0.9).otherwise(0.3) * F.col("loan_amnt")})
+    df = fact(s, d).withColumns({"expected_loss": F.when(k % 7 == 0, el + 1).when(k % 19 == 0, -1.0).when(k % 29 == 0, None).otherwise(el), "el_lgd_30": F.col("predicted_pd") * F.when(k % 23 == 0, 0.9).otherwise(0.3) * F.col("loan_amnt")})
     return G.el_reconciliation(df, tiers=M.el_by(df.filter("tier <> 'D'"), "tier"), portfolio=M.el_portfolio(df))
 
 

@@ -51,13 +51,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at(path))
 
 
-def publish(df: DataFrame, path: str, schema: StructType | None = None) -> None:
-    """Parquet that is visible when it is complete: it is written beside its place and moved in; what was there before goes only then, and comes back if the move fails. With schema, columns are cast to it and put in its order, or it is an error."""
+def publish(df: DataFrame, path: str, schema: StructType | None = None, key: str | None = None) -> None:
+    """Parquet that is visible when it is complete: it is written beside its place and moved in; what was there before goes only then, and comes back if the move fails. With schema, columns are cast to it and put in its order, or it is an error. With key, files hold ranges of it in its order and filters of its values, so that lookup() reads a few row groups."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     at, fs = _hadoop(spark, path)
     new, old = f"{path.rstrip('/')}_new-{mark}", f"{path.rstrip('/')}_old-{mark}"
     try:
-        (conformed(df, schema) if schema else df).write.option("compression", "snappy").parquet(new)
+        out = conformed(df, schema) if schema else df
+        out = out.repartitionByRange(key).sortWithinPartitions(key) if key else out
+        out.write.options(compression="snappy", **({f"parquet.bloom.filter.enabled#{key}": "true"} if key else {})).parquet(new)
         there = fs.exists(at(path))
         if there and not fs.rename(at(path), at(old)):
             raise OSError(f"{path} can't be moved away")
@@ -139,8 +141,8 @@ def _point(spark: SparkSession, folder: str, version: str) -> None:
 
 
 def lookup(df: DataFrame, key: str, value) -> dict:
-    """Exactly one row, or an error."""
-    rows = df.filter(F.col(key) == F.lit(value)).limit(2).collect()
+    """Exactly one row, or an error. The value is taken as the key's type, so the filter reaches the files."""
+    rows = df.filter(F.col(key) == F.lit(value).cast(df.schema[key].dataType)).limit(2).collect()
     if len(rows) != 1:
         raise LookupError(f"{key} = {value!r}: {'no row' if not rows else 'several rows'}")
     return rows[0].asDict()

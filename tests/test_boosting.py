@@ -52,7 +52,7 @@ def plain(x, y, w, cuts, plan, features=(0, 1, 2)):
     return trees, margin
 
 
-@pytest.mark.parametrize("cells,direct", [(4_000_000, 32), (2_000, 32), (2_000, 1)])
+@pytest.mark.parametrize("cells,direct", [(1_000_000, 32), (2_000, 32), (2_000, 1)])
 def test_trees_equal_their_definition(rows, monkeypatch, cells, direct):
     df, x, y, w = rows
     monkeypatch.setattr(B, "CELLS", cells)

@@ -221,3 +221,30 @@ def test_ordered_sums_with_many_parts(spark, monkeypatch, rows):
     for r in got:
         assert r.cum_n == sum(n for g, v, n in data if g == r.g and v <= r.v) and r.total_n == sum(n for g, _, n in data if g == r.g)
     assert len(got) == rows
+
+
+def test_lookup_reads_few_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select(F.concat(F.lit("k"), F.xxhash64("id")).alias("k"), (F.col("id") * 3).alias("v"))
+    IO.publish(rows, f"{tmp_path}/t", key="k")
+    got = spark.read.parquet(f"{tmp_path}/t")
+    key = rows.filter("v = 2997").first().k
+    assert IO.lookup(got, "k", key) == {"k": key, "v": 2997}
+    hit = got.filter(F.col("k") == key)
+    hit.collect()
+    assert f"EqualTo(k,{key})" in hit._jdf.queryExecution().executedPlan().toString()
+    assert spark.read.parquet(f"{tmp_path}/t").select(F.input_file_name()).distinct().count() > 1
+    ends = got.groupBy(F.input_file_name()).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))  # noqa: B905  files hold ranges of the key
+
+
+def test_wide_profile_copies_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "SET", 40)
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randint(0, 30), None if i % 3 else float(i % 7) * -0.0, f"s{i % 500}") for i in range(2000)], "id long, `few values` int, zero double, `a:b` string")
+    wide = df.select("*", *[F.col("id").alias(f"c{i}") for i in range(60)])
+    plan = P.column_profile(wide, exact=())
+    assert "Expand" not in plan._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]  # but of the one row of results
+    got = {r.column_name: (r.nulls, r.distinct_values) for r in plan.collect()}
+    assert got["few values"] == (0, 31) and got["zero"] == (1333, 1) and abs(got["id"][1] - 2000) < 200
+    got = {r.column_name: (r.nulls, r.distinct_values) for r in P.column_profile(df).collect()}
+    assert got == {"id": (0, 2000), "few values": (0, 31), "zero": (1333, 1), "a:b": (0, 500)}
