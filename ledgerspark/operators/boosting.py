@@ -26,7 +26,7 @@ _fits = itertools.count()
 
 @dataclass(frozen=True)
 class Plan:
-    """Fixed choices of a fit: those of the reference's candidate, and the usual regularisation."""
+    """Fixed choices of a fit: those of the published candidate, and the usual regularisation."""
 
     trees: int = 200
     depth: int = 4
