@@ -47,6 +47,10 @@ def require_grain(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} isn't a key: {got.asDict()}")
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Meeting:
     """All guards of a join in one pass: the sides, each with what rules ask of its rows, as one tagged union, grouped by the key. A rule is a condition on a key's group; require() counts the keys that break each, and raises if any does."""
 
@@ -65,7 +69,7 @@ class Meeting:
         return self
 
     def rows(self, name: str) -> Column:
-        return F.col(f"rows {name}")
+        return _quoted(f"rows {name}")
 
     def rule(self, what: str, broken: Column) -> Meeting:
         self.rules.append((what, broken))
@@ -73,7 +77,7 @@ class Meeting:
 
     def sound(self, name: str, what: str, among: str | None = None) -> Meeting:
         """No bad row of a side; with among, of keys that another side has."""
-        broken = F.col(f"bad {name}") > 0
+        broken = _quoted(f"bad {name}") > 0
         return self.rule(f"{name}: {what}", broken if among is None else broken & (self.rows(among) > 0))
 
     def covers(self, a: str, b: str) -> Meeting:
@@ -84,14 +88,14 @@ class Meeting:
         """Where both have the key, these columns are equal, null with null."""
         both = (self.rows(a) > 0) & (self.rows(b) > 0)
         for c in columns:
-            self.rule(f"{a} and {b} differ in {c}", both & ~F.col(f"{a} {c}").eqNullSafe(F.col(f"{b} {c}")))
+            self.rule(f"{a} and {b} differ in {c}", both & ~_quoted(f"{a} {c}").eqNullSafe(_quoted(f"{b} {c}")))
         return self
 
     def require(self) -> None:
         union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), self.sides)
         names = self.names
         counts = [F.count_if(F.col("_side") == n).alias(f"rows {n}") for n in names] + [F.count_if((F.col("_side") == n) & F.col("_bad")).alias(f"bad {n}") for n in names]
-        per = union.groupBy(self.key).agg(*counts, *[F.max(v).alias(v) for v in self.values])
+        per = union.groupBy(self.key).agg(*counts, *[F.max(_quoted(v)).alias(v) for v in self.values])
         got = per.agg(*[x for i, (_, broken) in enumerate(self.rules) for x in (F.count_if(broken).alias(f"n{i}"), F.min(F.when(broken, F.coalesce(F.col(self.key).cast("string"), F.lit("null")))).alias(f"e{i}"))]).first()
         if said := [f"{what} ({got[f'n{i}']} ids, such as {got[f'e{i}']})" for i, (what, _) in enumerate(self.rules) if got[f"n{i}"]]:
             raise ValueError("; ".join(said))

@@ -117,6 +117,23 @@ def _(s, d):
     return M.rounded(D.global_importance(linear_parts(s, d)))
 
 
+IMPORTANCE = """v AS (SELECT loan_id, 'dti' AS feature, dti AS value FROM loans WHERE target IS NOT NULL UNION ALL SELECT loan_id, 'loan_amnt', annual_inc FROM loans WHERE target IS NOT NULL),
+d AS (SELECT feature, loan_id, value, contribution, ntile(3) OVER (PARTITION BY feature ORDER BY value, loan_id) AS third FROM parts JOIN v USING (loan_id, feature) WHERE value IS NOT NULL),
+m AS (SELECT feature, median(contribution) FILTER (WHERE third = 1) AS low, median(contribution) FILTER (WHERE third = 2) AS middle, median(contribution) FILTER (WHERE third = 3) AS high FROM d GROUP BY 1),
+r AS (SELECT feature, corr(ra, rb) AS rho FROM (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS ra, rank() OVER (PARTITION BY feature ORDER BY contribution) + (count(*) OVER (PARTITION BY feature, contribution) - 1) / 2e0 AS rb FROM d) GROUP BY 1),
+i AS (SELECT feature, avg(abs(contribution)) AS mean_abs, sum(abs(contribution)) / 1000 AS gain FROM parts GROUP BY 1)"""
+
+
+@query("importance_with_direction", "SELECT feature, round(mean_abs, 6) AS mean_abs, round(CASE feature WHEN 'int_rate' THEN 0 ELSE gain END, 6) AS gain, CAST(CASE feature WHEN 'int_rate' THEN 0 WHEN 'dti' THEN 2 ELSE 1 END AS BIGINT) AS encoded, round(rho, 6) AS rho, CASE WHEN rho IS NULL THEN 'category' WHEN low < middle AND middle < high THEN 'rising' WHEN low > middle AND middle > high THEN 'falling' ELSE 'mixed' END AS direction, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank FROM i LEFT JOIN m USING (feature) LEFT JOIN r USING (feature)", "loans", more=PARTS + ", " + IMPORTANCE)
+def _(s, d):
+    """dti is encoded in two columns that share its gain, int_rate in none; loan_amnt is held against another column's values."""
+    parts = linear_parts(s, d)
+    gain = parts.filter("feature <> 'int_rate'").groupBy("feature").agg((F.sum(F.abs("contribution")) / 1000).alias("all"))
+    gain = gain.withColumn("of", F.when(F.col("feature") == "dti", 2).otherwise(1)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("of")))).select("feature", F.concat("feature", F.col("k").cast("string")).alias("encoded"), (F.col("all") / F.col("of")).alias("gain"))
+    values = labeled(s, d).select("loan_id", "dti", F.col("annual_inc").alias("loan_amnt")).unpivot("loan_id", ["dti", "loan_amnt"], "feature", "value")
+    return M.rounded(D.global_importance(parts, gain, values))
+
+
 def scenarios(s, d):
     """For every loan: a larger amount, a lower income, a ratio out of range, or a term that isn't offered, by its id."""
     k = F.col("loan_id").cast("long")
