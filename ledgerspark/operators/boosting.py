@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections import OrderedDict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 #: Bins of a feature; values of binned features of a partition, about; rows of a block.
 BINS, CELLS, BLOCK = 64, 1_000_000, 65_536
+#: Binned values (a byte each) of a table that one task holds and grows trees from: between partitions there is nothing to add up then. Of more, each level is a job.
+ALONE = 8_000_000
 #: Partitions whose histograms the driver adds up itself; those of more are added up in the cluster first.
 DIRECT = 32
-#: Bytes of margins that a worker remembers between passes.
+#: Bytes of margins and gradients that a worker remembers between passes.
 REMEMBERED = 256 << 20
 
 NODE = np.dtype([("feature", np.int32), ("cut", np.int32), ("value", np.float64), ("cover", np.float64), ("gain", np.float64)])
@@ -89,38 +91,42 @@ def quantile_cuts(df: DataFrame, numbers: int, features: int) -> list[np.ndarray
     return [np.unique(np.array(q, float)) if q else np.zeros(1) for q in got] + [np.array([0.5])] * (features - numbers)
 
 
-_margins: OrderedDict = OrderedDict()
+_states: OrderedDict = OrderedDict()
 
 
-def _margin(key: tuple, trees: list[np.ndarray], base: float, bins: np.ndarray) -> np.ndarray:
-    """A block's log-odds by the trees so far. A worker remembers what it had, so mostly one tree is added; what it has not, it works out anew."""
-    done, margin = _margins.pop(key, (0, None))
-    if margin is None or done > len(trees):
-        done, margin = 0, np.full(bins.shape[1], base)
-    for t in trees[done:]:
-        margin = margin + t["value"][leaves(t, bins)]
-    _margins[key] = (len(trees), margin)
-    while sum(m.nbytes for _, m in _margins.values()) > REMEMBERED and len(_margins) > 1:
-        _margins.popitem(last=False)
-    return margin
+def _state(key: tuple, plan: Plan, trees: list[np.ndarray], base: float, bins: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """A block's log-odds by the trees so far, the rows that the next tree draws, and their gradients and hessians. A worker remembers what it had, so mostly one tree is added; what it has not, it works out anew."""
+    done, state = _states.pop(key, (-1, None))
+    if done != len(trees):
+        if state is None or done > len(trees):
+            done, state = 0, [np.full(len(y), base)]
+        margin = state[0]
+        for t in trees[done:]:
+            margin = margin + t["value"][leaves(t, bins)]
+        at = np.flatnonzero(np.random.default_rng((plan.seed, len(trees), *key[1:])).random(len(y)) < plan.rows)
+        p = 1 / (1 + np.exp(-margin[at]))
+        state = [margin, at, w[at] * (p - y[at]), w[at] * p * (1 - p)]
+    _states[key] = (len(trees), state)
+    while sum(x.nbytes for _, of in _states.values() for x in of) > REMEMBERED and len(_states) > 1:
+        _states.popitem(last=False)
+    return state
 
 
-def _histograms(plan: Plan, fit: int, base: float, trees: list[np.ndarray], partial: np.ndarray, level: int, wanted: list[int], shape: tuple[int, int]) -> Callable:
+def _histograms(plan: Plan, fit: tuple, base: float, shape: tuple[int, int], trees: list[np.ndarray], partial: np.ndarray, level: int, wanted: list[int]) -> Callable:
     """For each partition the sums of gradients and hessians by (wanted node of the level, feature, bin)."""
     first, slot = (1 << level) - 1, np.full(1 << level, -1)
     slot[[k - ((1 << level) - 1) for k in wanted]] = np.arange(len(wanted))
 
-    def of(part: int, blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+    def of(part: int, blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
         features, width = shape
         total = np.zeros((2, features, len(wanted) * width))
         for k, (raw, y, w) in enumerate(blocks):
             y, w = np.frombuffer(y), np.frombuffer(w)
             bins = np.frombuffer(raw, np.uint8).reshape(features, len(y))
-            p = 1 / (1 + np.exp(-_margin((fit, part, k), trees, base, bins)))
-            mine = np.random.default_rng((plan.seed, len(trees), part, k)).random(len(y)) < plan.rows
-            node = slot[np.maximum(leaves(partial, bins) - first, -1)] if level else np.zeros(len(y), np.int64)
-            at = np.flatnonzero(mine & (node >= 0))
-            g, h, node = (w * (p - y))[at], (w * p * (1 - p))[at], node[at] * width
+            _, at, g, h = _state((fit, part, k), plan, trees, base, bins, y, w)
+            node = slot[np.maximum(leaves(partial, bins)[at] - first, -1)] if level else np.zeros(len(at), np.int64)
+            own = np.flatnonzero(node >= 0)
+            at, g, h, node = at[own], g[own], h[own], node[own] * width
             for f in range(features):
                 key = node + bins[f][at]
                 total[0, f] += np.bincount(key, g, len(wanted) * width)
@@ -141,13 +147,56 @@ def _split(hist: np.ndarray, allowed: np.ndarray, plan: Plan) -> tuple[float, in
     return float(gain.ravel()[at]), at // gain.shape[1], at % gain.shape[1]
 
 
+def grown(plan: Plan, features: int, sums: Callable[[list[np.ndarray], np.ndarray, int, list[int]], np.ndarray]) -> list[np.ndarray]:
+    """The trees. sums(trees, tree, level, wanted) gives the histograms of the wanted nodes of a level of the tree that is growing. Of two siblings the lighter one is summed; the other is their parent less that."""
+    trees: list[np.ndarray] = []
+    draw = np.random.default_rng(plan.seed)
+    size = (1 << plan.depth + 1) - 1
+    for _ in range(plan.trees):
+        tree = np.zeros(size, NODE)
+        tree["feature"] = -2
+        tree["feature"][0] = -1
+        allowed = np.zeros(features, bool)
+        allowed[draw.choice(features, max(1, round(plan.columns * features)), replace=False)] = True
+        held: dict[int, np.ndarray] = {}
+        wanted, other = [0], {}
+        for level in range(plan.depth):
+            got = sums(trees, tree, level, wanted)
+            now = {k: got[i] for i, k in enumerate(wanted)}
+            now |= {k: held[(k - 1) // 2] - now[o] for k, o in other.items()}
+            held, wanted, other = now, [], {}
+            for k, hist in sorted(now.items()):
+                g, h = hist[:, 0].sum(axis=1)
+                tree["value"][k], tree["cover"][k] = -plan.step * g / (h + plan.ridge), h
+                gain, f, cut = _split(hist, allowed, plan)
+                if gain <= 1e-9:
+                    continue
+                tree[k] = (f, cut, 0.0, h, gain)
+                left_g, left_h = hist[:, f, : cut + 1].sum(axis=1)
+                for child, (cg, ch) in ((2 * k + 1, (left_g, left_h)), (2 * k + 2, (g - left_g, h - left_h))):
+                    tree[child] = (-1, 0, -plan.step * cg / (ch + plan.ridge), ch, 0.0)
+                light = 2 * k + 1 + (left_h > h - left_h)
+                wanted.append(int(light))
+                other[int(4 * k + 3 - light)] = int(light)
+            if not wanted:
+                break
+        trees.append(tree)
+        if tree["feature"][0] < 0:
+            trees.pop()
+            if not allowed.all():
+                continue
+            break
+    return trees
+
+
 def boost(df: DataFrame, numbers: int, features: int, plan: Plan | None = None) -> Boosted:
     """Boosted trees for rows of features (array of so many doubles, the first of them numbers, the others 0 or 1), label and weight.
 
     Features are binned once, in blocks of rows that stay with Spark for the time of the fit; it makes them again where
     they are lost. Each level of a tree is one job: tasks sum gradients and hessians by node, feature and bin, and the
-    driver, which sees these sums only, takes the best split of each node. Of two siblings the lighter one is summed;
-    the other is their parent less that. Each tree sees its own draw of rows and of features.
+    driver, which sees these sums only, takes the best split of each node. Rows of up to ALONE binned values are one
+    partition, whose sums are those of the table: its task takes the splits itself, by the same steps, and gives back the
+    trees. Each tree sees its own draw of rows and of features.
     """
     plan, spark = plan or Plan(), df.sparkSession
     n, positive, weight = df.agg(F.count("*"), F.sum(F.col("label") * F.col("weight")), F.sum("weight")).first()
@@ -155,7 +204,7 @@ def boost(df: DataFrame, numbers: int, features: int, plan: Plan | None = None)
         return Boosted(0.0, [np.zeros(1)] * features, [])
     rate = min(max(positive / weight, 1e-6), 1 - 1e-6)
     base, cuts = float(np.log(rate / (1 - rate))), quantile_cuts(df, numbers, features)
-    width = max((len(c) + 1 for c in cuts), default=1)
+    shape = features, max((len(c) + 1 for c in cuts), default=1)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -173,48 +222,23 @@ def boost(df: DataFrame, numbers: int, features: int, plan: Plan | None = None)
             yield out(held)
 
     rows = df.select("features", F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"))
-    parts = max(1, -(-n * max(1, features) // CELLS))
-    data = rows.coalesce(parts).mapInArrow(blocks, "bins binary, label binary, weight binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2]))).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = 1 if n * max(1, features) <= ALONE else -(-n * features // CELLS)
+    data = rows.coalesce(parts).mapInArrow(blocks, "bins binary, label binary, weight binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2])))
     fit = (spark.sparkContext.applicationId, next(_fits))
-    trees: list[np.ndarray] = []
-    draw = np.random.default_rng(plan.seed)
-    size = (1 << plan.depth + 1) - 1
+    if n * max(1, features) <= ALONE:
+
+        def alone(part: int, got: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
+            own = list(got)
+            yield grown(plan, features, lambda *at: next(_histograms(plan, fit, base, shape, *at)(part, own)))
+
+        return Boosted(base, cuts, data.mapPartitionsWithIndex(alone).collect()[0])
+
+    def summed(*at) -> np.ndarray:
+        each = data.mapPartitionsWithIndex(_histograms(plan, fit, base, shape, *at))
+        return sum(each.collect()) if data.getNumPartitions() <= DIRECT else each.treeReduce(np.add, 2)
+
+    data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for _ in range(plan.trees):
-            tree = np.zeros(size, NODE)
-            tree["feature"] = -2
-            tree["feature"][0] = -1
-            allowed = np.zeros(features, bool)
-            allowed[draw.choice(features, max(1, round(plan.columns * features)), replace=False)] = True
-            held: dict[int, np.ndarray] = {}
-            wanted, other = [0], {}
-            for level in range(plan.depth):
-                each = data.mapPartitionsWithIndex(_histograms(plan, fit, base, trees, tree, level, wanted, (features, width)))
-                got = sum(each.collect()) if data.getNumPartitions() <= DIRECT else each.treeReduce(np.add, 2)
-                now = {k: got[i] for i, k in enumerate(wanted)}
-                now |= {k: held[(k - 1) // 2] - now[o] for k, o in other.items()}
-                held, wanted, other = now, [], {}
-                for k, hist in sorted(now.items()):
-                    g, h = hist[:, 0].sum(axis=1)
-                    tree["value"][k], tree["cover"][k] = -plan.step * g / (h + plan.ridge), h
-                    gain, f, cut = _split(hist, allowed, plan)
-                    if gain <= 1e-9:
-                        continue
-                    tree[k] = (f, cut, 0.0, h, gain)
-                    left_g, left_h = hist[:, f, : cut + 1].sum(axis=1)
-                    for child, (cg, ch) in ((2 * k + 1, (left_g, left_h)), (2 * k + 2, (g - left_g, h - left_h))):
-                        tree[child] = (-1, 0, -plan.step * cg / (ch + plan.ridge), ch, 0.0)
-                    light = 2 * k + 1 + (left_h > h - left_h)
-                    wanted.append(int(light))
-                    other[int(4 * k + 3 - light)] = int(light)
-                if not wanted:
-                    break
-            trees.append(tree)
-            if tree["feature"][0] < 0:
-                trees.pop()
-                if not allowed.all():
-                    continue
-                break
+        return Boosted(base, cuts, grown(plan, features, summed))
     finally:
         data.unpersist()
-    return Boosted(base, cuts, trees)

@@ -52,9 +52,10 @@ def plain(x, y, w, cuts, plan, features=(0, 1, 2)):
     return trees, margin
 
 
-@pytest.mark.parametrize("cells,direct", [(1_000_000, 32), (2_000, 32), (2_000, 1)])
-def test_trees_equal_their_definition(rows, monkeypatch, cells, direct):
+@pytest.mark.parametrize("alone,cells,direct", [(1_000_000, 1, 1), (0, 1_000_000, 32), (0, 2_000, 32), (0, 2_000, 1)])
+def test_trees_equal_their_definition(rows, monkeypatch, alone, cells, direct):
     df, x, y, w = rows
+    monkeypatch.setattr(B, "ALONE", alone)
     monkeypatch.setattr(B, "CELLS", cells)
     monkeypatch.setattr(B, "DIRECT", direct)
     plan = B.Plan(trees=4, depth=3, step=0.3, rows=1.0, columns=1.0)
@@ -87,7 +88,17 @@ def test_edge_cases(spark):
     assert several.margins(np.array([[np.nan]]))[0] > several.margins(np.array([[5.0]]))[0]
 
 
-def test_nothing_stays_persistent(spark, rows):
+def test_one_task_and_jobs_give_the_same_trees(rows, monkeypatch):
+    """Of rows in one partition, with draws of rows and features."""
+    df, plan = rows[0].coalesce(1), B.Plan(trees=6, rows=0.7, columns=0.7)
+    one = B.boost(df, 2, 3, plan)
+    monkeypatch.setattr(B, "ALONE", 0)
+    jobs = B.boost(df, 2, 3, plan)
+    assert len(one.trees) == 6 and all(np.array_equal(a, b) for a, b in zip(one.trees, jobs.trees, strict=True))
+
+
+def test_nothing_stays_persistent(spark, rows, monkeypatch):
+    monkeypatch.setattr(B, "ALONE", 0)
     B.boost(rows[0], 2, 3, B.Plan(trees=2))
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
 
