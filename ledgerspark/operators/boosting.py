@@ -19,7 +19,7 @@ BINS, CELLS, BLOCK = 64, 1_000_000, 65_536
 ALONE = 8_000_000
 #: Partitions whose histograms the driver adds up itself; those of more are added up in the cluster first.
 DIRECT = 32
-#: Bytes of margins and gradients that a worker remembers between passes.
+#: Bytes of margins, gradients and drawn bins that a worker remembers between passes.
 REMEMBERED = 256 << 20
 
 NODE = np.dtype([("feature", np.int32), ("cut", np.int32), ("value", np.float64), ("cover", np.float64), ("gain", np.float64)])
@@ -75,9 +75,10 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, f], side="left").astype(np.uint8) for f, c in enumerate(cuts)]) if len(cuts) else np.zeros((0, len(x)), np.uint8)
 
 
-def leaves(tree: np.ndarray, bins: np.ndarray) -> np.ndarray:
+def leaves(tree: np.ndarray, bins: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """The node that each row comes to, after so many steps at most."""
     at, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
-    for _ in range(int(len(tree) + 1).bit_length() - 2):
+    for _ in range(int(len(tree) + 1).bit_length() - 2 if steps is None else steps):
         f = tree["feature"][at]
         on = f >= 0
         at = np.where(on, 2 * at + 1 + (bins[np.maximum(f, 0), rows] > tree["cut"][at]), at)
@@ -95,7 +96,7 @@ _states: OrderedDict = OrderedDict()
 
 
 def _state(key: tuple, plan: Plan, trees: list[np.ndarray], base: float, bins: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """A block's log-odds by the trees so far, the rows that the next tree draws, and their gradients and hessians. A worker remembers what it had, so mostly one tree is added; what it has not, it works out anew."""
+    """A block's log-odds by the trees so far, the bins of the rows that the next tree draws, and their gradients and hessians. A worker remembers what it had, so mostly one tree is added; what it has not, it works out anew."""
     done, state = _states.pop(key, (-1, None))
     if done != len(trees):
         if state is None or done > len(trees):
@@ -105,7 +106,7 @@ def _state(key: tuple, plan: Plan, trees: list[np.ndarray], base: float, bins: n
             margin = margin + t["value"][leaves(t, bins)]
         at = np.flatnonzero(np.random.default_rng((plan.seed, len(trees), *key[1:])).random(len(y)) < plan.rows)
         p = 1 / (1 + np.exp(-margin[at]))
-        state = [margin, at, w[at] * (p - y[at]), w[at] * p * (1 - p)]
+        state = [margin, np.take(bins, at, axis=1), w[at] * (p - y[at]), w[at] * p * (1 - p)]
     _states[key] = (len(trees), state)
     while sum(x.nbytes for _, of in _states.values() for x in of) > REMEMBERED and len(_states) > 1:
         _states.popitem(last=False)
@@ -123,12 +124,15 @@ def _histograms(plan: Plan, fit: tuple, base: float, shape: tuple[int, int], tre
         for k, (raw, y, w) in enumerate(blocks):
             y, w = np.frombuffer(y), np.frombuffer(w)
             bins = np.frombuffer(raw, np.uint8).reshape(features, len(y))
-            _, at, g, h = _state((fit, part, k), plan, trees, base, bins, y, w)
-            node = slot[np.maximum(leaves(partial, bins)[at] - first, -1)] if level else np.zeros(len(at), np.int64)
-            own = np.flatnonzero(node >= 0)
-            at, g, h, node = at[own], g[own], h[own], node[own] * width
+            _, bins, g, h = _state((fit, part, k), plan, trees, base, bins, y, w)
+            node = np.zeros(len(g), np.int64)
+            if level:
+                at = leaves(partial, bins, level) - first
+                node = np.where(at >= 0, slot[at], -1)
+                own = np.flatnonzero(node >= 0)
+                bins, g, h, node = np.take(bins, own, axis=1), g[own], h[own], node[own] * width
             for f in range(features):
-                key = node + bins[f][at]
+                key = node + bins[f]
                 total[0, f] += np.bincount(key, g, len(wanted) * width)
                 total[1, f] += np.bincount(key, h, len(wanted) * width)
         yield total.reshape(2, features, len(wanted), width).transpose(2, 0, 1, 3)
