@@ -21,6 +21,8 @@ CHUNK_BITS, RANK_EVERY = 8, 512
 SEGMENT = 1 << 20
 #: Segments up to which their offsets, some 24 bytes each, are broadcast when documents are read back.
 OFFSETS = 200_000
+#: Ranges or segments that a search by position names to the reader of the files.
+NAMED = 1000
 #: Pieces of text whose ids a worker remembers.
 MEMORY = 700_000
 MAGIC = b"DAC1"
@@ -202,12 +204,17 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, id_col: str = "
     return written(dealt.mapInArrow(packed, SEGMENTS), "tokens", "none")
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), read back from written segments by the documents' addresses, some documents in a row at a time. Segments stay where they are: their offsets come to them as a broadcast, up to OFFSETS of them."""
+def _firsts(files: DataFrame) -> DataFrame:
+    """part, segment, inside, n, before: the ids of a segment, those before it in its range, and those before its range."""
     counts = files.select("part", "segment", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     # One row a range is ordered whole; a range's segments only among themselves.
-    parts = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    firsts = counts.select("part", "segment", (F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")).alias("inside")).join(parts, "part")
+    parts = counts.groupBy("part").agg(F.sum("n").alias("of")).select("part", (F.sum("of").over(Window.orderBy("part")) - F.col("of")).alias("before"))
+    return counts.select("part", "segment", "n", (F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")).alias("inside")).join(parts, "part")
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), read back from written segments by the documents' addresses, some documents in a row at a time. Segments stay where they are: their offsets come to them as a broadcast, up to OFFSETS of them."""
+    firsts = _firsts(files)
     firsts = written(firsts.select("part", "segment", (F.col("inside") + F.col("before")).alias("first")), "token-offsets")
     firsts = F.broadcast(firsts) if firsts.count() <= OFFSETS else firsts.hint("merge")
 
@@ -226,6 +233,37 @@ def read_documents(files: DataFrame) -> DataFrame:
     return files.join(firsts, ["part", "segment"]).mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def tokens_at(files: DataFrame, positions: DataFrame, *, position_col: str = "position") -> DataFrame:
+    """position, token: the id at each asked position among all ids of written segments, 0 being the first of the lowest doc_id.
+
+    A position finds its segment by the segments' offsets, and the id by its address in it; no block is decoded. Only
+    segments that are asked are read where they lie in at most NAMED ranges: their names are pushed down to the files.
+    What a segment is asked comes to it as one list of distinct positions, no longer than the segment. A position
+    given several times has one row; one that is null, negative or past the end has none. More columns aren't read.
+    """
+    cell = lambda c: F.floor(c / F.lit(SEGMENT)).cast("long")
+    first, end = F.col("inside") + F.col("before"), F.col("inside") + F.col("before") + F.col("n")
+    spots = _firsts(files).filter("n > 0").select("part", "segment", first.alias("first"), end.alias("end"), F.explode(F.sequence(cell(first), cell(end - 1))).alias("cell"))
+    asked = positions.select(F.col(position_col).cast("long").alias("position")).filter("position >= 0").distinct()
+    met = asked.withColumn("cell", cell(F.col("position"))).join(spots, "cell").filter("position >= first and position < end")
+    wanted = written(met.groupBy("part", "segment").agg(F.min("first").alias("first"), F.collect_list("position").alias("positions")), "tokens-asked")
+    named = [r["part"] for r in wanted.select("part").distinct().limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:
+        segments = [r["segment"] for r in wanted.select("segment").distinct().limit(NAMED + 1).collect()]
+        files = files.filter(F.col("part").isin(named))
+        files = files.filter(F.col("segment").isin(segments)) if len(segments) <= NAMED else files
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                at = row.column("positions").flatten().to_numpy()
+                got = Packed(row.column("codes")[0].as_py()).get(at - row.column("first")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got.astype(np.int64))], ["position", "token"])
+
+    return files.select("part", "segment", "codes").join(wanted, ["part", "segment"]).select("first", "positions", "codes").mapInArrow(fetched, "position long, token long")
+
+
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

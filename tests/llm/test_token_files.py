@@ -44,6 +44,26 @@ def test_files_round_trip(docs, odd, none):
         assert got == want
 
 
+def test_tokens_by_position(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(T, "SEGMENT", 1000)  # of positions only: workers pack as they are
+    files = T.write_tokens(docs, PATH, bytes_per_part=20_000)
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(T.read_documents(files).collect(), key=lambda r: r.start)])
+    at = [0, 1, 1, 999, 1000, len(ids) - 1, len(ids), -1, None, *np.random.default_rng(8).integers(0, len(ids), 300).tolist()]
+    asked = spark.createDataFrame([(p, "x") for p in at], "position long, token string")
+    want = {p: int(ids[p]) for p in at if p is not None and 0 <= p < len(ids)}
+    got = T.tokens_at(files, asked).collect()
+    assert len(got) == len(want) and {r.position: r.token for r in got} == want
+    monkeypatch.setattr(T, "NAMED", 1)
+    assert {r.position: r.token for r in T.tokens_at(files, asked).collect()} == want
+    assert T.tokens_at(T.write_tokens(none, PATH), asked).count() == 0 and T.tokens_at(files, asked.limit(0)).count() == 0
+
+
+def test_one_position_names_its_range(spark, docs):
+    files = T.write_tokens(docs, PATH, bytes_per_part=20_000)
+    plan = T.tokens_at(files, spark.createDataFrame([(5,)], "position long"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(part," in plan
+
+
 def test_offsets_too_many_to_broadcast(docs, monkeypatch):
     files = T.write_tokens(docs, PATH)
     rows = lambda: sorted((r.doc_id, r.start, r.n_tokens, r.ids) for r in T.read_documents(files).collect())
