@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import scoring as K
 from ..functions.features import DTI_BANDS, INCOME_BANDS, LOAN_BANDS, band, safe_ratio, sanitize_inputs
+from ..llm.common import written
 from .boosting import Boosted, Plan, boost
 from .evaluation import direction_summary, exact_quantiles
 from .tables import scored_context_join
@@ -132,9 +133,20 @@ def rows_of(x: pa.Array, width: int) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
 
 
-def fit(df: DataFrame, kind: str = "logistic", *, numbers: Sequence[str] = NUMBERS, categories: Sequence[str] = CATEGORIES, balanced: bool = False, trees: int = 200) -> Model:
-    """kind: logistic (L2, one retry with more iterations) or trees. Rows without target are left out."""
-    df = df.filter("target is not null").withColumn("label", F.col("target").cast("double"))
+def fit(df: DataFrame, kind: str = "logistic", *, numbers: Sequence[str] = NUMBERS, categories: Sequence[str] = CATEGORIES, balanced: bool = False, trees: int = 200, hold: bool = True) -> Model:
+    """kind: logistic (L2, one retry with more iterations) or trees. Rows without target are left out. A fit reads its inputs a dozen times; with hold Spark keeps these columns for its time, so that what makes them (joins, ranks) runs once."""
+    df = df.filter("target is not null").select(*[c for c in dict.fromkeys(("target", *numbers, *categories, "annual_inc", "dti")) if c in df.columns])
+    if not hold:
+        return _fitted(df, kind, numbers, categories, balanced, trees)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fitted(df, kind, numbers, categories, balanced, trees)
+    finally:
+        df.unpersist()
+
+
+def _fitted(df: DataFrame, kind: str, numbers: Sequence[str], categories: Sequence[str], balanced: bool, trees: int) -> Model:
+    df = df.withColumn("label", F.col("target").cast("double"))
     filling = Filling.of(df, numbers, categories)
     weight = F.lit(1.0)
     if balanced:
@@ -162,18 +174,24 @@ def compact_model(df: DataFrame, inputs: int = 6, kind: str = "logistic", **how)
 
 
 def full_refit(df: DataFrame, context: DataFrame, threshold: float, kind: str = "logistic", **how) -> DataFrame:
-    """A model of all labeled rows, which it scores, joined with their context under its guards."""
+    """A model of all labeled rows, which it scores, joined with their context under its guards. Scores are a work table: the guards and the join read them, not the joins that made the rows."""
     labeled = df.filter("target is not null")
-    return scored_context_join(score_batch(fit(labeled, kind, **how), labeled, threshold), context, threshold)
+    return scored_context_join(written(score_batch(fit(labeled, kind, **how), labeled, threshold), "scores"), context, threshold)
 
 
 def out_of_fold_scores(folds: DataFrame, kind: str = "logistic", **how) -> DataFrame:
-    """Each row scored by a model that saw only the other folds, preprocessing included. The folds' models are fitted side by side: each is a chain of short jobs, which leave room for one another's."""
-    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
-    with ThreadPoolExecutor(max(1, len(numbers))) as pool:
-        models = list(pool.map(inheritable_thread_target(folds.sparkSession)(lambda k: fit(folds.filter(F.col("fold") != k), kind, **how)), numbers))
-    scored = [score_batch(m, folds.filter(F.col("fold") == k), 0.5).withColumn("fold", F.lit(k)) for k, m in zip(numbers, models, strict=True)]
-    return reduce(DataFrame.unionByName, scored) if scored else folds.select("loan_id", "target", F.lit(0.5).alias("predicted_pd"), F.lit(1).alias("predicted_class"), "fold")
+    """Each row scored by a model that saw only the other folds, preprocessing included. The folds' models are fitted side by side: each is a chain of short jobs, which leave room for one another's. Spark keeps the columns they need for that time, so joins and ranks that make folds run once, not in each pass of each fit at once; the scores are a work table."""
+    needed = dict.fromkeys(("loan_id", "target", "fold", *how.get("numbers", NUMBERS), *how.get("categories", CATEGORIES), "annual_inc", "dti"))
+    folds = folds.select(*[c for c in needed if c in folds.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
+        with ThreadPoolExecutor(max(1, len(numbers))) as pool:
+            models = list(pool.map(inheritable_thread_target(folds.sparkSession)(lambda k: fit(folds.filter(F.col("fold") != k), kind, **({"hold": False} | how))), numbers))
+        scored = [score_batch(m, folds.filter(F.col("fold") == k), 0.5).withColumn("fold", F.lit(k)) for k, m in zip(numbers, models, strict=True)]
+        none = folds.select("loan_id", "target", F.lit(0.5).alias("predicted_pd"), F.lit(1).alias("predicted_class"), "fold")
+        return written(reduce(DataFrame.unionByName, scored) if scored else none, "scores")
+    finally:
+        folds.unpersist()
 
 
 def linear_contributions(model: Model, df: DataFrame, key: str = "loan_id") -> DataFrame:
