@@ -19,8 +19,10 @@ BINS, CELLS, BLOCK = 64, 1_000_000, 65_536
 ALONE = 8_000_000
 #: Partitions whose histograms the driver adds up itself; those of more are added up in the cluster first.
 DIRECT = 32
-#: Bytes of margins, gradients and drawn bins that a worker remembers between passes.
-REMEMBERED = 256 << 20
+#: Binned values of a partition beyond which there are more partitions than cores.
+MOST_CELLS = 64_000_000
+#: Bytes of margins, and of gradients and drawn bins, that a worker remembers between passes. The latter are quickly made again from margins; margins take all trees.
+REMEMBERED, DRAWN = 512 << 20, 128 << 20
 
 NODE = np.dtype([("feature", np.int32), ("cut", np.int32), ("value", np.float64), ("cover", np.float64), ("gain", np.float64)])
 _fits = itertools.count()
@@ -50,8 +52,10 @@ class Boosted:
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of rows of features."""
-        bins = binned(x, self.cuts)
-        return sum((t["value"][leaves(t, bins)] for t in self.trees), np.full(len(x), self.base))
+        return self.margins_of(binned(x, self.cuts))
+
+    def margins_of(self, bins: np.ndarray) -> np.ndarray:
+        return sum((t["value"][leaves(t, bins)] for t in self.trees), np.full(bins.shape[1], self.base))
 
     def nodes(self) -> list[list]:
         """Per tree its nodes as [feature, threshold, left, right, cover, value], children by their place."""
@@ -75,16 +79,66 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, f], side="left").astype(np.uint8) for f, c in enumerate(cuts)]) if len(cuts) else np.zeros((0, len(x)), np.uint8)
 
 
-def leaves(tree: np.ndarray, bins: np.ndarray, steps: int | None = None) -> np.ndarray:
-    """The node that each row comes to, after so many steps at most."""
-    at, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
-    for _ in range(int(len(tree) + 1).bit_length() - 2 if steps is None else steps):
-        f = tree["feature"][at]
-        on = f >= 0
-        at = np.where(on, 2 * at + 1 + (bins[np.maximum(f, 0), rows] > tree["cut"][at]), at)
+def leaves(tree: np.ndarray, bins: np.ndarray | Packed, steps: int | None = None) -> np.ndarray:
+    """The node that each row comes to, after so many steps at most. Rows move node by node, parents first, in bytes all at once."""
+    at = np.zeros(bins.shape[1], np.uint8 if len(tree) <= 256 else np.int64)
+    for k in np.flatnonzero(tree["feature"] >= 0).tolist():
+        if steps is not None and (k + 1).bit_length() > steps:
+            break
+        right = bins[int(tree["feature"][k])] > tree["cut"][k].astype(np.uint8)
+        at += (at == k) * (right.astype(at.dtype) + at.dtype.type(k + 1))
     return at
 
 
+def packing(sizes: Sequence[int]) -> list[tuple[int, int, int]]:
+    """Per feature (column, shift, bits) of the byte that has its bin: features of few bins share a byte of up to 64 values, so that one histogram serves them all."""
+    out, room, columns = [(0, 0, 0)] * len(sizes), [], 0
+    for f in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+        bits = max(1, (sizes[f] - 1).bit_length())
+        c = next((c for c, used in enumerate(room) if used + bits <= 6), None)
+        if c is None:
+            room.append(0)
+            c = len(room) - 1
+        out[f] = (c, room[c], bits)
+        room[c] += bits
+    return out
+
+
+@dataclass(frozen=True)
+class Packed:
+    """Binned rows, several features a byte; [f] gives a feature's bins."""
+
+    columns: np.ndarray
+    places: list[tuple[int, int, int]]
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.places), self.columns.shape[1]
+
+    def __getitem__(self, f: int) -> np.ndarray:
+        c, shift, bits = self.places[f]
+        return self.columns[c] >> np.uint8(shift) & np.uint8((1 << bits) - 1)
+
+    def take(self, rows: np.ndarray) -> Packed:
+        return Packed(np.take(self.columns, rows, axis=1), self.places)
+
+    @classmethod
+    def of(cls, bins: np.ndarray, places: list[tuple[int, int, int]]) -> Packed:
+        columns = np.zeros((max((c for c, _, _ in places), default=-1) + 1, bins.shape[1]), np.uint8)
+        for f, (c, shift, _) in enumerate(places):
+            columns[c] |= bins[f] << np.uint8(shift)
+        return cls(columns, places)
+
+
+def unpacked(hist: np.ndarray, places: list[tuple[int, int, int]], width: int) -> np.ndarray:
+    """Histograms by feature and bin from those by column and byte, (..., columns, 64): a feature's are sums over the others of its byte."""
+    out = np.zeros((*hist.shape[:-2], len(places), width))
+    for f, (c, shift, bits) in enumerate(places):
+        by = hist[..., c, :].reshape(*hist.shape[:-2], 64 >> shift + bits, 1 << bits, 1 << shift).sum(axis=(-3, -1))
+        out[..., f, : min(width, 1 << bits)] = by[..., :width]
+    return out
+
+
 def quantile_cuts(df: DataFrame, numbers: int, features: int) -> list[np.ndarray]:
     """Per feature its cuts: of the first `numbers` at most BINS - 1 values at about equal steps of their order, of the others, which are 0 or 1, one between them. df: features (array)."""
     names = [f"c{i}" for i in range(numbers)]
@@ -92,50 +146,64 @@ def quantile_cuts(df: DataFrame, numbers: int, features: int) -> list[np.ndarray
     return [np.unique(np.array(q, float)) if q else np.zeros(1) for q in got] + [np.array([0.5])] * (features - numbers)
 
 
-_states: OrderedDict = OrderedDict()
+_margins: OrderedDict = OrderedDict()
+_drawn: OrderedDict = OrderedDict()
+
+
+def _keep(where: OrderedDict, key: tuple, state: tuple, most: int) -> None:
+    where.pop(key, None)
+    where[key] = state
+    while len(where) > 1 and sum(x.nbytes for _, of in where.values() for x in of) > most:
+        where.popitem(last=False)
+
+
+def _state(key: tuple, plan: Plan, trees: list[np.ndarray], base: float, places: list[tuple[int, int, int]], block: tuple) -> list[np.ndarray]:
+    """The bytes of the rows of a block that the next tree draws, and their gradients and hessians, by the trees so far. A worker remembers what it had, so mostly one tree is added; what it has not, it works out anew."""
+    if (had := _drawn.get(key)) and had[0] == len(trees):
+        return had[1]
+    bins, y, w = _rows(block, places)
+    done, state = _margins.get(key, (-1, None))
+    if state is None or done > len(trees):
+        done, state = 0, [np.full(len(y), base)]
+    margin = state[0]
+    for t in trees[done:]:
+        margin = margin + t["value"][leaves(t, bins)]
+    _keep(_margins, key, (len(trees), [margin]), REMEMBERED)
+    at = np.flatnonzero(np.random.default_rng((plan.seed, len(trees), *key[1:])).random(len(y)) < plan.rows)
+    p = 1 / (1 + np.exp(-margin[at]))
+    drawn = [bins.take(at).columns, w[at] * (p - y[at]), w[at] * p * (1 - p)]
+    _keep(_drawn, key, (len(trees), drawn), DRAWN)
+    return drawn
 
 
-def _state(key: tuple, plan: Plan, trees: list[np.ndarray], base: float, bins: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """A block's log-odds by the trees so far, the bins of the rows that the next tree draws, and their gradients and hessians. A worker remembers what it had, so mostly one tree is added; what it has not, it works out anew."""
-    done, state = _states.pop(key, (-1, None))
-    if done != len(trees):
-        if state is None or done > len(trees):
-            done, state = 0, [np.full(len(y), base)]
-        margin = state[0]
-        for t in trees[done:]:
-            margin = margin + t["value"][leaves(t, bins)]
-        at = np.flatnonzero(np.random.default_rng((plan.seed, len(trees), *key[1:])).random(len(y)) < plan.rows)
-        p = 1 / (1 + np.exp(-margin[at]))
-        state = [margin, np.take(bins, at, axis=1), w[at] * (p - y[at]), w[at] * p * (1 - p)]
-    _states[key] = (len(trees), state)
-    while sum(x.nbytes for _, of in _states.values() for x in of) > REMEMBERED and len(_states) > 1:
-        _states.popitem(last=False)
-    return state
+def _rows(block: tuple, places: list[tuple[int, int, int]]) -> tuple[Packed, np.ndarray, np.ndarray]:
+    """A block's packed bins, labels and weights; its bytes hold a code a row and the distinct pairs of label and weight."""
+    raw, codes, pairs = block
+    pairs = np.frombuffer(pairs).reshape(2, -1)
+    codes = np.frombuffer(codes, np.uint8 if pairs.shape[1] <= 256 else np.uint32)
+    return Packed(np.frombuffer(raw, np.uint8).reshape(-1, len(codes)), places), pairs[0][codes], pairs[1][codes]
 
 
-def _histograms(plan: Plan, fit: tuple, base: float, shape: tuple[int, int], trees: list[np.ndarray], partial: np.ndarray, level: int, wanted: list[int]) -> Callable:
-    """For each partition the sums of gradients and hessians by (wanted node of the level, feature, bin)."""
-    first, slot = (1 << level) - 1, np.full(1 << level, -1)
-    slot[[k - ((1 << level) - 1) for k in wanted]] = np.arange(len(wanted))
+def _histograms(plan: Plan, fit: tuple, base: float, places: list[tuple[int, int, int]], trees: list[np.ndarray], partial: np.ndarray, level: int, wanted: list[int]) -> Callable:
+    """For each partition the sums of gradients and hessians by (wanted node of the level, column of bytes, byte)."""
+    slot = np.full(len(partial), -1)
+    slot[wanted] = np.arange(len(wanted))
 
     def of(part: int, blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
-        features, width = shape
-        total = np.zeros((2, features, len(wanted) * width))
-        for k, (raw, y, w) in enumerate(blocks):
-            y, w = np.frombuffer(y), np.frombuffer(w)
-            bins = np.frombuffer(raw, np.uint8).reshape(features, len(y))
-            _, bins, g, h = _state((fit, part, k), plan, trees, base, bins, y, w)
+        columns = max((c for c, _, _ in places), default=-1) + 1
+        total = np.zeros((2, columns, len(wanted) * 64))
+        for k, block in enumerate(blocks):
+            bins, g, h = _state((fit, part, k), plan, trees, base, places, block)
             node = np.zeros(len(g), np.int64)
             if level:
-                at = leaves(partial, bins, level) - first
-                node = np.where(at >= 0, slot[at], -1)
+                node = slot[leaves(partial, Packed(bins, places), level)]
                 own = np.flatnonzero(node >= 0)
-                bins, g, h, node = np.take(bins, own, axis=1), g[own], h[own], node[own] * width
-            for f in range(features):
-                key = node + bins[f]
-                total[0, f] += np.bincount(key, g, len(wanted) * width)
-                total[1, f] += np.bincount(key, h, len(wanted) * width)
-        yield total.reshape(2, features, len(wanted), width).transpose(2, 0, 1, 3)
+                bins, g, h, node = np.take(bins, own, axis=1), g[own], h[own], node[own] * 64
+            for c in range(columns):
+                key = node + bins[c]
+                total[0, c] += np.bincount(key, g, len(wanted) * 64)
+                total[1, c] += np.bincount(key, h, len(wanted) * 64)
+        yield total.reshape(2, columns, len(wanted), 64).transpose(2, 0, 1, 3)
 
     return of
 
@@ -208,38 +276,44 @@ def boost(df: DataFrame, numbers: int, features: int, plan: Plan | None = None)
         return Boosted(0.0, [np.zeros(1)] * features, [])
     rate = min(max(positive / weight, 1e-6), 1 - 1e-6)
     base, cuts = float(np.log(rate / (1 - rate))), quantile_cuts(df, numbers, features)
-    shape = features, max((len(c) + 1 for c in cuts), default=1)
+    width, places = max((len(c) + 1 for c in cuts), default=1), packing([len(c) + 1 for c in cuts])
+    cells = n * max(1, features)
+    parts = 1 if cells <= ALONE else min(-(-cells // CELLS), max(spark.sparkContext.defaultParallelism, -(-cells // MOST_CELLS)))
+    size = BLOCK if parts == 1 else max(4096, min(BLOCK, n // (8 * parts)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
             x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), features)
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (binned(x, cuts).tobytes(), *(t.column(c).to_numpy().astype(float).tobytes() for c in ("label", "weight")))], ["bins", "label", "weight"])
+            pairs, codes = np.unique(t.column("label").to_numpy() + 1j * t.column("weight").to_numpy(), return_inverse=True)
+            codes = codes.astype(np.uint8 if len(pairs) <= 256 else np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (Packed.of(binned(x, cuts), places).columns.tobytes(), codes.tobytes(), np.stack([pairs.real, pairs.imag]).tobytes())], ["bins", "codes", "pairs"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) >= BLOCK:
+            if sum(map(len, held)) >= size:
                 yield out(held)
                 held = []
         if held:
             yield out(held)
 
     rows = df.select("features", F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"))
-    parts = 1 if n * max(1, features) <= ALONE else -(-n * features // CELLS)
-    data = rows.coalesce(parts).mapInArrow(blocks, "bins binary, label binary, weight binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2])))
+    # Many partitions: the blocks, of bytes, are dealt evenly, a partition a core; few files or joins of few partitions don't keep cores idle.
+    made = (rows.coalesce(1) if parts == 1 else rows).mapInArrow(blocks, "bins binary, codes binary, pairs binary")
+    data = (made if parts == 1 else made.repartition(parts)).rdd.map(lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2])))
     fit = (spark.sparkContext.applicationId, next(_fits))
-    if n * max(1, features) <= ALONE:
+    if cells <= ALONE:
 
         def alone(part: int, got: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
             own = list(got)
-            yield grown(plan, features, lambda *at: next(_histograms(plan, fit, base, shape, *at)(part, own)))
+            yield grown(plan, features, lambda *at: unpacked(next(_histograms(plan, fit, base, places, *at)(part, own)), places, width))
 
         return Boosted(base, cuts, data.mapPartitionsWithIndex(alone).collect()[0])
 
     def summed(*at) -> np.ndarray:
-        each = data.mapPartitionsWithIndex(_histograms(plan, fit, base, shape, *at))
-        return sum(each.collect()) if data.getNumPartitions() <= DIRECT else each.treeReduce(np.add, 2)
+        each = data.mapPartitionsWithIndex(_histograms(plan, fit, base, places, *at))
+        return unpacked(sum(each.collect()) if parts <= DIRECT else each.treeReduce(np.add, 2), places, width)
 
     data.persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -36,3 +36,25 @@ def test_a_fit_and_its_scores_read_their_rows_once_each(spark, labelled):
     df, made = counted(labelled)
     assert D.full_refit(df, labelled.select("loan_id", "purpose"), 0.35).count() == rows
     assert made.value == 2 * rows and spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= 1
+
+
+def test_a_fit_uses_the_cores_whatever_the_files(spark, monkeypatch):
+    """Rows of one partition are dealt to a partition a core, no more; features of few bins share a byte."""
+    from ledgerspark.operators import boosting as B
+
+    rows = spark.range(40_000, numPartitions=1).selectExpr("array(cast(id % 977 as double), cast(id % 2 as double), cast(id % 3 = 0 as double)) AS features", "cast(id % 5 = 0 as double) AS label", "1.0D AS weight")
+    passes, real = spark.sparkContext.accumulator(0), B._histograms
+
+    def counting(*how):
+        of = real(*how)
+        return lambda part, blocks: (passes.add(1), of(part, blocks))[1]
+
+    monkeypatch.setattr(B, "_histograms", counting)
+    monkeypatch.setattr(B, "ALONE", 0)
+    monkeypatch.setattr(B, "CELLS", 1000)
+    B.boost(rows, 1, 3, B.Plan(trees=1, depth=1))
+    assert passes.value == spark.sparkContext.defaultParallelism
+    places = B.packing([64, 2, 2, 5, 33])
+    assert len({c for c, _, _ in places}) == 3
+    bins = B.np.array([[63, 0], [1, 0], [0, 1], [4, 2], [32, 7]], dtype=B.np.uint8)
+    assert all((B.Packed.of(bins, places)[f] == bins[f]).all() for f in range(5))
