@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions import scoring as K
 from ..functions.features import DTI_BANDS, INCOME_BANDS, LOAN_BANDS, band, safe_ratio, sanitize_inputs
 from ..llm.common import written
-from .boosting import Boosted, Plan, boost
+from .boosting import Boosted, Plan, binned, boost
 from .evaluation import direction_summary, exact_quantiles
 from .tables import scored_context_join
 
@@ -220,13 +220,13 @@ def leaf_paths(nodes: list) -> Iterator[tuple[float, dict[int, tuple[float, floa
 def pattern_values(zeros: Sequence[float]) -> np.ndarray:
     """Row p: the Shapley value of each feature of a leaf of value 1, if the features of the bits of p lead to it and the others don't. A known feature counts as 1 or 0, an unknown one as its zero."""
     m = len(zeros)
-    out = np.zeros((1 << m, m))
-    size = [bin(known).count("1") for known in range(1 << m)]
-    for p in range(1 << m):
-        at = [np.prod([float(p >> i & 1) if known >> i & 1 else zeros[i] for i in range(m)]) for known in range(1 << m)]
-        for i in range(m):
-            out[p, i] = sum((at[known | 1 << i] - at[known]) / (m * math.comb(m - 1, size[known])) for known in range(1 << m) if not known >> i & 1)
-    return out
+    bit = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(bool)
+    at = np.where(bit[None], bit[:, None].astype(float), np.asarray(zeros, float)).prod(axis=2)  # pattern, known
+    size = bit.sum(axis=1)
+    # Of each known set: what it counts for a feature in it, with the rest already known, and against one that isn't.
+    share = np.array([1 / (m * math.comb(m - 1, k)) for k in range(m)])
+    weight = np.where(bit, share[np.maximum(size - 1, 0)][:, None], -share[np.minimum(size, m - 1)][:, None])
+    return at @ weight
 
 
 def explainer(trees: list[list]) -> tuple[list[tuple], float]:
@@ -258,6 +258,58 @@ def path_contributions(trees: list[list], x: np.ndarray, ready: tuple[list[tuple
     return phi.T, expected
 
 
+#: Cells of a table of attributions.
+TABLE = 4096
+
+
+def contribution_tables(boosted: Boosted) -> tuple[list[tuple], float]:
+    """The same sums by bins, once a worker: (features, per feature the stride-weighted interval of each bin, attributions of each cell). Leaves whose features are among another's share its table; where the intervals would make a table of more than TABLE cells, the rest has another one. Their size is bounded by the number of trees and their depth."""
+    leaves, expected = explainer(boosted.nodes())
+    place = [{float(v): i for i, v in enumerate(c)} for c in boosted.cuts]
+    by: dict[tuple, list] = {}
+    for features, lows, highs, made in sorted(leaves, key=lambda leaf: (-len(leaf[0]), leaf[0], leaf[1], leaf[2])):
+        # A bin b holds values above cut b - 1 and up to cut b, so (low, high] is the bins from low's place + 1 to high's.
+        spans = {f: (place[f][lo] + 1 if lo > -np.inf else 0, place[f][hi] + 1 if hi < np.inf else 256) for f, lo, hi in zip(features, lows, highs, strict=True)}
+        own = features if features in by else next((g for g in by if set(features) <= set(g)), features)
+        groups = by.setdefault(own, [])
+        for edges, held in groups:
+            more = {f: edges[f] | ({a, b} - {0, 256}) for f, (a, b) in spans.items()}
+            if np.prod([len(more.get(f, edges[f])) + 1 for f in own]) <= TABLE:
+                edges |= more
+                held.append((features, spans, made))
+                break
+        else:
+            groups.append(({f: set(spans[f]) - {0, 256} if f in spans else set() for f in own}, [(features, spans, made)]))
+    tables = []
+    for own, groups in by.items():
+        for edges, held in groups:
+            starts = [np.array([0, *sorted(edges[f])]) for f in own]
+            shape = tuple(map(len, starts))
+            cells = np.zeros((len(own), *shape))
+            for features, spans, made in held:
+                pattern = np.zeros((1,) * len(own), np.int64)
+                for i, f in enumerate(features):
+                    d = own.index(f)
+                    inside = (starts[d] >= spans[f][0]) & (starts[d] < spans[f][1])
+                    pattern = pattern + (inside.astype(np.int64) << i).reshape([-1 if k == d else 1 for k in range(len(own))])
+                for i, f in enumerate(features):
+                    cells[own.index(f)] += made[:, i][pattern]
+            strides = np.cumprod([1, *shape[:0:-1]])[::-1]
+            steps = [(np.searchsorted(s, np.arange(256), side="right") - 1) * k for s, k in zip(starts, strides, strict=True)]
+            tables.append((own, steps, cells.reshape(len(own), -1)))
+    return tables, expected + boosted.base
+
+
+def table_contributions(tables: list[tuple], bins: np.ndarray) -> np.ndarray:
+    """Attributions (feature, row) of binned rows: a look-up a table and feature."""
+    phi = np.zeros(bins.shape)
+    for own, steps, cells in tables:
+        at = sum(step[bins[f]] for f, step in zip(own, steps, strict=True))
+        for f, values in zip(own, cells, strict=True):
+            phi[f] += values[at]
+    return phi
+
+
 def _mean(nodes: list, at: int) -> float:
     f, _, left, right, cover, value = nodes[at]
     return value if f < 0 else (nodes[left][4] * _mean(nodes, left) + nodes[right][4] * _mean(nodes, right)) / cover
@@ -273,12 +325,14 @@ def tree_contributions(model: Model, df: DataFrame, key: str = "loan_id") -> Dat
 
     def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boosted = sent.value
-        trees, width = boosted.nodes(), len(boosted.cuts)
-        leaves, expected = explainer(trees)
+        width = len(boosted.cuts)
+        if not hasattr(boosted, "explained"):  # a worker keeps what is broadcast from task to task
+            boosted.explained = contribution_tables(boosted)
+        tables, mean = boosted.explained
         for batch in batches:
-            x = rows_of(batch.column("features"), width)
-            phi, mean = path_contributions(trees, x, (leaves, expected + boosted.base))
-            off = np.abs(mean + phi.sum(axis=1) - boosted.margins(x)).max(initial=0.0)
+            bins = binned(rows_of(batch.column("features"), width), boosted.cuts)
+            phi = table_contributions(tables, bins).T
+            off = np.abs(mean + phi.sum(axis=1) - boosted.margins_of(bins)).max(initial=0.0)
             if not off <= ADDITIVITY:
                 raise ValueError(f"attributions miss the margin by {off}")
             offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
@@ -311,15 +365,18 @@ def gain_importance(model: Model) -> DataFrame:
 
 def global_importance(contributions: DataFrame, gain: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """feature, mean_abs, rank; with gain (gain_importance()) also gain and encoded, the number of encoded columns; with values (loan_id, feature, value: the numeric inputs) also rho and direction, `category` where a feature has no numeric values."""
+    if values is not None:  # read by each feature's direction several times: explained once, met with the values once
+        contributions = written(contributions, "contributions")
     got = contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     if gain is not None:
         of = gain.groupBy("feature").agg(F.sum("gain").alias("gain"), F.count("*").alias("encoded"))
         got = got.join(of, "feature", "left").withColumns({"gain": F.coalesce("gain", F.lit(0.0)), "encoded": F.coalesce("encoded", F.lit(0))})
     if values is not None:
         said = None
-        for feature in sorted(r["feature"] for r in values.select("feature").distinct().collect()):  # a few inputs
-            both = contributions.filter(F.col("feature") == feature).join(values.filter(F.col("feature") == feature).drop("feature"), "loan_id")
-            one = direction_summary(both, "value", "contribution").select(F.lit(feature).alias("feature"), "rho", "direction")
+        features = sorted(r["feature"] for r in values.select("feature").distinct().collect())  # a few inputs
+        met = written(contributions.filter(F.col("feature").isin(features)).join(values.filter("value is not null"), ["loan_id", "feature"]).select("loan_id", "feature", "value", "contribution"), "directions")
+        for feature in features:
+            one = direction_summary(met.filter(F.col("feature") == feature).drop("feature"), "value", "contribution").select(F.lit(feature).alias("feature"), "rho", "direction")
             said = one if said is None else said.unionByName(one)
         if said is not None:
             got = got.join(said, "feature", "left").withColumn("direction", F.coalesce("direction", F.lit("category")))

@@ -58,3 +58,23 @@ def test_a_fit_uses_the_cores_whatever_the_files(spark, monkeypatch):
     assert len({c for c, _, _ in places}) == 3
     bins = B.np.array([[63, 0], [1, 0], [0, 1], [4, 2], [32, 7]], dtype=B.np.uint8)
     assert all((B.Packed.of(bins, places)[f] == bins[f]).all() for f in range(5))
+
+
+def test_contributions_are_made_once_for_all_directions(spark, labelled):
+    parts = labelled.selectExpr("loan_id", "stack(2, 'dti', coalesce(dti, 20) / 50, 'loan_amnt', -loan_amnt / 90000) AS (feature, contribution)")
+    values = labelled.selectExpr("loan_id", "stack(2, 'dti', dti, 'loan_amnt', loan_amnt) AS (feature, value)")
+    contributions, made = counted(parts, "contribution")
+    got = {r.feature: r.direction for r in D.global_importance(contributions, None, values).collect()}
+    assert made.value == parts.count() and got == {"dti": "rising", "loan_amnt": "falling"}
+
+
+def test_tables_give_the_attributions_of_leaves(spark, labelled, monkeypatch):
+    monkeypatch.setattr(D, "TABLE", 60)  # several tables of the same features
+    m = D.fit(labelled, "trees", trees=12)
+    x = D.np.array([r.features for r in m.transform(labelled.limit(200)).select("features").collect()], dtype=float)
+    x[0, :3] = D.np.nan
+    tables, mean = D.contribution_tables(m.trees)
+    want, expected = D.path_contributions(m.trees.nodes(), x)
+    got = D.table_contributions(tables, D.binned(x, m.trees.cuts)).T
+    assert D.np.allclose(got, want, atol=1e-12) and abs(mean - expected - m.trees.base) < 1e-12
+    assert max(cells.shape[1] for _, _, cells in tables) <= 60 or len(tables) > 1
