@@ -34,6 +34,8 @@ OVERRIDABLE = ("loan_amnt", "annual_inc", "dti", "term_months")
 # Fixed ranges of overrides, both ends included (income must be above 0), and the terms on offer.
 RANGES = {"loan_amnt": (500, 40_000), "annual_inc": (0, 10_999_200), "dti": (0, 999)}
 TERMS = (36, 60)
+#: Partitions a core of what a fit keeps, at most.
+WAVES = 3
 
 
 def fill_modes(df: DataFrame, categories: Sequence[str]) -> dict[str, str]:
@@ -138,7 +140,8 @@ def fit(df: DataFrame, kind: str = "logistic", *, numbers: Sequence[str] = NUMBE
     df = df.filter("target is not null").select(*[c for c in dict.fromkeys(("target", *numbers, *categories, "annual_inc", "dti")) if c in df.columns])
     if not hold:
         return _fitted(df, kind, numbers, categories, balanced, trees)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Spark leaves a shuffle's partitions as they are in what it keeps; as many as cores need make each pass send the driver less.
+    df = df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fitted(df, kind, numbers, categories, balanced, trees)
     finally:

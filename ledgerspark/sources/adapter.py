@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import COUNTRY
 
+#: Customers up to which Spark may broadcast them: some 100 bytes each go through the driver, for every pass that joins them.
+FEW = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers. Spark broadcasts a table by the size of its files, of which compressed columns may be a
+    twentieth of what the driver then sees; so the rows are counted (from the files' footers), and more than FEW are shuffled."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return o.join(c if c.count() <= FEW else c.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+
+
 def _states(key):
     return F.concat(F.chr(65 + key % 26), F.chr(65 + (key * 7) % 26))
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per accepted loan, typed, with three models' scores."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     d = F.col("o_orderdate").cast("date")
     default = F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.0)
     score = lambda a, b, m, w, x: w * (((key * a + cust * b) % m) / F.lit(float(m))) + x * default
     fico = F.when(cust % 97 != 0, F.lit(600.0) + (cust % 41) * 5)
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+    return _with_customers(spark, sf_dir).select(
         key.cast("string").alias("loan_id"),
         F.when(F.col("o_orderstatus") == "F", "Fully Paid").when(F.col("o_orderstatus") == "O", "Charged Off").otherwise("Current").alias("loan_status"),
         F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).alias("target"),
@@ -81,11 +90,10 @@ rejected AS (SELECT l_extendedprice AS requested_amount, CAST(l_shipdate AS DATE
 
 def raw_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted file before cleaning: all strings, with blanks, null tokens and values that don't parse."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: x.cast("string")
     emp = F.when(cust % 13 == 0, "< 1 year").when(cust % 13 == 10, "10+ years").when(cust % 13 == 11, "n/a").when(cust % 13 == 12, None).otherwise(F.concat(s(cust % 13), F.lit(" years")))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+    return _with_customers(spark, sf_dir).select(
         F.when(key % 5 == 0, F.concat(s(key), F.lit(".0"))).otherwise(s(key)).alias("id"),
         F.when(F.col("o_orderstatus") == "F", "Fully Paid\t").when(F.col("o_orderstatus") == "O", " Charged Off").when(key % 7 == 0, "Default").otherwise("Current").alias("loan_status"),
         s(key % 40000).alias("loan_amnt"), F.when(cust % 19 == 0, "NULL").otherwise(s((cust * 37) % 90000)).alias("annual_inc"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import models as D
 from ledgerspark.operators import sampling as S
-from ledgerspark.sources.adapter import loans
+from ledgerspark.sources.adapter import loans, raw_accepted
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,18 @@ def test_a_fit_and_its_scores_read_their_rows_once_each(spark, labelled):
     assert made.value == 2 * rows and spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= 1
 
 
+def test_many_customers_in_small_files_do_not_pass_through_the_driver(spark, tmp_path):
+    """120 000 customers fill less than a megabyte of files, which Spark would broadcast."""
+    n = 120_000
+    spark.range(n, numPartitions=1).selectExpr("id AS c_custkey", "'name' AS c_name", "cast(id % 25 as int) AS c_nationkey", "1000.0D AS c_acctbal", "'MACHINERY' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = "id AS o_orderkey", f"id * 7 % {n} AS o_custkey", "substr('FOP', cast(id % 3 as int) + 1, 1) AS o_orderstatus", "100.0D + id AS o_totalprice", "timestamp'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    spark.range(n, numPartitions=1).selectExpr(*orders).write.parquet(f"{tmp_path}/orders.parquet")
+    for rows in (loans(spark, str(tmp_path)), raw_accepted(spark, str(tmp_path))):
+        got = rows.select(F.col(rows.columns[0]).alias("id"), "annual_inc")
+        assert len(got.collect()) == n and got.select("id").distinct().count() == n
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_fit_uses_the_cores_whatever_the_files(spark, monkeypatch):
     """Rows of one partition are dealt to a partition a core, no more; features of few bins share a byte."""
     from ledgerspark.operators import boosting as B
