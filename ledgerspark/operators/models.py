@@ -141,7 +141,10 @@ def fit(df: DataFrame, kind: str = "logistic", *, numbers: Sequence[str] = NUMBE
     if not hold:
         return _fitted(df, kind, numbers, categories, balanced, trees)
     # Spark leaves a shuffle's partitions as they are in what it keeps; as many as cores need make each pass send the driver less.
-    df = df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    # Trees draw rows by their place, so theirs stay as they are.
+    if kind != "trees":
+        df = df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fitted(df, kind, numbers, categories, balanced, trees)
     finally:
